@@ -133,4 +133,9 @@ def with_fx(body: str, extra: dict[str, str] | None = None) -> str:
                     names.append(d)
     ctes = [f"{n} AS ({FX_SQL[n].strip()})" for n in names]
     ctes += [f"{n} AS ({sql.strip()})" for n, sql in extra.items()]
-    return ("WITH " + ",\n".join(ctes) + "\n" + body.strip()) if ctes else body.strip()
+    body = body.strip()
+    if not ctes:
+        return body
+    if re.match(r"(?i)^WITH\s", body):  # merge with the body's own CTE list
+        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    return "WITH " + ",\n".join(ctes) + "\n" + body
