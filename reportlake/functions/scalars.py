@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reportlake import constants as K
 
@@ -24,12 +25,12 @@ def fmt_thousands(x) -> Column:
     return F.format_string("%,d", _c(x).cast("bigint"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fixed1_signed(s: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else f"{v:+.1f}" for v in s], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fixed1(s: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else f"{v:.1f}" for v in s], dtype=object)
 
