@@ -1,3 +1,24 @@
-"""Registered streaming queries."""
+"""Registered streaming queries (T2, T3). Each lands the fetch files it
+streams from the fixture history, in a fresh folder under the session's
+checkpoint folder."""
 
-from reportlake.plans.registry import query  # noqa: F401
+from __future__ import annotations
+
+from reportlake.plans.registry import query
+from reportlake.session import scratch_path
+from reportlake.sources import fixtures as FX
+from reportlake.streaming import history_stream as HS
+
+
+@query("ingest_history_stream")
+def q_ingest(spark, d):
+    base = scratch_path(spark, "ingest")
+    HS.land_history_fetches(FX.fx_history(spark, d), f"{base}/in", revise=True)
+    return HS.ingest_history_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+
+
+@query("trend_stream")
+def q_trend_stream(spark, d):
+    base = scratch_path(spark, "trend")
+    HS.land_history_fetches(FX.fx_history(spark, d), f"{base}/in")
+    return HS.trend_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", keys=["zone_id"])
