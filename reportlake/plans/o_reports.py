@@ -1,3 +1,68 @@
-"""Oracle SQL: reports."""
+"""Oracle SQL: report runs (B1, B2)."""
 
-from reportlake.plans.oracle import oracle  # noqa: F401
+from reportlake.plans.fixture_sql import SEV_CASE
+from reportlake.plans.oracle import oracle, trend_sql
+
+DH = f"""
+SELECT o.o_orderdate AS timestamp, {SEV_CASE} AS vuln_severity, n.n_regionkey + 1 AS zone_id, count(*) AS value
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+GROUP BY 1, 2, 3"""
+BL = """
+SELECT template_id, block_idx, coalesce(type, 'table') AS type,
+  CASE WHEN coalesce(type, 'table') = 'history' THEN coalesce(days, 7)
+       WHEN coalesce(type, 'table') = 'trend_summary' THEN 31 END AS days,
+  coalesce(zone_id, 0) AS zone, coalesce(query, '') AS query
+FROM fx_blocks_full"""
+ZROWS = """
+SELECT zone_id AS zone, timestamp, value, vuln_severity FROM dh
+UNION ALL
+SELECT 0, timestamp, CAST(sum(value) AS BIGINT), vuln_severity FROM dh GROUP BY timestamp, vuln_severity"""
+WIN = """
+SELECT s.days, s.zone, x.timestamp, x.value, x.vuln_severity
+FROM (SELECT DISTINCT days, zone FROM bl WHERE type IN ('history', 'trend_summary')) s
+JOIN zr x ON x.zone = s.zone
+ AND x.timestamp BETWEEN CAST(DATE '1998-03-10' - s.days AS TIMESTAMP) AND TIMESTAMP '1998-03-10 23:59:59'"""
+QS = """
+SELECT * FROM (VALUES
+  ('q0', (SELECT least(count(DISTINCT severity), 4) FROM fx_vulns), NULL),
+  ('q1', (SELECT count(*) FROM fx_workloads WHERE name LIKE 'zzz%'), NULL),
+  ('q2', NULL, 'TABLE_OR_VIEW_NOT_FOUND'),
+  ('', NULL, 'SysQL Query is required')) q(query, n, err)"""
+
+oracle("block_results", """
+SELECT template_id, block_idx, type,
+  CASE WHEN type = 'divider' THEN 'ok' WHEN err IS NOT NULL THEN 'error' WHEN coalesce(n, 0) = 0 THEN 'empty'
+       ELSE 'ok' END AS status,
+  CASE WHEN type = 'divider' THEN NULL WHEN err IS NOT NULL THEN 'Error: ' || err
+       WHEN coalesce(n, 0) = 0 THEN CASE WHEN type IN ('history', 'trend_summary') THEN 'No history data returned'
+                                         ELSE 'No data returned' END
+       WHEN type = 'table' THEN 'Displaying ' || CAST(n AS VARCHAR) || ' records' END AS message,
+  CASE WHEN type <> 'divider' THEN CAST(coalesce(n, 0) AS BIGINT) END AS n_rows
+FROM (
+  SELECT bl.template_id, bl.block_idx, bl.type,
+    CASE WHEN bl.type IN ('history', 'trend_summary') THEN wc.n ELSE qs.n END AS n,
+    CASE WHEN bl.type IN ('traffic_lights', 'vertical_bar', 'horizontal_bar', 'pie_chart', 'table') THEN qs.err END
+      AS err
+  FROM bl
+  LEFT JOIN (SELECT days, zone, count(*) AS n FROM win GROUP BY days, zone) wc
+    ON bl.type IN ('history', 'trend_summary') AND wc.days = bl.days AND wc.zone = bl.zone
+  LEFT JOIN qs ON bl.type IN ('traffic_lights', 'vertical_bar', 'horizontal_bar', 'pie_chart', 'table')
+    AND qs.query = bl.query)""",
+       dh=DH, bl=BL.replace("coalesce(query, '') AS query",
+                            "CASE query WHEN 'q0' THEN 'q0' WHEN 'q1' THEN 'q1' WHEN 'q2' THEN 'q2' ELSE '' END AS query"),
+       zr=ZROWS, win=WIN, qs=QS)
+
+oracle("run_reports_trends", f"""
+SELECT bl.template_id, bl.block_idx, t.* FROM bl JOIN ({trend_sql('win', ['days', 'zone'])}) t
+  ON t.days = bl.days AND t.zone = bl.zone
+WHERE bl.type = 'trend_summary'""", dh=DH, bl=BL, zr=ZROWS, win=WIN)
+
+oracle("query_block", """
+SELECT f."Severity", f."Vulnerabilities", p.pct,
+  f."Severity" || ' (' || format('{:,}', f."Vulnerabilities") || ') - ' || printf('%.1f', p.pct) || '%' AS label
+FROM f JOIN (
+  SELECT "Severity", CASE WHEN tot > 0 THEN CAST("Vulnerabilities" AS DOUBLE) / tot * 100.0 ELSE 0.0 END AS pct
+  FROM f CROSS JOIN (SELECT CAST(sum("Vulnerabilities") AS DOUBLE) AS tot FROM f)) p ON p."Severity" = f."Severity"
+""", f="""SELECT v.severity AS "Severity", count(*) AS "Vulnerabilities"
+          FROM fx_workloads w JOIN fx_edges e ON w.workload_id = e.workload_id
+          JOIN fx_vulns v ON e.vuln_id = v.vuln_id GROUP BY v.severity ORDER BY "Severity" DESC LIMIT 4""")

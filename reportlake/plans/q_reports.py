@@ -1,3 +1,67 @@
-"""Registered reports queries."""
+"""Registered composite queries (B1, B2)."""
 
-from reportlake.plans.registry import query  # noqa: F401
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from reportlake.plans import reports as R
+from reportlake.plans.registry import query
+from reportlake.sources import fixtures as FX
+from reportlake.sources.tables import read_table
+
+NOW = dt.datetime(1998, 3, 10, 9, 30)
+# Block query library of the run fixture (query name in fx_blocks_full -> text).
+QUERY_TEXT = {
+    "q0": ("SELECT severity AS Severity, count(*) AS Vulnerabilities FROM rl_vulns "
+           "GROUP BY severity ORDER BY Severity DESC LIMIT 4"),
+    "q1": "SELECT name FROM rl_workloads WHERE name LIKE 'zzz%'",
+    "q2": "SELECT * FROM rl_no_such_table",
+}
+DEFAULT_BLOCK_QUERY = (
+    "SELECT v.severity AS Severity, count(*) AS Vulnerabilities "
+    "FROM rl_workloads k JOIN rl_edges e ON k.workload_id = e.workload_id "
+    "JOIN rl_vulns v ON e.vuln_id = v.vuln_id GROUP BY v.severity ORDER BY Severity DESC LIMIT 4")
+
+
+def fx_daily_history(spark, d):
+    """Daily vulnerability counts per severity and zone."""
+    o = read_table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderpriority")
+    c = read_table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    n = read_table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    j = (o.join(c, o.o_custkey == c.c_custkey)
+         .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")))  # 25-row dim
+    return (j.groupBy(F.col("o_orderdate").alias("timestamp"),
+                      FX.severity_of(F.col("o_orderpriority")).alias("vuln_severity"),
+                      (F.col("n_regionkey") + 1).alias("zone_id"))
+            .agg(F.count(F.lit(1)).alias("value")))
+
+
+def _views(spark, d):
+    return {"rl_vulns": FX.fx_vulns(spark, d), "rl_workloads": FX.fx_workloads(spark, d),
+            "rl_edges": FX.fx_edges(spark, d)}
+
+
+def _run(spark, d):
+    b = FX.fx_blocks_full(spark, d)
+    q = F.col("query")
+    for name, text in QUERY_TEXT.items():
+        q = F.when(F.col("query") == name, F.lit(text)).otherwise(q)
+    b = b.withColumn("query", q)
+    return R.run_reports(spark, b, fx_daily_history(spark, d), NOW, views=_views(spark, d))
+
+
+@query("block_results")
+def q_block_results(spark, d):
+    return _run(spark, d)["results"]
+
+
+@query("run_reports_trends")
+def q_run_trends(spark, d):
+    return _run(spark, d)["trends"]
+
+
+@query("query_block")
+def q_query_block(spark, d):
+    return R.query_block(spark, {"type": "pie_chart", "query": DEFAULT_BLOCK_QUERY}, views=_views(spark, d))
