@@ -76,6 +76,9 @@ def due_templates(t: DataFrame, now_utc: dt.datetime, zones: list[str] | None =
     return active.join(flags, "id", "left_semi")
 
 
+BROADCAST_TICKS = 2_000_000  # ~50 years of 15-minute polls; a few tens of MB
+
+
 def _hour_floor(ts: Column) -> Column:
     return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0))
 
@@ -93,7 +96,7 @@ def due_by_tick(t: DataFrame, ticks: DataFrame, zones: list[str] | None = None)
     through AQE: broadcast when small, shuffle join (skew-split) otherwise.
     """
     zones = zones if zones is not None else valid_zones()
-    lo, hi = ticks.agg(F.min("tick"), F.max("tick")).first()  # two scalars
+    lo, hi, n_ticks = ticks.agg(F.min("tick"), F.max("tick"), F.count(F.lit(1))).first()  # three scalars
     if lo is None:
         return t.sparkSession.createDataFrame([], "template_id bigint, local_date date, tick timestamp_ntz")
     start, end = lo.date() - dt.timedelta(days=1), hi.date() + dt.timedelta(days=1)
@@ -106,15 +109,20 @@ def due_by_tick(t: DataFrame, ticks: DataFrame, zones: list[str] | None = None)
     cand = cand.where(_frequency_matches(F.col("_f"), F.col("local_date"), F.col("_dow"), F.col("_dom")))
     local_start = F.make_timestamp_ntz(F.year("local_date"), F.month("local_date"), F.dayofmonth("local_date"),
                                        F.col("_h"), F.lit(0), F.lit(0))
-    u = F.convert_timezone(F.col("_tz"), F.lit("UTC"), local_start)
-    cand = cand.select("template_id", "_tz", "_h", "local_date",
-                       F.explode(F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)),
-                                             lambda i: _hour_floor(u) + F.make_dt_interval(hours=i)))
-                       .alias("_bucket"))
+    # Local hour H of that date as a UTC interval [u0, u1): a repeated
+    # (fall-back) hour spans two UTC hours, a skipped (spring-forward) hour is
+    # empty. Two conversions per candidate; the join itself only compares.
+    u0 = F.convert_timezone(F.col("_tz"), F.lit("UTC"), local_start)
+    u1 = F.convert_timezone(F.col("_tz"), F.lit("UTC"), local_start + F.make_dt_interval(hours=F.lit(1)))
+    cand = cand.select("template_id", "local_date", u0.alias("_u0"), u1.alias("_u1"))
+    buckets = F.filter(F.array(*[_hour_floor(F.col("_u0")) + F.make_dt_interval(hours=F.lit(i)) for i in range(3)]),
+                       lambda b: b < F.col("_u1"))
+    cand = cand.select("template_id", "local_date", "_u0", "_u1", F.explode(buckets).alias("_bucket"))
     tk = ticks.select("tick", _hour_floor(F.col("tick")).alias("_bucket"))
-    j = cand.join(tk, "_bucket")
-    lt = F.convert_timezone(F.lit("UTC"), F.col("_tz"), F.col("tick"))
-    j = j.where((F.to_date(lt) == F.col("local_date")) & (F.hour(lt) == F.col("_h")))
+    # The tick table grows with the polled period, not with the catalogue:
+    # broadcast it when its counted size is under the bound, else shuffle-hash.
+    tk = F.broadcast(tk) if n_ticks <= BROADCAST_TICKS else tk.hint("shuffle_hash")
+    j = cand.join(tk, "_bucket").where((F.col("tick") >= F.col("_u0")) & (F.col("tick") < F.col("_u1")))
     return j.groupBy("template_id", "local_date").agg(F.min("tick").alias("tick"))
 
 

@@ -51,14 +51,15 @@ def entity_items(raw: DataFrame, columns: dict[str, str], body: str = "body",
     filt = p["entities"].isNotNull() & (F.size(p["items"]) > 0)
     items = F.when(filt, F.transform(p["items"], lambda m: F.map_filter(
         m, lambda k, v: F.array_contains(allowed, k)))).otherwise(p["items"])
-    ok = raw.where(has_items).select(*keys, F.posexplode(items).alias("pos", "_item"))
-    ok = ok.select(*keys, "pos",
-                   *[F.try_element_at(F.col("_item"), F.lit(c)).try_cast(t).alias(c) for c, t in columns.items()],
-                   F.lit(None).cast("string").alias("error"))
-    bad = raw.where(~has_items).select(
-        *keys, F.lit(None).cast("int").alias("pos"),
-        *[F.lit(None).cast(t).alias(c) for c, t in columns.items()], F.lit(K.MSG_NO_ITEMS).alias("error"))
-    return ok.unionByName(bad)
+    # One pass: every envelope becomes an array of output rows (its items, or
+    # one error row) that ``inline`` expands -- no second scan for errors.
+    ok_rows = F.transform(items, lambda m, i: F.struct(
+        i.alias("pos"), *[F.try_element_at(m, F.lit(c)).try_cast(t).alias(c) for c, t in columns.items()],
+        F.lit(None).cast("string").alias("error")))
+    bad_rows = F.array(F.struct(
+        F.lit(None).cast("int").alias("pos"), *[F.lit(None).cast(t).alias(c) for c, t in columns.items()],
+        F.lit(K.MSG_NO_ITEMS).alias("error")))
+    return raw.select(*keys, F.inline(F.when(has_items, ok_rows).otherwise(bad_rows)))
 
 
 def normalize_records(data: Column, element: T.StructType) -> tuple[Column, Column]:
@@ -106,16 +107,15 @@ def history_rows(raw: DataFrame, body: str = "body", keys: Sequence[str] = ()) -
     complete = F.coalesce(F.forall(F.array(*[F.lit(c) for c in HISTORY_COLUMNS]),
                                    lambda c: F.array_contains(present, c)), F.lit(False))
     recs, err = normalize_records(data, HISTORY_ELEMENT)
-    ok = (raw.where(has_data & err.isNull() & complete)
-          .select(*keys, F.posexplode(recs).alias("pos", "_r"))
-          .select(*keys, "pos", S.parse_iso_utc(F.col("_r.timestamp")).alias("timestamp"),
-                  F.col("_r.value").alias("value"), F.col("_r.vuln_severity").alias("vuln_severity"),
-                  F.lit(None).cast("string").alias("error")))
-    bad = raw.where(~has_data | err.isNotNull()).select(
-        *keys, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("timestamp_ntz").alias("timestamp"),
+    ok_rows = F.transform(recs, lambda r, i: F.struct(
+        i.alias("pos"), S.parse_iso_utc(r["timestamp"]).alias("timestamp"), r["value"].alias("value"),
+        r["vuln_severity"].alias("vuln_severity"), F.lit(None).cast("string").alias("error")))
+    bad_rows = F.array(F.struct(
+        F.lit(None).cast("int").alias("pos"), F.lit(None).cast("timestamp_ntz").alias("timestamp"),
         F.lit(None).cast("bigint").alias("value"), F.lit(None).cast("string").alias("vuln_severity"),
-        F.when(~has_data, F.lit(K.MSG_NO_DATA_KEY)).otherwise(err).alias("error"))
-    return ok.unionByName(bad)
+        F.when(~has_data, F.lit(K.MSG_NO_DATA_KEY)).otherwise(err).alias("error")))
+    rows = F.when(~has_data | err.isNotNull(), bad_rows).when(complete, ok_rows)
+    return raw.select(*keys, F.inline(rows))
 
 
 ZONE_ELEMENT = "array<struct<id: int, name: string>>"
