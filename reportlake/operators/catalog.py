@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from reportlake import constants as K
 from reportlake.functions import scalars as S
 
-RUN_ORDER = [F.col("generated_at").desc_nulls_last(), F.col("id").desc()]
+
+def run_order() -> list[Column]:
+    """Newest run first: generated_at descending (nulls last), then id."""
+    return [F.col("generated_at").desc_nulls_last(), F.col("id").desc()]
 
 
 def retain_limit(retain) -> Column:
@@ -52,7 +55,7 @@ def report_catalog(r: DataFrame, t: DataFrame) -> DataFrame:
     is under the threshold, else it stays a shuffle join (skew-split)."""
     names = t.select(F.col("id").alias("_tid"), F.col("name").alias("template_name"))
     return (r.join(names, F.col("template_id") == F.col("_tid"), "inner").drop("_tid")
-            .orderBy(*RUN_ORDER))
+            .orderBy(*run_order()))
 
 
 def orphan_reports(r: DataFrame, t: DataFrame) -> DataFrame:
@@ -74,7 +77,7 @@ def recent_reports(r: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` newest runs per template, with their rank (W3). The
     ``row_number() <= n`` filter becomes a WindowGroupLimit that keeps n rows
     per template before and after the shuffle."""
-    w = Window.partitionBy("template_id").orderBy(*RUN_ORDER)
+    w = Window.partitionBy("template_id").orderBy(*run_order())
     return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
@@ -90,7 +93,7 @@ def retention_expired(r: DataFrame, t: DataFrame, fast_cap: int = 100) -> DataFr
     """
     lim = t.select(F.col("id").alias("template_id"),
                    retain_limit("schedule_retain_count").alias("_k"))
-    w = Window.partitionBy("template_id").orderBy(*RUN_ORDER)
+    w = Window.partitionBy("template_id").orderBy(*run_order())
     top = (r.select("template_id", "generated_at", "id")
            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= fast_cap))
     thr = (top.join(lim.where(F.col("_k") <= fast_cap), "template_id")
