@@ -19,6 +19,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def ntz(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a naive datetime, independent of the
+    Python process's and the session's time zones."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 # ---------------------------------------------------------------- numbers
 def fmt_thousands(x) -> Column:
     """Integer with comma grouping, as Python's ``{:,}`` (F1)."""

@@ -43,7 +43,7 @@ def history_window(h: DataFrame, now: dt.datetime, days: int, zone_id: int | Non
     pruning (and partition pruning on a date-partitioned table) applies.
     Zone ``None``/0 means all zones."""
     start, end = window_bounds(now, days)
-    cond = F.col(ts).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+    cond = F.col(ts).between(S.ntz(start), S.ntz(end))
     if zone_id:
         cond = cond & (F.col(zone) == F.lit(zone_id))
     return h.where(cond)

@@ -57,7 +57,7 @@ def due_flags(t: DataFrame, now_utc: dt.datetime, zones: list[str] | None = None
     daily / weekly / monthly. Per-row zone conversion, no joins."""
     zones = zones if zones is not None else valid_zones()
     tz = effective_zone(F.col("schedule_timezone"), zones)
-    local_now = F.convert_timezone(F.lit("UTC"), tz, F.lit(now_utc).cast("timestamp_ntz"))
+    local_now = F.convert_timezone(F.lit("UTC"), tz, S.ntz(now_utc))
     freq = F.col("schedule_frequency")
     last = S.parse_iso_utc(F.col("schedule_last_run"))
     last_local = F.convert_timezone(F.lit("UTC"), tz, last)

@@ -13,7 +13,10 @@ ISO_RE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?(Z|[+-]\d
 
 
 def parse_sql(c: str) -> str:
-    return f"CASE WHEN regexp_matches({c}, '{ISO_RE}') THEN try_cast({c} AS TIMESTAMPTZ) END"
+    """ISO text -> TIMESTAMPTZ; naive text is read as UTC whatever DuckDB's zone."""
+    return (f"CASE WHEN NOT regexp_matches({c}, '{ISO_RE}') THEN NULL "
+            f"WHEN regexp_matches({c}, '(Z|[+-]\\d{{2}}:?\\d{{2}})$') THEN try_cast({c} AS TIMESTAMPTZ) "
+            f"ELSE timezone('UTC', try_cast({c} AS TIMESTAMP)) END")
 
 
 _tables = ", ".join(f"'{t}'" for t in TABLES)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reportlake.functions import scalars as S
 from reportlake.operators import blocks as B
 from reportlake.operators import frames as FR
 from reportlake.operators import history as H
@@ -99,7 +100,7 @@ def history_sources(h: DataFrame, specs: DataFrame, now: dt.datetime) -> DataFra
         F.date_sub(F.lit(today), F.col("days")), F.lit(today))).alias("_d"))
     per_zone = h.select("zone_id", "timestamp", "value", "vuln_severity")
     rolled = H.all_zones_rollup(h).withColumn("zone_id", F.lit(0))
-    both = per_zone.unionByName(rolled).where(F.col("timestamp") <= F.lit(end).cast("timestamp_ntz"))
+    both = per_zone.unionByName(rolled).where(F.col("timestamp") <= S.ntz(end))
     both = both.withColumn("_d", F.to_date("timestamp"))
     j = both.join(dates, (both["zone_id"] == dates["zone"]) & (both["_d"] == dates["_d"]))
     return j.select("days", "zone", "timestamp", "value", "vuln_severity")

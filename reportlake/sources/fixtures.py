@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reportlake.functions import scalars as S
 from reportlake.sources.tables import read_table
 
 ISO_FMT = "yyyy-MM-dd'T'HH:mm:ss"
@@ -27,7 +28,7 @@ def severity_of(priority: Column) -> Column:
 
 
 def _ts(y, m, d, h=0, mi=0) -> Column:
-    return F.lit(dt.datetime(y, m, d, h, mi)).cast("timestamp_ntz")
+    return S.ntz(dt.datetime(y, m, d, h, mi))
 
 
 def _plus_minutes(ts: Column, minutes: Column) -> Column:
