@@ -110,7 +110,7 @@ def template_overview(t: DataFrame, r: DataFrame) -> DataFrame:
     """Every template with its latest run (or none), status icon and schedule
     label (J2): latest-per-template aggregate, then one left outer join --
     replaces one lookup per template."""
-    last = latest_report(r).select(
+    last = latest_report(r.select("template_id", "id", "status", "generated_at")).select(
         F.col("template_id").alias("_tid"), F.col("id").alias("last_run_id"),
         F.col("status").alias("last_status"), F.col("generated_at").alias("last_generated_at"))
     j = t.join(last, F.col("id") == F.col("_tid"), "left")

@@ -19,13 +19,13 @@ def _lit_key(keys: Sequence[str]) -> tuple[list[str], bool]:
 
 
 def _totals_join(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach per-frame aggregates. With ``keys=()`` the aggregate is a single
-    row: joined on a constant key with a broadcast hint (size proven: 1 row),
-    never as an unpartitioned window."""
+    """Attach per-frame aggregates: joined on the frame keys, or with
+    ``keys=()`` (one row) as scalar subqueries -- never an unpartitioned
+    window or a cross join."""
     if keys:
         return df.join(totals, list(keys))
-    return df.withColumn("_one", F.lit(0)).join(F.broadcast(totals.withColumn("_one", F.lit(0))), "_one") \
-        .drop("_one")
+    from reportlake.operators.ordinals import with_scalar
+    return with_scalar(df, totals)
 
 
 # ---------------------------------------------------------------- P3

@@ -12,6 +12,7 @@ from reportlake import constants as K
 from reportlake.functions import scalars as S
 from reportlake.operators.catalog import retention_expired
 from reportlake.operators.ordinals import dense_positions, with_scalar
+from reportlake.session import checkpoint_dir
 
 UPDATABLE = {
     "name": "string", "config_yaml": "string", "schedule_enabled": "int", "schedule_frequency": "string",
@@ -168,6 +169,11 @@ def append_runs(r: DataFrame, t: DataFrame, runs: DataFrame) -> dict[str, DataFr
         F.when(oc == "success", F.col("file_size")).cast("bigint").alias("file_size"),
         F.when(oc == "success", "success").otherwise("failed").alias("status"),
         err.alias("error_message"), F.col("started_at").alias("generated_at"))
+    # The new rows feed four branches (retention top-k, its two joins, the
+    # survivors); their ids come from a multi-stage plan. Cut the lineage once
+    # with a reliable checkpoint in the session's checkpoint folder.
+    checkpoint_dir(new.sparkSession)
+    new = new.checkpoint(eager=True)
     log = r.unionByName(new, allowMissingColumns=True)
     expired = retention_expired(log, t)
     survivors = log.join(expired.select(F.col("id").alias("_xid")), F.col("id") == F.col("_xid"), "left_anti")

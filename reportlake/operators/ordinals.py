@@ -32,7 +32,8 @@ def dense_positions(df: DataFrame, key: str, group: str | None = None, name: str
 
 
 def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row: equi-join on a constant key
-    with the one-row side broadcast (its size is proven: one row)."""
-    return (df.withColumn("_one", F.lit(0))
-            .join(F.broadcast(scalar.withColumn("_one", F.lit(0))), "_one").drop("_one"))
+    """Attach the columns of a one-row aggregate to every row as scalar
+    subqueries: evaluated once, inlined as values -- no join at all."""
+    for c in scalar.columns:
+        df = df.withColumn(c, scalar.select(c).scalar())
+    return df
