@@ -113,16 +113,47 @@ def traffic_light_tiles(df: DataFrame, cat: str | None, val: str, order_by: Sequ
 
 
 # ---------------------------------------------------------------- O4
+def running_sum_before(df: DataFrame, partition: Sequence[str], order: str, val: str, name: str,
+                       width: int = 1 << 16) -> DataFrame:
+    """``sum(val)`` over the earlier rows of each partition (rows before the
+    current one, by ``order``), without sorting a whole partition in one task.
+
+    ``order`` is an integer column, unique within the partition. Rows are cut
+    into chunks of ``width`` consecutive order values (at most ``width`` rows
+    each); chunk totals are a partial aggregate, their running sums come from
+    the chunk table (``width`` times smaller), and the rest is a window inside
+    one chunk."""
+    part = list(partition)
+    d = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)))
+    sums = d.groupBy(*part, "_chunk").agg(F.sum(val).alias("_cs"))
+    before_chunk = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sums.select(*part, "_chunk", F.coalesce(F.sum("_cs").over(before_chunk), F.lit(0)).alias("_coff"))
+    inside = Window.partitionBy(*part, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    j = d.join(offs, [*part, "_chunk"], "left")
+    return (j.withColumn(name, F.col("_coff") + F.coalesce(F.sum(val).over(inside), F.lit(0)))
+            .drop("_chunk", "_coff"))
+
+
 def bar_series(df: DataFrame, cat: str, val: str, order_by: Sequence[str], horizontal: bool = False,
                keys: Sequence[str] = ()) -> DataFrame:
     """Bar segments (O4): repeated categories stack, so each row is a segment
     with its stack offset = running sum of earlier segments of the same
-    category. Colour is the severity colour when the category names one."""
-    w = (Window.partitionBy(*keys, cat).orderBy(*order_by)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return df.select(
+    category. Colour is the severity colour when the category names one.
+
+    With a single integral ``order_by`` column (unique per frame and
+    category) the offset uses chunked prefix sums, so a frame holding most of
+    the data is never sorted in one task; otherwise a running window."""
+    vtype = df.schema[val].dataType
+    integral = len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, T.IntegralType)
+    if integral:
+        base = running_sum_before(df, [*keys, cat], order_by[0], val, "_base")
+    else:
+        w = (Window.partitionBy(*keys, cat).orderBy(*order_by)
+             .rowsBetween(Window.unboundedPreceding, -1))
+        base = df.withColumn("_base", F.coalesce(F.sum(val).over(w), F.lit(0)))
+    return base.select(
         *keys, F.col(cat).alias("category"), F.col(val).alias("value"), *order_by,
-        F.coalesce(F.sum(val).over(w), F.lit(0)).cast(df.schema[val].dataType).alias("stack_base"),
+        F.col("_base").cast(vtype).alias("stack_base"),
         S.severity_color(cat).alias("color"),
         F.lit("h" if horizontal else "v").alias("orientation"),
     )

@@ -101,3 +101,16 @@ def test_load_catalog_parses_iso(spark, tmp_path):
     row = t2.first()
     assert row.created_at_ts == dt.datetime(2024, 1, 5, 9, 7) and row.updated_at_ts is None
     assert r2.first().generated_at_ts == dt.datetime(2024, 1, 5, 9, 7)
+
+
+def test_chunked_running_sum_matches_window(spark):
+    rnd = random.Random(11)
+    rows = [(g % 3, c, k, rnd.randint(-50, 50)) for g in range(6) for c in "ab"
+            for k in rnd.sample(range(5_000), 200)]
+    df = spark.createDataFrame(rows, "g long, c string, k long, v long")
+    from reportlake.operators.frames import running_sum_before
+    got = running_sum_before(df, ["g", "c"], "k", "v", "base", width=37)
+    w = Window.partitionBy("g", "c").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("base", F.coalesce(F.sum("v").over(w), F.lit(0)))
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
+    assert want.exceptAll(got.select(*want.columns)).count() == 0
