@@ -105,7 +105,7 @@ def test_load_catalog_parses_iso(spark, tmp_path):
 
 def test_chunked_running_sum_matches_window(spark):
     rnd = random.Random(11)
-    rows = [(g % 3, c, k, rnd.randint(-50, 50)) for g in range(6) for c in "ab"
+    rows = [(g, c, k, rnd.randint(-50, 50)) for g in range(3) for c in "ab"
             for k in rnd.sample(range(5_000), 200)]
     df = spark.createDataFrame(rows, "g long, c string, k long, v long")
     from reportlake.operators.frames import running_sum_before
