@@ -38,7 +38,7 @@ SELECT s_suppkey * 2 AS seq, 'update' AS op,
 FROM supplier
 UNION ALL
 SELECT s_suppkey * 2 + 1, 'insert', NULL, 'New ' || s_name, true, '{}', true, NULL, false
-FROM supplier WHERE s_suppkey % 5 = 0"""
+FROM supplier"""
 
 oracle("upsert_templates", f"""
 SELECT t.id, CASE WHEN coalesce(a.set_name, false) THEN a.name ELSE t.name END AS name, t.config_yaml,

@@ -20,7 +20,7 @@ def fx_template_changes(spark, d):
     upd = M.change_rows(s, "update", k * 2, F.when(k % 10 == 0, k * 3 + 2000000).otherwise(k * 3),
                         {"name": (F.col("s_name"), k % 2 == 0),
                          "schedule_hour": (F.lit(None), k % 3 == 0)})
-    ins = M.change_rows(s.where(k % 5 == 0), "insert", k * 2 + 1, None,
+    ins = M.change_rows(s, "insert", k * 2 + 1, None,
                         {"name": F.concat(F.lit("New "), F.col("s_name")), "config_yaml": F.lit("{}")})
     return upd.unionByName(ins)
 

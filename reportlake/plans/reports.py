@@ -98,10 +98,14 @@ def history_sources(h: DataFrame, specs: DataFrame, now: dt.datetime) -> DataFra
     end = dt.datetime.combine(today, dt.time(23, 59, 59))
     dates = specs.select("days", "zone", F.explode(F.sequence(
         F.date_sub(F.lit(today), F.col("days")), F.lit(today))).alias("_d"))
-    per_zone = h.select("zone_id", "timestamp", "value", "vuln_severity")
-    rolled = H.all_zones_rollup(h).withColumn("zone_id", F.lit(0))
-    both = per_zone.unionByName(rolled).where(F.col("timestamp") <= S.ntz(end))
-    both = both.withColumn("_d", F.to_date("timestamp"))
+    # Per-zone rows and the all-zones roll-up (zone 0) in one pass: grouping
+    # sets over (timestamp, severity, zone) and (timestamp, severity).
+    h = h.where(F.col("timestamp") <= S.ntz(end))
+    gs = h.groupingSets([["timestamp", "vuln_severity", "zone_id"], ["timestamp", "vuln_severity"]],
+                        "timestamp", "vuln_severity", "zone_id")
+    both = gs.agg(F.sum("value").cast("bigint").alias("value"), F.grouping_id().alias("_g")).select(
+        F.when(F.col("_g") == 0, F.col("zone_id")).otherwise(F.lit(0)).alias("zone_id"),
+        "timestamp", "value", "vuln_severity", F.to_date("timestamp").alias("_d"))
     j = both.join(dates, (both["zone_id"] == dates["zone"]) & (both["_d"] == dates["_d"]))
     return j.select("days", "zone", "timestamp", "value", "vuln_severity")
 
