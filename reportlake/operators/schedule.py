@@ -89,41 +89,44 @@ def due_by_tick(t: DataFrame, ticks: DataFrame, zones: list[str] | None = None)
 
     A template fires at the first tick of each local date whose local hour is
     its schedule hour (the 3600 s rule suppresses the rest of that hour, also
-    across a DST fall-back). Instead of templates x ticks, each template
-    expands to its candidate local dates (the tick range, <= a few dozen),
-    converts ``date + hour`` to a UTC instant and equi-joins the ticks on the
-    UTC hour bucket (3 buckets cover a repeated hour). The tick side goes
-    through AQE: broadcast when small, shuffle join (skew-split) otherwise.
+    across a DST fall-back). That instant depends only on (zone, hour, date),
+    so it is computed once on a small calendar -- distinct (zone, hour) of the
+    templates x the dates of the tick range -- where local hour H becomes a
+    UTC interval [u0, u1) (a repeated hour spans two UTC hours, a skipped one
+    is empty) and ticks are equi-joined on the UTC hour bucket. Templates then
+    equi-join the calendar on (zone, hour) and keep the dates their
+    frequency allows. No templates x ticks product, and zone conversions
+    scale with the calendar, not with the catalogue.
     """
     zones = zones if zones is not None else valid_zones()
     lo, hi, n_ticks = ticks.agg(F.min("tick"), F.max("tick"), F.count(F.lit(1))).first()  # three scalars
     if lo is None:
         return t.sparkSession.createDataFrame([], "template_id bigint, local_date date, tick timestamp_ntz")
     start, end = lo.date() - dt.timedelta(days=1), hi.date() + dt.timedelta(days=1)
-    tz = effective_zone(F.col("schedule_timezone"), zones)
     freq, h = F.col("schedule_frequency"), F.col("schedule_hour")
-    cand = (t.where((F.col("schedule_enabled") == 1) & freq.isin(K.FREQUENCIES) & h.isNotNull())
-            .select(F.col("id").alias("template_id"), tz.alias("_tz"), freq.alias("_f"), h.alias("_h"),
-                    F.col("schedule_day_of_week").alias("_dow"), F.col("schedule_day_of_month").alias("_dom"),
-                    F.explode(F.sequence(F.lit(start), F.lit(end))).alias("local_date")))
-    cand = cand.where(_frequency_matches(F.col("_f"), F.col("local_date"), F.col("_dow"), F.col("_dom")))
+    act = (t.where((F.col("schedule_enabled") == 1) & freq.isin(K.FREQUENCIES) & h.isNotNull())
+           .select(F.col("id").alias("template_id"), effective_zone(F.col("schedule_timezone"), zones).alias("_tz"),
+                   freq.alias("_f"), h.alias("_h"), F.col("schedule_day_of_week").alias("_dow"),
+                   F.col("schedule_day_of_month").alias("_dom")))
+    cal = (act.select("_tz", "_h").distinct()
+           .select("_tz", "_h", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("local_date")))
     local_start = F.make_timestamp_ntz(F.year("local_date"), F.month("local_date"), F.dayofmonth("local_date"),
                                        F.col("_h"), F.lit(0), F.lit(0))
-    # Local hour H of that date as a UTC interval [u0, u1): a repeated
-    # (fall-back) hour spans two UTC hours, a skipped (spring-forward) hour is
-    # empty. Two conversions per candidate; the join itself only compares.
     u0 = F.convert_timezone(F.col("_tz"), F.lit("UTC"), local_start)
     u1 = F.convert_timezone(F.col("_tz"), F.lit("UTC"), local_start + F.make_dt_interval(hours=F.lit(1)))
-    cand = cand.select("template_id", "local_date", u0.alias("_u0"), u1.alias("_u1"))
+    cal = cal.select("_tz", "_h", "local_date", u0.alias("_u0"), u1.alias("_u1"))
     buckets = F.filter(F.array(*[_hour_floor(F.col("_u0")) + F.make_dt_interval(hours=F.lit(i)) for i in range(3)]),
                        lambda b: b < F.col("_u1"))
-    cand = cand.select("template_id", "local_date", "_u0", "_u1", F.explode(buckets).alias("_bucket"))
+    cal = cal.select("_tz", "_h", "local_date", "_u0", "_u1", F.explode(buckets).alias("_bucket"))
     tk = ticks.select("tick", _hour_floor(F.col("tick")).alias("_bucket"))
     # The tick table grows with the polled period, not with the catalogue:
     # broadcast it when its counted size is under the bound, else shuffle-hash.
     tk = F.broadcast(tk) if n_ticks <= BROADCAST_TICKS else tk.hint("shuffle_hash")
-    j = cand.join(tk, "_bucket").where((F.col("tick") >= F.col("_u0")) & (F.col("tick") < F.col("_u1")))
-    return j.groupBy("template_id", "local_date").agg(F.min("tick").alias("tick"))
+    fires = (cal.join(tk, "_bucket").where((F.col("tick") >= F.col("_u0")) & (F.col("tick") < F.col("_u1")))
+             .groupBy("_tz", "_h", "local_date").agg(F.min("tick").alias("tick")))
+    out = act.join(fires, ["_tz", "_h"])
+    out = out.where(_frequency_matches(F.col("_f"), F.col("local_date"), F.col("_dow"), F.col("_dom")))
+    return out.select("template_id", "local_date", "tick")
 
 
 def schedule_violations(t: DataFrame, zones: list[str] | None = None) -> DataFrame:
