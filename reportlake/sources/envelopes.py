@@ -44,9 +44,12 @@ def entity_items(raw: DataFrame, columns: dict[str, str], body: str = "body",
     kept. ``columns`` declares the output columns and their types (values are
     JSON scalars, cast with ``try_cast``). No ``items`` key -> one row with the
     reference's error text. Output: keys, pos, the columns, error."""
-    b = F.col(body)
-    p = F.from_json(b, ITEMS_SCHEMA)
-    has_items = _has_key(b, "items")
+    # Parse once into a column; the row builder below refers to it several
+    # times and the projection keeps it from being re-evaluated per use.
+    parsed = raw.select(*keys, F.from_json(F.col(body), ITEMS_SCHEMA).alias("_p"),
+                        _has_key(F.col(body), "items").alias("_has_items"))
+    p = F.col("_p")
+    has_items = F.col("_has_items")
     allowed = F.map_keys(p["entities"])
     filt = p["entities"].isNotNull() & (F.size(p["items"]) > 0)
     items = F.when(filt, F.transform(p["items"], lambda m: F.map_filter(
@@ -59,7 +62,7 @@ def entity_items(raw: DataFrame, columns: dict[str, str], body: str = "body",
     bad_rows = F.array(F.struct(
         F.lit(None).cast("int").alias("pos"), *[F.lit(None).cast(t).alias(c) for c, t in columns.items()],
         F.lit(K.MSG_NO_ITEMS).alias("error")))
-    return raw.select(*keys, F.inline(F.when(has_items, ok_rows).otherwise(bad_rows)))
+    return parsed.select(*keys, F.inline(F.when(has_items, ok_rows).otherwise(bad_rows)))
 
 
 def normalize_records(data: Column, element: T.StructType) -> tuple[Column, Column]:
@@ -97,8 +100,8 @@ def history_rows(raw: DataFrame, body: str = "body", keys: Sequence[str] = ()) -
     vuln_severity yields no rows (the chart and trend have nothing to use).
     Timestamps are ISO text -> TIMESTAMP_NTZ (UTC wall clock)."""
     b = F.col(body)
-    data = F.get_json_object(b, "$.data")
-    has_data = _has_key(b, "data")
+    pre = raw.select(*keys, F.get_json_object(b, "$.data").alias("_data"), _has_key(b, "data").alias("_has_data"))
+    data, has_data = F.col("_data"), F.col("_has_data")
     txt = F.trim(data)
     rec_keys = F.from_json(data, "array<map<string,string>>")
     present = (F.when(F.startswith(txt, F.lit("[")), F.array_distinct(F.flatten(
@@ -115,7 +118,7 @@ def history_rows(raw: DataFrame, body: str = "body", keys: Sequence[str] = ()) -
         F.lit(None).cast("bigint").alias("value"), F.lit(None).cast("string").alias("vuln_severity"),
         F.when(~has_data, F.lit(K.MSG_NO_DATA_KEY)).otherwise(err).alias("error")))
     rows = F.when(~has_data | err.isNotNull(), bad_rows).when(complete, ok_rows)
-    return raw.select(*keys, F.inline(rows))
+    return pre.select(*keys, F.inline(rows))
 
 
 ZONE_ELEMENT = "array<struct<id: int, name: string>>"
