@@ -1,16 +1,13 @@
 """Scalar Column -> Column functions (display text, colours, labels).
 
-All built-in expressions (whole-stage codegen) except ``fixed1`` which needs
-Python's exact-binary half-even rounding for ``.1f`` text; it is an Arrow
-batched pandas UDF applied only to post-aggregate rows.
+All built-in expressions (whole-stage codegen), including the Python-exact
+number texts (``{:,}``, ``.1f``, ``repr(float)``).
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from reportlake import constants as K
 
@@ -31,20 +28,23 @@ def fmt_thousands(x) -> Column:
     return F.format_string("%,d", _c(x).cast("bigint"))
 
 
-@F.pandas_udf(T.StringType())
-def _fixed1_signed(s: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else f"{v:+.1f}" for v in s], dtype=object)
-
-
-@F.pandas_udf(T.StringType())
-def _fixed1(s: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else f"{v:.1f}" for v in s], dtype=object)
-
-
 def fixed1(x, signed: bool = False) -> Column:
-    """``{x:.1f}`` / ``{x:+.1f}`` with Python rounding (Java's printf rounds
-    the decimal string half-up and differs on 0.25, 0.15, ...)."""
-    return (_fixed1_signed if signed else _fixed1)(_c(x).cast("double"))
+    """``{x:.1f}`` / ``{x:+.1f}`` exactly as Python writes them.
+
+    Python rounds the exact binary value half-even (0.25 -> 0.2, 0.15 ->
+    0.1). ``format_number`` formats through ``java.text.DecimalFormat``, which
+    (since JDK 8) also rounds the exact binary value half-even, whereas
+    ``format_string('%.1f')`` rounds the shortest decimal text half-up and
+    differs. Grouping commas are dropped; '+' is added for non-negative
+    values (negative zero keeps its '-', as in Python)."""
+    v = _c(x).cast("double")
+    body = F.regexp_replace(F.format_number(v, 1), ",", "")
+    if signed:
+        body = F.when(F.startswith(body, F.lit("-")), body).otherwise(F.concat(F.lit("+"), body))
+    special = (F.when(F.isnan(v), F.lit("+nan" if signed else "nan"))
+               .when(v == float("inf"), F.lit("+inf" if signed else "inf"))
+               .when(v == float("-inf"), F.lit("-inf")))
+    return F.when(v.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(special, body))
 
 
 def fmt_trend_change(change, pct, trend) -> Column:
