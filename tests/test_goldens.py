@@ -199,3 +199,12 @@ def test_retention_rules(spark):
 
 def test_retention_fixture_count(spark):
     assert C.retention_expired(FX.fx_reports(spark, SF_SMALL), FX.fx_templates(spark, SF_SMALL)).count() == 6855
+
+
+def test_fixed1_matches_python_on_ties_and_random(spark):
+    import random
+    rnd = random.Random(5)
+    vals = [k / 40 for k in range(-400, 400)] + [rnd.uniform(-1e4, 1e4) for _ in range(3000)] + [-0.0, 1e20]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    out = df.select("v", S.fixed1("v").alias("a"), S.fixed1("v", signed=True).alias("b")).collect()
+    assert all(r.a == f"{r.v:.1f}" and r.b == f"{r.v:+.1f}" for r in out)
