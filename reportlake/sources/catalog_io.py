@@ -48,3 +48,12 @@ def write_report_bundle(results: DataFrame, path: str, run_id: str,
                  F.min("file_path").alias("file_path"))
             .withColumn("status", F.lit("success"))
             .withColumn("run_id", F.lit(run_id)))
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
+    """Store a catalogue table bucketed and sorted by ``key`` (e.g. the run
+    log by ``template_id``, templates by ``id`` with the same bucket count).
+    Later per-template aggregates, windows and joins on that key read the
+    buckets as co-partitioned input and skip the shuffle."""
+    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table))
+    return df.sparkSession.table(table)
