@@ -45,3 +45,8 @@ SELECT zone_id, timestamp, value, vuln_severity,
        WHEN 'Medium' THEN '#388e3c' WHEN 'Low' THEN '#1976d2' WHEN 'Negligible' THEN '#757575'
        WHEN 'Informational' THEN '#00bcd4' END AS color
 FROM fx_history""")
+
+oracle("trend_color", f"""
+SELECT customer_id, severity AS "Severity",
+  CASE trend WHEN 'improved' THEN '#2e7d32' WHEN 'worsened' THEN '#c62828' END AS color
+FROM ({trend_sql('fx_customer_history', ['customer_id'])})""")

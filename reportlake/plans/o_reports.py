@@ -66,3 +66,28 @@ FROM f JOIN (
 """, f="""SELECT v.severity AS "Severity", count(*) AS "Vulnerabilities"
           FROM fx_workloads w JOIN fx_edges e ON w.workload_id = e.workload_id
           JOIN fx_vulns v ON e.vuln_id = v.vuln_id GROUP BY v.severity ORDER BY "Severity" DESC LIMIT 4""")
+
+oracle("query_block_tiles", """
+SELECT pos, n, label, value, value_text,
+  coalesce(CASE label WHEN 'Critical' THEN '#d32f2f' WHEN 'High' THEN '#ffa000' WHEN 'Medium' THEN '#388e3c'
+           WHEN 'Low' THEN '#1976d2' WHEN 'Negligible' THEN '#757575' WHEN 'Informational' THEN '#00bcd4' END,
+           ['#7b1fa2', '#00796b', '#c2185b', '#512da8', '#0097a7', '#689f38', '#5d4037', '#455a64', '#f57c00',
+            '#303f9f'][pos % 10 + 1]) AS color,
+  x0, x0 + bw AS x1, (x0 + (x0 + bw)) / 2 AS x_center, 0.8::DOUBLE AS label_y, 0.35::DOUBLE AS value_y
+FROM (SELECT *, 0.01::DOUBLE + pos * (bw + 0.01::DOUBLE) AS x0 FROM (
+  SELECT *, (1.0::DOUBLE - 0.01::DOUBLE * (n + 1)) / n AS bw FROM (
+    SELECT "Severity" AS label, "Vulnerabilities" AS value, format('{:,}', "Vulnerabilities") AS value_text,
+      CAST(row_number() OVER (ORDER BY "Severity") - 1 AS INTEGER) AS pos, count(*) OVER () AS n
+    FROM (SELECT severity AS "Severity", count(*) AS "Vulnerabilities" FROM fx_vulns
+          GROUP BY severity ORDER BY "Severity" DESC LIMIT 4))))""")
+
+# P3 picks the first numeric column as the value: here ``bucket``.
+oracle("query_block_bars", """
+SELECT "Severity" AS category, bucket AS value, "Severity", bucket, "Vulnerabilities",
+  CAST(coalesce(sum(bucket) OVER (PARTITION BY "Severity" ORDER BY "Severity", bucket, "Vulnerabilities"
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS stack_base,
+  CASE "Severity" WHEN 'Critical' THEN '#d32f2f' WHEN 'High' THEN '#ffa000' WHEN 'Medium' THEN '#388e3c'
+       WHEN 'Low' THEN '#1976d2' WHEN 'Negligible' THEN '#757575' WHEN 'Informational' THEN '#00bcd4' END AS color,
+  'h' AS orientation
+FROM (SELECT severity AS "Severity", vuln_id % 3 AS bucket, count(*) AS "Vulnerabilities"
+      FROM fx_vulns GROUP BY severity, vuln_id % 3)""")

@@ -23,6 +23,12 @@ SELECT zone_id, CAST(year(timestamp) AS INTEGER) AS year,
   timestamp, value, vuln_severity, CAST(NULL AS VARCHAR) AS error
 FROM fx_history
 WHERE NOT (zone_id = 3 AND year(timestamp) = 1999) AND NOT (zone_id = 4 AND year(timestamp) = 2000)
+  AND NOT (zone_id = 2 AND year(timestamp) = 1997)
+UNION ALL
+SELECT DISTINCT zone_id, CAST(year(timestamp) AS INTEGER), CAST(NULL AS INTEGER), CAST(NULL AS TIMESTAMP),
+  CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), 'All arrays must be of the same length'
+FROM fx_history WHERE zone_id = 2 AND year(timestamp) = 1997 AND (SELECT count(*) FROM fx_history
+  WHERE zone_id = 2 AND year(timestamp) = 1997) > 1
 UNION ALL
 SELECT DISTINCT zone_id, CAST(year(timestamp) AS INTEGER), CAST(NULL AS INTEGER), CAST(NULL AS TIMESTAMP),
   CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), 'Unexpected response format (no ''data'' key)'

@@ -62,3 +62,11 @@ def q_severity_rank(spark, d):
 @query("history_series")
 def q_history_series(spark, d):
     return H.history_series(FX.fx_history(spark, d), keys=["zone_id"])
+
+
+@query("trend_color")
+def q_trend_color(spark, d):
+    from reportlake.functions import scalars as S
+    ins = H.trend_insights(FX.fx_customer_history(spark, d), keys=["customer_id"])
+    return H.insight_table(ins, keys=["customer_id"]).select(
+        "customer_id", "Severity", S.trend_color("Change").alias("color"))

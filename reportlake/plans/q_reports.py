@@ -65,3 +65,15 @@ def q_run_trends(spark, d):
 @query("query_block")
 def q_query_block(spark, d):
     return R.query_block(spark, {"type": "pie_chart", "query": DEFAULT_BLOCK_QUERY}, views=_views(spark, d))
+
+
+@query("query_block_tiles")
+def q_query_block_tiles(spark, d):
+    return R.query_block(spark, {"type": "traffic_lights", "query": QUERY_TEXT["q0"]}, views=_views(spark, d))
+
+
+@query("query_block_bars")
+def q_query_block_bars(spark, d):
+    sql = ("SELECT severity AS Severity, vuln_id % 3 AS bucket, count(*) AS Vulnerabilities "
+           "FROM rl_vulns GROUP BY severity, vuln_id % 3")
+    return R.query_block(spark, {"type": "horizontal_bar", "query": sql}, views=_views(spark, d))

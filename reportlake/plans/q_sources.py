@@ -50,8 +50,12 @@ def fx_history_envelopes(spark, d):
                     F.transform("xs", lambda x: x["vuln_severity"]).alias("vuln_severity"))
     no_value = F.transform("xs", lambda x: F.struct(ts(x).alias("timestamp"),
                                                     x["vuln_severity"].alias("vuln_severity")))
+    short = F.struct(F.transform("xs", ts).alias("timestamp"),
+                     F.slice(F.transform("xs", lambda x: x["value"]), 2, 1 << 20).alias("value"),
+                     F.transform("xs", lambda x: x["vuln_severity"]).alias("vuln_severity"))
     z, y = F.col("zone_id"), F.col("year")
     body = (F.when((z == 3) & (y == 1999), F.to_json(F.struct(recs.alias("result"))))
+            .when((z == 2) & (y == 1997), F.to_json(F.struct(short.alias("data"))))
             .when((z == 4) & (y == 2000), F.to_json(F.struct(no_value.alias("data"))))
             .when(z % 2 == 1, F.to_json(F.struct(recs.alias("data"))))
             .otherwise(F.to_json(F.struct(cols.alias("data")))))

@@ -33,20 +33,23 @@ def register_views(spark: SparkSession, views: Mapping[str, DataFrame]) -> None:
 def query_block(spark: SparkSession, block: Mapping, views: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Run one block's query and feed the operator its type names (B1).
     Columns are picked by P3 (first non-numeric = category, first numeric =
-    value); bars and tiles keep the category order."""
+    value). Bars and tiles need a row order; a SQL result has none, so rows
+    are ordered by the category and then every other column -- a total,
+    repeatable order."""
     if views:
         register_views(spark, views)
     frame = spark.sql(block["query"])
     ty = block.get("type") or "table"
     cat, val = FR.detect_columns(frame.schema)
+    order = [cat] + [c for c in frame.columns if c != cat] if cat else list(frame.columns)
     if ty == "pie_chart":
         return FR.pie_shares(frame, cat, val)
     if ty in ("vertical_bar", "horizontal_bar"):
-        return FR.bar_series(frame, cat, val, order_by=[cat], horizontal=ty == "horizontal_bar")
+        return FR.bar_series(frame, cat, val, order_by=order, horizontal=ty == "horizontal_bar")
     if ty == "traffic_lights":
         single = len(frame.columns) == 1
         return FR.traffic_light_tiles(frame, None if single else cat, frame.columns[0] if single else val,
-                                      order_by=[frame.columns[0] if single else cat])
+                                      order_by=order)
     if ty == "history":
         return H.history_series(frame)
     if ty == "trend_summary":

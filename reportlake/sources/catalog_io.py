@@ -50,10 +50,14 @@ def write_report_bundle(results: DataFrame, path: str, run_id: str,
             .withColumn("run_id", F.lit(run_id)))
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
     """Store a catalogue table bucketed and sorted by ``key`` (e.g. the run
     log by ``template_id``, templates by ``id`` with the same bucket count).
     Later per-template aggregates, windows and joins on that key read the
-    buckets as co-partitioned input and skip the shuffle."""
-    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table))
+    buckets as co-partitioned input and skip the shuffle. With ``path`` the
+    table is external (its files live there, e.g. in the shared folder)."""
+    w = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
     return df.sparkSession.table(table)

@@ -62,11 +62,13 @@ def test_severity_counts_pre_aggregates_edges(spark):
     assert p.count("HashAggregate") >= 6  # workloads, per-vulnerability and per-severity (partial + final)
 
 
-def test_bucketed_run_log_needs_no_shuffle(spark):
+def test_bucketed_run_log_needs_no_shuffle(spark, tmp_path):
     from reportlake.sources.catalog_io import write_bucketed
-    r = write_bucketed(FX.fx_reports(spark, SF_TINY), "rl_test_runs_bucketed", "template_id", 8)
+    r = write_bucketed(FX.fx_reports(spark, SF_TINY), "rl_test_runs_b", "template_id", 8,
+                       path=str(tmp_path / "runs"))
     t = write_bucketed(FX.fx_templates(spark, SF_TINY).withColumnRenamed("id", "template_id"),
-                       "rl_test_templates_bucketed", "template_id", 8).withColumnRenamed("template_id", "id")
+                       "rl_test_templates_b", "template_id", 8,
+                       path=str(tmp_path / "templates")).withColumnRenamed("template_id", "id")
     assert "Exchange" not in plan(C.latest_report(r))
     assert "Exchange hashpartitioning(template_id" not in plan(C.recent_reports(r))
     assert C.latest_report(r).count() == C.latest_report(FX.fx_reports(spark, SF_TINY)).count()
