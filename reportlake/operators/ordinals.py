@@ -5,9 +5,9 @@ autoincrement key would hand them out. ``row_number()`` over the whole table
 would pull every row into one task; instead rows are cut into buckets of at
 most ``width`` consecutive keys (keys are unique integers inside a group, so a
 bucket never holds more than ``width`` rows -- no skew), bucket sizes are
-counted with a partial aggregate, their prefix sums are taken over the bucket
-table (``width`` times smaller than the data), and positions inside a bucket
-come from a window partitioned by bucket.
+counted with a partial aggregate, their prefix sums come from a parallel
+prefix sum over the bucket table (``width`` times smaller than the data), and
+positions inside a bucket come from a window partitioned by bucket.
 """
 
 from __future__ import annotations
@@ -15,6 +15,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reportlake.session import checkpoint_dir
+
+
+def exclusive_prefix(t: DataFrame, order: list[str], weight: str, name: str, parts: int | None = None) -> DataFrame:
+    """Exclusive running sum of ``weight`` in ``order`` over ``t``, without a
+    single-partition window over its rows (parallel prefix sum).
+
+    ``t`` is range-partitioned on ``order`` and checkpointed (reliable, in the
+    session's checkpoint folder) so each row keeps its partition id; the
+    per-partition totals -- one row per partition -- are prefix-summed and
+    broadcast back (proven small), and a window inside each partition adds
+    the local running sum."""
+    spark = t.sparkSession
+    checkpoint_dir(spark)
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = (t.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+         .checkpoint(eager=True))
+    totals = r.groupBy("_part").agg(F.sum(weight).alias("_pt"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    part_off = totals.select("_part", F.coalesce(F.sum("_pt").over(before), F.lit(0)).alias("_poff"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (r.join(F.broadcast(part_off), "_part")
+            .withColumn(name, F.col("_poff") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+            .drop("_part", "_poff"))
+
 
 def dense_positions(df: DataFrame, key: str, group: str | None = None, name: str = "pos",
                     width: int = 1 << 16) -> DataFrame:
@@ -23,8 +48,7 @@ def dense_positions(df: DataFrame, key: str, group: str | None = None, name: str
     bcols = ([group] if group else []) + ["_bkt"]
     d = df.withColumn("_bkt", F.floor(F.col(key) / F.lit(width)))
     sizes = d.groupBy(*bcols).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*bcols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = exclusive_prefix(sizes, bcols, "_n", "_off").drop("_n")
     inside = Window.partitionBy(*bcols).orderBy(key)
     return (d.join(offsets, bcols)
             .withColumn(name, F.col("_off") + F.row_number().over(inside))
