@@ -41,14 +41,35 @@ def exclusive_prefix(t: DataFrame, order: list[str], weight: str, name: str, par
             .drop("_part", "_poff"))
 
 
+SMALL_INPUT_BYTES = 256 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of a plan (no job runs); None if unknown."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - e.g. no JVM handle
+        return None
+
+
 def dense_positions(df: DataFrame, key: str, group: str | None = None, name: str = "pos",
                     width: int = 1 << 16) -> DataFrame:
     """1-based position of every row in the order ``(group, key)``; ``key``
-    must be an integer, unique within its group."""
+    must be an integer, unique within its group.
+
+    Both ways to prefix-sum the bucket table are exact; the optimizer's size
+    estimate of the input only picks the cheaper one: a small input has a
+    small bucket table (one window task), a large one gets the checkpointed
+    parallel prefix sum."""
     bcols = ([group] if group else []) + ["_bkt"]
     d = df.withColumn("_bkt", F.floor(F.col(key) / F.lit(width)))
     sizes = d.groupBy(*bcols).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = exclusive_prefix(sizes, bcols, "_n", "_off").drop("_n")
+    est = estimated_bytes(df)
+    if est is not None and est <= SMALL_INPUT_BYTES:
+        before = Window.orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select(*bcols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    else:
+        offsets = exclusive_prefix(sizes, bcols, "_n", "_off").drop("_n")
     inside = Window.partitionBy(*bcols).orderBy(key)
     return (d.join(offsets, bcols)
             .withColumn(name, F.col("_off") + F.row_number().over(inside))

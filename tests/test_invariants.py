@@ -114,3 +114,14 @@ def test_chunked_running_sum_matches_window(spark):
     want = df.withColumn("base", F.coalesce(F.sum("v").over(w), F.lit(0)))
     assert got.exceptAll(want.select(*got.columns)).count() == 0
     assert want.exceptAll(got.select(*want.columns)).count() == 0
+
+
+def test_parallel_prefix_path_matches(spark, monkeypatch):
+    from reportlake.operators import ordinals
+    monkeypatch.setattr(ordinals, "SMALL_INPUT_BYTES", -1)  # force the checkpointed parallel path
+    rnd = random.Random(9)
+    rows = [(g, k) for g in range(7) for k in rnd.sample(range(50_000), 400)]
+    df = spark.createDataFrame(rows, "g long, k long")
+    got = ordinals.dense_positions(df, key="k", group="g", width=97)
+    want = df.withColumn("pos", F.row_number().over(Window.orderBy("g", "k")))
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
