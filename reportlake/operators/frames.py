@@ -228,14 +228,19 @@ def text_of(df: DataFrame, c: str) -> Column:
     return S.cell_text(c, "other")
 
 
-def column_widths(df: DataFrame, width: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+def column_widths(df: DataFrame, width: float = 1.0, keys: Sequence[str] = (),
+                  datetime_order_by: str | None = None) -> DataFrame:
     """Proportional column widths of the printed table (A4).
 
     Per column: max(len(header), longest cell text) capped at 40; widths
     proportional to those; each raised to 8 % of the page; all rescaled to
-    fit. One aggregate computes every column's max length in a single pass;
-    the rest is arithmetic on one row per frame, summed left to right like
-    the reference."""
+    fit. With ``datetime_order_by`` the string columns first go through F4's
+    print rule (ISO datetime columns become ``MMM dd yyyy HH:mm``, missing
+    values 'nan'), as the printed table does. One aggregate computes every
+    column's max length in a single pass; the rest is arithmetic on one row
+    per frame, summed left to right like the reference."""
+    if datetime_order_by is not None:
+        df = fmt_datetime_columns(df, datetime_order_by, keys, rule="print")
     cols = [c for c in df.columns if c not in keys]
     a = df.groupBy(*keys).agg(*[F.max(F.length(text_of(df, c))).alias(f"_l{i}") for i, c in enumerate(cols)])
     lens = [F.least(F.greatest(F.lit(len(c)), F.coalesce(F.col(f"_l{i}"), F.lit(0))), F.lit(K.MAX_CELL_CHARS))

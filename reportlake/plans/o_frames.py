@@ -168,3 +168,31 @@ SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS c_custkey_text,
   CASE WHEN c_acctbal > 0 THEN 'True' ELSE 'False' END AS positive_text,
   coalesce(CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END, 'None') AS seg_text
 FROM customer""")
+
+_PF = "strftime(try_strptime(substr({c}, 1, 19), '%Y-%m-%dT%H:%M:%S'), '%b %d %Y %H:%M')"
+_W_COLS = ["event_id", "iso_z", "iso_mix", "iso_off", "event_type"]
+
+
+def _cell_len(c: str) -> str:
+    if c == "event_id":
+        return "length(coalesce(CAST(uf.event_id AS VARCHAR), 'None'))"
+    return (f"CASE WHEN d.{c} THEN length(coalesce({_PF.format(c='uf.' + c)}, 'nan')) "
+            f"ELSE length(coalesce(uf.{c}, 'None')) END")
+
+
+oracle("column_widths_per_frame", """
+SELECT user_id, CAST(pos AS INTEGER) AS pos, "column", CAST(max_len AS INTEGER) AS max_len,
+  w * (100.0::DOUBLE / s) AS width
+FROM ww JOIN ss USING (user_id)""",
+       uf=_UF,
+       d="SELECT user_id, " + ", ".join(f"{_decision(c, 'print')} AS {c}" for c in _W_COLS[1:])
+         + " FROM uf GROUP BY user_id",
+       m="SELECT uf.user_id, " + ", ".join(f"max({_cell_len(c)}) AS l{i}" for i, c in enumerate(_W_COLS))
+         + " FROM uf JOIN d USING (user_id) GROUP BY uf.user_id",
+       u=" UNION ALL ".join(f"SELECT user_id, {i} AS pos, '{c}' AS \"column\", "
+                            f"least(greatest({len(c)}, coalesce(l{i}, 0)), 40) AS max_len FROM m"
+                            for i, c in enumerate(_W_COLS)),
+       tt="SELECT user_id, sum(max_len) AS total FROM u GROUP BY user_id",
+       ww="SELECT u.user_id, pos, \"column\", max_len, greatest(CAST(max_len AS DOUBLE) / CAST(total AS DOUBLE) "
+          "* 100.0::DOUBLE, 100.0::DOUBLE * 0.08::DOUBLE) AS w FROM u JOIN tt USING (user_id)",
+       ss="SELECT user_id, list_reduce(list(w ORDER BY pos), lambda a, b: a + b) AS s FROM ww GROUP BY user_id")

@@ -171,3 +171,10 @@ def q_cell_text(spark, d):
     return f.select("c_custkey",
                     *[FR.text_of(f, x).alias(f"{x}_text")
                       for x in ["c_custkey", "c_acctbal", "big", "small", "gappy", "positive", "seg"]])
+
+
+@query("column_widths_per_frame")
+def q_column_widths_per_frame(spark, d):
+    """Per-user table frames: ISO columns are formatted by the print rule first."""
+    f = user_frames(spark, d).select("user_id", "event_id", "iso_z", "iso_mix", "iso_off", "event_type")
+    return FR.column_widths(f, width=100.0, keys=["user_id"], datetime_order_by="event_id")
