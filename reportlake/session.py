@@ -45,12 +45,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder is created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no classic context (e.g. Spark Connect): the conf is all we have
+        sc = None
+    if not d and sc is not None:
+        jdir = sc._jsc.sc().getCheckpointDir()
         d = jdir.get() if jdir.isDefined() else None
     if not d:
         d = tempfile.mkdtemp(prefix="reportlake-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
+        if sc is not None:
+            sc.setCheckpointDir(d)
+        else:
+            spark.conf.set("spark.checkpoint.dir", d)
+    elif sc is not None and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(d)  # named in the conf only: register it for DataFrame.checkpoint()
     return d
 
 
