@@ -115,10 +115,10 @@ def insight_table(insights: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """A1 rows as display rows (A2); header text is fixed whatever the range."""
     return insights.select(
         *keys,
-        F.col("severity").alias("Severity"),
-        S.fmt_thousands("start_value").alias("31 Days Ago"),
-        S.fmt_thousands("end_value").alias("Today"),
-        S.fmt_trend_change("change", "pct_change", "trend").alias("Change"),
+        F.col("severity").alias(INSIGHT_HEADERS[0]),
+        S.fmt_thousands("start_value").alias(INSIGHT_HEADERS[1]),
+        S.fmt_thousands("end_value").alias(INSIGHT_HEADERS[2]),
+        S.fmt_trend_change("change", "pct_change", "trend").alias(INSIGHT_HEADERS[3]),
     )
 
 

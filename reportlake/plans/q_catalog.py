@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from reportlake.operators import catalog as C
 from reportlake.plans.registry import query
 from reportlake.sources import fixtures as FX

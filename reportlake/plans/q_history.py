@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from reportlake.operators import history as H
 from reportlake.plans.registry import query

@@ -14,7 +14,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from reportlake.functions import scalars as S
 from reportlake.operators import blocks as B
@@ -142,7 +141,3 @@ def run_reports(spark: SparkSession, blocks: DataFrame, history: DataFrame, now:
     counts = h_counts.unionByName(q_counts.select(*h_counts.columns))
     results = B.block_results(b, counts)
     return {"results": results, "trends": trends, "series": series}
-
-
-def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reportlake import constants as K
 from reportlake.functions import scalars as S
 from reportlake.sources.tables import read_table
 
@@ -127,9 +128,7 @@ def fx_blocks(spark: SparkSession, d: str) -> DataFrame:
     ty = (t + b) % 8
     width = (F.when(w == 0, "full").when(w == 1, "half").when(w == 2, "half")
              .when(w == 3, F.lit(None).cast("string")).otherwise("half"))
-    types = ["history", "trend_summary", "traffic_lights", "vertical_bar", "horizontal_bar",
-             "pie_chart", "table", "divider"]
-    tcol = F.element_at(F.array(*[F.lit(x) for x in types]), (ty + 1).cast("int"))
+    tcol = F.element_at(F.array(*[F.lit(x) for x in K.BLOCK_TYPES]), (ty + 1).cast("int"))
     return blocks.select("template_id", "block_idx", width.alias("width"), tcol.alias("type"))
 
 

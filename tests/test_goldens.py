@@ -4,7 +4,6 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from reportlake.functions import scalars as S
