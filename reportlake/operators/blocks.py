@@ -69,28 +69,35 @@ def pair_half_blocks(blocks: DataFrame, key: str = "template_id", idx: str = "bl
     return b.select(key, idx, (F.sum(row_start).over(w) - 1).cast("int").alias("layout_row"), "slot")
 
 
-def block_results(blocks: DataFrame, counts: DataFrame, keys=("template_id", "block_idx")) -> DataFrame:
-    """Per-block outcome of a run (A8): status ok / empty / error and the
-    reference's message. ``counts`` has one row per fetched block with
-    ``n_rows``, ``n_cols``, ``error`` and ``renderable`` (false when the chart
-    cannot be drawn from the data). A divider needs no data; a failing block
-    does not fail the report."""
+def block_outcomes(rows: DataFrame, keys=("template_id", "block_idx")) -> DataFrame:
+    """Status and message per block row (A8) from its own columns: ``type``,
+    ``n_rows``, ``n_cols``, ``error``, ``renderable`` (nulls where not
+    fetched). A divider needs no data; a failing block does not fail the
+    report."""
     keys = list(keys)
-    j = blocks.select(*keys, "type").join(counts, keys, "left")
     ty = F.coalesce(F.col("type"), F.lit("table"))
     hist = ty.isin("history", "trend_summary")
+    unrenderable = ~ty.isin("table", "trend_summary") & ~F.coalesce(F.col("renderable"), F.lit(True))
     status = (F.when(ty == "divider", "ok")
               .when(F.col("error").isNotNull(), "error")
               .when(F.coalesce(F.col("n_rows"), F.lit(0)) == 0, "empty")
               .when(F.col("n_cols") == 0, "empty")
-              .when(~ty.isin("table", "trend_summary") & ~F.coalesce(F.col("renderable"), F.lit(True)), "error")
+              .when(unrenderable, "error")
               .otherwise("ok"))
     msg = (F.when(ty == "divider", F.lit(None).cast("string"))
            .when(F.col("error").isNotNull(), F.concat(F.lit("Error: "), F.col("error")))
            .when(F.coalesce(F.col("n_rows"), F.lit(0)) == 0,
                  F.when(hist, K.MSG_NO_HISTORY).otherwise(K.MSG_NO_DATA))
            .when(F.col("n_cols") == 0, K.MSG_EMPTY)
-           .when(~ty.isin("table", "trend_summary") & ~F.coalesce(F.col("renderable"), F.lit(True)), K.MSG_NO_CHART)
+           .when(unrenderable, K.MSG_NO_CHART)
            .when(ty == "table", F.concat(F.lit("Displaying "), F.col("n_rows").cast("string"), F.lit(" records"))))
-    return j.select(*keys, ty.alias("type"), status.alias("status"), msg.alias("message"),
-                    F.when(ty != "divider", F.coalesce(F.col("n_rows"), F.lit(0))).cast("bigint").alias("n_rows"))
+    return rows.select(*keys, ty.alias("type"), status.alias("status"), msg.alias("message"),
+                       F.when(ty != "divider", F.coalesce(F.col("n_rows"), F.lit(0))).cast("bigint").alias("n_rows"))
+
+
+def block_results(blocks: DataFrame, counts: DataFrame, keys=("template_id", "block_idx")) -> DataFrame:
+    """Per-block outcome of a run (A8) for blocks and a separate table of
+    fetch results (``n_rows``, ``n_cols``, ``error``, ``renderable`` per
+    block): a left join, then :func:`block_outcomes`."""
+    keys = list(keys)
+    return block_outcomes(blocks.select(*keys, "type").join(counts, keys, "left"), keys)

@@ -131,13 +131,18 @@ def run_reports(spark: SparkSession, blocks: DataFrame, history: DataFrame, now:
     trends = hb.where(F.col("type") == "trend_summary").join(trends_by_spec, ["days", "zone"]) \
         .drop("type")
     series = hb.where(F.col("type") == "history").join(src, ["days", "zone"]).drop("type")
-    h_counts = hb.join(src_counts, ["days", "zone"], "left").select(
-        "template_id", "block_idx", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+    # Each block row meets only the small per-source table it uses (one row
+    # per distinct window / query text); the three block groups are then
+    # unioned -- no join of the block table with itself.
+    h_rows = hb.join(src_counts, ["days", "zone"], "left").select(
+        "template_id", "block_idx", "type", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
         F.lit(3).alias("n_cols"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("renderable"))
-
-    qb = b.where(F.col("type").isin(QUERY_TYPES)).select("template_id", "block_idx", "query")
+    qb = b.where(F.col("type").isin(QUERY_TYPES)).select("template_id", "block_idx", "type", "query")
     texts = [r.query for r in qb.select("query").distinct().collect()]  # the distinct query library
-    q_counts = qb.join(query_sources(spark, texts), "query", "left").drop("query")
-    counts = h_counts.unionByName(q_counts.select(*h_counts.columns))
-    results = B.block_results(b, counts)
+    q_rows = qb.join(query_sources(spark, texts), "query", "left").select(*h_rows.columns)
+    other = b.where(~F.col("type").isin(*HISTORY_TYPES, *QUERY_TYPES)).select(
+        "template_id", "block_idx", "type", F.lit(None).cast("bigint").alias("n_rows"),
+        F.lit(None).cast("int").alias("n_cols"), F.lit(None).cast("string").alias("error"),
+        F.lit(None).cast("boolean").alias("renderable"))
+    results = B.block_outcomes(h_rows.unionByName(q_rows).unionByName(other))
     return {"results": results, "trends": trends, "series": series}
