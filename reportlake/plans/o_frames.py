@@ -19,13 +19,15 @@ def parse_sql(c: str) -> str:
             f"ELSE timezone('UTC', try_cast({c} AS TIMESTAMP)) END")
 
 
-_tables = ", ".join(f"'{t}'" for t in TABLES)
+_DESC = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, column_name, column_type, row_number() OVER () AS pos "
+    f"FROM (DESCRIBE SELECT * FROM {t})" for t in TABLES)
 oracle("detect_columns", f"""
 WITH c AS (
-  SELECT table_name, column_name, ordinal_position AS pos,
-    (data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'BOOLEAN', 'FLOAT', 'SMALLINT', 'TINYINT', 'HUGEINT',
-                   'REAL', 'UBIGINT', 'UINTEGER', 'USMALLINT', 'UTINYINT') OR data_type LIKE 'DECIMAL%') AS num
-  FROM information_schema.columns WHERE table_name IN ({_tables}))
+  SELECT table_name, column_name, pos,
+    (column_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'BOOLEAN', 'FLOAT', 'SMALLINT', 'TINYINT', 'HUGEINT',
+                     'REAL', 'UBIGINT', 'UINTEGER', 'USMALLINT', 'UTINYINT') OR column_type LIKE 'DECIMAL%') AS num
+  FROM ({_DESC}))
 SELECT table_name,
   coalesce(min_by(column_name, pos) FILTER (WHERE NOT num), min_by(column_name, pos)) AS cat_col,
   coalesce(min_by(column_name, pos) FILTER (WHERE num), max(column_name) FILTER (WHERE pos = 2)) AS val_col
