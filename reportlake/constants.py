@@ -60,4 +60,5 @@ MSG_NO_DATA = "No data returned"
 MSG_EMPTY = "No data to display"
 MSG_NO_CHART = "Could not render chart"
 MSG_NO_SCHEDULE = "No schedule configured"
+MSG_NO_QUERY = "Query is required"
 # --------------------------------------------------------------------------

@@ -27,7 +27,7 @@ SELECT * FROM (VALUES
   ('q0', (SELECT least(count(DISTINCT severity), 4) FROM fx_vulns), NULL),
   ('q1', (SELECT count(*) FROM fx_workloads WHERE name LIKE 'zzz%'), NULL),
   ('q2', NULL, 'TABLE_OR_VIEW_NOT_FOUND'),
-  ('', NULL, 'SysQL Query is required')) q(query, n, err)"""
+  ('', NULL, 'Query is required')) q(query, n, err)"""
 
 oracle("block_results", """
 SELECT template_id, block_idx, type,

@@ -15,6 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reportlake import constants as K
 from reportlake.functions import scalars as S
 from reportlake.operators import blocks as B
 from reportlake.operators import frames as FR
@@ -69,7 +70,7 @@ def query_sources(spark: SparkSession, texts: list[str]) -> DataFrame:
     parts, errs = [], []
     for q in texts:
         if not q:
-            errs.append((q, None, None, "SysQL Query is required", None))
+            errs.append((q, None, None, K.MSG_NO_QUERY, None))
             continue
         quiet = logging.getLogger("SQLQueryContextLogger")
         level = quiet.level
