@@ -126,7 +126,7 @@ def template_overview(t: DataFrame, r: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- matching
 def severity_counts(workloads: DataFrame, edges: DataFrame, vulns: DataFrame,
                     limit: int | None = 4, order: str = "lexical") -> DataFrame:
-    """The default block query (J3): workloads AFFECTED_BY vulnerabilities,
+    """The default block query (J3): workloads affected by vulnerabilities,
     matched pairs counted per severity, severity descending, top ``limit``.
 
     Counted exactly as the inner join would (duplicates multiply), but with
