@@ -75,51 +75,31 @@ def ingest_history_stream(spark: SparkSession, in_dir: str, out_dir: str, checkp
     return read_history_table(spark, out_dir)
 
 
-def read_history_table(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Merge-on-read view of the ingested history: latest fetch per key."""
+def read_history_table(spark: SparkSession, out_dir: str, compacted: str | None = None) -> DataFrame:
+    """Merge-on-read view of the ingested history: latest fetch per key.
+
+    With ``compacted`` (written by :func:`compact_history_table`) only batch
+    folders newer than the last folded epoch are read -- a literal filter on
+    the ``batch`` partition column, so older folders are pruned -- and merged
+    with the compacted rows."""
     t = spark.read.parquet(out_dir)
+    if compacted:
+        c = spark.read.parquet(compacted)
+        folded = c.agg(F.max("batch")).first()[0]  # one scalar: the last folded epoch
+        if folded is not None:
+            t = t.where(F.col("batch") > F.lit(folded)).unionByName(c.select(*t.columns))
     return t.groupBy(*KEYS).agg(F.max_by("value", F.struct("fetched_at", "batch")).alias("value"),
                                 F.max("fetched_at").alias("fetched_at"))
 
 
-def trend_state(stream: DataFrame, keys: Sequence[str] = ("zone_id",), watermark: str = "40 days") -> DataFrame:
-    """Streaming aggregate behind T3: per (keys, severity) the first and last
-    value (null timestamps last, value tiebreak) and the point count."""
-    keys = list(keys)
-    # The watermark needs an instant (TIMESTAMP); the series stores UTC wall
-    # clock (TIMESTAMP_NTZ) and the session zone is UTC, so the cast is exact.
-    s = (stream.withColumn("_event_time", F.col("timestamp").cast("timestamp"))
-         .withWatermark("_event_time", watermark)
-         .dropDuplicates([*keys, "vuln_severity", "_event_time"])
-         .where(F.col("vuln_severity").isin(K.SEVERITY_ORDER) & F.col("value").isNotNull()))
-    order = F.struct(F.col("timestamp").isNull(), F.col("timestamp"), F.col("value"))
-    return s.groupBy(*keys, F.col("vuln_severity").alias("severity")).agg(
-        F.min_by("value", order).alias("_s"), F.max_by("value", order).alias("_e"),
-        F.count(F.lit(1)).alias("_n"))
-
-
-def finish_trend(state: DataFrame, keys: Sequence[str] = ("zone_id",)) -> DataFrame:
-    """State rows -> trend insight rows, same rule as the batch operator."""
-    start, end = F.col("_s").cast("bigint"), F.col("_e").cast("bigint")
-    change = end - start
-    pct = (F.when(start > 0, (change.cast("double") / start.cast("double")) * F.lit(100.0))
-           .when(end > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
-    trend = F.when(change < 0, "improved").when(change > 0, "worsened").otherwise("unchanged")
-    return state.where(F.col("_n") >= 2).select(
-        *keys, "severity", start.alias("start_value"), end.alias("end_value"), change.alias("change"),
-        pct.alias("pct_change"), trend.alias("trend"))
-
-
-def trend_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                 keys: Sequence[str] = ("zone_id",)) -> DataFrame:
-    """Run T3 over the landed fetches (availableNow, complete mode: each epoch
-    rewrites the current state snapshot) and return the trend rows."""
-    state = trend_state(_history_source(spark, in_dir, None), keys)
-
-    def snapshot(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
-
-    q = (state.writeStream.outputMode("complete").foreachBatch(snapshot)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return finish_trend(spark.read.parquet(out_dir), keys)
+def compact_history_table(spark: SparkSession, out_dir: str, target: str,
+                          previous: str | None = None) -> DataFrame:
+    """Fold every ingested batch (and an earlier compaction ``previous``) into
+    one table written to a fresh folder ``target``, stamped with the last
+    folded epoch. A failed compaction leaves the previous one untouched;
+    readers switch to ``target`` once it is written, and batch folders up to
+    that epoch may then be dropped."""
+    last = spark.read.parquet(out_dir).agg(F.max("batch")).first()[0]
+    merged = read_history_table(spark, out_dir, previous)
+    merged.withColumn("batch", F.lit(last).cast("int")).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)

@@ -47,3 +47,26 @@ def test_stream_trend_equals_batch_and_drops_late_rows(spark, tmp_path):
     (tmp_path / "in" / "late.json").write_text(json.dumps(old) + "\n")
     again = HS.trend_stream(spark, inp, out, ck, keys=["zone_id"])
     assert _rows(again, cols) == _rows(want, cols)
+
+
+def test_compaction_keeps_the_merged_view(spark, tmp_path):
+    h = FX.fx_history(spark, SF_TINY)
+    inp, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    HS.land_history_fetches(h, inp, revise=True)
+    full = HS.ingest_history_stream(spark, inp, out, ck)
+    cols = ["zone_id", "vuln_severity", "timestamp", "value"]
+    staged = HS.compact_history_table(spark, out, str(tmp_path / "compacted-1"))
+    via_compacted = HS.read_history_table(spark, out, str(tmp_path / "compacted-1"))
+    assert _rows(via_compacted, cols) == _rows(full, cols)
+    assert staged.count() == full.count()
+    # a later revision arrives after the compaction; the compacted view sees it
+    z, sev, ts, v = _rows(full, cols)[0]
+    rec = {"zone_id": z, "timestamp": ts.isoformat(), "value": v + 7, "vuln_severity": sev,
+           "fetched_at": "2031-01-01T00:00:00", "fetch": 1000}
+    (tmp_path / "in" / "later.json").write_text(json.dumps(rec) + "\n")
+    HS.ingest_history_stream(spark, inp, out, ck)
+    got = HS.read_history_table(spark, out, str(tmp_path / "compacted-1"))
+    row = got.where((F.col("zone_id") == z) & (F.col("vuln_severity") == sev) & (F.col("timestamp") == ts)).first()
+    assert row.value == v + 7
+    again = HS.compact_history_table(spark, out, str(tmp_path / "compacted-2"), previous=str(tmp_path / "compacted-1"))
+    assert _rows(again, cols) == _rows(got, cols)
