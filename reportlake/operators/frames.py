@@ -88,14 +88,24 @@ def traffic_light_tiles(df: DataFrame, cat: str | None, val: str, order_by: Sequ
     """One tile per row (W4): position, label, value text, colour and box
     geometry for n tiles with padding 0.01. ``cat=None`` is a single-column
     frame: blank labels, value centred."""
-    pk, lit_key = _lit_key(keys)
-    src = df.withColumn("_one", F.lit(0)) if lit_key else df
-    w = Window.partitionBy(*pk).orderBy(*order_by)
-    wall = Window.partitionBy(*pk)
     pad = F.lit(K.TILE_BOX_PADDING)
-    i = (F.row_number().over(w) - 1).alias("pos")
-    t = src.select(*keys, *([cat] if cat else []), val, *[c for c in order_by if c not in (cat, val, *keys)],
-                   i, F.count(F.lit(1)).over(wall).alias("n"))
+    extra = [c for c in order_by if c not in (cat, val, *keys)]
+    integral = len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, T.IntegralType)
+    if integral and keys:
+        # Positions from bucketed dense ranks and counts from a partial
+        # aggregate: a frame holding most of the rows is never sorted in one task.
+        from reportlake.operators.ordinals import dense_positions
+        pos = dense_positions(df, key=order_by[0], group=list(keys), name="_p", per_group=True)
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        t = pos.join(counts, list(keys)).select(*keys, *([cat] if cat else []), val, *extra,
+                                                (F.col("_p") - 1).cast("int").alias("pos"), "n")
+    else:
+        pk, lit_key = _lit_key(keys)
+        src = df.withColumn("_one", F.lit(0)) if lit_key else df
+        w = Window.partitionBy(*pk).orderBy(*order_by)
+        wall = Window.partitionBy(*pk)
+        i = (F.row_number().over(w) - 1).alias("pos")
+        t = src.select(*keys, *([cat] if cat else []), val, *extra, i, F.count(F.lit(1)).over(wall).alias("n"))
     n = F.col("n")
     bw = (F.lit(1.0) - pad * (n + 1)) / n
     x0 = pad + F.col("pos") * (bw + pad)

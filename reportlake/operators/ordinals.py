@@ -12,6 +12,8 @@ positions inside a bucket come from a window partitioned by bucket.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,20 +54,26 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def dense_positions(df: DataFrame, key: str, group: str | None = None, name: str = "pos",
-                    width: int = 1 << 16) -> DataFrame:
+def dense_positions(df: DataFrame, key: str, group: str | Sequence[str] | None = None, name: str = "pos",
+                    width: int = 1 << 16, per_group: bool = False) -> DataFrame:
     """1-based position of every row in the order ``(group, key)``; ``key``
-    must be an integer, unique within its group.
+    must be an integer, unique within its group. With ``per_group`` the
+    positions restart at 1 in every group.
 
     Both ways to prefix-sum the bucket table are exact; the optimizer's size
     estimate of the input only picks the cheaper one: a small input has a
     small bucket table (one window task), a large one gets the checkpointed
     parallel prefix sum."""
-    bcols = ([group] if group else []) + ["_bkt"]
+    groups = [group] if isinstance(group, str) else list(group or [])
+    bcols = groups + ["_bkt"]
     d = df.withColumn("_bkt", F.floor(F.col(key) / F.lit(width)))
     sizes = d.groupBy(*bcols).agg(F.count(F.lit(1)).alias("_n"))
     est = estimated_bytes(df)
-    if est is not None and est <= SMALL_INPUT_BYTES:
+    if per_group and groups:
+        # positions restart in every group: prefix over that group's buckets only
+        before = Window.partitionBy(*groups).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select(*bcols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    elif est is not None and est <= SMALL_INPUT_BYTES:
         before = Window.orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
         offsets = sizes.select(*bcols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     else:

@@ -70,3 +70,14 @@ def test_bar_offsets_exact_under_skew(spark, runs):
     want = f.select("template_id", "id", F.coalesce(F.sum("amount").over(w), F.lit(0)).alias("stack_base"))
     g = got.select("template_id", "id", "stack_base")
     assert g.exceptAll(want).count() == 0 and want.exceptAll(g).count() == 0
+
+
+def test_tiles_positions_exact_under_skew(spark, runs):
+    f = runs.select("template_id", "id", "status", (F.col("id") % 13).alias("amount"))
+    got = FR.traffic_light_tiles(f, "status", "amount", order_by=["id"], keys=["template_id"])
+    w = Window.partitionBy("template_id").orderBy("id")
+    want = f.select("template_id", (F.row_number().over(w) - 1).cast("int").alias("pos"),
+                    F.count(F.lit(1)).over(Window.partitionBy("template_id")).alias("n"),
+                    F.col("amount").alias("value"))
+    g = got.select("template_id", "pos", "n", "value")
+    assert g.exceptAll(want).count() == 0 and want.exceptAll(g).count() == 0
