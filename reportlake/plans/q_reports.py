@@ -77,3 +77,4 @@ def q_query_block_bars(spark, d):
     sql = ("SELECT severity AS Severity, vuln_id % 3 AS bucket, count(*) AS Vulnerabilities "
            "FROM rl_vulns GROUP BY severity, vuln_id % 3")
     return R.query_block(spark, {"type": "horizontal_bar", "query": sql}, views=_views(spark, d))
+

@@ -39,7 +39,9 @@ def write_report_bundle(results: DataFrame, path: str, run_id: str,
     idempotent."""
     spark = results.sparkSession
     out = f"{path.rstrip('/')}/run_id={run_id}"
-    results.write.mode("overwrite").partitionBy(*keys).format(fmt).save(out)
+    # Cluster by the folder keys first: each template's rows come from one
+    # task, so a folder gets one file instead of one per writing task.
+    results.repartition(*keys).write.mode("overwrite").partitionBy(*keys).format(fmt).save(out)
     files = spark.read.format(fmt).load(out).select(*keys, F.col("_metadata.file_path").alias("file_path"),
                                                      F.col("_metadata.file_size").alias("file_size"))
     files = files.dropDuplicates(["file_path"])

@@ -125,3 +125,4 @@ def test_parallel_prefix_path_matches(spark, monkeypatch):
     got = ordinals.dense_positions(df, key="k", group="g", width=97)
     want = df.withColumn("pos", F.row_number().over(Window.orderBy("g", "k")))
     assert got.exceptAll(want.select(*got.columns)).count() == 0
+
