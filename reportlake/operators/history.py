@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reportlake import constants as K
 from reportlake.functions import scalars as S
@@ -77,19 +78,42 @@ def history_by_zone_name(h: DataFrame, zones: DataFrame, name: str,
     return h.join(F.broadcast(pick), F.col(zone) == F.col("_zid"), "left_semi")
 
 
+def _dec(v: int) -> Column:
+    return F.lit(str(v)).cast("decimal(38,0)")
+
+
+def packed_order(ts: Column, value: Column) -> Column:
+    """The order (ts IS NULL, ts, value) as one DECIMAL(38,0), exact for a
+    TIMESTAMP_NTZ and an integer value: microseconds since 0001-01-01 (below
+    2^59 up to 9999-12-31; null -> 2^59, i.e. last) times 2^64 plus the value
+    shifted to [0, 2^64). The result stays below 2^123 < 10^38. A fixed-width
+    ordering lets ``min_by/max_by`` run as a hash aggregate instead of a sort
+    aggregate (a struct ordering is not fixed-width)."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    t = F.coalesce(micros.cast("decimal(38,0)"), _dec(2 ** 59))
+    return (t * _dec(2 ** 64) + (value.cast("decimal(38,0)") + _dec(2 ** 63))).cast("decimal(38,0)")
+
+
 def trend_insights(h: DataFrame, keys: Sequence[str] = (), ts: str = TS, value: str = VALUE,
                    sev: str = SEV, order_by: str | None = None) -> DataFrame:
     """First-versus-last value per severity (A1, flagship).
 
-    One hash aggregate over ``keys + severity`` with partial (map-side)
+    One aggregate over ``keys + severity`` with partial (map-side)
     aggregation, so a hot key never ships its rows through the shuffle:
     ``min_by/max_by`` over ``(ts IS NULL, ts, tiebreak)`` puts null timestamps
     last like a pandas sort, and ``count`` enforces the two-point minimum.
+    For integer values and a TIMESTAMP_NTZ/DATE time column that order is
+    packed into one decimal (:func:`packed_order`), so the aggregate is
+    hash-based; otherwise the struct ordering makes it sort-based.
     Unknown severities are dropped by a pushed-down IN filter; null values are
     dropped first. Ties on timestamp break on ``order_by`` (default: value).
     """
     tie = F.col(order_by) if order_by else F.col(value)
-    order = F.struct(F.col(ts).isNull(), F.col(ts), tie)
+    ts_type, v_type = h.schema[ts].dataType, h.schema[value].dataType
+    if order_by is None and isinstance(v_type, T.IntegralType) and isinstance(ts_type, (T.TimestampNTZType, T.DateType)):
+        order = packed_order(F.col(ts).cast("timestamp_ntz"), F.col(value))
+    else:
+        order = F.struct(F.col(ts).isNull(), F.col(ts), tie)
     base = h.where(F.col(sev).isin(K.SEVERITY_ORDER) & F.col(value).isNotNull())
     agg = (base.groupBy(*keys, F.col(sev).alias("severity"))
            .agg(F.min_by(value, order).alias("_s"), F.max_by(value, order).alias("_e"),
