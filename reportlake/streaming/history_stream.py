@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportlake import constants as K
+from reportlake.operators.history import packed_order
 from reportlake.operators.ordinals import with_scalar
 
 FETCH_SCHEMA = ("zone_id INT, timestamp TIMESTAMP_NTZ, value BIGINT, vuln_severity STRING, "
@@ -115,7 +116,9 @@ def trend_state(stream: DataFrame, keys: Sequence[str] = ("zone_id",), watermark
          .withWatermark("_event_time", watermark)
          .dropDuplicates([*keys, "vuln_severity", "_event_time"])
          .where(F.col("vuln_severity").isin(K.SEVERITY_ORDER) & F.col("value").isNotNull()))
-    order = F.struct(F.col("timestamp").isNull(), F.col("timestamp"), F.col("value"))
+    # FETCH_SCHEMA has an integer value and a TIMESTAMP_NTZ, so the order
+    # packs exactly into one decimal (fixed-width state, hash aggregation).
+    order = packed_order(F.col("timestamp"), F.col("value"))
     return s.groupBy(*keys, F.col("vuln_severity").alias("severity")).agg(
         F.min_by("value", order).alias("_s"), F.max_by("value", order).alias("_e"),
         F.count(F.lit(1)).alias("_n"))
