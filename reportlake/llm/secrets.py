@@ -1,0 +1,339 @@
+"""Secret scans through nested encodings.
+
+Every text starts a worklist as its layer 0. A layer is scanned for secrets;
+then its encoded stretches are unwrapped, each into a new layer:
+
+* URL escapes (``%41``) and Unicode escapes (``\\u0041``, ``\\x41``), decoded
+  in place, so every decoded character knows the stretch it came from;
+* base64 runs (standard and URL-safe alphabets) whose bytes are UTF-8 text or
+  a compressed stream (gzip, zlib, Zstandard), which is inflated first.
+
+New layers join the worklist until none is left. A layer whose text was
+already seen in the same document is not entered again, so cycles end; each
+decoding shortens a text or inflates a stream whose size is bounded, so the
+rest ends too. Spans found in a layer are mapped back, layer by layer, to the
+smallest stretch of the document that holds them.
+
+One pass over the documents, no shuffle. Only texts that hold an encoded
+stretch or a secret cost more than a few pattern searches.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import gzip
+import hashlib
+import io
+import re
+import zlib
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, functions as F
+
+from reportlake.llm.common import map_rows
+
+KINDS = ("assign", "access", "hex")
+_ORDER = {k: i for i, k in enumerate(KINDS)}
+
+_ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+                     re.ASCII)
+_ASSIGN_GATE = ("passw", "secret", "token", "api")
+_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal: a match starts where a run does and takes all of it
+
+_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_UNI = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+#: A run of base64 characters that is long enough to hold a secret.
+_B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+
+#: Bytes one stream may inflate to. A larger stream is not text of a training
+#: document but a decompression bomb: the stretch is reported as kind ``packed``.
+MAX_INFLATED = 32 << 20
+
+
+def scan(text: str) -> list[tuple[str, int, int]]:
+    """Secrets of one layer: (kind, start, end), leftmost and non-overlapping per kind."""
+    out = []
+    lower = text.lower()
+    if any(x in lower for x in _ASSIGN_GATE):
+        out += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if "AKIA" in text:
+        out += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    out += [("hex", *m.span()) for m in _HEX.finditer(text)]
+    return out
+
+
+@dataclass
+class Layer:
+    """A decoded text and the stretch of the document behind each part of it.
+
+    ``pieces`` are (start in this text, end, start in the document, end); a
+    piece as long on both sides maps character by character, any other maps
+    whole.
+    """
+
+    text: str
+    pieces: list[tuple[int, int, int, int]]
+    path: tuple[str, ...]
+
+    def origin(self, start: int, end: int) -> tuple[int, int]:
+        lo = hi = None
+        for i in range(self._first(start), len(self.pieces)):
+            a, b, x, y = self.pieces[i]
+            if a >= end:
+                break
+            if b <= start:
+                continue
+            even = b - a == y - x
+            s, e = (x + max(start - a, 0), x + min(end, b) - a) if even else (x, y)
+            lo = s if lo is None else min(lo, s)
+            hi = e if hi is None else max(hi, e)
+        return lo, hi
+
+    def _first(self, start: int) -> int:
+        lo, hi = 0, len(self.pieces)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if self.pieces[mid][1] <= start:
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
+
+
+def _rewritten(layer: Layer, found: list[tuple[int, int, list[tuple[str, int, int]]]], name: str) -> Layer | None:
+    """The layer's text with stretches replaced; ``found`` has each stretch and
+    its decoded characters with the stretch of the layer behind each."""
+    if not found:
+        return None
+    texts, pieces, at, last = [], [], 0, 0
+
+    def keep(a: int, b: int) -> None:
+        nonlocal at
+        if a == b:
+            return
+        texts.append(layer.text[a:b])
+        for i in range(layer._first(a), len(layer.pieces)):
+            p, q, x, y = layer.pieces[i]
+            if p >= b:
+                break
+            s, e = max(p, a), min(q, b)
+            if s < e:
+                even = q - p == y - x
+                pieces.append((at + s - a, at + e - a, *((x + s - p, x + e - p) if even else (x, y))))
+        at += b - a
+
+    for a, b, chars in found:
+        keep(last, a)
+        for c, s, e in chars:
+            texts.append(c)
+            pieces.append((at, at + len(c), *layer.origin(s, e)))
+            at += len(c)
+        last = b
+    keep(last, len(layer.text))
+    return Layer("".join(texts), pieces, (*layer.path, name))
+
+
+def _utf8_chars(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[str, int, int]] | None:
+    """Characters of UTF-8 bytes, each with the stretch of its bytes."""
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    out, k = [], 0
+    for c in text:
+        n = len(c.encode())
+        out.append((c, spans[k][0], spans[k + n - 1][1]))
+        k += n
+    return out
+
+
+def unwrap_url(layer: Layer) -> Layer | None:
+    found = []
+    if "%" in layer.text:
+        for m in _URL.finditer(layer.text):
+            raw = bytes.fromhex(m[0].replace("%", ""))
+            chars = _utf8_chars(raw, [(m.start() + 3 * i, m.start() + 3 * i + 3) for i in range(len(raw))])
+            if chars:
+                found.append((*m.span(), chars))
+    return _rewritten(layer, found, "url")
+
+
+def unwrap_unicode(layer: Layer) -> Layer | None:
+    found = []
+    if "\\u" in layer.text or "\\x" in layer.text:
+        for m in _UNI.finditer(layer.text):
+            code = int(m[0][2:], 16)
+            if not 0xD800 <= code < 0xE000:
+                found.append((*m.span(), [(chr(code), *m.span())]))
+    return _rewritten(layer, found, "unicode")
+
+
+class TooLarge(Exception):
+    pass
+
+
+def _inflate(raw: bytes) -> bytes | None:
+    """The content of a compressed stream, None if it is none."""
+    try:
+        if raw[:2] == b"\x1f\x8b":
+            with gzip.GzipFile(fileobj=io.BytesIO(raw)) as f:
+                out = f.read(MAX_INFLATED + 1)
+        elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
+            d = zlib.decompressobj()
+            out = d.decompress(raw, MAX_INFLATED + 1)
+            if not d.eof and len(out) <= MAX_INFLATED:
+                return None
+        elif raw[:4] == b"\x28\xb5\x2f\xfd":
+            import zstandard
+            with zstandard.ZstdDecompressor(max_window_size=MAX_INFLATED).stream_reader(io.BytesIO(raw)) as f:
+                out = f.read(MAX_INFLATED + 1)
+        else:
+            return None
+    except Exception as e:  # noqa: BLE001 - any damaged stream: not a layer
+        if isinstance(e, MemoryError):
+            raise
+        return None
+    if len(out) > MAX_INFLATED:
+        raise TooLarge
+    return out
+
+
+def _printable(raw: bytes) -> str | None:
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+
+
+def unwrap_base64(layer: Layer) -> tuple[list[Layer], list[tuple[int, int]]]:
+    """Layers of the base64 runs, and the runs whose streams are too large."""
+    layers, bombs = [], []
+    for m in _B64.finditer(layer.text):
+        body = m[0].rstrip("=")
+        if len(body) % 4 == 1:
+            continue
+        std = body.replace("-", "+").replace("_", "/")
+        try:
+            raw = base64.b64decode(std + "=" * (-len(std) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            continue
+        name = "base64"
+        text = _printable(raw)
+        if text is None:
+            try:
+                inflated = _inflate(raw)
+            except TooLarge:
+                bombs.append(layer.origin(*m.span()))
+                continue
+            text = _printable(inflated) if inflated else None
+            name = "base64+inflate"
+            chunks = [(0, len(text), *layer.origin(*m.span()))] if text else []
+        else:
+            # three bytes come from four characters; a character maps to the quanta of its bytes
+            chunks, k = [], 0
+            even = len(text) == len(raw)
+            step = 3 if even else len(text)
+            for a in range(0, len(text), step):
+                b = min(a + step, len(text))
+                s = m.start() + (k * 4) // 3 if even else m.start()
+                e = min(m.start() + 4 * ((a + 3) // 3), m.end()) if even and b < len(text) else m.end()
+                chunks.append((a, b, *layer.origin(s, e)))
+                k = b
+        if text:
+            layers.append(Layer(text, chunks, (*layer.path, name)))
+    return layers, bombs
+
+
+def find_secrets(text: str) -> list[tuple[str, int, int, str]]:
+    """All secrets of a text: (kind, start, end, path of decodings), in code points.
+
+    Spans of layer 0 have the path ``''``. A span found again in a deeper layer
+    at the same place is reported once, with its shortest path.
+    """
+    found: dict[tuple[str, int, int], str] = {}
+    seen = {text}
+    work = [Layer(text, [(0, len(text), 0, len(text))], ())]
+    while work:
+        deeper = []
+        for layer in work:
+            for kind, a, b in scan(layer.text):
+                s, e = (a, b) if not layer.path else layer.origin(a, b)
+                found.setdefault((kind, s, e), "/".join(layer.path))
+            made = [x for x in (unwrap_url(layer), unwrap_unicode(layer)) if x is not None]
+            below, bombs = unwrap_base64(layer)
+            for s, e in bombs:
+                found.setdefault(("packed", s, e), "/".join((*layer.path, "base64")))
+            for x in (*made, *below):
+                if x.text not in seen:
+                    seen.add(x.text)
+                    deeper.append(x)
+        work = deeper
+    return sorted(((k, s, e, p) for (k, s, e), p in found.items()),
+                  key=lambda x: (x[1], _ORDER.get(x[0], len(KINDS)), x[2], x[0]))
+
+
+def _joined(spans: list[tuple]) -> str:
+    return ",".join(f"{k}:{s}:{e}" for k, s, e, *_ in spans)
+
+
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Secrets of each text; one row per input row.
+
+    Columns: the id; ``secrets``, an array of (kind, start, end, path) sorted
+    by start and kind; ``n_assign``, ``n_access``, ``n_hex`` and
+    ``base_sha256`` over the spans of the text itself; ``spans``, all of them
+    as ``kind:start:end`` joined by commas.
+
+    A null or empty text has no secrets. A null id is kept; repeated rows give
+    repeated results, an empty table an empty one; other columns are not read,
+    whatever their names. Texts are scanned whole; a stream that inflates
+    beyond ``MAX_INFLATED`` bytes is itself reported, as kind ``packed``.
+    """
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {k: [] for k in ("secrets", "n_assign", "n_access", "n_hex", "base_sha256", "spans")}
+        for text in cols["_text"]:
+            spans = find_secrets(text or "")
+            base = [x for x in spans if x[3] == "" and x[0] in _ORDER]
+            out["secrets"].append([{"kind": k, "start": s, "end": e, "path": p} for k, s, e, p in spans])
+            for kind in KINDS:
+                out[f"n_{kind}"].append(sum(x[0] == kind for x in base))
+            out["base_sha256"].append(hashlib.sha256(_joined(base).encode()).hexdigest())
+            out["spans"].append(_joined(spans))
+        return out | {"_id": cols["_id"]}
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    out = map_rows(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run,
+                   f"_id {id_type}, secrets array<struct<kind:string,start:bigint,end:bigint,path:string>>, "
+                   "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return out.withColumnRenamed("_id", id_col)
+
+
+def redact(text: str, mark: str = "[REDACTED]") -> str:
+    """The text with every secret replaced; overlapping spans become one mark."""
+    out, last = [], 0
+    merged: list[list[int]] = []
+    for _, s, e, _ in sorted(find_secrets(text), key=lambda x: x[1]):
+        if merged and s < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    for s, e in merged:
+        out += [text[last:s], mark]
+        last = e
+    return "".join([*out, text[last:]])
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
+    """``docs`` with every secret of ``text_col`` replaced by ``mark``; all rows and columns
+    stay (null and clean texts unchanged)."""
+    import pandas as pd
+    from pyspark.sql.types import StringType
+
+    @F.pandas_udf(StringType())
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: x if x is None or not isinstance(x, str) else redact(x, mark))
+
+    return docs.withColumn(text_col, clean(F.col(text_col)))
