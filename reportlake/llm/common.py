@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,9 +16,19 @@ ARROW_ROWS = 256
 CHUNK_CHARS = 1_000_000
 
 
+#: Folder that holds this package.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def tuned(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that reach the Python workers."""
+    """Bound the Arrow batches that reach the Python workers, and let workers on
+    this machine import the package from where it lies (on a cluster it comes
+    with ``--py-files``)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
 
 

@@ -49,11 +49,41 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_secret_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from reportlake.llm.secrets import secret_spans
+    from reportlake.llm.secret_scan import secret_spans
     return secret_spans(table(spark, sf_dir, "documents")).drop("secrets")
 
 
+@query("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reportlake.llm.near_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 @query("op8_token_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reportlake.llm.token_counts import token_counts
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reportlake.llm.decontaminate import contamination
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reportlake.llm.language_id import languages
+    return languages(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reportlake.llm.quality_model import quality_scores
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reportlake.llm.substring_dedup import repeated_passages
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("removed")
