@@ -30,6 +30,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm.common import by_size, map_rows
@@ -270,7 +271,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def _clean(index: Index):
     """Column function: whether a text holds no item of the index."""
-    import pandas as pd
     from pyspark.sql.types import BooleanType
 
     @F.pandas_udf(BooleanType())

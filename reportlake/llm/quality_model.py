@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm.common import id_bucket, map_rows
@@ -169,7 +170,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``accept``, unchanged."""
-    import pandas as pd
     from pyspark.sql.types import DoubleType
 
     model = fit(staged(docs.sparkSession, document_features(docs, id_col, text_col), "quality-features"), labels)

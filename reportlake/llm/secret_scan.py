@@ -29,6 +29,7 @@ import re
 import zlib
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm.common import map_rows
@@ -329,7 +330,6 @@ def redact(text: str, mark: str = "[REDACTED]") -> str:
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every secret of ``text_col`` replaced by ``mark``; all rows and columns
     stay (null and clean texts unchanged)."""
-    import pandas as pd
     from pyspark.sql.types import StringType
 
     @F.pandas_udf(StringType())
