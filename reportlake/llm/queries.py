@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reportlake.llm.common import table, tuned
+from reportlake.llm.sql import oracles
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = oracles()
 
 
 def query(name: str):
