@@ -9,12 +9,15 @@ several, is removed wherever it stands.
    counted over all texts; a window can repeat only if its anchor does.
 2. Confirmation. The windows on repeating anchors are counted by a 64-bit hash;
    those found twice or more are the recurring passages.
-3. Automata. Each repeating anchor has a home, the least text that holds it.
-   The words of the recurring passages, taken from one text that holds them, go
-   to their anchor's home; all passages of a home, in blocks of bounded size,
-   are compiled into one Aho-Corasick automaton over word numbers.
-4. Location. Every text sends each home its stretches of windows anchored there;
-   they stream through the home's automata, which compare words, not hashes.
+3. Automata. Each repeating anchor has a home, the least text that holds it (a
+   text of very many such anchors is several homes). The words of the recurring
+   passages, taken from one text that holds them, go to their anchor's home; the
+   passages of a home, in blocks of bounded size, are compiled into one
+   Aho-Corasick automaton over word numbers.
+4. Location. Every text sends each home its stretches of windows anchored there.
+   Sorted behind the passages of their home they stream through its automaton,
+   which compares words, not hashes. Homes of very many occurrences are dealt
+   over several tasks, each of which compiles the automaton.
 
 Texts are handled once per distinct text; a text that stands twice or more
 repeats whole. Anchors and windows meet in aggregates and joins, so a passage
@@ -25,10 +28,10 @@ are written to the shared folder.
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reportlake.llm.common import by_size, map_rows
@@ -37,10 +40,10 @@ from reportlake.llm.components import staged
 WINDOW = 35
 #: Words of an anchor.
 ANCHOR = 8
-#: Words of passages compiled into one automaton.
-AUTOMATON_WORDS = 20_000
-#: Automata a task keeps while rows of the same home follow each other.
-KEPT_AUTOMATA = 4
+#: Words of passages compiled into one automaton, and anchors of one home.
+AUTOMATON_WORDS, HOME_ANCHORS = 20_000, 500
+#: Occurrences of its anchors that one task takes of a home.
+TASK_ANCHORS = 50_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -122,15 +125,20 @@ def _homes_of(cols: dict[str, list], window: int) -> Iterator[tuple[int, list[by
         lists = [words_of(cols["text"][i]) for i in part]
         for i, ws, h in zip(part, lists, word_hashes(lists)):
             runs, at = window_anchors(h, window)
-            known = sorted((a["anchor"], a["home"]) for a in cols["homes"][i])
-            anchor = np.array([a for a, _ in known], dtype=np.int64)
-            home = np.array([b for _, b in known], dtype=np.int64)
+            cols["homes"][i].sort(key=lambda a: a["anchor"])
+            anchor = np.array([a["anchor"] for a in cols["homes"][i]], dtype=np.int64)
+            home = np.array([a["home"] for a in cols["homes"][i]], dtype=np.int64)
             mine = runs.view(np.int64)[at]
             found = np.minimum(np.searchsorted(anchor, mine), len(anchor) - 1)
             where = np.nonzero(anchor[found] == mine)[0]
             yield i, ws, h, where, home[found[where]]
 
 
+def _tasks_of(cols: dict[str, list], i: int) -> dict[int, int]:
+    """The number of tasks of each home of a text."""
+    return {a["home"]: a["tasks"] for a in cols["homes"][i]}
+
+
 def _windows(held: DataFrame, window: int) -> DataFrame:
     """``key``, ``copies`` and the hashes of the windows on repeating anchors."""
     def run(cols: dict[str, list]) -> dict[str, list]:
@@ -143,34 +151,38 @@ def _windows(held: DataFrame, window: int) -> DataFrame:
 
 
 def _passages(held: DataFrame, window: int) -> DataFrame:
-    """``home``, ``words`` (number) and ``passage`` of the recurring windows that a
-    text (with the hashes ``recurring``) brings in, joined where they overlap."""
+    """``home``, ``tasks``, ``words`` (number) and ``passage`` of the recurring windows
+    that a text (with the hashes ``recurring``) brings in, joined where they overlap."""
     def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"home": [], "words": [], "passage": []}
+        out: dict[str, list] = {"home": [], "tasks": [], "words": [], "passage": []}
         for i, ws, h, where, home in _homes_of(cols, window):
             ok = np.isin(run_hashes(h, window)[where].view(np.int64), np.array(cols["recurring"][i], dtype=np.int64))
+            tasks = _tasks_of(cols, i)
             for a, b, to in stretches(where[ok], home[ok]):
                 out["home"].append(to)
+                out["tasks"].append(tasks[to])
                 out["words"].append(b - a + window)
                 out["passage"].append(b" ".join(ws[a:b + window]))
         return out
 
-    return map_rows(held, run, "home bigint, words bigint, passage binary")
+    return map_rows(held, run, "home bigint, tasks bigint, words bigint, passage binary")
 
 
 def _candidates(held: DataFrame, window: int) -> DataFrame:
-    """``home``, ``key``, ``first`` and ``stretch`` for every stretch of windows on a home's anchors."""
+    """``home``, ``task``, ``key``, ``first`` and ``stretch`` for every stretch of windows on a home's anchors."""
     def run(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"home": [], "key": [], "first": [], "stretch": []}
+        out: dict[str, list] = {"home": [], "task": [], "key": [], "first": [], "stretch": []}
         for i, ws, _, where, home in _homes_of(cols, window):
+            tasks = _tasks_of(cols, i)
             for a, b, to in stretches(where, home):
                 out["home"].append(to)
+                out["task"].append(cols["key"][i] % tasks[to])
                 out["key"].append(cols["key"][i])
                 out["first"].append(a)
                 out["stretch"].append(b" ".join(ws[a:b + window]))
         return out
 
-    return map_rows(held, run, "home bigint, key bigint, first bigint, stretch binary")
+    return map_rows(held, run, "home bigint, task bigint, key bigint, first bigint, stretch binary")
 
 
 class PhraseAutomaton:
@@ -199,26 +211,32 @@ class PhraseAutomaton:
 
 
 def _located(rows: DataFrame, window: int) -> DataFrame:
-    """``key`` and ``starts`` of the rows (home, block, passages, key, first, stretch)."""
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        kept: OrderedDict[tuple, PhraseAutomaton] = run.kept
-        out: dict[str, list] = {"key": [], "starts": []}
-        for home, block, passages, key, first, stretch in zip(*(cols[c] for c in (
-                "home", "block", "passages", "key", "first", "stretch"))):
-            name = (home, block)
-            if name not in kept:
-                while len(kept) >= KEPT_AUTOMATA:
-                    kept.popitem(last=False)
-                kept[name] = PhraseAutomaton(passages, window)
-            kept.move_to_end(name)
-            at = kept[name].starts(stretch)
-            if at:
-                out["key"].append(key)
-                out["starts"].append([first + a for a in at])
-        return out
-
-    run.kept = OrderedDict()
-    return map_rows(rows, run, "key bigint, starts array<bigint>")
+    """``key`` and ``starts`` from rows (home, block, task, key, first, words) in which
+    the passages of a home and block, without a key, come before its stretches."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = "key bigint, starts array<bigint>"
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, passages, automaton = None, [], None
+        for batch in batches:
+            keys, starts = [], []
+            for home, block, task, key, first, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if (home, block, task) != now:
+                    now, passages, automaton = (home, block, task), [], None
+                if key is None:
+                    passages.append(words)
+                elif passages:
+                    automaton = automaton or PhraseAutomaton(passages, window)
+                    if at := automaton.starts(words):
+                        keys.append(key)
+                        starts.append([first + a for a in at])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, fields[0].type), pa.array(starts, fields[1].type)],
+                                             schema=fields)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _cut(held: DataFrame, window: int) -> DataFrame:
@@ -277,10 +295,14 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
     keyed, scan, copies = _keyed(spark, docs, window)
 
     anchors = scan.select("key", F.explode("anchors").alias("anchor"))
-    homes = staged(spark, anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("key").alias("home"))
-                   .where("n > 1").drop("n"), "homes")
+    repeating = staged(spark, anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+                       .where("n > 1"), "repeating")
+    sizes = repeating.groupBy("least").agg(F.count("*").alias("n_anchors"), F.sum("n").alias("n_all"))
+    homes = repeating.join(sizes, "least").withColumn("parts", F.ceil(F.col("n_anchors") / HOME_ANCHORS)).select(
+        "anchor", F.xxhash64("least", F.pmod(F.xxhash64("anchor"), "parts")).alias("home"),
+        F.ceil(F.col("n_all") / F.col("parts") / TASK_ANCHORS).alias("tasks"))
     hits = anchors.join(homes, "anchor").groupBy("key").agg(
-        F.collect_set(F.struct("anchor", "home")).alias("homes"))
+        F.collect_set(F.struct("anchor", "home", "tasks")).alias("homes"))
     texts = keyed.select("key", "text").dropDuplicates(["key"])
     held = staged(spark, texts.join(hits, "key").join(copies, "key"), "held")
 
@@ -291,13 +313,20 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
                  .groupBy("key").agg(F.collect_list("w").alias("recurring")))
     passages = staged(spark, _passages(held.select("key", "text", "homes").join(recurring, "key"), window), "passages")
 
-    running = passages.groupBy("home").agg(F.sum("words").alias("total"))
-    blocks = (passages.join(running, "home")
-              .withColumn("block", F.pmod(F.xxhash64("passage"), F.ceil(F.col("total") / AUTOMATON_WORDS)))
-              .groupBy("home", "block").agg(F.collect_list("passage").alias("passages")))
+    sizes = passages.groupBy("home").agg(F.ceil(F.sum("words") / AUTOMATON_WORDS).alias("blocks"))
+    known = passages.join(sizes, "home").select(
+        "home", F.pmod(F.xxhash64("passage"), "blocks").alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)).alias("task"),
+        F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("bigint").alias("first"),
+        F.col("passage").alias("words"))
     once = held.where("copies = 1").select("key", "text", "homes")
-    starts = (_located(_candidates(once, window).join(blocks, "home"), window)
-              .groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    large = sizes.where("blocks > 1")
+    streamed = _candidates(once, window).join(large, "home", "left").select(
+        "home", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"),
+        "task", "key", "first", F.col("stretch").alias("words"))
+    rows = (known.union(streamed).repartition("home", "block", "task")
+            .sortWithinPartitions("home", "block", "task", F.col("key").asc_nulls_first()))
+    starts = _located(rows, window).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     cut = staged(spark, _cut(once.select("key", "text").join(starts, "key"), window), "cut")
 
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
