@@ -43,7 +43,7 @@ ANCHOR = 8
 #: Words of passages compiled into one automaton, and anchors of one home.
 AUTOMATON_WORDS, HOME_ANCHORS = 20_000, 500
 #: Occurrences of its anchors that one task takes of a home.
-TASK_ANCHORS = 50_000
+TASK_ANCHORS = 4_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = hashlib.sha256(b"").hexdigest()
