@@ -126,7 +126,8 @@ def test_repeated_passages_equal_brute_force(spark, window):
 
 def test_automata_compare_words_in_blocks(spark, monkeypatch):
     from reportlake.llm import substring_dedup
-    monkeypatch.setattr(substring_dedup, "AUTOMATON_WORDS", 60)
+    for name, size in (("AUTOMATON_WORDS", 60), ("HOME_ANCHORS", 3), ("TASK_ANCHORS", 5)):
+        monkeypatch.setattr(substring_dedup, name, size)
     rows = [(i, prose(20, i) + " " + prose(150, 1000 + i % 3), None) for i in range(12)]
     got = substring_dedup.repeated_passages(frame(spark, rows), 20)
     assert by_row(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows, 20)
