@@ -54,6 +54,7 @@ BLOCK_TYPES = ["history", "trend_summary", "traffic_lights", "vertical_bar",
 
 # Messages.
 MSG_NO_ITEMS = "Unexpected API response format (no 'items' key)"
+MSG_NO_ZONES = "Unexpected response format"
 MSG_NO_DATA_KEY = "Unexpected response format (no 'data' key)"
 MSG_NO_HISTORY = "No history data returned"
 MSG_NO_DATA = "No data returned"

@@ -182,13 +182,20 @@ def severity_color(cat, pos=None) -> Column:
     return F.coalesce(sev, fallback)
 
 
+def _two_digits(n: Column) -> Column:
+    """Python's ``{:02d}``: at least two places, never cut."""
+    digits = F.abs(n).cast("string")
+    return F.when(n < 0, F.concat(F.lit("-"), digits)).when(F.length(digits) < 2, F.concat(F.lit("0"), digits)) \
+        .otherwise(digits)
+
+
 def schedule_label(enabled, frequency, hour, tz, day_of_week, day_of_month) -> Column:
     """``Daily at 09:00 UTC`` / ``Weekly (Mon) at ..`` / ``Monthly (Day d) at ..``
     (F9); disabled -> 'No schedule configured'. The reference fails on a null
     frequency or hour of an enabled schedule; those give null here."""
     en, f, h = _c(enabled), _c(frequency), _c(hour)
     dow, dom, tz = _c(day_of_week), _c(day_of_month), _c(tz)
-    cap = F.concat(F.upper(F.substring(f, 1, 1)), F.lower(F.substring(f, 2, 1 << 20)))
+    cap = F.concat(F.upper(F.substring(f, 1, 1)), F.lower(F.substr(f, F.lit(2))))
     days = F.array(*[F.lit(d) for d in K.WEEKDAY_NAMES])
     idx = F.when(dow >= 0, dow + 1).otherwise(dow)  # negative indexes count from the end
     label = (F.when((cap == "Weekly") & dow.isNotNull(),
@@ -196,7 +203,7 @@ def schedule_label(enabled, frequency, hour, tz, day_of_week, day_of_month) -> C
              .when((cap == "Monthly") & dom.isNotNull() & (dom != 0),
                    F.concat(cap, F.lit(" (Day "), dom.cast("string"), F.lit(")")))
              .otherwise(cap))
-    text = F.concat(label, F.lit(" at "), F.lpad(h.cast("string"), 2, "0"), F.lit(":00 "),
+    text = F.concat(label, F.lit(" at "), _two_digits(h), F.lit(":00 "),
                     F.coalesce(tz, F.lit("None")))
     active = en.isNotNull() & (en.cast("int") != 0)
     return (F.when(~active | en.isNull(), F.lit(K.MSG_NO_SCHEDULE))

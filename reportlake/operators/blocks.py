@@ -69,6 +69,10 @@ def pair_half_blocks(blocks: DataFrame, key: str = "template_id", idx: str = "bl
     return b.select(key, idx, (F.sum(row_start).over(w) - 1).cast("int").alias("layout_row"), "slot")
 
 
+#: Block types that become a chart; a block of an unknown type fetches its query but draws nothing.
+DRAWN = ("traffic_lights", "vertical_bar", "horizontal_bar", "pie_chart", "history")
+
+
 def block_outcomes(rows: DataFrame, keys=("template_id", "block_idx")) -> DataFrame:
     """Status and message per block row (A8) from its own columns: ``type``,
     ``n_rows``, ``n_cols``, ``error``, ``renderable`` (nulls where not
@@ -77,7 +81,8 @@ def block_outcomes(rows: DataFrame, keys=("template_id", "block_idx")) -> DataFr
     keys = list(keys)
     ty = F.coalesce(F.col("type"), F.lit("table"))
     hist = ty.isin("history", "trend_summary")
-    unrenderable = ~ty.isin("table", "trend_summary") & ~F.coalesce(F.col("renderable"), F.lit(True))
+    unrenderable = ~ty.isin(*DRAWN, "table", "trend_summary") | (
+        ty.isin(*DRAWN) & ~F.coalesce(F.col("renderable"), F.lit(True)))
     status = (F.when(ty == "divider", "ok")
               .when(F.col("error").isNotNull(), "error")
               .when(F.coalesce(F.col("n_rows"), F.lit(0)) == 0, "empty")
@@ -95,9 +100,3 @@ def block_outcomes(rows: DataFrame, keys=("template_id", "block_idx")) -> DataFr
                        F.when(ty != "divider", F.coalesce(F.col("n_rows"), F.lit(0))).cast("bigint").alias("n_rows"))
 
 
-def block_results(blocks: DataFrame, counts: DataFrame, keys=("template_id", "block_idx")) -> DataFrame:
-    """Per-block outcome of a run (A8) for blocks and a separate table of
-    fetch results (``n_rows``, ``n_cols``, ``error``, ``renderable`` per
-    block): a left join, then :func:`block_outcomes`."""
-    keys = list(keys)
-    return block_outcomes(blocks.select(*keys, "type").join(counts, keys, "left"), keys)

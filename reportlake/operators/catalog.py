@@ -81,29 +81,35 @@ def recent_reports(r: DataFrame, n: int = 5) -> DataFrame:
     return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def retention_expired(r: DataFrame, t: DataFrame, fast_cap: int = 100) -> DataFrame:
-    """Runs beyond the newest K of their template (W2); K = retain count,
-    null or 0 -> 10; failures count; unknown template -> nothing expires.
-
-    Templates with K <= ``fast_cap`` (the editor's bound) take a skew-safe
-    path: a per-template top-``fast_cap`` (WindowGroupLimit, applied before
-    the shuffle) gives the K-th newest run as a threshold, then one join marks
-    every older run. Templates with a larger K take the exact full
-    ``row_number`` path. Both paths are exact; their union is the answer.
-    """
-    lim = t.select(F.col("id").alias("template_id"),
-                   retain_limit("schedule_retain_count").alias("_k"))
-    w = Window.partitionBy("template_id").orderBy(*run_order())
-    top = (r.select("template_id", "generated_at", "id")
-           .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= fast_cap))
-    thr = (top.join(lim.where(F.col("_k") <= fast_cap), "template_id")
-           .where(F.col("_rn") == F.col("_k"))
-           .select("template_id", _run_key().alias("_thr")))
-    fast = (r.join(thr, "template_id").where(_run_key() < F.col("_thr")).drop("_thr"))
-    slow = (r.join(lim.where(F.col("_k") > fast_cap), "template_id")
-            .withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") > F.col("_k")).drop("_rn", "_k"))
-    return fast.unionByName(slow)
+def mark_expired(r: DataFrame, t: DataFrame) -> DataFrame:
+    """Every run with ``_expired``: is it beyond the newest K of its template?
+    K = retain count, null or 0 -> 10, negative -> 0 (everything expires);
+    failures count; runs without a time are the oldest; nothing of an unknown
+    template expires.
+
+    Runs are counted per template and day and the counts summed newest day
+    first: days before the K-th run's stay, days behind it expire whole, and
+    only the runs of its own day are ranked. One path for every K."""
+    k = F.greatest(retain_limit("schedule_retain_count"), F.lit(0))
+    lim = t.select(F.col("id").alias("_tid"), k.alias("_k"))
+    day = F.coalesce(F.to_date("generated_at"), F.lit("0001-01-01").cast("date"))  # no time: the oldest day
+    d = r.withColumn("_day", day)
+    newer = (Window.partitionBy("_tid").orderBy(F.col("_day").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    days = d.groupBy(F.col("template_id").alias("_tid"), "_day").agg(F.count(F.lit(1)).alias("_n"))
+    days = (days.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).join(lim, "_tid")
+            .select("_tid", F.col("_day").alias("_d"), "_n", (F.col("_k") - F.col("_newer")).alias("_keep")))
+    # Only the day that holds the K-th run is ranked; rows of other days fall into rank groups of their own.
+    split = (F.col("_keep") > 0) & (F.col("_keep") < F.col("_n"))
+    j = d.join(days, (F.col("template_id") == F.col("_tid")) & (F.col("_day") == F.col("_d")), "left")
+    w = Window.partitionBy("template_id", "_day", F.when(split, F.lit(0)).otherwise(F.col("id"))).orderBy(*run_order())
+    rank = F.when(split, F.row_number().over(w)).otherwise(F.lit(1))
+    return j.withColumn("_expired", F.coalesce(rank > F.col("_keep"), F.lit(False))).select(*r.columns, "_expired")
+
+
+def retention_expired(r: DataFrame, t: DataFrame) -> DataFrame:
+    """Runs beyond the newest K of their template (W2); see :func:`mark_expired`."""
+    return mark_expired(r, t).where("_expired").drop("_expired")
 
 
 def template_overview(t: DataFrame, r: DataFrame) -> DataFrame:

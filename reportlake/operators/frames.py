@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from reportlake import constants as K
 from reportlake.functions import scalars as S
+from reportlake.operators.ordinals import dense_positions, null_safe_join, running_sum_before, with_scalar
 
 
 def _lit_key(keys: Sequence[str]) -> tuple[list[str], bool]:
@@ -19,12 +20,10 @@ def _lit_key(keys: Sequence[str]) -> tuple[list[str], bool]:
 
 
 def _totals_join(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach per-frame aggregates: joined on the frame keys, or with
-    ``keys=()`` (one row) as scalar subqueries -- never an unpartitioned
-    window or a cross join."""
+    """Attach per-frame aggregates: joined on the frame keys (a null key is a
+    frame like any other), or with ``keys=()`` (one row) as scalar subqueries."""
     if keys:
-        return df.join(totals, list(keys))
-    from reportlake.operators.ordinals import with_scalar
+        return null_safe_join(df, totals, keys)
     return with_scalar(df, totals)
 
 
@@ -72,7 +71,8 @@ def has_severity(df: DataFrame, cat: str | None, keys: Sequence[str] = ()) -> Da
     """Does the category column hold any known severity name (A5)?"""
     if cat is None or cat not in df.columns:
         return df.groupBy(*keys).agg(F.lit(False).alias("has_severity"))
-    return df.groupBy(*keys).agg(F.bool_or(F.col(cat).isin(K.SEVERITY_ORDER)).alias("has_severity"))
+    known = F.bool_or(F.col(cat).isin(K.SEVERITY_ORDER))
+    return df.groupBy(*keys).agg(F.coalesce(known, F.lit(False)).alias("has_severity"))
 
 
 def record_counts(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -83,67 +83,48 @@ def record_counts(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 # ---------------------------------------------------------------- W4
+def _positions(df: DataFrame, order_by: Sequence[str], keys: Sequence[str], name: str) -> DataFrame:
+    """Every row with its 1-based position in its frame by ``order_by`` (nulls
+    last). An integer order is positioned over runs of its values, so a frame of
+    most of the rows is never sorted in one task; any other order has no such
+    runs and sorts each frame (with ``keys=()`` the one frame that a block shows)."""
+    if len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, T.IntegralType):
+        # An integer order may repeat values: positions of the distinct values, weighted by their rows.
+        order = order_by[0]
+        sizes = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("_w"))
+        first = running_sum_before(sizes, keys, order, "_w", "_first").drop("_w")
+        w = Window.partitionBy(*keys, order).orderBy(*[F.col(c).asc_nulls_last() for c in df.columns])
+        return (null_safe_join(df, first, [*keys, order])
+                .withColumn(name, F.col("_first") + F.row_number().over(w)).drop("_first"))
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
+    return df.withColumn(name, F.row_number().over(w))
+
+
 def traffic_light_tiles(df: DataFrame, cat: str | None, val: str, order_by: Sequence[str],
                         keys: Sequence[str] = ()) -> DataFrame:
     """One tile per row (W4): position, label, value text, colour and box
     geometry for n tiles with padding 0.01. ``cat=None`` is a single-column
     frame: blank labels, value centred."""
     pad = F.lit(K.TILE_BOX_PADDING)
-    extra = [c for c in order_by if c not in (cat, val, *keys)]
-    integral = len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, T.IntegralType)
-    if integral and keys:
-        # Positions from bucketed dense ranks and counts from a partial
-        # aggregate: a frame holding most of the rows is never sorted in one task.
-        from reportlake.operators.ordinals import dense_positions
-        pos = dense_positions(df, key=order_by[0], group=list(keys), name="_p", per_group=True)
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        t = pos.join(counts, list(keys)).select(*keys, *([cat] if cat else []), val, *extra,
-                                                (F.col("_p") - 1).cast("int").alias("pos"), "n")
-    else:
-        pk, lit_key = _lit_key(keys)
-        src = df.withColumn("_one", F.lit(0)) if lit_key else df
-        w = Window.partitionBy(*pk).orderBy(*order_by)
-        wall = Window.partitionBy(*pk)
-        i = (F.row_number().over(w) - 1).alias("pos")
-        t = src.select(*keys, *([cat] if cat else []), val, *extra, i, F.count(F.lit(1)).over(wall).alias("n"))
-    n = F.col("n")
+    placed = _positions(df, order_by, keys, "_pos")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    placed = _totals_join(placed, counts, keys)
+    n, pos = F.col("_n"), (F.col("_pos") - 1).cast("int")
     bw = (F.lit(1.0) - pad * (n + 1)) / n
-    x0 = pad + F.col("pos") * (bw + pad)
+    x0 = pad + pos * (bw + pad)
     label = F.lit("") if not cat else F.coalesce(F.col(cat).cast("string"), F.lit("None"))
-    out = t.select(
-        *keys, "pos", "n", label.alias("label"),
+    return placed.select(
+        *keys, pos.alias("pos"), n.alias("n"), label.alias("label"),
         F.col(val).cast("bigint").alias("value"),
         S.fmt_thousands(val).alias("value_text"),
-        (S.severity_color(label, F.col("pos"))).alias("color"),
+        (S.severity_color(label, pos)).alias("color"),
         x0.alias("x0"), (x0 + bw).alias("x1"), ((x0 + (x0 + bw)) / 2).alias("x_center"),
         F.lit(K.TILE_LABEL_Y if cat else None).cast("double").alias("label_y"),
         F.lit(K.TILE_VALUE_Y if cat else K.TILE_VALUE_Y_SINGLE).alias("value_y"),
     )
-    return out
 
 
 # ---------------------------------------------------------------- O4
-def running_sum_before(df: DataFrame, partition: Sequence[str], order: str, val: str, name: str,
-                       width: int = 1 << 16) -> DataFrame:
-    """``sum(val)`` over the earlier rows of each partition (rows before the
-    current one, by ``order``), without sorting a whole partition in one task.
-
-    ``order`` is an integer column, unique within the partition. Rows are cut
-    into chunks of ``width`` consecutive order values (at most ``width`` rows
-    each); chunk totals are a partial aggregate, their running sums come from
-    the chunk table (``width`` times smaller), and the rest is a window inside
-    one chunk."""
-    part = list(partition)
-    d = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)))
-    sums = d.groupBy(*part, "_chunk").agg(F.sum(val).alias("_cs"))
-    before_chunk = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.select(*part, "_chunk", F.coalesce(F.sum("_cs").over(before_chunk), F.lit(0)).alias("_coff"))
-    inside = Window.partitionBy(*part, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    j = d.join(offs, [*part, "_chunk"], "left")
-    return (j.withColumn(name, F.col("_coff") + F.coalesce(F.sum(val).over(inside), F.lit(0)))
-            .drop("_chunk", "_coff"))
-
-
 def bar_series(df: DataFrame, cat: str, val: str, order_by: Sequence[str], horizontal: bool = False,
                keys: Sequence[str] = ()) -> DataFrame:
     """Bar segments (O4): repeated categories stack, so each row is a segment
@@ -158,11 +139,13 @@ def bar_series(df: DataFrame, cat: str, val: str, order_by: Sequence[str], horiz
     if integral:
         base = running_sum_before(df, [*keys, cat], order_by[0], val, "_base")
     else:
-        w = (Window.partitionBy(*keys, cat).orderBy(*order_by)
+        w = (Window.partitionBy(*keys, cat).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
              .rowsBetween(Window.unboundedPreceding, -1))
         base = df.withColumn("_base", F.coalesce(F.sum(val).over(w), F.lit(0)))
+    named = {"category": cat, "value": val}
+    rest = [c for c in order_by if c not in (cat, val, *keys, *named)]  # no column twice
     return base.select(
-        *keys, F.col(cat).alias("category"), F.col(val).alias("value"), *order_by,
+        *keys, F.col(cat).alias("category"), F.col(val).alias("value"), *rest,
         F.col("_base").cast(vtype).alias("stack_base"),
         S.severity_color(cat).alias("color"),
         F.lit("h" if horizontal else "v").alias("orientation"),
@@ -180,7 +163,7 @@ def _dt_shape_ok(first: Column, rule: str) -> Column:
 def _shape(c: Column) -> Column:
     """Layout of an ISO text: digits of the wall-clock part masked, the
     offset kept, so '+02:00' and '+05:00' count as different layouts."""
-    return F.concat(F.regexp_replace(F.substring(c, 1, 19), "[0-9]", "9"), F.substring(c, 20, 1 << 20))
+    return F.concat(F.regexp_replace(F.substring(c, 1, 19), "[0-9]", "9"), F.substr(c, F.lit(20)))
 
 
 def datetime_columns(df: DataFrame, order_by: str, keys: Sequence[str] = (),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import zoneinfo
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,15 +36,24 @@ def window_bounds(now: dt.datetime, days: int) -> tuple[dt.datetime, dt.datetime
     return start, end
 
 
+def utc_bounds(now: dt.datetime, days: int, tz: str = "UTC") -> tuple[dt.datetime, dt.datetime]:
+    """The window's bounds as UTC wall clock; ``now`` is the local wall clock of ``tz``.
+    A wall clock that occurs twice is its first occurrence, a skipped one is
+    read with the offset before the change (as Python's ``fold=0``)."""
+    zone = zoneinfo.ZoneInfo(tz)
+    start, end = window_bounds(now, days)
+    return tuple(b.replace(tzinfo=zone).astimezone(dt.timezone.utc).replace(tzinfo=None) for b in (start, end))
+
+
 def history_window(h: DataFrame, now: dt.datetime, days: int, zone_id: int | None = None,
-                   ts: str = TS, zone: str = ZONE) -> DataFrame:
+                   ts: str = TS, zone: str = ZONE, tz: str = "UTC") -> DataFrame:
     """History rows of the last ``days`` days, one zone or all.
 
-    ``now`` is the local wall clock of the report's zone; both bounds are
-    inclusive. Bounds are literals on the stored column, so Parquet row-group
+    ``now`` is the local wall clock of the report's zone ``tz``; the stored
+    timestamps are UTC wall clock; both bounds are inclusive. Bounds are literals on the stored column, so Parquet row-group
     pruning (and partition pruning on a date-partitioned table) applies.
     Zone ``None``/0 means all zones."""
-    start, end = window_bounds(now, days)
+    start, end = utc_bounds(now, days, tz)
     cond = F.col(ts).between(S.ntz(start), S.ntz(end))
     if zone_id:
         cond = cond & (F.col(zone) == F.lit(zone_id))
@@ -108,6 +118,11 @@ def trend_insights(h: DataFrame, keys: Sequence[str] = (), ts: str = TS, value:
     Unknown severities are dropped by a pushed-down IN filter; null values are
     dropped first. Ties on timestamp break on ``order_by`` (default: value).
     """
+    if any(c not in h.columns for c in (ts, value, sev)):  # nothing to compare: no rows
+        missing = [F.lit(None).cast(ty).alias(c) for c, ty in (
+            ("severity", "string"), ("start_value", "bigint"), ("end_value", "bigint"), ("change", "bigint"),
+            ("pct_change", "double"), ("trend", "string"))]
+        return h.where(F.lit(False)).select(*keys, *missing)
     tie = F.col(order_by) if order_by else F.col(value)
     ts_type, v_type = h.schema[ts].dataType, h.schema[value].dataType
     if order_by is None and isinstance(v_type, T.IntegralType) and isinstance(ts_type, (T.TimestampNTZType, T.DateType)):

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from reportlake import constants as K
 from reportlake.functions import scalars as S
-from reportlake.operators.catalog import retention_expired
+from reportlake.operators.catalog import mark_expired
 from reportlake.operators.ordinals import dense_positions, with_scalar
-from reportlake.session import checkpoint_dir
 
 UPDATABLE = {
     "name": "string", "config_yaml": "string", "schedule_enabled": "int", "schedule_frequency": "string",
@@ -41,22 +40,27 @@ def iso_utc_text(ts) -> Column:
     return F.concat(body, F.lit("+00:00"))
 
 
+def _after_last(rows: DataFrame, table: DataFrame, last_id: int | None) -> DataFrame:
+    """``rows`` with ``_last``: the highest id of ``table``, or ``last_id`` if that is higher."""
+    return with_scalar(rows, table.agg(F.greatest(F.max("id"), F.lit(last_id or 0)).cast("bigint").alias("_last")))
+
+
 # ---------------------------------------------------------------- U1
-def migrate_legacy(t: DataFrame, r: DataFrame, old_s: DataFrame, old_r: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Old schedules become templates with new ids (max id + position by old
-    id); their reports are re-pointed to the new ids and get new ids in
+def migrate_legacy(t: DataFrame, r: DataFrame, old_s: DataFrame, old_r: DataFrame, last_template_id: int | None = None,
+                   last_run_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Old schedules become templates with new ids (last id + position by old
+    id; ``last_template_id`` and ``last_run_id`` as in :func:`append_runs`); their reports are re-pointed to the new ids and get new ids in
     (schedule, report) order; both are appended. Reports whose schedule is
     missing are lost (inner join)."""
     s = dense_positions(old_s, key="id")
-    s = with_scalar(s, t.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_mt")))
-    s = s.withColumn("_new_id", (F.col("_mt") + F.col("pos")).cast("bigint"))
+    s = _after_last(s, t, last_template_id).withColumn("_new_id", (F.col("_last") + F.col("pos")).cast("bigint"))
     mig_t = s.select(F.col("_new_id").alias("id"),
                      *[F.col(old).alias(new) for old, new in LEGACY_RENAME.items() if old in old_s.columns])
     id_map = s.select(F.col("id").alias("_old_sid"), F.col("_new_id").alias("template_id"))
     rr = old_r.join(id_map, old_r["schedule_id"] == id_map["_old_sid"]).drop("_old_sid", "schedule_id")
     rr = dense_positions(rr, key="id", group="template_id")
-    rr = with_scalar(rr, r.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_mr")))
-    mig_r = rr.select((F.col("_mr") + F.col("pos")).cast("bigint").alias("id"),
+    rr = _after_last(rr, r, last_run_id)
+    mig_r = rr.select((F.col("_last") + F.col("pos")).cast("bigint").alias("id"),
                       *[c for c in RUN_COLUMNS if c in rr.columns])
     return (t.unionByName(mig_t, allowMissingColumns=True),
             r.unionByName(mig_r, allowMissingColumns=True))
@@ -78,10 +82,10 @@ def change_rows(df: DataFrame, op: str, seq: Column, target: Column | None,
     return df.select(*cols)
 
 
-def upsert_templates(t: DataFrame, changes: DataFrame, now_text: str) -> DataFrame:
+def upsert_templates(t: DataFrame, changes: DataFrame, now_text: str, last_id: int | None = None) -> DataFrame:
     """Apply updates (only flagged columns; several changes to one id apply in
-    ``seq`` order) and inserts (new ids max + position by ``seq``, creation
-    defaults). ``updated_at`` is stamped only when something was set; unknown
+    ``seq`` order) and inserts (new ids last + position by ``seq``, creation
+    defaults; ``last_id`` as in :func:`append_runs`). ``updated_at`` is stamped only when something was set; unknown
     ids change nothing."""
     now = F.lit(now_text)
     upd = changes.where(F.col("op") == "update")
@@ -106,8 +110,8 @@ def upsert_templates(t: DataFrame, changes: DataFrame, now_text: str) -> DataFra
     updated = j.select(*out_cols)
 
     ins = dense_positions(changes.where(F.col("op") == "insert"), key="seq")
-    ins = with_scalar(ins, t.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_mt")))
-    ins_cols = [(F.col("_mt") + F.col("pos")).cast("bigint").alias("id")]
+    ins = _after_last(ins, t, last_id)
+    ins_cols = [(F.col("_last") + F.col("pos")).cast("bigint").alias("id")]
     for c, ty in UPDATABLE.items():
         dflt = INSERT_DEFAULTS.get(c)
         v = F.when(F.col(f"set_{c}"), F.col(c)).otherwise(F.lit(dflt).cast(ty))
@@ -140,48 +144,50 @@ def apply_schedules(t: DataFrame, s: DataFrame, now_text: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- U4
-def append_runs(r: DataFrame, t: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
+def append_runs(r: DataFrame, t: DataFrame, runs: DataFrame, last_run_id: int | None = None) -> dict[str, DataFrame]:
     """Append run rows and apply retention (U4).
 
     ``runs``: seq (unique), template_id, started_at, outcome (success |
-    failed | no_token | exception), error, file_size, scheduled. New ids are
-    max id + position by ``seq``. A generated or failed report keeps its
-    normal file name; a missing token or an exception gives
-    ``failed_<id>_<stamp>.pdf``. Scheduled errors are clipped to 500
-    characters, manual ones kept whole. Scheduled successes and generation
-    failures stamp ``schedule_last_run``; missing token / exception and manual
-    runs do not.
-
-    Returns ``runs`` (surviving log), ``expired``, ``templates`` (stamped)."""
+    failed | no_token | exception), error, file_size, scheduled. A manual run
+    that throws, and any run of an unknown template, leaves no row. New ids are
+    the last id + position by ``seq``; pass ``last_run_id`` (the highest id ever
+    given) where runs may have been deleted, as an autoincrement key never gives
+    an id twice. A generated or failed report keeps its normal file name; a
+    missing token or an exception gives ``failed_<id>_<stamp>.pdf``. Scheduled
+    errors are clipped to 500 characters, manual ones kept whole. Scheduled
+    successes and generation failures stamp ``schedule_last_run``; missing token
+    / exception and manual runs do not.
+
+    Retention touches only the templates that got a row: the log is split by
+    them, the rest passes through. Returns ``runs`` (surviving log),
+    ``expired``, ``templates`` (stamped) and ``new``."""
     names = t.select(F.col("id").alias("_tid"), F.col("name").alias("_tname"))
-    n = dense_positions(runs, key="seq")
-    n = with_scalar(n, r.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_mr")))
-    n = n.join(names, n["template_id"] == names["_tid"], "left")
     oc = F.col("outcome")
+    written = runs.join(names, runs["template_id"] == names["_tid"]).where(F.col("scheduled") | (oc != "exception"))
+    n = _after_last(dense_positions(written, key="seq"), r, last_run_id)
     no_file = oc.isin("no_token", "exception")
     err = (F.when(oc == "no_token", F.lit("No API token configured"))
            .when(oc.isin("failed", "exception"),
                  F.when(F.col("scheduled"), S.clip_error("error")).otherwise(F.col("error"))))
     fname = S.report_filename("_tname", "started_at", "template_id", no_file)
     new = n.select(
-        (F.col("_mr") + F.col("pos")).cast("bigint").alias("id"), F.col("template_id").cast("bigint"),
+        (F.col("_last") + F.col("pos")).cast("bigint").alias("id"), F.col("template_id").cast("bigint"),
         fname.alias("filename"), F.concat(F.lit("/reports/"), fname).alias("file_path"),
         F.when(oc == "success", F.col("file_size")).cast("bigint").alias("file_size"),
         F.when(oc == "success", "success").otherwise("failed").alias("status"),
         err.alias("error_message"), F.col("started_at").alias("generated_at"))
-    # The new rows feed four branches (retention top-k, its two joins, the
-    # survivors); their ids come from a multi-stage plan. Cut the lineage once
-    # with a reliable checkpoint in the session's checkpoint folder.
-    checkpoint_dir(new.sparkSession)
-    new = new.checkpoint(eager=True)
-    log = r.unionByName(new, allowMissingColumns=True)
-    expired = retention_expired(log, t)
-    survivors = log.join(expired.select(F.col("id").alias("_xid")), F.col("id") == F.col("_xid"), "left_anti")
+    touched = written.select(F.col("template_id").alias("_w")).distinct()
+    mine = r.join(touched, F.col("template_id") == F.col("_w"), "left_semi")
+    rest = r.join(touched, F.col("template_id") == F.col("_w"), "left_anti")
+    log = mine.unionByName(new, allowMissingColumns=True)
+    marked = mark_expired(log, t)
+    survivors = rest.unionByName(marked.where("not _expired").drop("_expired"), allowMissingColumns=True)
+    expired = marked.where("_expired").drop("_expired")
     stamps = (runs.where(F.col("scheduled") & oc.isin("success", "failed"))
-              .groupBy(F.col("template_id").alias("_sid")).agg(F.max("started_at").alias("_last")))
+              .groupBy(F.col("template_id").alias("_sid")).agg(F.max("started_at").alias("_stamp")))
     tj = t.join(stamps, t["id"] == stamps["_sid"], "left")
     templates = tj.select(*[
-        (F.when(F.col("_last").isNotNull(), iso_utc_text("_last")).otherwise(t[c]).alias(c)
+        (F.when(F.col("_stamp").isNotNull(), iso_utc_text("_stamp")).otherwise(t[c]).alias(c)
          if c in ("schedule_last_run", "updated_at") else t[c]) for c in t.columns])
     return {"runs": survivors, "expired": expired, "templates": templates, "new": new}
 

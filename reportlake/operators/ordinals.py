@@ -1,87 +1,96 @@
-"""Dense positions without a single-partition window over the data.
-
-New catalogue ids are ``max(id) + 1, + 2, ...`` in a given order, as an
-autoincrement key would hand them out. ``row_number()`` over the whole table
-would pull every row into one task; instead rows are cut into buckets of at
-most ``width`` consecutive keys (keys are unique integers inside a group, so a
-bucket never holds more than ``width`` rows -- no skew), bucket sizes are
-counted with a partial aggregate, their prefix sums come from a parallel
-prefix sum over the bucket table (``width`` times smaller than the data), and
-positions inside a bucket come from a window partitioned by bucket.
+"""Dense positions and running sums without sorting a whole table or group in one task.
+
+Ordering keys are integers. Rows are counted per run of 65,536 consecutive key
+values, those counts per run of runs, and so on: 16 bits a level, four levels
+for 64 bits. A prefix sum at each level is a window over at most 65,536 rows,
+whatever the data, and a row's own position is a window inside its run. There
+is one path for every size, it is lazy, and sparse keys cost no more than one
+row per run that holds any.
+
+Null keys and null groups are values like any other (null keys come last).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportlake.session import checkpoint_dir
-
-
-def exclusive_prefix(t: DataFrame, order: list[str], weight: str, name: str, parts: int | None = None) -> DataFrame:
-    """Exclusive running sum of ``weight`` in ``order`` over ``t``, without a
-    single-partition window over its rows (parallel prefix sum).
-
-    ``t`` is range-partitioned on ``order`` and checkpointed (reliable, in the
-    session's checkpoint folder) so each row keeps its partition id; the
-    per-partition totals -- one row per partition -- are prefix-summed and
-    broadcast back (proven small), and a window inside each partition adds
-    the local running sum."""
-    spark = t.sparkSession
-    checkpoint_dir(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = (t.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-         .checkpoint(eager=True))
-    totals = r.groupBy("_part").agg(F.sum(weight).alias("_pt"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    part_off = totals.select("_part", F.coalesce(F.sum("_pt").over(before), F.lit(0)).alias("_poff"))
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (r.join(F.broadcast(part_off), "_part")
-            .withColumn(name, F.col("_poff") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-            .drop("_part", "_poff"))
-
-
-SMALL_INPUT_BYTES = 256 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of a plan (no job runs); None if unknown."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - e.g. no JVM handle
-        return None
+BITS = 16
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join that matches nulls with nulls; the columns of ``left``, then
+    those of ``right`` without the keys."""
+    on = list(on)
+    r = right.select(*[F.col(c).alias(f"_j_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & left[c].eqNullSafe(r[f"_j_{c}"])
+    return left.join(r, cond, how).drop(*[f"_j_{c}" for c in on])
+
+
+def _before(weight: str, within: Sequence[str], order: str) -> Column:
+    """Sum of ``weight`` over the earlier rows of one bounded window."""
+    w = (Window.partitionBy(*(within or [F.lit(0)])).orderBy(F.col(order).asc_nulls_last())
+         .rowsBetween(Window.unboundedPreceding, -1))
+    return F.coalesce(F.sum(weight).over(w), F.lit(0))
+
+
+def run_offsets(runs: DataFrame, groups: Sequence[str], run: str, weight: str, name: str) -> DataFrame:
+    """(groups, run, ``name``): sum of ``weight`` over the earlier runs of the
+    same group. ``runs`` has one row per group and run; a run is a key shifted
+    right by 16 bits, so three more levels hold every run of a 64-bit key."""
+    g = list(groups)
+    levels = [runs.select(*g, F.col(run).alias("_l0"), F.col(weight).alias("_w"))]
+    for k in range(1, 3):
+        up = levels[-1].withColumn(f"_l{k}", F.shiftright(F.col(f"_l{k - 1}"), BITS))
+        levels.append(up.groupBy(*g, f"_l{k}").agg(F.sum("_w").alias("_w")))
+    top = levels[2].select(*g, "_l2", _before("_w", g, "_l2").alias("_o2"))
+    mid = levels[1].withColumn("_l2", F.shiftright(F.col("_l1"), BITS))
+    mid = null_safe_join(mid.withColumn("_o1", _before("_w", [*g, "_l2"], "_l1")), top, [*g, "_l2"])
+    low = levels[0].withColumn("_l1", F.shiftright(F.col("_l0"), BITS))
+    low = null_safe_join(low.withColumn("_o0", _before("_w", [*g, "_l1"], "_l0")),
+                         mid.select(*g, "_l1", (F.col("_o1") + F.col("_o2")).alias("_o12")), [*g, "_l1"])
+    return low.select(*g, F.col("_l0").alias(run), (F.col("_o0") + F.col("_o12")).alias(name))
 
 
 def dense_positions(df: DataFrame, key: str, group: str | Sequence[str] | None = None, name: str = "pos",
-                    width: int = 1 << 16, per_group: bool = False) -> DataFrame:
+                    per_group: bool = False) -> DataFrame:
     """1-based position of every row in the order ``(group, key)``; ``key``
-    must be an integer, unique within its group. With ``per_group`` the
-    positions restart at 1 in every group.
-
-    Both ways to prefix-sum the bucket table are exact; the optimizer's size
-    estimate of the input only picks the cheaper one: a small input has a
-    small bucket table (one window task), a large one gets the checkpointed
-    parallel prefix sum."""
+    must be an integer, unique within its group (nulls last), and without
+    ``per_group`` the group one integer column. With ``per_group`` the
+    positions restart at 1 in every group."""
     groups = [group] if isinstance(group, str) else list(group or [])
-    bcols = groups + ["_bkt"]
-    d = df.withColumn("_bkt", F.floor(F.col(key) / F.lit(width)))
-    sizes = d.groupBy(*bcols).agg(F.count(F.lit(1)).alias("_n"))
-    est = estimated_bytes(df)
-    if per_group and groups:
-        # positions restart in every group: prefix over that group's buckets only
-        before = Window.partitionBy(*groups).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select(*bcols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    elif est is not None and est <= SMALL_INPUT_BYTES:
-        before = Window.orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select(*bcols, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    else:
-        offsets = exclusive_prefix(sizes, bcols, "_n", "_off").drop("_n")
-    inside = Window.partitionBy(*bcols).orderBy(key)
-    return (d.join(offsets, bcols)
-            .withColumn(name, F.col("_off") + F.row_number().over(inside))
-            .drop("_bkt", "_off"))
+    d = df.withColumn("_run", F.shiftright(F.col(key).cast("bigint"), BITS))
+    runs = d.groupBy(*groups, "_run").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = run_offsets(runs, groups, "_run", "_n", "_off")
+    if groups and not per_group:
+        if len(groups) != 1:
+            raise ValueError("positions across groups need one integer group column")
+        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = sizes.withColumn("_run", F.shiftright(F.col(groups[0]).cast("bigint"), BITS))
+        coarse = run_offsets(sizes.groupBy("_run").agg(F.sum("_n").alias("_n")), [], "_run", "_n", "_c")
+        inside = sizes.withColumn("_i", _before("_n", ["_run"], groups[0]))
+        group_off = null_safe_join(inside, coarse, ["_run"]).select(
+            *groups, (F.col("_i") + F.col("_c")).alias("_goff"))
+        offsets = null_safe_join(offsets, group_off, groups).select(
+            *groups, "_run", (F.col("_off") + F.col("_goff")).alias("_off"))
+    here = Window.partitionBy(*groups, "_run").orderBy(F.col(key).asc_nulls_last())
+    j = null_safe_join(d, offsets, [*groups, "_run"])
+    return j.withColumn(name, F.col("_off") + F.row_number().over(here)).drop("_run", "_off")
+
+
+def running_sum_before(df: DataFrame, partition: Sequence[str], order: str, val: str, name: str) -> DataFrame:
+    """``sum(val)`` over the earlier rows of each partition, by the integer
+    column ``order`` (unique within the partition, nulls last)."""
+    part = list(partition)
+    d = df.withColumn("_run", F.shiftright(F.col(order).cast("bigint"), BITS))
+    runs = d.groupBy(*part, "_run").agg(F.sum(val).alias("_n"))
+    offsets = run_offsets(runs, part, "_run", "_n", "_off")
+    j = null_safe_join(d, offsets, [*part, "_run"])
+    return j.withColumn(name, F.col("_off") + _before(val, [*part, "_run"], order)).drop("_run", "_off")
 
 
 def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:

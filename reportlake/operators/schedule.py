@@ -48,16 +48,20 @@ def _frequency_matches(freq: Column, local: Column, dow: Column, dom: Column) ->
         F.lit(False))
 
 
-def due_flags(t: DataFrame, now_utc: dt.datetime, zones: list[str] | None = None) -> DataFrame:
-    """Due decision for every template at instant ``now_utc`` (P5).
+def local_instant(now_utc: dt.datetime, zones: list[str]) -> Column:
+    """``now_utc`` as the wall clock of the template's zone."""
+    return F.convert_timezone(F.lit("UTC"), effective_zone(F.col("schedule_timezone"), zones), S.ntz(now_utc))
+
+
+def due_condition(now_utc: dt.datetime, zones: list[str] | None = None) -> Column:
+    """Due decision at instant ``now_utc`` over a template's columns (P5).
 
     Per row: local now in the template's zone; frequency and hour set; local
     hour equals the schedule hour; a parseable last run (naive = UTC) less
     than 3600 s of *local wall clock* ago (or in the future) suppresses; then
     daily / weekly / monthly. Per-row zone conversion, no joins."""
     zones = zones if zones is not None else valid_zones()
-    tz = effective_zone(F.col("schedule_timezone"), zones)
-    local_now = F.convert_timezone(F.lit("UTC"), tz, S.ntz(now_utc))
+    tz, local_now = effective_zone(F.col("schedule_timezone"), zones), local_instant(now_utc, zones)
     freq = F.col("schedule_frequency")
     last = S.parse_iso_utc(F.col("schedule_last_run"))
     last_local = F.convert_timezone(F.lit("UTC"), tz, last)
@@ -66,17 +70,25 @@ def due_flags(t: DataFrame, now_utc: dt.datetime, zones: list[str] | None = None
     due = (freq.isNotNull() & (freq != "") & F.col("schedule_hour").isNotNull()
            & (F.hour(local_now) == F.col("schedule_hour")) & ~recent
            & _frequency_matches(freq, local_now, F.col("schedule_day_of_week"), F.col("schedule_day_of_month")))
-    return t.select("id", local_now.alias("local_now"), F.coalesce(due, F.lit(False)).alias("due"))
+    return F.coalesce(due, F.lit(False))
+
+
+def due_flags(t: DataFrame, now_utc: dt.datetime, zones: list[str] | None = None) -> DataFrame:
+    """Local time and due decision for every template at ``now_utc`` (P5)."""
+    zones = zones if zones is not None else valid_zones()
+    return t.select("id", local_instant(now_utc, zones).alias("local_now"), due_condition(now_utc, zones).alias("due"))
 
 
 def due_templates(t: DataFrame, now_utc: dt.datetime, zones: list[str] | None = None) -> DataFrame:
     """Enabled templates that must run at ``now_utc`` (P4 + P5)."""
     active = t.where(F.col("schedule_enabled") == 1)
-    flags = due_flags(active, now_utc, zones).where("due").select("id", "local_now")
-    return active.join(flags, "id", "left_semi")
+    return active.where(due_condition(now_utc, zones))
 
 
-BROADCAST_TICKS = 2_000_000  # ~50 years of 15-minute polls; a few tens of MB
+def _day_rule(freq: Column, dow: Column, dom: Column) -> Column:
+    """The rule a template's dates must satisfy; null (never) without its weekday or day."""
+    return (F.when(freq == "daily", F.lit("d")).when(freq == "weekly", F.concat(F.lit("w"), dow.cast("string")))
+            .when(freq == "monthly", F.concat(F.lit("m"), dom.cast("string"))))
 
 
 def _hour_floor(ts: Column) -> Column:
@@ -95,21 +107,21 @@ def due_by_tick(t: DataFrame, ticks: DataFrame, zones: list[str] | None = None)
     UTC interval [u0, u1) (a repeated hour spans two UTC hours, a skipped one
     is empty) and ticks are equi-joined on the UTC hour bucket. Templates then
     equi-join the calendar on (zone, hour) and keep the dates their
-    frequency allows. No templates x ticks product, and zone conversions
-    scale with the calendar, not with the catalogue.
+    frequency allows: each date carries the rules it satisfies (daily, its
+    weekday, its day of month) and the rule is part of the join key. No
+    templates x ticks product; zone conversions scale with the calendar, not
+    with the catalogue. Hours outside 0-23 never fire; no ticks, no rows. Lazy.
     """
     zones = zones if zones is not None else valid_zones()
-    lo, hi, n_ticks = ticks.agg(F.min("tick"), F.max("tick"), F.count(F.lit(1))).first()  # three scalars
-    if lo is None:
-        return t.sparkSession.createDataFrame([], "template_id bigint, local_date date, tick timestamp_ntz")
-    start, end = lo.date() - dt.timedelta(days=1), hi.date() + dt.timedelta(days=1)
+    start = ticks.agg(F.date_sub(F.to_date(F.min("tick")), 1)).scalar()
+    end = ticks.agg(F.date_add(F.to_date(F.max("tick")), 1)).scalar()
     freq, h = F.col("schedule_frequency"), F.col("schedule_hour")
-    act = (t.where((F.col("schedule_enabled") == 1) & freq.isin(K.FREQUENCIES) & h.isNotNull())
+    act = (t.where((F.col("schedule_enabled") == 1) & freq.isin(K.FREQUENCIES) & h.between(0, 23))
            .select(F.col("id").alias("template_id"), effective_zone(F.col("schedule_timezone"), zones).alias("_tz"),
-                   freq.alias("_f"), h.alias("_h"), F.col("schedule_day_of_week").alias("_dow"),
-                   F.col("schedule_day_of_month").alias("_dom")))
+                   h.alias("_h"), _day_rule(freq, F.col("schedule_day_of_week"),
+                                            F.col("schedule_day_of_month")).alias("_rule")))
     cal = (act.select("_tz", "_h").distinct()
-           .select("_tz", "_h", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("local_date")))
+           .select("_tz", "_h", F.explode(F.sequence(start, end)).alias("local_date")))
     local_start = F.make_timestamp_ntz(F.year("local_date"), F.month("local_date"), F.dayofmonth("local_date"),
                                        F.col("_h"), F.lit(0), F.lit(0))
     u0 = F.convert_timezone(F.col("_tz"), F.lit("UTC"), local_start)
@@ -119,14 +131,13 @@ def due_by_tick(t: DataFrame, ticks: DataFrame, zones: list[str] | None = None)
                        lambda b: b < F.col("_u1"))
     cal = cal.select("_tz", "_h", "local_date", "_u0", "_u1", F.explode(buckets).alias("_bucket"))
     tk = ticks.select("tick", _hour_floor(F.col("tick")).alias("_bucket"))
-    # The tick table grows with the polled period, not with the catalogue:
-    # broadcast it when its counted size is under the bound, else shuffle-hash.
-    tk = F.broadcast(tk) if n_ticks <= BROADCAST_TICKS else tk.hint("shuffle_hash")
     fires = (cal.join(tk, "_bucket").where((F.col("tick") >= F.col("_u0")) & (F.col("tick") < F.col("_u1")))
              .groupBy("_tz", "_h", "local_date").agg(F.min("tick").alias("tick")))
-    out = act.join(fires, ["_tz", "_h"])
-    out = out.where(_frequency_matches(F.col("_f"), F.col("local_date"), F.col("_dow"), F.col("_dom")))
-    return out.select("template_id", "local_date", "tick")
+    date = F.col("local_date")
+    fires = fires.withColumn("_rule", F.explode(F.array(
+        F.lit("d"), F.concat(F.lit("w"), F.weekday(date).cast("string")),
+        F.concat(F.lit("m"), F.dayofmonth(date).cast("string")))))
+    return act.join(fires, ["_tz", "_h", "_rule"]).select("template_id", "local_date", "tick")
 
 
 def schedule_violations(t: DataFrame, zones: list[str] | None = None) -> DataFrame:

@@ -97,13 +97,16 @@ FROM (
       CASE o.o_orderkey % 10 WHEN 0 THEN 'failed' WHEN 1 THEN 'no_token' WHEN 2 THEN 'exception' ELSE 'success' END
         AS outcome,
       repeat(o.o_orderpriority || ' ', 40) AS err, o.o_orderkey % 3 <> 0 AS scheduled
-    FROM orders o LEFT JOIN fx_templates t ON t.id = o.o_custkey))"""
+    FROM orders o JOIN fx_templates t ON t.id = o.o_custkey)
+  WHERE scheduled OR outcome <> 'exception')"""
 
 _LOG = f"SELECT {R_COLS} FROM fx_reports UNION ALL SELECT {R_COLS} FROM nr"
 _EXP = f"""
-SELECT l.* EXCLUDE (rn) FROM (
+SELECT l.* EXCLUDE (rn) FROM (  -- only templates that got a row are pruned
+
   SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY {RUN_ORDER}) AS rn FROM lg
-) l JOIN fx_templates t ON l.template_id = t.id WHERE l.rn > {RETAIN}"""
+) l JOIN fx_templates t ON l.template_id = t.id WHERE l.rn > {RETAIN}
+  AND l.template_id IN (SELECT template_id FROM nr)"""
 
 oracle("append_runs_log", "SELECT * FROM lg WHERE id NOT IN (SELECT id FROM ex)", nr=_NEW, lg=_LOG, ex=_EXP)
 oracle("append_runs_expired", "SELECT id, template_id FROM ex", nr=_NEW, lg=_LOG, ex=_EXP)

@@ -57,6 +57,10 @@ SELECT bl.template_id, bl.block_idx, t.* FROM bl JOIN ({trend_sql('win', ['days'
   ON t.days = bl.days AND t.zone = bl.zone
 WHERE bl.type = 'trend_summary'""", dh=DH, bl=BL, zr=ZROWS, win=WIN)
 
+oracle("run_reports_series", """
+SELECT bl.template_id, bl.block_idx, w.days, w.zone, w.timestamp, w.value, w.vuln_severity
+FROM bl JOIN win w ON w.days = bl.days AND w.zone = bl.zone WHERE bl.type = 'history'""", dh=DH, bl=BL, zr=ZROWS, win=WIN)
+
 oracle("query_block", """
 SELECT f."Severity", f."Vulnerabilities", p.pct,
   f."Severity" || ' (' || format('{:,}', f."Vulnerabilities") || ') - ' || printf('%.1f', p.pct) || '%' AS label
@@ -83,7 +87,7 @@ FROM (SELECT *, 0.01::DOUBLE + pos * (bw + 0.01::DOUBLE) AS x0 FROM (
 
 # P3 picks the first numeric column as the value: here ``bucket``.
 oracle("query_block_bars", """
-SELECT "Severity" AS category, bucket AS value, "Severity", bucket, "Vulnerabilities",
+SELECT "Severity" AS category, bucket AS value, "Vulnerabilities",
   CAST(coalesce(sum(bucket) OVER (PARTITION BY "Severity" ORDER BY "Severity", bucket, "Vulnerabilities"
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS stack_base,
   CASE "Severity" WHEN 'Critical' THEN '#d32f2f' WHEN 'High' THEN '#ffa000' WHEN 'Medium' THEN '#388e3c'

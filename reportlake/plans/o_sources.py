@@ -44,6 +44,12 @@ SELECT c.c_custkey, 2, 999, r.r_name
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 WHERE c.c_custkey % 9 = 0"""
 
+oracle("zone_rows", """
+SELECT tenant_id, CAST(pos AS INTEGER) AS pos, id, name, CAST(NULL AS VARCHAR) AS error FROM z WHERE tenant_id % 11 <> 0
+UNION ALL
+SELECT c_custkey, NULL, NULL, NULL, 'Unexpected response format' FROM customer c
+JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+WHERE c_custkey % 11 = 0""", z=_ZONES)
 oracle("zone_dim", "SELECT tenant_id, CAST(pos AS INTEGER) AS pos, id, name FROM z", z=_ZONES)
 oracle("zone_by_name", "SELECT tenant_id, name, max_by(id, pos) AS id FROM z GROUP BY tenant_id, name", z=_ZONES)
 

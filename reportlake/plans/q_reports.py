@@ -49,7 +49,8 @@ def _run(spark, d):
     for name, text in QUERY_TEXT.items():
         q = F.when(F.col("query") == name, F.lit(text)).otherwise(q)
     b = b.withColumn("query", q)
-    return R.run_reports(spark, b, fx_daily_history(spark, d), NOW, views=_views(spark, d))
+    return R.run_reports(spark, b, fx_daily_history(spark, d), NOW, views=_views(spark, d),
+                         queries=QUERY_TEXT.values())
 
 
 @query("block_results")
@@ -57,6 +58,11 @@ def q_block_results(spark, d):
     return _run(spark, d)["results"]
 
 
+@query("run_reports_series")
+def q_run_series(spark, d):
+    return _run(spark, d)["series"]
+
+
 @query("run_reports_trends")
 def q_run_trends(spark, d):
     return _run(spark, d)["trends"]

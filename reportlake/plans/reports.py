@@ -9,8 +9,7 @@ the blocks that use them, instead of one fetch per block.
 from __future__ import annotations
 
 import datetime as dt
-import logging
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +20,6 @@ from reportlake.operators import blocks as B
 from reportlake.operators import frames as FR
 from reportlake.operators import history as H
 
-QUERY_TYPES = ["traffic_lights", "vertical_bar", "horizontal_bar", "pie_chart", "table"]
 HISTORY_TYPES = ["history", "trend_summary"]
 
 
@@ -72,16 +70,11 @@ def query_sources(spark: SparkSession, texts: list[str]) -> DataFrame:
         if not q:
             errs.append((q, None, None, K.MSG_NO_QUERY, None))
             continue
-        quiet = logging.getLogger("SQLQueryContextLogger")
-        level = quiet.level
-        quiet.setLevel(logging.CRITICAL)
         try:
             f = spark.sql(q)
         except Exception as e:  # noqa: BLE001 - a broken query is a block outcome, not a failure
             errs.append((q, None, None, _error_condition(e), None))
             continue
-        finally:
-            quiet.setLevel(level)
         cat, val = FR.detect_columns(f.schema)
         parts.append(f.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(q).alias("query"), "n_rows", F.lit(len(f.columns)).alias("n_cols"),
@@ -103,7 +96,8 @@ def history_sources(h: DataFrame, specs: DataFrame, now: dt.datetime) -> DataFra
         F.date_sub(F.lit(today), F.col("days")), F.lit(today))).alias("_d"))
     # Per-zone rows and the all-zones roll-up (zone 0) in one pass: grouping
     # sets over (timestamp, severity, zone) and (timestamp, severity).
-    h = h.where(F.col("timestamp") <= S.ntz(end))
+    oldest = specs.agg(F.date_sub(F.lit(today), F.max("days")).cast("timestamp_ntz")).scalar()
+    h = h.where((F.col("timestamp") >= oldest) & (F.col("timestamp") <= S.ntz(end)))
     gs = h.groupingSets([["timestamp", "vuln_severity", "zone_id"], ["timestamp", "vuln_severity"]],
                         "timestamp", "vuln_severity", "zone_id")
     both = gs.agg(F.sum("value").cast("bigint").alias("value"), F.grouping_id().alias("_g")).select(
@@ -114,9 +108,13 @@ def history_sources(h: DataFrame, specs: DataFrame, now: dt.datetime) -> DataFra
 
 
 def run_reports(spark: SparkSession, blocks: DataFrame, history: DataFrame, now: dt.datetime,
-                views: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+                views: Mapping[str, DataFrame] | None = None,
+                queries: Iterable[str] | None = None) -> dict[str, DataFrame]:
     """Many templates in one run (B2): P7 defaults, distinct sources once, A1
-    per history window, A8 outcome per block.
+    per history window, A8 outcome per block. ``queries`` is the library of
+    query texts (text is planning input, so the caller passes it); a block
+    whose text is not in it reports that. Without a library the distinct texts
+    of the blocks are gathered, one per planned query.
 
     Returns ``results`` (block outcomes), ``trends`` (per trend block) and
     ``series`` (per history block)."""
@@ -138,10 +136,14 @@ def run_reports(spark: SparkSession, blocks: DataFrame, history: DataFrame, now:
     h_rows = hb.join(src_counts, ["days", "zone"], "left").select(
         "template_id", "block_idx", "type", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
         F.lit(3).alias("n_cols"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("renderable"))
-    qb = b.where(F.col("type").isin(QUERY_TYPES)).select("template_id", "block_idx", "type", "query")
-    texts = [r.query for r in qb.select("query").distinct().collect()]  # the distinct query library
-    q_rows = qb.join(query_sources(spark, texts), "query", "left").select(*h_rows.columns)
-    other = b.where(~F.col("type").isin(*HISTORY_TYPES, *QUERY_TYPES)).select(
+    qb = b.where(~F.col("type").isin(*HISTORY_TYPES, "divider")).select("template_id", "block_idx", "type", "query")
+    texts = list(dict.fromkeys(["", *queries])) if queries is not None else [
+        r.query for r in qb.select("query").distinct().collect()]
+    found = query_sources(spark, texts).withColumn("_known", F.lit(True))
+    q_rows = qb.join(found, "query", "left").withColumn(
+        "error", F.when(F.col("_known").isNull(), F.lit("UNKNOWN_QUERY")).otherwise(F.col("error"))).select(
+        *h_rows.columns)
+    other = b.where(F.col("type") == "divider").select(
         "template_id", "block_idx", "type", F.lit(None).cast("bigint").alias("n_rows"),
         F.lit(None).cast("int").alias("n_cols"), F.lit(None).cast("string").alias("error"),
         F.lit(None).cast("boolean").alias("renderable"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -41,8 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir). Only when neither is set -- local tests -- a fresh
-    folder is created and registered.
+    checkpoint dir). Only when neither is set and Spark runs in this process
+    alone (``local[...]``) a fresh folder is created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -53,11 +53,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         jdir = sc._jsc.sc().getCheckpointDir()
         d = jdir.get() if jdir.isDefined() else None
     if not d:
+        if sc is None or not sc.master.startswith("local"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         d = tempfile.mkdtemp(prefix="reportlake-ckpt-")
-        if sc is not None:
-            sc.setCheckpointDir(d)
-        else:
-            spark.conf.set("spark.checkpoint.dir", d)
+        sc.setCheckpointDir(d)
     elif sc is not None and not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(d)  # named in the conf only: register it for DataFrame.checkpoint()
     return d
@@ -66,14 +65,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for one staged table."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/reportlake/{name}-{os.getpid()}-{next(_counter)}"
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+    return f"{base}/reportlake/{name}-{uuid.uuid4().hex}"

@@ -25,16 +25,6 @@ def _has_key(body: Column, key: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(body), F.lit(key)), F.lit(False))
 
 
-def item_columns(raw: DataFrame, body: str = "body") -> list[str]:
-    """Distinct field names the envelopes' items can yield (entities keys where
-    present, else item keys): one small distinct job over names only."""
-    p = F.from_json(F.col(body), ITEMS_SCHEMA)
-    names = F.when(p["entities"].isNotNull() & (F.size(p["items"]) > 0), F.map_keys(p["entities"])) \
-        .otherwise(F.flatten(F.transform(p["items"], lambda m: F.map_keys(m))))
-    rows = raw.select(F.explode(names).alias("k")).distinct().collect()
-    return sorted(r.k for r in rows)
-
-
 def entity_items(raw: DataFrame, columns: dict[str, str], body: str = "body",
                  keys: Sequence[str] = ()) -> DataFrame:
     """Open ``items`` envelopes.
@@ -126,7 +116,16 @@ ZONE_ELEMENT = "array<struct<id: int, name: string>>"
 
 def zone_dim(raw: DataFrame, body: str = "body", keys: Sequence[str] = ()) -> DataFrame:
     """Zones envelope -> (keys, pos, id, name); other fields dropped."""
-    z = F.from_json(F.get_json_object(F.col(body), "$.data"), ZONE_ELEMENT)
-    return (raw.where(_has_key(F.col(body), "data"))
-            .select(*keys, F.posexplode(z).alias("pos", "_z"))
-            .select(*keys, "pos", F.col("_z.id").alias("id"), F.col("_z.name").alias("name")))
+    return zone_rows(raw, body, keys).where(F.col("error").isNull()).drop("error")
+
+
+def zone_rows(raw: DataFrame, body: str = "body", keys: Sequence[str] = ()) -> DataFrame:
+    """As :func:`zone_dim`, with one row holding the error text for every
+    envelope without ``data`` (other columns null)."""
+    pre = raw.select(*keys, F.from_json(F.col(body), f"struct<data: {ZONE_ELEMENT}>").alias("_p"),
+                     _has_key(F.col(body), "data").alias("_has"))
+    ok = F.transform(F.col("_p.data"), lambda z, i: F.struct(
+        i.alias("pos"), z["id"].alias("id"), z["name"].alias("name"), F.lit(None).cast("string").alias("error")))
+    bad = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("id"),
+                           F.lit(None).cast("string").alias("name"), F.lit(K.MSG_NO_ZONES).alias("error")))
+    return pre.select(*keys, F.inline(F.when(F.col("_has"), ok).otherwise(bad)))

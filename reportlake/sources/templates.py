@@ -34,11 +34,12 @@ DOC_SCHEMA = T.StructType([T.StructField("global", GLOBAL_STRUCT),
 
 
 def _yaml_to_json(text):
-    import yaml
     if text is None:
         return None
+    import yaml
     try:
-        return json.dumps(yaml.safe_load(text), default=str)
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        return json.dumps(yaml.load(text, Loader=loader), default=str)
     except Exception:  # noqa: BLE001 - unreadable document -> null, reported as no blocks
         return None
 
@@ -65,7 +66,8 @@ def parse_document(doc_col: str = "config_yaml"):
     other text goes through the YAML codec first."""
     txt = F.col(doc_col)
     is_json = F.startswith(F.ltrim(txt), F.lit("{"))
-    as_json = F.when(is_json, txt).otherwise(yaml_to_json(txt))
+    # The codec is evaluated for every row of the column, so JSON rows hand it null.
+    as_json = F.when(is_json, txt).otherwise(yaml_to_json(F.when(~is_json, txt)))
     return F.from_json(as_json, DOC_SCHEMA)
 
 

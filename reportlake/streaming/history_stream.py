@@ -10,10 +10,9 @@ is a landed JSON file; Structured Streaming reads the folder incrementally.
   read: ``max_by(value, fetched_at)`` per key across batches -- a later fetch
   revises an earlier one, also across batches (``dropDuplicates`` would keep
   the first fetch instead).
-* T3 ``trend_stream``: the trend (A1) kept current: watermark on the series
-  timestamp (40 days > the 31-day window), de-duplication of overlapping
-  fetches, then a stateful aggregate holding one row per (keys, severity).
-  Rows behind the watermark are dropped (late-data rule).
+* T3 ``trend_stream``: the trend (A1) kept current on that same merged history:
+  every micro-batch recomputes the trend of the (keys, severity) pairs it
+  touched. Nothing is dropped for being late, and a later fetch revises.
 """
 
 from __future__ import annotations
@@ -23,9 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake import constants as K
-from reportlake.operators.history import packed_order
-from reportlake.operators.ordinals import with_scalar
+from reportlake.operators.history import trend_insights
+from reportlake.operators.ordinals import null_safe_join, with_scalar
 
 FETCH_SCHEMA = ("zone_id INT, timestamp TIMESTAMP_NTZ, value BIGINT, vuln_severity STRING, "
                 "fetched_at TIMESTAMP_NTZ, fetch INT")
@@ -60,14 +58,18 @@ def _history_source(spark: SparkSession, in_dir: str, max_files: int | None) ->
     return r.json(in_dir)
 
 
+def latest_per_key(fetches: DataFrame) -> DataFrame:
+    """The latest fetch's value of every (zone, severity, timestamp)."""
+    return fetches.groupBy(*KEYS).agg(
+        F.max_by("value", "fetched_at").alias("value"), F.max("fetched_at").alias("fetched_at"))
+
+
 def ingest_history_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                           max_files_per_trigger: int | None = 1) -> DataFrame:
     """Run the ingest until the landed files are consumed (availableNow) and
     return the merged table (T2)."""
     def upsert(batch: DataFrame, epoch: int) -> None:
-        latest = batch.groupBy(*KEYS).agg(
-            F.max_by("value", "fetched_at").alias("value"), F.max("fetched_at").alias("fetched_at"))
-        latest.write.mode("overwrite").parquet(f"{out_dir}/batch={epoch}")
+        latest_per_key(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={epoch}")
 
     q = (_history_source(spark, in_dir, max_files_per_trigger).writeStream
          .foreachBatch(upsert).option("checkpointLocation", checkpoint)
@@ -106,46 +108,34 @@ def compact_history_table(spark: SparkSession, out_dir: str, target: str,
     return spark.read.parquet(target)
 
 
-def trend_state(stream: DataFrame, keys: Sequence[str] = ("zone_id",), watermark: str = "40 days") -> DataFrame:
-    """Streaming aggregate behind T3: per (keys, severity) the first and last
-    value (null timestamps last, value tiebreak) and the point count."""
+def trend_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
+                 keys: Sequence[str] = ("zone_id",), max_files_per_trigger: int | None = 1) -> DataFrame:
+    """Run T3 over the landed fetches (availableNow) and return the trend rows.
+
+    Every micro-batch is folded into the history as T2 does (latest fetch wins,
+    however late a file arrives); the trend (A1) of the (keys, severity) pairs it
+    touched is computed anew from the merged history and written to a folder of
+    its own, so a reader never sees a half-written state and a replayed epoch
+    rewrites only its own folders. The current trend of a pair is that of the
+    newest epoch that has one."""
     keys = list(keys)
-    # The watermark needs an instant (TIMESTAMP); the series stores UTC wall
-    # clock (TIMESTAMP_NTZ) and the session zone is UTC, so the cast is exact.
-    s = (stream.withColumn("_event_time", F.col("timestamp").cast("timestamp"))
-         .withWatermark("_event_time", watermark)
-         .dropDuplicates([*keys, "vuln_severity", "_event_time"])
-         .where(F.col("vuln_severity").isin(K.SEVERITY_ORDER) & F.col("value").isNotNull()))
-    # FETCH_SCHEMA has an integer value and a TIMESTAMP_NTZ, so the order
-    # packs exactly into one decimal (fixed-width state, hash aggregation).
-    order = packed_order(F.col("timestamp"), F.col("value"))
-    return s.groupBy(*keys, F.col("vuln_severity").alias("severity")).agg(
-        F.min_by("value", order).alias("_s"), F.max_by("value", order).alias("_e"),
-        F.count(F.lit(1)).alias("_n"))
-
-
-def finish_trend(state: DataFrame, keys: Sequence[str] = ("zone_id",)) -> DataFrame:
-    """State rows -> trend insight rows, same rule as the batch operator."""
-    start, end = F.col("_s").cast("bigint"), F.col("_e").cast("bigint")
-    change = end - start
-    pct = (F.when(start > 0, (change.cast("double") / start.cast("double")) * F.lit(100.0))
-           .when(end > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
-    trend = F.when(change < 0, "improved").when(change > 0, "worsened").otherwise("unchanged")
-    return state.where(F.col("_n") >= 2).select(
-        *keys, "severity", start.alias("start_value"), end.alias("end_value"), change.alias("change"),
-        pct.alias("pct_change"), trend.alias("trend"))
 
+    def update(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        write_batch(batch, out_dir, epoch)
+        touched = batch.select(*keys, "vuln_severity").distinct()
+        merged = null_safe_join(read_history_table(batch.sparkSession, f"{out_dir}/history"),
+                                touched.withColumn("_touched", F.lit(True)), [*keys, "vuln_severity"])
+        trend_insights(merged.drop("_touched"), keys).write.mode("overwrite").parquet(f"{out_dir}/trend/epoch={epoch}")
+        batch.unpersist()
 
-def trend_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                 keys: Sequence[str] = ("zone_id",)) -> DataFrame:
-    """Run T3 over the landed fetches (availableNow, complete mode: each epoch
-    rewrites the current state snapshot) and return the trend rows."""
-    state = trend_state(_history_source(spark, in_dir, None), keys)
-
-    def snapshot(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+    def write_batch(batch: DataFrame, base: str, epoch: int) -> None:
+        latest_per_key(batch).write.mode("overwrite").parquet(f"{base}/history/batch={epoch}")
 
-    q = (state.writeStream.outputMode("complete").foreachBatch(snapshot)
+    q = (_history_source(spark, in_dir, max_files_per_trigger).writeStream.foreachBatch(update)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return finish_trend(spark.read.parquet(out_dir), keys)
+    rows = spark.read.parquet(f"{out_dir}/trend")
+    values = [c for c in rows.columns if c not in (*keys, "severity", "epoch")]
+    return (rows.groupBy(*keys, "severity").agg(F.max_by(F.struct(*values), "epoch").alias("_t"))
+            .select(*keys, "severity", "_t.*"))

@@ -13,8 +13,10 @@ import __spark_entry__ as E  # noqa: E402
 from check_oracle import rows_of  # noqa: E402
 from reportlake.sources.tables import TABLES  # noqa: E402
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+from reportlake.plans.registry import all_queries  # noqa: E402
+
+QUERIES = {k: v for k, v in E.queries().items() if k in all_queries()}
+ORACLE = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")

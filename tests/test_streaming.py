@@ -33,20 +33,22 @@ def test_ingest_replay_is_idempotent_and_revisions_win(spark, tmp_path):
     assert merged.count() == len(first)
 
 
-def test_stream_trend_equals_batch_and_drops_late_rows(spark, tmp_path):
+def test_stream_trend_equals_batch_on_the_merged_table(spark, tmp_path):
+    """Files out of order, later fetches that revise, and a point far behind the others."""
     h = FX.fx_history(spark, SF_TINY)
     inp, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
-    HS.land_history_fetches(h, inp)
+    HS.land_history_fetches(h, inp, revise=True)
     got = HS.trend_stream(spark, inp, out, ck, keys=["zone_id"])
-    want = H.trend_insights(h, keys=["zone_id"])
     cols = ["zone_id", "severity", "start_value", "end_value", "change", "pct_change", "trend"]
+    want = H.trend_insights(HS.read_history_table(spark, f"{out}/history"), keys=["zone_id"])
     assert _rows(got, cols) == _rows(want, cols)
-    # a point far behind the watermark arrives in a later batch: it is dropped
     old = {"zone_id": 1, "timestamp": dt.datetime(1990, 1, 1).isoformat(), "value": 999999,
            "vuln_severity": "Critical", "fetched_at": "2030-01-01T00:00:00", "fetch": 999}
     (tmp_path / "in" / "late.json").write_text(json.dumps(old) + "\n")
     again = HS.trend_stream(spark, inp, out, ck, keys=["zone_id"])
-    assert _rows(again, cols) == _rows(want, cols)
+    merged = HS.read_history_table(spark, f"{out}/history")
+    assert _rows(again, cols) == _rows(H.trend_insights(merged, keys=["zone_id"]), cols)
+    assert again.where("zone_id = 1 and severity = 'Critical'").first().start_value == 999999
 
 
 def test_compaction_keeps_the_merged_view(spark, tmp_path):
