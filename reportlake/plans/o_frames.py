@@ -120,6 +120,13 @@ oracle("fmt_datetime_columns", "SELECT uf.user_id, uf.event_id, " + ", ".join(
     + " FROM uf JOIN (SELECT user_id, " + ", ".join(f"{_decision(c, 'screen')} AS {c}" for c in _COLS)
     + " FROM uf GROUP BY user_id) d USING (user_id)", uf=_UF)
 
+_print = ("CASE WHEN coalesce({c}, '') = '' THEN 'nan' "
+          "ELSE strftime(try_strptime(substr({c}, 1, 19), '%Y-%m-%dT%H:%M:%S'), '%b %d %Y %H:%M') END")
+oracle("fmt_datetime_columns_print", "SELECT uf.user_id, uf.event_id, " + ", ".join(
+    f"CASE WHEN d.{c} THEN {_print.format(c='uf.' + c)} ELSE uf.{c} END AS {c}" for c in _COLS)
+    + " FROM uf JOIN (SELECT user_id, " + ", ".join(f"{_decision(c, 'print')} AS {c}" for c in _COLS)
+    + " FROM uf GROUP BY user_id) d USING (user_id)", uf=_UF)
+
 _CUST = [("c_custkey", "coalesce(CAST(c_custkey AS VARCHAR), 'None')"),
          ("c_name", "coalesce(c_name, 'None')"),
          ("c_nationkey", "coalesce(CAST(c_nationkey AS VARCHAR), 'None')"),

@@ -1,5 +1,6 @@
 """Oracle SQL: history operators."""
 
+from reportlake.plans.fixture_sql import SEV_CASE
 from reportlake.plans.oracle import SEVERITIES, SEV_RANK, oracle, trend_sql
 
 oracle("trend_insights", f"SELECT * FROM ({trend_sql('fx_history', ['zone_id'])})")
@@ -19,6 +20,20 @@ SELECT customer_id, severity AS "Severity", format('{{:,}}', start_value) AS "31
              ELSE format('{{:,}}', change) || ' (0%)' END AS "Change"
 FROM ({trend_sql('fx_customer_history', ['customer_id'])})""")
 
+oracle("history_window_sydney", """
+SELECT * FROM (SELECT o.o_orderdate AS timestamp, {sev} AS vuln_severity, n.n_regionkey + 1 AS zone_id, count(*) AS value
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+  GROUP BY 1, 2, 3)
+WHERE timestamp BETWEEN timezone('UTC', timezone('Australia/Sydney', TIMESTAMP '1998-03-26 00:00:00'))
+  AND timezone('UTC', timezone('Australia/Sydney', TIMESTAMP '1998-04-02 23:59:59'))""".replace("{sev}", SEV_CASE))
+
+oracle("fmt_trend_change", f"""
+SELECT customer_id, severity,
+  CASE trend WHEN 'improved' THEN format('{{:,}}', change) || ' (' || printf('%+.1f', pct_change) || '%) ↓'
+             WHEN 'worsened' THEN '+' || format('{{:,}}', change) || ' (' || printf('%+.1f', pct_change) || '%) ↑'
+             ELSE format('{{:,}}', change) || ' (0%)' END AS change_text
+FROM ({trend_sql('fx_customer_history', ['customer_id'])})""")
+
 oracle("history_window", """
 SELECT * FROM fx_history
 WHERE timestamp BETWEEN TIMESTAMP '1997-02-03 00:00:00' AND TIMESTAMP '1998-03-10 23:59:59' AND zone_id = 2""")

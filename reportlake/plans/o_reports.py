@@ -71,7 +71,7 @@ FROM f JOIN (
           FROM fx_workloads w JOIN fx_edges e ON w.workload_id = e.workload_id
           JOIN fx_vulns v ON e.vuln_id = v.vuln_id GROUP BY v.severity ORDER BY "Severity" DESC LIMIT 4""")
 
-oracle("query_block_tiles", """
+_TILES = """
 SELECT pos, n, label, value, value_text,
   coalesce(CASE label WHEN 'Critical' THEN '#d32f2f' WHEN 'High' THEN '#ffa000' WHEN 'Medium' THEN '#388e3c'
            WHEN 'Low' THEN '#1976d2' WHEN 'Negligible' THEN '#757575' WHEN 'Informational' THEN '#00bcd4' END,
@@ -83,7 +83,9 @@ FROM (SELECT *, 0.01::DOUBLE + pos * (bw + 0.01::DOUBLE) AS x0 FROM (
     SELECT "Severity" AS label, "Vulnerabilities" AS value, format('{:,}', "Vulnerabilities") AS value_text,
       CAST(row_number() OVER (ORDER BY "Severity") - 1 AS INTEGER) AS pos, count(*) OVER () AS n
     FROM (SELECT severity AS "Severity", count(*) AS "Vulnerabilities" FROM fx_vulns
-          GROUP BY severity ORDER BY "Severity" DESC LIMIT 4))))""")
+          GROUP BY severity ORDER BY "Severity" DESC LIMIT 4))))"""
+oracle("query_block_tiles", _TILES)
+
 
 # P3 picks the first numeric column as the value: here ``bucket``.
 oracle("query_block_bars", """
@@ -95,3 +97,42 @@ SELECT "Severity" AS category, bucket AS value, "Vulnerabilities",
   'h' AS orientation
 FROM (SELECT severity AS "Severity", vuln_id % 3 AS bucket, count(*) AS "Vulnerabilities"
       FROM fx_vulns GROUP BY severity, vuln_id % 3)""")
+
+# The run's blocks: only query q0 has rows to draw.
+_Q0 = """SELECT severity AS "Severity", count(*) AS "Vulnerabilities" FROM fx_vulns
+  GROUP BY severity ORDER BY "Severity" DESC LIMIT 4"""
+_USERS = "(SELECT template_id, block_idx, type FROM bl WHERE query = 'q0')"
+_COLOR = """CASE "Severity" WHEN 'Critical' THEN '#d32f2f' WHEN 'High' THEN '#ffa000' WHEN 'Medium' THEN '#388e3c'
+  WHEN 'Low' THEN '#1976d2' WHEN 'Negligible' THEN '#757575' WHEN 'Informational' THEN '#00bcd4' END"""
+
+oracle("run_reports_tiles", f"SELECT u.template_id, u.block_idx, t.* FROM {_USERS} u CROSS JOIN ({_TILES}) t "
+       "WHERE u.type = 'traffic_lights'", bl=BL)
+oracle("run_reports_bars", f"""
+SELECT u.template_id, u.block_idx, CASE u.type WHEN 'horizontal_bar' THEN 'h' ELSE 'v' END AS orientation,
+  "Severity" AS category, CAST("Vulnerabilities" AS DOUBLE) AS value, 0.0::DOUBLE AS stack_base, {_COLOR} AS color
+FROM {_USERS} u CROSS JOIN q0 WHERE u.type IN ('vertical_bar', 'horizontal_bar')""", bl=BL, q0=_Q0)
+oracle("run_reports_pies", f"""
+SELECT u.template_id, u.block_idx, p.value, p.pct,
+  p.sev || ' (' || format('{{:,}}', p.value) || ') - ' || printf('%.1f', p.pct) || '%' AS label
+FROM {_USERS} u CROSS JOIN (
+  SELECT "Severity" AS sev, "Vulnerabilities" AS value,
+    CASE WHEN tot > 0 THEN CAST("Vulnerabilities" AS DOUBLE) / tot * 100.0 ELSE 0.0 END AS pct
+  FROM q0 CROSS JOIN (SELECT CAST(sum("Vulnerabilities") AS DOUBLE) AS tot FROM q0)) p
+WHERE u.type = 'pie_chart'""", bl=BL, q0=_Q0)
+oracle("run_reports_tables", f"""
+SELECT u.template_id, u.block_idx,
+  '{{"Severity":' || CAST(to_json("Severity") AS VARCHAR) || ',"Vulnerabilities":' || "Vulnerabilities" || '}}' AS row
+FROM {_USERS} u CROSS JOIN q0 WHERE u.type = 'table'""", bl=BL, q0=_Q0)
+_RUN_LOG = """
+SELECT id, template_id, filename, file_path, file_size, status, error_message, generated_at FROM fx_reports
+UNION ALL
+SELECT (SELECT max(id) FROM fx_reports) + row_number() OVER (ORDER BY id), id,
+  translate(name, ' /', '__') || '_20300101_060000.pdf', '/reports/' || translate(name, ' /', '__') || '_20300101_060000.pdf',
+  NULL, 'success', NULL, TIMESTAMP '2030-01-01 06:00:00' FROM fx_templates"""
+oracle("run_reports_log", """
+SELECT l.* EXCLUDE (rn, k) FROM (
+  SELECT l.*, row_number() OVER (PARTITION BY l.template_id ORDER BY generated_at DESC NULLS LAST, l.id DESC) AS rn,
+    CASE WHEN t.id IS NULL THEN NULL WHEN coalesce(t.schedule_retain_count, 0) = 0 THEN 10
+         ELSE greatest(t.schedule_retain_count, 0) END AS k
+  FROM lg l LEFT JOIN fx_templates t ON t.id = l.template_id) l
+WHERE k IS NULL OR rn <= k""", lg=_RUN_LOG)

@@ -64,3 +64,35 @@ oracle("template_blocks", _BLOCKS)
 oracle("template_blocks_json", _BLOCKS)
 
 oracle("catalog_scan", f"SELECT event_id, iso, timezone('UTC', {parse_sql('iso')}) AS iso_ts FROM fx_iso")
+
+
+# Envelope (2, 1997) has one value less than its other columns, (3, 1999) no data, (4, 2000) no values.
+oracle("normalize_records", """
+SELECT zone_id, y AS year,
+  CAST(CASE WHEN gone OR uneven THEN 0 ELSE n END AS INTEGER) AS n_records,
+  CAST(CASE WHEN gone OR uneven OR bare THEN 0 ELSE n END AS INTEGER) AS n_values,
+  CAST(CASE WHEN gone OR uneven OR bare THEN 0 ELSE total END AS BIGINT) AS total,
+  CASE WHEN uneven THEN 'All arrays must be of the same length' END AS error
+FROM (SELECT zone_id, CAST(year(timestamp) AS INTEGER) AS y, count(*) AS n, sum(value) AS total,
+    zone_id = 3 AND year(timestamp) = 1999 AS gone, zone_id = 2 AND year(timestamp) = 1997 AS uneven,
+    zone_id = 4 AND year(timestamp) = 2000 AS bare
+  FROM fx_history GROUP BY zone_id, year(timestamp))""")
+
+
+def _json_object(fields: dict[str, str]) -> str:
+    """JSON text of an object without its null fields, in SQL."""
+    parts = ", ".join(f"'\"{name}\":' || CAST(to_json({e}) AS VARCHAR)" for name, e in fields.items())
+    return f"'{{' || array_to_string(list_filter([{parts}], lambda x: x IS NOT NULL), ',') || '}}'"
+
+
+oracle("pack_templates", f"""
+SELECT b.template_id, '{{"global":' || g.doc || ',"template_blocks":[' || b.docs || ']}}' AS config_yaml
+FROM (SELECT template_id, string_agg(doc, ',' ORDER BY block_idx) AS docs FROM (
+    SELECT template_id, block_idx, {_json_object({
+        "type": "type", "query": "query", "days": "days", "zone_id": "zone_id", "title": "title",
+        "description": "description", "show_legend": "show_legend", "chart_height": "chart_height",
+        "width": "coalesce(width, 'full')"})} AS doc
+    FROM fx_blocks_full) GROUP BY template_id) b
+JOIN (SELECT id, {_json_object({
+    "customer": "name", "region": "CASE WHEN id % 3 <> 0 THEN 'us2' END",
+    "orientation": "CASE WHEN id % 2 = 0 THEN 'landscape' END"})} AS doc FROM fx_templates) g ON g.id = b.template_id""")

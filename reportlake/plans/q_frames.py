@@ -113,6 +113,12 @@ def q_fmt_datetime_columns(spark, d):
                                    columns=["iso_z", "iso_mix", "iso_off", "event_type"])
 
 
+@query("fmt_datetime_columns_print")
+def q_fmt_datetime_columns_print(spark, d):
+    return FR.fmt_datetime_columns(user_frames(spark, d), order_by="event_id", keys=["user_id"], rule="print",
+                                   columns=["iso_z", "iso_mix", "iso_off", "event_type"])
+
+
 @query("column_widths")
 def q_column_widths(spark, d):
     return FR.column_widths(read_table(spark, d, "customer"), width=100.0)

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from reportlake.operators import maintenance as M
 from reportlake.plans import reports as R
 from reportlake.plans.registry import query
 from reportlake.sources import fixtures as FX
@@ -63,6 +64,34 @@ def q_run_series(spark, d):
     return _run(spark, d)["series"]
 
 
+@query("run_reports_tiles")
+def q_run_tiles(spark, d):
+    return _run(spark, d)["tiles"]
+
+
+@query("run_reports_bars")
+def q_run_bars(spark, d):
+    return _run(spark, d)["bars"]
+
+
+@query("run_reports_pies")
+def q_run_pies(spark, d):
+    return _run(spark, d)["pies"]
+
+
+@query("run_reports_tables")
+def q_run_tables(spark, d):
+    return _run(spark, d)["tables"]
+
+
+@query("run_reports_log")
+def q_run_log(spark, d):
+    """The run log after a scheduled run of every template."""
+    t = FX.fx_templates(spark, d)
+    rows = R.run_rows(_run(spark, d)["results"], t, dt.datetime(2030, 1, 1, 6, 0))
+    return M.append_runs(FX.fx_reports(spark, d), t, rows)["runs"]
+
+
 @query("run_reports_trends")
 def q_run_trends(spark, d):
     return _run(spark, d)["trends"]

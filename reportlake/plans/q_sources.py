@@ -95,6 +95,18 @@ def q_history_rows(spark, d):
     return E.history_rows(fx_history_envelopes(spark, d), keys=["zone_id", "year"])
 
 
+@query("normalize_records")
+def q_normalize_records(spark, d):
+    """Records of every envelope's data, whichever way it holds them, or the error."""
+    e = fx_history_envelopes(spark, d)
+    recs, err = E.normalize_records(F.get_json_object(F.col("body"), "$.data"), E.HISTORY_ELEMENT)
+    n = e.select("zone_id", "year", recs.alias("recs"), err.alias("error"))
+    return n.select("zone_id", "year", F.size("recs").alias("n_records"),
+                    F.size(F.filter("recs", lambda r: r["value"].isNotNull())).alias("n_values"),
+                    F.aggregate("recs", F.lit(0).cast("bigint"),
+                                lambda acc, r: acc + F.coalesce(r["value"], F.lit(0))).alias("total"), "error")
+
+
 @query("zone_rows")
 def q_zone_rows(spark, d):
     broken = F.when(F.col("tenant_id") % 11 == 0, F.lit('{"zones": []}')).otherwise(F.col("body"))

@@ -85,6 +85,62 @@ def query_sources(spark: SparkSession, texts: list[str]) -> DataFrame:
     return out
 
 
+def _planned(spark: SparkSession, texts: Iterable[str]) -> list[tuple[str, DataFrame]]:
+    """The query texts that can be planned, with their frames."""
+    out = []
+    for q in texts:
+        try:
+            out.append((q, spark.sql(q))) if q else None
+        except Exception:  # noqa: BLE001 - reported by query_sources as the block's outcome
+            continue
+    return out
+
+
+def block_frames(spark: SparkSession, blocks: DataFrame, texts: Iterable[str]) -> dict[str, DataFrame]:
+    """What the query blocks draw: ``tiles``, ``bars``, ``pies`` and ``tables``, each
+    with the block's key. Every text's frame goes through the operator once,
+    whatever the number of blocks that use it; values of bars are doubles and
+    table rows JSON text, as queries differ in their columns."""
+    kinds: dict[str, list[DataFrame]] = {"tiles": [], "bars": [], "pies": [], "tables": []}
+    for q, f in _planned(spark, texts):
+        cat, val = FR.detect_columns(f.schema)
+        text = F.lit(q).alias("query")
+        kinds["tables"].append(f.select(text, F.to_json(F.struct(*[F.col(c) for c in f.columns]),
+                                                        {"ignoreNullFields": "false"}).alias("row")))
+        if cat is None or val is None:
+            continue
+        order = [cat] + [c for c in f.columns if c != cat]
+        kinds["tiles"].append(FR.traffic_light_tiles(f, cat, val, order_by=order).select(text, "*"))
+        kinds["bars"].append(FR.bar_series(f, cat, val, order_by=order).select(
+            text, F.col("category").cast("string").alias("category"), F.col("value").cast("double").alias("value"),
+            F.col("stack_base").cast("double").alias("stack_base"), "color"))
+        kinds["pies"].append(FR.pie_shares(f, cat, val).select(
+            text, F.col(val).cast("bigint").alias("value"), "pct", "label"))
+    types = {"tiles": ["traffic_lights"], "bars": ["vertical_bar", "horizontal_bar"], "pies": ["pie_chart"],
+             "tables": ["table"]}
+    out = {}
+    for kind, frames in kinds.items():
+        if frames:
+            every = frames[0]
+            for f in frames[1:]:
+                every = every.unionByName(f)
+            mine = blocks.where(F.col("type").isin(types[kind]))
+            if kind == "bars":
+                mine = mine.withColumn("orientation", F.when(F.col("type") == "horizontal_bar", "h").otherwise("v"))
+            out[kind] = mine.join(every, "query").drop("query", "type")
+    return out
+
+
+def run_rows(results: DataFrame, templates: DataFrame, started_at: dt.datetime, scheduled: bool = True) -> DataFrame:
+    """One run per template for ``maintenance.append_runs``: a failing block does not
+    fail its report, and a template without blocks still gets its run."""
+    done = results.groupBy("template_id").agg(F.count(F.lit(1)).alias("n_blocks"))
+    t = templates.select(F.col("id").alias("template_id")).join(done, "template_id", "left")
+    return t.select(F.col("template_id").alias("seq"), "template_id", S.ntz(started_at).alias("started_at"),
+                    F.lit("success").alias("outcome"), F.lit(None).cast("string").alias("error"),
+                    F.lit(None).cast("bigint").alias("file_size"), F.lit(scheduled).alias("scheduled"))
+
+
 def history_sources(h: DataFrame, specs: DataFrame, now: dt.datetime) -> DataFrame:
     """Rows of every distinct (days, zone) window: each spec expands to its
     days+1 local dates and equi-joins the history on (zone, date) -- zone 0
@@ -116,8 +172,9 @@ def run_reports(spark: SparkSession, blocks: DataFrame, history: DataFrame, now:
     whose text is not in it reports that. Without a library the distinct texts
     of the blocks are gathered, one per planned query.
 
-    Returns ``results`` (block outcomes), ``trends`` (per trend block) and
-    ``series`` (per history block)."""
+    Returns ``results`` (block outcomes), ``trends`` (per trend block),
+    ``series`` (per history block) and the frames of :func:`block_frames`;
+    :func:`run_rows` turns the results into rows of the run log."""
     if views:
         register_views(spark, views)
     b = B.block_defaults(blocks)
@@ -148,4 +205,4 @@ def run_reports(spark: SparkSession, blocks: DataFrame, history: DataFrame, now:
         F.lit(None).cast("int").alias("n_cols"), F.lit(None).cast("string").alias("error"),
         F.lit(None).cast("boolean").alias("renderable"))
     results = B.block_outcomes(h_rows.unionByName(q_rows).unionByName(other))
-    return {"results": results, "trends": trends, "series": series}
+    return {"results": results, "trends": trends, "series": series} | block_frames(spark, qb, texts)
