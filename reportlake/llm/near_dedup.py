@@ -9,9 +9,14 @@
 3. In each band bucket every member is paired with the smallest one only; pairs
    whose sketches tell of a clearly smaller similarity are dropped, the others
    are confirmed on the full sets, and confirmed links become components.
-4. Buckets that still hold several components pair the members outside the
-   smallest one's component with all members of other components, so every
-   candidate pair is confirmed, refused, or already connected.
+4. In buckets that still hold several components, let p be the smallest member
+   and o one that is not linked with p. Where another member m shares nothing
+   with o of what sets each apart from p, m is no nearer to o than p is, so m is
+   not linked with o either. A link needs a certain share of those differences,
+   so m's first differences (those foreign to p first) are matched with all of
+   o's, which gives every pair that can be linked and few others. These are
+   confirmed as before: every candidate pair is confirmed, refused, or already
+   connected.
 
 Buckets are joined, never gathered; no step emits the pairs within a group.
 Odds of missing a link at the threshold: (1 - 0.8^5)^44, about 3 in 10^8, for
@@ -181,19 +186,50 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             .select("a", "b").distinct())
 
 
-def _confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) among the pairs: 100 * intersection >= percent * union of the full sets."""
-    pairs = staged(spark, pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(spark, _sets(docs.join(ids, "doc_id", "left_semi"), words), "sets")
     both = F.size(F.array_intersect("x", "y"))
-    return (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    return (staged(spark, pairs, "pairs")
+            .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
             .select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("total"))
             .where(100 * F.col("both") >= percent * (F.col("total") - F.col("both")))
             .select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def _remaining(spark: SparkSession, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that can be linked among the members of divided buckets, apart
+    from those with the smallest member. ``placed`` has (bucket, rep, a, comp).
+
+    With J(p, o) below the threshold, and d(m) the symmetric difference of m and
+    p: a link of m and o needs |m diff o| <= r (|m| + |o|), r = (1 - j) / (1 + j),
+    hence |d(m) & d(o)| >= max((|d(m)| + r (|p| - |m|)) / 2, |d(m)| - r |m| (1 + 1 / j)).
+    All but that many less one of d(m)'s elements, in any fixed order, must hold
+    one of d(o)'s; elements foreign to p come first, as few members share them.
+    """
+    j = percent / 100
+    r = (1 - j) / (1 + j)
+    comp = placed.select("rep", "comp").distinct()
+    groups = (placed.where("rep <> a").select(F.col("a").alias("p"), F.col("rep").alias("m"), "comp").distinct()
+              .join(comp.select(F.col("rep").alias("p"), F.col("comp").alias("home")), "p"))
+    own = (groups.join(sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("x")), "p")
+           .join(sets.select(F.col("doc_id").alias("m"), F.col("shingles").alias("y")), "m"))
+    differ = F.concat(F.sort_array(F.array_except("y", "x")), F.sort_array(F.array_except("x", "y")))
+    own = own.select("p", "m", "comp", "home", F.size("x").alias("n_p"), F.size("y").alias("n_m"),
+                     differ.alias("differ"))
+    own = staged(spark, own, "differences")
+    n = F.size("differ")
+    shared = F.greatest(F.lit(1), F.ceil((n + r * (F.col("n_p") - F.col("n_m"))) / 2 - 1e-6),
+                        F.ceil(n - r * F.col("n_m") * (1 + 1 / j) - 1e-6)).cast("int")
+    probe = own.select("p", "m", "comp", "n_m", F.explode(F.slice("differ", F.lit(1), F.greatest(
+        n - shared + 1, F.lit(0)))).alias("e"))
+    outside = own.where("comp <> home").select(
+        "p", F.col("m").alias("o"), F.col("comp").alias("oc"), F.col("n_m").alias("n_o"), F.explode("differ").alias("e"))
+    near = 100 * F.least("n_m", "n_o") >= percent * F.greatest("n_m", "n_o")
+    return (probe.join(outside, ["p", "e"]).where((F.col("comp") != F.col("oc")) & near)
+            .select(F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of
@@ -224,8 +260,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     least = rows.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").drop("z")
     multi = staged(spark, rows.join(least, "bucket"), "buckets")
 
+    ids = multi.select(F.col("rep").alias("doc_id")).distinct()
+    sets = staged(spark, _sets(texts.join(ids, "doc_id", "left_semi"), words), "sets")
     star = multi.where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    links = _confirmed(spark, _likely(star, nodes, percent), texts, words, percent)
+    links = _confirmed(spark, _likely(star, nodes, percent), sets, percent)
     # Rows of one id with several sets: their sets' first documents belong together.
     shared = members.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u < v")
     several = members.join(shared.select("doc_id", "u"), "doc_id").select("u", F.col("rep").alias("v"))
@@ -239,13 +277,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                          F.count("*").alias("n")).where("lo < hi and n > 2").select("bucket")
     placed = staged(spark, placed.join(open_, "bucket"), "placed")
-    home = placed.where("rep = a").select("bucket", F.col("comp").alias("home")).distinct()
-    outside = placed.join(home, "bucket").where("comp <> home").select(
-        "bucket", F.col("rep").alias("o"), F.col("comp").alias("oc"), "home")
-    rest = (outside.join(placed.select("bucket", "rep", "a", "comp"), "bucket")
-            .where("comp <> oc and rep <> a and (comp = home or rep < o)")
-            .select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct())
-    more = _confirmed(spark, _likely(rest, nodes, percent), texts, words, percent)
+    rest = _remaining(spark, placed, sets, percent)
+    more = _confirmed(spark, _likely(rest, nodes, percent), sets, percent)
     final = components(spark, links.select("u", "v").union(more)).select(
         F.col("u").alias("rep"), F.col("v").alias("comp"))
 
