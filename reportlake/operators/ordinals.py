@@ -1,8 +1,8 @@
 """Dense positions and running sums without sorting a whole table or group in one task.
 
-Ordering keys are integers. Rows are counted per run of 65,536 consecutive key
-values, those counts per run of runs, and so on: 16 bits a level, four levels
-for 64 bits. A prefix sum at each level is a window over at most 65,536 rows,
+Ordering keys are integers. Rows are counted per run of 2^21 consecutive key
+values and those counts per run of runs: 21 bits a level, three levels for 64
+bits. A prefix sum at each level is a window over at most 2^22 short rows,
 whatever the data, and a row's own position is a window inside its run. There
 is one path for every size, it is lazy, and sparse keys cost no more than one
 row per run that holds any.
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS = 16
+BITS = 21
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -41,19 +41,13 @@ def _before(weight: str, within: Sequence[str], order: str) -> Column:
 def run_offsets(runs: DataFrame, groups: Sequence[str], run: str, weight: str, name: str) -> DataFrame:
     """(groups, run, ``name``): sum of ``weight`` over the earlier runs of the
     same group. ``runs`` has one row per group and run; a run is a key shifted
-    right by 16 bits, so three more levels hold every run of a 64-bit key."""
+    right by 21 bits, so one more level holds every run of a 64-bit key."""
     g = list(groups)
-    levels = [runs.select(*g, F.col(run).alias("_l0"), F.col(weight).alias("_w"))]
-    for k in range(1, 3):
-        up = levels[-1].withColumn(f"_l{k}", F.shiftright(F.col(f"_l{k - 1}"), BITS))
-        levels.append(up.groupBy(*g, f"_l{k}").agg(F.sum("_w").alias("_w")))
-    top = levels[2].select(*g, "_l2", _before("_w", g, "_l2").alias("_o2"))
-    mid = levels[1].withColumn("_l2", F.shiftright(F.col("_l1"), BITS))
-    mid = null_safe_join(mid.withColumn("_o1", _before("_w", [*g, "_l2"], "_l1")), top, [*g, "_l2"])
-    low = levels[0].withColumn("_l1", F.shiftright(F.col("_l0"), BITS))
-    low = null_safe_join(low.withColumn("_o0", _before("_w", [*g, "_l1"], "_l0")),
-                         mid.select(*g, "_l1", (F.col("_o1") + F.col("_o2")).alias("_o12")), [*g, "_l1"])
-    return low.select(*g, F.col("_l0").alias(run), (F.col("_o0") + F.col("_o12")).alias(name))
+    low = runs.select(*g, run, weight, F.shiftright(F.col(run), BITS).alias("_up"))
+    top = low.groupBy(*g, "_up").agg(F.sum(weight).alias("_w"))
+    top = top.select(*g, "_up", _before("_w", g, "_up").alias("_o1"))
+    low = low.withColumn("_o0", _before(weight, [*g, "_up"], run))
+    return null_safe_join(low, top, [*g, "_up"]).select(*g, run, (F.col("_o0") + F.col("_o1")).alias(name))
 
 
 def dense_positions(df: DataFrame, key: str, group: str | Sequence[str] | None = None, name: str = "pos",

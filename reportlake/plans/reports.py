@@ -96,6 +96,14 @@ def _planned(spark: SparkSession, texts: Iterable[str]) -> list[tuple[str, DataF
     return out
 
 
+def _of_query(frame: DataFrame, query: str, text: str) -> DataFrame:
+    """``frame`` with its query's text as a join key. A constant key would be folded
+    away and leave a product of blocks and rows; this one hangs on a text column
+    (of which it takes nothing), so the join stays an equi-join."""
+    nothing = F.coalesce(F.substr(F.col(text), F.lit(1), F.lit(0)), F.lit(""))
+    return frame.select(F.concat(F.lit(query), nothing).alias("query"), "*")
+
+
 def block_frames(spark: SparkSession, blocks: DataFrame, texts: Iterable[str]) -> dict[str, DataFrame]:
     """What the query blocks draw: ``tiles``, ``bars``, ``pies`` and ``tables``, each
     with the block's key. Every text's frame goes through the operator once,
@@ -104,18 +112,18 @@ def block_frames(spark: SparkSession, blocks: DataFrame, texts: Iterable[str]) -
     kinds: dict[str, list[DataFrame]] = {"tiles": [], "bars": [], "pies": [], "tables": []}
     for q, f in _planned(spark, texts):
         cat, val = FR.detect_columns(f.schema)
-        text = F.lit(q).alias("query")
-        kinds["tables"].append(f.select(text, F.to_json(F.struct(*[F.col(c) for c in f.columns]),
-                                                        {"ignoreNullFields": "false"}).alias("row")))
+        table = f.select(F.to_json(F.struct(*f.columns), {"ignoreNullFields": "false"}).alias("row"))
+        kinds["tables"].append(_of_query(table, q, "row"))
         if cat is None or val is None:
             continue
         order = [cat] + [c for c in f.columns if c != cat]
-        kinds["tiles"].append(FR.traffic_light_tiles(f, cat, val, order_by=order).select(text, "*"))
-        kinds["bars"].append(FR.bar_series(f, cat, val, order_by=order).select(
-            text, F.col("category").cast("string").alias("category"), F.col("value").cast("double").alias("value"),
-            F.col("stack_base").cast("double").alias("stack_base"), "color"))
-        kinds["pies"].append(FR.pie_shares(f, cat, val).select(
-            text, F.col(val).cast("bigint").alias("value"), "pct", "label"))
+        kinds["tiles"].append(_of_query(FR.traffic_light_tiles(f, cat, val, order_by=order), q, "value_text"))
+        bars = FR.bar_series(f, cat, val, order_by=order).select(
+            F.col("category").cast("string").alias("category"), F.col("value").cast("double").alias("value"),
+            F.col("stack_base").cast("double").alias("stack_base"), "color")
+        kinds["bars"].append(_of_query(bars, q, "color"))
+        pies = FR.pie_shares(f, cat, val).select(F.col(val).cast("bigint").alias("value"), "pct", "label")
+        kinds["pies"].append(_of_query(pies, q, "label"))
     types = {"tiles": ["traffic_lights"], "bars": ["vertical_bar", "horizontal_bar"], "pies": ["pie_chart"],
              "tables": ["table"]}
     out = {}

@@ -3,8 +3,8 @@
     python tools/plan_report.py [--sf /root/testdata/sf0.01] > PLANS.md
 
 Per query: shuffles, join strategies, aggregate kinds, windows, Python
-stages, and red flags (single-partition exchanges, nested-loop or cartesian
-joins). Plans are the initial adaptive plans (before runtime re-planning).
+stages, and red flags (single-partition exchanges, windows without a
+partition, nested-loop or cartesian joins). Plans are the initial adaptive plans (before runtime re-planning).
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ PATTERNS = {
     "hash_agg": r"\bHashAggregate",
     "sort_agg": r"SortAggregate",
     "window": r"\bWindow \[",
+    "open_window": r"\bWindow \[[^\n]*?windowspecdefinition\([^,()]* (?:ASC|DESC)",
     "group_limit": r"WindowGroupLimit",
-    "python": r"ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas|MapInPandas",
+    "python": r"ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas|MapInPandas|MapInArrow",
     "scans": r"FileScan parquet|Scan ExistingRDD|Scan json",
 }
 
@@ -44,10 +45,10 @@ def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     a = ap.parse_args()
-    import __spark_entry__ as E
+    from reportlake.plans.registry import all_queries
 
-    spark = get_spark("local[8]", **{"spark.sql.shuffle.partitions": "8"})
-    qs = E.queries()
+    spark = get_spark("local[2]", **{"spark.sql.shuffle.partitions": "8"})
+    qs = all_queries()
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `tools/plan_report.py` at `{a.sf}` (initial adaptive plans; AQE may still turn a")
     print("shuffle join into a broadcast join at runtime when the measured side is small).\n")
