@@ -203,30 +203,33 @@ def _remaining(spark: SparkSession, placed: DataFrame, sets: DataFrame, percent:
 
     With J(p, o) below the threshold, and d(m) the symmetric difference of m and
     p: a link of m and o needs |m diff o| <= r (|m| + |o|), r = (1 - j) / (1 + j),
-    hence |d(m) & d(o)| >= max((|d(m)| + r (|p| - |m|)) / 2, |d(m)| - r |m| (1 + 1 / j)).
+    hence |d(m) & d(o)| > (|d(m)| + r (|p| - |m|)) / 2 and >= |d(m)| - r |m| (1 + 1 / j).
     All but that many less one of d(m)'s elements, in any fixed order, must hold
     one of d(o)'s; elements foreign to p come first, as few members share them.
     """
     j = percent / 100
     r = (1 - j) / (1 + j)
     comp = placed.select("rep", "comp").distinct()
-    groups = (placed.where("rep <> a").select(F.col("a").alias("p"), F.col("rep").alias("m"), "comp").distinct()
+    groups = (placed.where("rep <> a").groupBy(F.col("a").alias("p"), F.col("rep").alias("m"), "comp")
+              .agg(F.collect_set("bucket").alias("buckets"))  # at most one per band
               .join(comp.select(F.col("rep").alias("p"), F.col("comp").alias("home")), "p"))
     own = (groups.join(sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("x")), "p")
            .join(sets.select(F.col("doc_id").alias("m"), F.col("shingles").alias("y")), "m"))
     differ = F.concat(F.sort_array(F.array_except("y", "x")), F.sort_array(F.array_except("x", "y")))
-    own = own.select("p", "m", "comp", "home", F.size("x").alias("n_p"), F.size("y").alias("n_m"),
+    own = own.select("p", "m", "comp", "home", "buckets", F.size("x").alias("n_p"), F.size("y").alias("n_m"),
                      differ.alias("differ"))
     own = staged(spark, own, "differences")
     n = F.size("differ")
-    shared = F.greatest(F.lit(1), F.ceil((n + r * (F.col("n_p") - F.col("n_m"))) / 2 - 1e-6),
+    shared = F.greatest(F.lit(1), F.floor((n + r * (F.col("n_p") - F.col("n_m"))) / 2 + 1e-6) + 1,
                         F.ceil(n - r * F.col("n_m") * (1 + 1 / j) - 1e-6)).cast("int")
-    probe = own.select("p", "m", "comp", "n_m", F.explode(F.slice("differ", F.lit(1), F.greatest(
+    probe = own.select("p", "m", "comp", "n_m", "buckets", F.explode(F.slice("differ", F.lit(1), F.greatest(
         n - shared + 1, F.lit(0)))).alias("e"))
     outside = own.where("comp <> home").select(
-        "p", F.col("m").alias("o"), F.col("comp").alias("oc"), F.col("n_m").alias("n_o"), F.explode("differ").alias("e"))
+        "p", F.col("m").alias("o"), F.col("comp").alias("oc"), F.col("n_m").alias("n_o"), F.col("buckets").alias("ob"),
+        F.explode("differ").alias("e"))
     near = 100 * F.least("n_m", "n_o") >= percent * F.greatest("n_m", "n_o")
-    return (probe.join(outside, ["p", "e"]).where((F.col("comp") != F.col("oc")) & near)
+    meet = F.arrays_overlap("buckets", "ob")
+    return (probe.join(outside, ["p", "e"]).where((F.col("comp") != F.col("oc")) & near & meet)
             .select(F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b")).distinct())
 
 
