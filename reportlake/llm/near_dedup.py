@@ -197,6 +197,21 @@ def _confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent:
             .select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def _folded(words: int = 8) -> Column:
+    """The hashes in ``differ`` folded into a bitmap of ``words`` 64-bit words."""
+    return F.array(*[F.expr(
+        f"aggregate(filter(differ, e -> (shiftright(e, 6) & {words - 1}) = {k}), 0L, "
+        "(acc, e) -> acc | shiftleft(1L, CAST(e & 63 AS INT)))") for k in range(words)])
+
+
+def _missing(a: str, b: str, words: int = 8) -> Column:
+    """Bits of bitmap ``a`` that ``b`` lacks: no more than the elements of a's set that b's lacks."""
+    out = F.lit(0)
+    for k in range(words):
+        out = out + F.bit_count(F.get(a, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(k)))))
+    return out
+
+
 def _remaining(spark: SparkSession, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that can be linked among the members of divided buckets, apart
     from those with the smallest member. ``placed`` has (bucket, rep, a, comp).
@@ -206,6 +221,7 @@ def _remaining(spark: SparkSession, placed: DataFrame, sets: DataFrame, percent:
     hence |d(m) & d(o)| > (|d(m)| + r (|p| - |m|)) / 2 and >= |d(m)| - r |m| (1 + 1 / j).
     All but that many less one of d(m)'s elements, in any fixed order, must hold
     one of d(o)'s; elements foreign to p come first, as few members share them.
+    Bitmaps of the differences bound how many m and o share from above.
     """
     j = percent / 100
     r = (1 - j) / (1 + j)
@@ -218,17 +234,17 @@ def _remaining(spark: SparkSession, placed: DataFrame, sets: DataFrame, percent:
     differ = F.concat(F.sort_array(F.array_except("y", "x")), F.sort_array(F.array_except("x", "y")))
     own = own.select("p", "m", "comp", "home", "buckets", F.size("x").alias("n_p"), F.size("y").alias("n_m"),
                      differ.alias("differ"))
-    own = staged(spark, own, "differences")
+    own = staged(spark, own.withColumn("bits", _folded()), "differences")
     n = F.size("differ")
     shared = F.greatest(F.lit(1), F.floor((n + r * (F.col("n_p") - F.col("n_m"))) / 2 + 1e-6) + 1,
                         F.ceil(n - r * F.col("n_m") * (1 + 1 / j) - 1e-6)).cast("int")
-    probe = own.select("p", "m", "comp", "n_m", "buckets", F.explode(F.slice("differ", F.lit(1), F.greatest(
+    probe = own.select("p", "m", "comp", "n_m", "buckets", "bits", (n - shared).alias("spare"), F.explode(F.slice("differ", F.lit(1), F.greatest(
         n - shared + 1, F.lit(0)))).alias("e"))
     outside = own.where("comp <> home").select(
         "p", F.col("m").alias("o"), F.col("comp").alias("oc"), F.col("n_m").alias("n_o"), F.col("buckets").alias("ob"),
-        F.explode("differ").alias("e"))
+        F.col("bits").alias("obits"), F.explode("differ").alias("e"))
     near = 100 * F.least("n_m", "n_o") >= percent * F.greatest("n_m", "n_o")
-    meet = F.arrays_overlap("buckets", "ob")
+    meet = F.arrays_overlap("buckets", "ob") & (_missing("bits", "obits") <= F.col("spare"))
     return (probe.join(outside, ["p", "e"]).where((F.col("comp") != F.col("oc")) & near & meet)
             .select(F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b")).distinct())
 
