@@ -9,9 +9,10 @@ then its encoded stretches are unwrapped, each into a new layer:
   a compressed stream (gzip, zlib, Zstandard), which is inflated first.
 
 New layers join the worklist until none is left. A layer whose text was
-already seen in the same document is not entered again, so cycles end; each
-decoding shortens a text or inflates a stream whose size is bounded, so the
-rest ends too. Spans found in a layer are mapped back, layer by layer, to the
+already seen in the same document with the same origins is not entered again,
+so cycles end (equal texts of two places are both entered); each decoding
+shortens a text or inflates a stream whose size is bounded, so the rest ends
+too. Spans found in a layer are mapped back, layer by layer, to the
 smallest stretch of the document that holds them.
 
 One pass over the documents, no shuffle. Only texts that hold an encoded
@@ -78,6 +79,10 @@ class Layer:
     pieces: list[tuple[int, int, int, int]]
     path: tuple[str, ...]
 
+    def key(self) -> tuple:
+        """Equal for layers that hold the same text from the same places."""
+        return self.text, tuple(self.pieces)
+
     def origin(self, start: int, end: int) -> tuple[int, int]:
         lo = hi = None
         for i in range(self._first(start), len(self.pieces)):
@@ -255,8 +260,8 @@ def find_secrets(text: str) -> list[tuple[str, int, int, str]]:
     at the same place is reported once, with its shortest path.
     """
     found: dict[tuple[str, int, int], str] = {}
-    seen = {text}
     work = [Layer(text, [(0, len(text), 0, len(text))], ())]
+    seen = {work[0].key()}
     while work:
         deeper = []
         for layer in work:
@@ -268,8 +273,9 @@ def find_secrets(text: str) -> list[tuple[str, int, int, str]]:
             for s, e in bombs:
                 found.setdefault(("packed", s, e), "/".join((*layer.path, "base64")))
             for x in (*made, *below):
-                if x.text not in seen:
-                    seen.add(x.text)
+                key = x.key()
+                if key not in seen:
+                    seen.add(key)
                     deeper.append(x)
         work = deeper
     return sorted(((k, s, e, p) for (k, s, e), p in found.items()),

@@ -218,6 +218,18 @@ def test_nested_layers_map_back(layer, path):
     assert secret_scan.redact(text) == text[:spans[0][1]] + "[REDACTED]" + text[spans[-1][2]:]
 
 
+@pytest.mark.parametrize("layer", [
+    b64(PLAIN.encode()), b64(b64(PLAIN.encode()).encode()), b64(gzip.compress(PLAIN.encode(), mtime=0)),
+    b64(b64(zlib.compress(PLAIN.encode())).encode()),
+])
+def test_equal_layers_at_two_places_are_both_found(layer):
+    text = f"first {layer} then\n{layer} end"
+    spans = [x for x in secret_scan.find_secrets(text) if x[0] == "assign"]
+    for start in (text.index(layer), text.rindex(layer)):
+        assert any(start <= s < e <= start + len(layer) for _, s, e, _ in spans)
+    assert secret_scan.find_secrets(secret_scan.redact(text)) == []
+
+
 def test_layers_end_and_bombs_are_reported(monkeypatch):
     monkeypatch.setattr(secret_scan, "MAX_INFLATED", 1000)
     bomb = b64(zlib.compress(b"a" * 100_000))
