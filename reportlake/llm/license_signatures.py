@@ -2,7 +2,8 @@
 
 Hand-written names of licences, as patterns over lower-cased words joined by
 single blanks, times a few phrasings. Each signature carries a keyword that a
-text must hold before the pattern is tried, and a level: lower levels win
+text must hold before the pattern is tried (every match of the pattern has a
+word that begins with it), and a level: lower levels win
 over higher ones where one interval holds the other.
 """
 
@@ -18,15 +19,18 @@ NAMES: tuple[tuple[str, str, str], ...] = (
     ("mit-0", "mit", r"mit(?: no attribution| 0)"),
     ("x11", "x11", r"(?:mit )?x11"),
     ("isc", "isc", r"isc"),
-    ("0bsd", "bsd", r"(?:0bsd|zero clause bsd|bsd zero clause|bsd 0 clause)"),
+    ("0bsd", "0bsd", r"0bsd"),
+    ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause|bsd 0 clause)"),
     ("bsd-1-clause", "bsd", r"(?:bsd 1 clause|1 clause bsd)"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
+    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
+    ("bsd-2-clause", "freebsd", r"freebsd"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|old bsd|bsd 4 clause|4 clause bsd|four clause bsd)"),
     ("bsd", "bsd", r"bsd"),
     ("apache-1.0", "apache", r"apache(?: software)?(?: license)?" + _V + r" v?1 0"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?" + _V + r" v?1 1"),
-    ("apache-2.0", "apache", r"(?:apache(?: software)?(?: license)?" + _V + r" v?2(?: 0)?|asl v?2(?: 0)?)"),
+    ("apache-2.0", "apache", r"apache(?: software)?(?: license)?" + _V + r" v?2(?: 0)?"),
+    ("apache-2.0", "asl", r"asl v?2(?: 0)?"),
     ("apache", "apache", r"apache(?: software)?"),
     ("gpl-1.0", "general", r"(?:gnu )?general public license" + _V + r" v?1(?: 0)?"),
     ("gpl-2.0", "general", r"(?:gnu )?general public license" + _V + r" v?2(?: 0)?"),
@@ -63,7 +67,8 @@ NAMES: tuple[tuple[str, str, str], ...] = (
     ("wtfpl", "wtfpl", r"wtfpl"),
     ("openssl", "openssl", r"openssl"),
     ("php-3.01", "php", r"php(?: license)?" + _V + r" v?3(?: 0| 01)?"),
-    ("python-2.0", "python", r"(?:python(?: software foundation)?|psf)"),
+    ("python-2.0", "python", r"python(?: software foundation)?"),
+    ("python-2.0", "psf", r"psf"),
     ("ruby", "ruby", r"ruby"),
     ("ofl-1.1", "font", r"(?:sil )?open font license(?:" + _V + r" v?1(?: 1)?)?"),
     ("odbl-1.0", "odbl", r"odbl(?:" + _V + r" v?1(?: 0)?)?"),
@@ -117,7 +122,7 @@ NOTICES: tuple[tuple[int, str, str, str], ...] = (
     (1, "cc0-1.0", "creativecommons", r"creativecommons org publicdomain zero 1 0"),
     (3, "copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9]"),
     (3, "license-notice", "license", r"(?:see|read) (?:the )?license(?: file)?(?: for (?:more )?(?:details|information))"),
-    (3, "license-notice", "license", r"(?:licensed|released|distributed) under (?:the )?(?:terms of )?"),
+    (3, "license-notice", "under", r"(?:licensed|released|distributed) under(?: the)?(?: terms of)?"),
 )
 
 #: Phrases of the contract and their labels (fixed values).

@@ -14,7 +14,7 @@ from hypothesis import given, settings, strategies as st
 from conftest import SF_TINY
 from llm.fixture import ascii_lower, by_row, frame, prose, texts
 from reportlake.llm import bpe, secret_scan
-from reportlake.llm.license_signatures import BASE, SCORES, signatures
+from reportlake.llm.license_signatures import BASE, NAMES, NOTICES, PHRASINGS, SCORES, signatures
 from reportlake.llm.queries import LLM_QUERIES, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,6 +101,56 @@ def test_license_scan_equals_brute_force(spark, tiny):
     assert len(signatures()) >= 200
 
 
+def examples(pattern):
+    """One text for every choice of alternatives and of optional parts in a pattern."""
+    from re import _parser
+
+    def expand(parts):
+        out = [""]
+        for op, arg in parts:
+            name = str(op)
+            if name == "LITERAL":
+                some = [chr(arg)]
+            elif name == "IN":
+                some = [next(chr(c) for c in range(48, 123) if re.match(r"[a-z0-9]", chr(c)) and _matches(arg, c))]
+            elif name == "SUBPATTERN":
+                some = expand(arg[-1])
+            elif name == "BRANCH":
+                some = [x for way in arg[1] for x in expand(way)]
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                some = [x * k for k in sorted({arg[0], max(arg[0], 1)}) for x in expand(arg[2])]
+            else:
+                assert name == "NOT_LITERAL", name
+                some = ["q"]
+            out = [a + b for a in out for b in some]
+        return set(out)
+
+    return expand(_parser.parse(pattern))
+
+
+def _matches(choices, code):
+    return any(arg == code if str(op) == "LITERAL" else arg[0] <= code <= arg[1] for op, arg in choices)
+
+
+def test_every_match_passes_its_gate():
+    rows = [(key, name) for _, key, name in NAMES] + [(key, p) for _, _, key, p in NOTICES]
+    rows += [(key, p) for _, key, p in BASE] + [(cue, before + "q" + after) for _, cue, before, after in PHRASINGS]
+    for word, pattern in rows:
+        for text in examples(pattern):
+            assert re.search(rf"(?<= )(?:{pattern})(?= )", f" {text} ")
+            assert text == text.strip()
+            assert f" {word}" in f" {text}", (word, text)
+    assert {s.keyword for s in signatures()} | {s.cue for s in signatures()} == {word for word, _ in rows}
+
+
+def test_names_without_the_common_keyword(spark):
+    from reportlake.llm.licenses import license_scan
+    want = {"SPDX-License-Identifier: 0BSD": ("0bsd", 1.0), "licensed under the FreeBSD license": ("bsd-2-clause", 0.9),
+            "released under ASL 2.0": ("apache-2.0", 0.9), "PSF license": ("python-2.0", 0.8), "distributed under rules of its own": ("license-notice", 0.7)}
+    got = license_scan(frame(spark, [(i, t, None) for i, t in enumerate(want)]))
+    assert by_row(got, "doc_id", "labels", "score") == [(i, *x) for i, x in enumerate(want.values())]
+
+
 # BPE
 
 @pytest.fixture(scope="module")
