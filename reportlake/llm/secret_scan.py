@@ -5,8 +5,14 @@ then its encoded stretches are unwrapped, each into a new layer:
 
 * URL escapes (``%41``) and Unicode escapes (``\\u0041``, ``\\x41``), decoded
   in place, so every decoded character knows the stretch it came from;
-* base64 runs (standard and URL-safe alphabets) whose bytes are UTF-8 text or
-  a compressed stream (gzip, zlib, Zstandard), which is inflated first.
+* base64 runs (standard and URL-safe alphabets, also wrapped over lines): each
+  is decoded from all four places of its character grid, so a prefix glued to
+  it does no harm, and every printable stretch that is long enough for a secret
+  is a layer, whatever bytes stand beside it;
+* compressed streams (gzip, zlib, Zstandard) that start anywhere in a run, with
+  all they inflate to before they end or break off.
+
+All that is looked for is ASCII, so bytes beyond it only part the stretches.
 
 New layers join the worklist until none is left. A layer whose text was
 already seen in the same document with the same origins is not entered again,
@@ -22,12 +28,12 @@ stretch or a secret cost more than a few pattern searches.
 from __future__ import annotations
 
 import base64
-import binascii
-import gzip
+import bisect
 import hashlib
-import io
+import itertools
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -46,8 +52,18 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal: a match starts where a
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNI = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
-#: A run of base64 characters that is long enough to hold a secret.
-_B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run of base64 characters, whole or wrapped over lines (indented or not).
+_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*"
+                  r"|[A-Za-z0-9+/_-]+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+)={0,2}")
+_B64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_STANDARD = str.maketrans("-_", "+/")
+#: Characters of a run and bytes of a stretch that are long enough to hold a secret (``token=`` and six more).
+MIN_RUN, MIN_BYTES = 16, 12
+_PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{%d,}" % MIN_BYTES)
+#: How gzip, zlib (without a dictionary) and Zstandard streams start in base64.
+_STREAM = re.compile(r"(?=H4sI|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])|KLUv/[Q-Za-f])")
+#: Characters of a run inflated at once.
+_STEP = 256
 
 #: Bytes one stream may inflate to. A larger stream is not text of a training
 #: document but a decompression bomb: the stretch is reported as kind ``packed``.
@@ -70,13 +86,12 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 class Layer:
     """A decoded text and the stretch of the document behind each part of it.
 
-    ``pieces`` are (start in this text, end, start in the document, end); a
-    piece as long on both sides maps character by character, any other maps
-    whole.
+    ``pieces`` are (start in this text, end, start in the document, end, even);
+    an even piece maps character by character, any other maps whole.
     """
 
     text: str
-    pieces: list[tuple[int, int, int, int]]
+    pieces: list[tuple[int, int, int, int, bool]]
     path: tuple[str, ...]
 
     def key(self) -> tuple:
@@ -86,12 +101,11 @@ class Layer:
     def origin(self, start: int, end: int) -> tuple[int, int]:
         lo = hi = None
         for i in range(self._first(start), len(self.pieces)):
-            a, b, x, y = self.pieces[i]
+            a, b, x, y, even = self.pieces[i]
             if a >= end:
                 break
             if b <= start:
                 continue
-            even = b - a == y - x
             s, e = (x + max(start - a, 0), x + min(end, b) - a) if even else (x, y)
             lo = s if lo is None else min(lo, s)
             hi = e if hi is None else max(hi, e)
@@ -121,20 +135,19 @@ def _rewritten(layer: Layer, found: list[tuple[int, int, list[tuple[str, int, in
             return
         texts.append(layer.text[a:b])
         for i in range(layer._first(a), len(layer.pieces)):
-            p, q, x, y = layer.pieces[i]
+            p, q, x, y, even = layer.pieces[i]
             if p >= b:
                 break
             s, e = max(p, a), min(q, b)
             if s < e:
-                even = q - p == y - x
-                pieces.append((at + s - a, at + e - a, *((x + s - p, x + e - p) if even else (x, y))))
+                pieces.append((at + s - a, at + e - a, *((x + s - p, x + e - p) if even else (x, y)), even))
         at += b - a
 
     for a, b, chars in found:
         keep(last, a)
         for c, s, e in chars:
             texts.append(c)
-            pieces.append((at, at + len(c), *layer.origin(s, e)))
+            pieces.append((at, at + len(c), *layer.origin(s, e), False))
             at += len(c)
         last = b
     keep(last, len(layer.text))
@@ -180,76 +193,103 @@ class TooLarge(Exception):
     pass
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """The content of a compressed stream, None if it is none."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            with gzip.GzipFile(fileobj=io.BytesIO(raw)) as f:
-                out = f.read(MAX_INFLATED + 1)
-        elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            d = zlib.decompressobj()
-            out = d.decompress(raw, MAX_INFLATED + 1)
-            if not d.eof and len(out) <= MAX_INFLATED:
-                return None
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-            with zstandard.ZstdDecompressor(max_window_size=MAX_INFLATED).stream_reader(io.BytesIO(raw)) as f:
-                out = f.read(MAX_INFLATED + 1)
-        else:
-            return None
-    except Exception as e:  # noqa: BLE001 - any damaged stream: not a layer
-        if isinstance(e, MemoryError):
-            raise
-        return None
-    if len(out) > MAX_INFLATED:
-        raise TooLarge
-    return out
-
-
-def _printable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def _opened(head: bytes):
+    """A reader of the compressed stream that starts here, None if none does."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+        return zstandard.ZstdDecompressor(max_window_size=MAX_INFLATED).decompressobj()
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    return None
+
+
+def _inflate(parts: Iterator[bytes]) -> tuple[bytes, int, bool]:
+    """What the compressed streams at the start hold, up to their end or to where
+    they are damaged, how many of the bytes belong to them, and whether they are
+    damaged. The parts are small, so what one of them inflates to is bounded."""
+    out, fed, rest, stream, d = bytearray(), 0, b"", bytearray(), None
+    for part in parts:
+        fed += len(part)
+        rest += part
+        while len(rest) >= 4 or (rest and d is not None):
+            if d is None:
+                d, stream, before = _opened(rest), bytearray(), len(out)
+                if d is None:
+                    return bytes(out), fed - len(rest), False
+            try:
+                out += d.decompress(rest)
+            except MemoryError:
+                raise
+            except Exception:  # noqa: BLE001 - a damaged stream: read again, byte by byte up to the damage
+                del out[before:]
+                d = _opened(bytes(stream + rest))
+                try:
+                    out += d.decompress(bytes(stream))
+                    for k in range(len(rest)):
+                        out += d.decompress(rest[k:k + 1])
+                except Exception:  # noqa: BLE001
+                    pass
+                return bytes(out), fed, True
+            if len(out) > MAX_INFLATED:
+                raise TooLarge
+            stream += rest
+            rest = d.unused_data if d.eof else b""
+            if d.eof:
+                d = None
+    return bytes(out), fed - len(rest), False
+
+
+def _decoded(chars: str) -> bytes:
+    """Bytes of base64 characters; a last character that holds no whole byte is left out."""
+    chars = chars[:len(chars) - (len(chars) % 4 == 1)]
+    return base64.b64decode(chars + "=" * (-len(chars) % 4))
 
 
 def unwrap_base64(layer: Layer) -> tuple[list[Layer], list[tuple[int, int]]]:
-    """Layers of the base64 runs, and the runs whose streams are too large."""
+    """Layers of the base64 runs, and the stretches whose streams are too large."""
     layers, bombs = [], []
     for m in _B64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
+        if m.end() - m.start() < MIN_RUN:
             continue
-        std = body.replace("-", "+").replace("_", "/")
-        try:
-            raw = base64.b64decode(std + "=" * (-len(std) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        lines = [x.span() for x in _B64_LINE.finditer(layer.text, *m.span())]
+        run = "".join(layer.text[a:b] for a, b in lines).translate(_STANDARD)
+        if len(run) < MIN_RUN:
             continue
-        name = "base64"
-        text = _printable(raw)
-        if text is None:
+        firsts = [0, *itertools.accumulate(b - a for a, b in lines)]
+
+        def place(i: int, firsts=firsts, lines=lines) -> int:
+            """Where a character of the run stands in the layer."""
+            k = bisect.bisect_right(firsts, i) - 1
+            return lines[k][0] + i - firsts[k]
+
+        def origin(i: int, j: int, m=m, n=len(run), place=place) -> tuple[int, int]:
+            return layer.origin(place(i), place(j - 1) + 1 if j < n else m.end())
+
+        for shift in range(4):
+            raw = _decoded(run[shift:])
+            for part in _PRINTABLE.finditer(raw):
+                # three bytes come from four characters; a character maps to the quantum of its byte
+                first, last = part.span()
+                pieces = [(max(3 * q, first) - first, min(3 * q + 3, last) - first,
+                           *origin(shift + 4 * q, shift + 4 * q + 4), False)
+                          for q in range(first // 3, (last + 2) // 3)]
+                layers.append(Layer(part[0].decode("ascii"), pieces, (*layer.path, "base64")))
+        for start in (x.start() for x in _STREAM.finditer(run)):
             try:
-                inflated = _inflate(raw)
+                inflated, used, damaged = _inflate(_decoded(run[i:i + _STEP]) for i in range(start, len(run), _STEP))
             except TooLarge:
-                bombs.append(layer.origin(*m.span()))
+                bombs.append(origin(start, len(run)))
                 continue
-            text = _printable(inflated) if inflated else None
-            name = "base64+inflate"
-            chunks = [(0, len(text), *layer.origin(*m.span()))] if text else []
-        else:
-            # three bytes come from four characters; a character maps to the quanta of its bytes
-            chunks, k = [], 0
-            even = len(text) == len(raw)
-            step = 3 if even else len(text)
-            for a in range(0, len(text), step):
-                b = min(a + step, len(text))
-                s = m.start() + (k * 4) // 3 if even else m.start()
-                e = min(m.start() + 4 * ((a + 3) // 3), m.end()) if even and b < len(text) else m.end()
-                chunks.append((a, b, *layer.origin(s, e)))
-                k = b
-        if text:
-            layers.append(Layer(text, chunks, (*layer.path, name)))
+            # two bytes mark a zlib stream: they stand anywhere by chance, and what they lead to then is noise
+            if damaged and run[start] == "e" and start not in firsts and layer.text[place(start) - 1] not in "/-_":
+                continue
+            if len(inflated) >= MIN_BYTES:
+                end = start + 4 * ((used + 2) // 3)
+                text = inflated.decode("latin-1")
+                layers.append(Layer(text, [(0, len(text), *origin(start, end), False)],
+                                    (*layer.path, "base64+inflate")))
     return layers, bombs
 
 
@@ -260,7 +300,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int, str]]:
     at the same place is reported once, with its shortest path.
     """
     found: dict[tuple[str, int, int], str] = {}
-    work = [Layer(text, [(0, len(text), 0, len(text))], ())]
+    work = [Layer(text, [(0, len(text), 0, len(text), True)], ())]
     seen = {work[0].key()}
     while work:
         deeper = []

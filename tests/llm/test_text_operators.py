@@ -3,12 +3,14 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import urllib.parse
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings, strategies as st
 
 from conftest import SF_TINY
@@ -280,6 +282,45 @@ def test_equal_layers_at_two_places_are_both_found(layer):
     assert secret_scan.find_secrets(secret_scan.redact(text)) == []
 
 
+def wrapped(raw: bytes, width: int, end: str = "\n") -> str:
+    text = b64(raw)
+    return end.join(text[i:i + width] for i in range(0, len(text), width))
+
+
+LONG = f"{prose(60, 11)} {PLAIN} {prose(60, 12)}".encode()
+
+
+@pytest.mark.parametrize("layer, before, after", [
+    (wrapped(LONG, 76), "", ""), (wrapped(LONG, 64, "\r\n"), "", ""), (wrapped(LONG, 10, "\n    "), "", ""),
+    (wrapped(gzip.compress(LONG), 76), "", ""), (wrapped(zlib.compress(LONG), 50), "", ""),
+    *[(b64(x), "a" * n + glue, tail) for x in (PLAIN.encode(), gzip.compress(LONG), zlib.compress(LONG))
+      for n, glue, tail in ((1, "/", ""), (2, "-", ""), (3, "_", ""), (4, "/", ""), (0, "https://h/x/", " y"))],
+    *[(b64(x).rstrip("="), "/v1/", "/more-and_more/") for x in (PLAIN.encode(), gzip.compress(LONG))],
+    *[(b64(f"{a}{PLAIN}{b}".encode()), "", "") for c in ("\u00a0", "\u200b", "\0") for a, b in ((c, ""), ("", c))],
+    (b64(gzip.compress(f"\0{PLAIN}\u200b".encode())), "", ""), (b64(b"\xff\xfe" + PLAIN.encode() + b"\x80"), "", ""),
+    (b64(gzip.compress(LONG) + gzip.compress(PLAIN.encode())), "", ""),
+    (b64(gzip.compress(PLAIN.encode())[:-8] + b"badsum??"), "", ""),
+    (b64(zstandard.compress(LONG) + b"trailing"), "id-", ""), (wrapped(zstandard.compress(LONG), 76), "", ""),
+    (b64(zlib.compress(PLAIN.encode() + bytes(random.Random(1).randbytes(5000)))[:2000]), "", ""),
+])
+def test_wrapped_glued_and_partly_printable_runs(layer, before, after):
+    text = f"çé words {before}{layer}{after} more"
+    start = text.index(layer)
+    spans = [x for x in secret_scan.find_secrets(text) if x[0] == "assign"]
+    assert any(start <= s < e <= start + len(layer) + 3 for _, s, e, _ in spans)
+    assert not [x for x in secret_scan.find_secrets(secret_scan.redact(text)) if x[0] == "assign"]
+
+
+def test_spans_of_wrapped_and_inflated_runs_are_tight():
+    text = wrapped(LONG, 76)
+    at = len(LONG[:LONG.index(PLAIN.encode())]) // 3 * 4
+    (_, s, e, path), = secret_scan.find_secrets(text)
+    assert path == "base64" and s == at + at // 76 and e - s <= 4 * (len(PLAIN) // 3 + 2) + 1
+    for n in range(40, 90):  # a text as long as its own run is still mapped whole
+        run = b64(zlib.compress((PLAIN + "a" * n).encode()))
+        assert secret_scan.redact(f"x {run} y") == "x [REDACTED] y"
+
+
 def test_layers_end_and_bombs_are_reported(monkeypatch):
     monkeypatch.setattr(secret_scan, "MAX_INFLATED", 1000)
     bomb = b64(zlib.compress(b"a" * 100_000))
