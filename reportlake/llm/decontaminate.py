@@ -14,9 +14,17 @@ fixed threshold, so the bounds of WAND are known when the index is built:
 * what is left is scored exactly.
 
 Both bounds are never too low, so nothing above the threshold is lost. The
-passages of a batch advance together as arrays. Retrieved pairs are verified:
-the shares of the question's and of the answer's five-word shingles that stand
-in the passage (the answer is the item's last sentence).
+passages of a batch advance together as arrays. An item's question is in the
+index beside the whole item, so it is retrieved where it stands alone. Retrieved
+pairs are verified by the shares of the question's and of the answer's five-word
+shingles that stand in the passage (the answer is the item's last sentence); an
+item is found where
+
+* half of its question's shingles stand, if these are ``LEAST`` or more;
+* or half of the question's and half of the answer's;
+* or ``OVERLAP`` of both together;
+* but an item of fewer than ``LEAST`` shingles only where it stands whole, and
+  one of fewer than five words nowhere: such words stand in any text.
 
 The items are taken in blocks of bounded size, one pass over the documents for
 each; documents are never shuffled.
@@ -39,8 +47,10 @@ from reportlake.llm.components import staged
 K1, B = 1.2, 0.75
 #: Share of its own score that an item has to reach.
 THRESHOLD = 0.6
-#: Share of an item's shingles that has to stand in the passage.
-OVERLAP = 0.8
+#: Shares of an item's shingles, of its question's and of its answer's that have to stand in the passage.
+OVERLAP, QUESTION, ANSWER = 0.8, 0.5, 0.5
+#: Shingles that a question by itself, or an item, has at least to be told by shares.
+LEAST = 5
 SHINGLE = 5
 #: Items and bytes of item text in one block of the index: what is sent to the tasks is bounded.
 BLOCK_ITEMS, BLOCK_BYTES = 10_000, 16 << 20
@@ -87,11 +97,14 @@ def _held(parts: set[tuple], passage: dict[int, set[tuple]], words: list[bytes])
 
 @dataclass
 class Index:
-    """Impacts of one block of items, all divided by the items' own scores."""
+    """Impacts of one block of items, all divided by the items' own scores. With
+    questions, these follow the items as rows of their own."""
 
     items: list[int]
+    parent: list[int]         # row of the item that a row stands for
     question: list[set[tuple]]
     answer: list[set[tuple]]
+    whole: list[tuple]        # words of the short items, () for others
     term: dict[bytes, int]
     item_terms: np.ndarray    # items x longest: terms of each item, padded with an unused term
     item_impacts: np.ndarray  # impacts beside them, padded with 0
@@ -103,16 +116,24 @@ class Index:
 
 
 def build_index(items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, mean_words: float,
-                threshold: float = THRESHOLD) -> Index:
+                threshold: float = THRESHOLD, with_questions: bool = False) -> Index:
     """Index of (item id, text) rows; ``df``, ``n_items`` and ``mean_words`` are of all items."""
     term: dict[bytes, int] = {}
-    scored, questions, answers, longest = [], [], [], 1
-    for _, text in items:
+    scored, questions, answers, whole, longest = [], [], [], [], 1
+    rows, alone = [], []
+    for i, (_, text) in enumerate(items):
         words = words_of(text)
         longest = max(longest, len(words))
         q, a = question_answer(text)
         questions.append(shingles(q))
         answers.append(shingles(a))
+        whole.append(tuple(words) if len(questions[i]) + len(answers[i]) < LEAST else ())
+        rows.append(words)
+        if with_questions and len(questions[i]) >= LEAST and a:
+            alone.append((i, q))
+    parent = [*range(len(items)), *(i for i, _ in alone)]
+    items = [items[i] for i in parent]
+    for words in [*rows, *(q for _, q in alone)]:
         row = {}
         for t, f in Counter(words).items():
             idf = math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5))
@@ -135,7 +156,7 @@ def build_index(items: list[tuple[int, str]], df: dict[bytes, int], n_items: int
                 pivots.append((t, i))
     pivots.sort()
     starts = np.searchsorted(np.array([t for t, _ in pivots]), np.arange(n_terms + 2))
-    return Index([i for i, _ in items], questions, answers, term, item_terms, item_impacts, starts,
+    return Index([i for i, _ in items], parent, questions, answers, whole, term, item_terms, item_impacts, starts,
                  np.array([i for _, i in pivots], dtype=np.int64), block_max, threshold, 2 * longest)
 
 
@@ -169,6 +190,13 @@ def retrieve(index: Index, passage: np.ndarray, code: np.ndarray, n: int) -> lis
 
 def leaks(index: Index, texts: list[str]) -> list[dict[int, tuple[float, float, float, float]]]:
     """For each text, the verified items: index position -> (score, question share, answer share, share)."""
+    def verified(i: int, q: int, a: int, words: list[bytes], runs: dict[int, set[tuple]]) -> bool:
+        n_q, n_a, short = len(index.question[i]), len(index.answer[i]), index.whole[i]
+        if n_q + n_a < LEAST:
+            return len(short) >= SHINGLE and _held({short}, runs, words) == 1
+        asked = q >= QUESTION * n_q
+        return asked and (n_q >= LEAST or a >= ANSWER * n_a) or q + a >= OVERLAP * (n_q + n_a)
+
     out: list[dict] = [{} for _ in texts]
     step = index.length // 2
     get, unused = index.term.get, len(index.term)
@@ -185,10 +213,11 @@ def leaks(index: Index, texts: list[str]) -> list[dict[int, tuple[float, float,
             d, k = part[p]
             words = lists[d][k:k + index.length]
             runs = seen.setdefault(p, {})
+            i = index.parent[i]
             q, a = _held(index.question[i], runs, words), _held(index.answer[i], runs, words)
             n_q, n_a = len(index.question[i]), len(index.answer[i])
             share = (q + a) / (n_q + n_a)
-            if share >= OVERLAP and share > out[d].get(i, (0, 0, 0, 0))[3]:
+            if (share, score) > out[d].get(i, (0, 0, 0, 0))[3::-3] and verified(i, q, a, words, runs):
                 out[d][i] = (score, q / n_q if n_q else 1.0, a / n_a if n_a else 1.0, share)
     return out
 
@@ -225,9 +254,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   item_col: str = "item_id", item_text_col: str = "text",
                   threshold: float = THRESHOLD) -> DataFrame:
     """One row per document row and test item found in it: the id, ``item_id``,
-    ``score`` (share of the item's own BM25 score), ``question_overlap``,
-    ``answer_overlap`` and ``overlap`` (shares of shingles, ``OVERLAP`` or more),
-    each of the passage with the greatest overlap.
+    ``score`` (share of the own BM25 score of the item, or of its question where
+    that is more), ``question_overlap``, ``answer_overlap`` and ``overlap``
+    (shares of shingles, by the rule of this module), each of the passage with
+    the greatest overlap.
 
     Null or empty texts and texts without words hold no item, and such items are
     found nowhere; items with a null id are ignored. A null document id is kept.
@@ -244,7 +274,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
     parts = []
     for rows, df in zip(blocks, dfs):
-        index = build_index(rows, df, n_items, mean, threshold)
+        index = build_index(rows, df, n_items, mean, threshold, with_questions=True)
 
         def run(cols: dict[str, list], index: Index = index) -> dict[str, list]:
             out: dict[str, list] = {k: [] for k in ("_id", "item_id", "score", "question_overlap", "answer_overlap",
@@ -292,7 +322,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                              F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
     blocks, dfs, n_items, mean = item_blocks(items)
     for rows, df in zip(blocks, dfs):
-        index = build_index(rows, df, n_items, mean, threshold)
+        index = build_index(rows, df, n_items, mean, threshold, with_questions=True)
 
         docs = docs.where(_clean(index)(F.col(text_col)))
     return docs

@@ -161,6 +161,21 @@ def test_contamination_finds_verbatim_items_only(spark):
         assert decontaminate.contamination(d, i).count() == 0
 
 
+def test_questions_alone_and_near_copies_are_found(spark):
+    q = [f"ask{i}" for i in range(25)]
+    a = [f"say{i}" for i in range(13)]
+    item = " ".join(q) + ". " + " ".join(a)
+    changed = q[:8] + ["other"] + q[9:16] + ["word"] + q[17:]
+    items = items_frame(spark, [(1, item), (2, "alpha beta"), (3, "two plus two is four"), (4, "a b c d")])
+    rows = [(1, " ".join(q)), (2, " ".join([*changed, *a])), (3, " ".join([*q, *a[:6], "else", *a[7:]])),
+            (4, "an alpha beta text a b c d"), (5, "so two plus two is four here"), (6, "two plus two five is four"),
+            (7, " ".join(q[:10] + a[:3])), (8, prose(40, 1) + " " + " ".join(q) + " " + prose(300, 2))]
+    docs = frame(spark, [(i, t, None) for i, t in rows])
+    got = decontaminate.contamination(docs, items)
+    assert by_row(got, "doc_id", "item_id") == [(1, 1), (2, 1), (3, 1), (5, 3), (8, 1)]
+    assert by_row(decontaminate.drop_contaminated(docs, items), "doc_id") == [(4,), (6,), (7,)]
+
+
 def test_contamination_in_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
     rows = texts() + [(50, ITEMS[0][1], None), (51, ITEMS[1][1], None)]
