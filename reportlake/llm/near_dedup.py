@@ -25,6 +25,8 @@ no shared band, and less than one in 10^8 for the sketch bound.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -306,16 +308,63 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _several(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Ids whose rows hold more than one text."""
+    mark = F.struct(F.col(text_col).isNull().alias("none"), F.length(text_col).alias("n"),
+                    F.xxhash64(text_col).alias("x"), F.crc32(F.col(text_col).cast("binary")).alias("c"))
+    marked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), mark.alias("_mark"))
+    return (marked.groupBy(id_col).agg(F.min("_mark").alias("lo"), F.max("_mark").alias("hi"))
+            .where(~F.col("lo").eqNullSafe(F.col("hi"))).select(id_col))
+
+
+def _text_keys(docs: DataFrame, several: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The texts of ``several`` ids as (_id, _text, _key): each with a key of its
+    own that is no id of ``docs``, salted anew where one is."""
+    spark = docs.sparkSession
+    texts = docs.join(several, id_col, "left_semi").select(F.col(id_col).alias("_id"),
+                                                           F.col(text_col).alias("_text")).distinct()
+    texts = staged(spark, texts, "id-texts")
+    ids = docs.select(F.col(id_col).cast("bigint").alias("_key"))
+    for salt in itertools.count():
+        keys = texts.withColumn("_key", F.xxhash64(F.lit(salt), F.lit("id-text"), "_id", F.col("_text").isNull(), "_text"))
+        twice = keys.groupBy("_key").count().where("count > 1")
+        if twice.isEmpty() and keys.join(ids, "_key", "left_semi").isEmpty():
+            return keys
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the one with
-    the smallest id stays, unchanged. Rows that share an id are one document, of
-    which the least row stays (by text, then by the other columns). Rows with a
-    null id all stay."""
-    found = near_duplicates(docs, words, percent, id_col, text_col)
-    gone = found.where("not kept").select(id_col).distinct()
-    order = [text_col, *[c for c in docs.columns if c not in (text_col, id_col)]]
-    one = (docs.where(F.col(id_col).isNotNull()).groupBy(id_col)
-           .agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_row"))
-           .select(id_col, "_row.*").join(gone, id_col, "left_anti"))
-    return one.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    the smallest id stays, unchanged. Rows that share an id and a text are one
+    document, of which the least row stays (by the other columns); rows that
+    share an id but not the text are documents of their own, of which those that
+    are linked leave one (the least by text). Rows with a null id all stay."""
+    spark = docs.sparkSession
+    several = staged(spark, _several(docs, id_col, text_col), "several")
+    others = [c for c in docs.columns if c not in (text_col, id_col)]
+    known = docs.where(F.col(id_col).isNotNull())
+    row = F.min(F.struct(*[F.col(c) for c in (text_col, *others)])).alias("_row")
+    nameless = docs.where(F.col(id_col).isNull())
+    if several.isEmpty():
+        gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(id_col).distinct()
+        one = known.groupBy(id_col).agg(row).select(id_col, "_row.*").join(gone, id_col, "left_anti")
+        return one.select(*docs.columns).union(nameless)
+
+    keys = _text_keys(docs, several, id_col, text_col)
+    single = known.join(several, id_col, "left_anti")
+    texts = single.select(F.col(id_col).cast("bigint").alias("_key"), F.col(text_col).alias("_text")).union(
+        keys.select("_key", "_text"))
+    found = near_duplicates(texts, words, percent, "_key", "_text").select("_key", "component_id").distinct()
+    # The smallest id of a component, which the smallest key need not be.
+    order = F.struct(F.coalesce("_id", "_single").alias("id"), F.col("_text").alias("text"), F.col("_key").alias("key"))
+    owner = found.join(keys.select("_key", F.col("_id").cast("bigint").alias("_id"), "_text"), "_key", "left")
+    owner = owner.withColumn("_single", F.when(F.col("_id").isNull(), F.col("_key")))
+    best = staged(spark, owner.groupBy("component_id").agg(F.min(order).alias("o")).select(
+        F.col("o.key").alias("_key")), "stay")
+    one = single.groupBy(id_col).agg(row).select(id_col, "_row.*").withColumn(
+        "_key", F.col(id_col).cast("bigint")).join(best, "_key", "left_semi").select(*docs.columns)
+    stay = keys.join(best, "_key", "left_semi").select(F.col("_id"), F.col("_text"))
+    parted = known.join(several, id_col, "left_semi").groupBy(id_col, text_col).agg(row).select(id_col, "_row.*")
+    parted = parted.join(stay, parted[id_col].eqNullSafe(stay["_id"]) & parted[text_col].eqNullSafe(stay["_text"]),
+                         "left_semi").select(*docs.columns)
+    return one.union(parted).union(nameless)

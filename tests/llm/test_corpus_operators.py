@@ -135,6 +135,18 @@ def test_automata_compare_words_in_blocks(spark, monkeypatch):
     assert a.starts(b"q a b c d x y z") == [1, 2, 5]
 
 
+def test_unlinked_texts_of_one_id_stay(spark):
+    one, two, three = prose(80, 31), prose(80, 32), prose(80, 33)
+    near = " ".join([*two.split()[:40], "changed", *two.split()[41:]])
+    rows = [(1, one), (1, two), (1, two), (1, near), (2, three), (3, two), (3, None), (3, ""), (None, one), (4, one),
+            (5, three), (5, one), (5, prose(50, 34)), (0, three), (6, prose(50, 35)), (6, prose(50, 35))]
+    got = near_dedup.keep_one(frame(spark, [(i, t, "en") for i, t in rows]))
+    assert got.columns == frame(spark, []).columns
+    assert by_row(got, "doc_id", "text") == sorted(
+        [(1, one), (1, min(two, near)), (3, None), (3, ""), (None, one), (5, prose(50, 34)), (0, three),
+         (6, prose(50, 35))], key=repr)
+
+
 # benchmark items
 
 ITEMS = [(1, "What stands on the quiet hill? A copper lamp and nine grey stones."), (2, prose(45, 60)), (3, None),
