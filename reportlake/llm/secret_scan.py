@@ -199,6 +199,12 @@ def _opened(head: bytes):
         return zlib.decompressobj(31)
     if head[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
+        try:
+            window = zstandard.get_frame_parameters(head).window_size
+        except zstandard.ZstdError:
+            return None
+        if window > MAX_INFLATED:
+            raise TooLarge
         return zstandard.ZstdDecompressor(max_window_size=MAX_INFLATED).decompressobj()
     if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
         return zlib.decompressobj()
@@ -210,10 +216,11 @@ def _inflate(parts: Iterator[bytes]) -> tuple[bytes, int, bool]:
     they are damaged, how many of the bytes belong to them, and whether they are
     damaged. The parts are small, so what one of them inflates to is bounded."""
     out, fed, rest, stream, d = bytearray(), 0, b"", bytearray(), None
-    for part in parts:
+    for part in itertools.chain(parts, [b""]):
         fed += len(part)
         rest += part
-        while len(rest) >= 4 or (rest and d is not None):
+        # the longest head of a stream, but for the end of the run
+        while len(rest) >= (18 if part else 4) or (rest and d is not None):
             if d is None:
                 d, stream, before = _opened(rest), bytearray(), len(out)
                 if d is None:
@@ -337,7 +344,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null or empty text has no secrets. A null id is kept; repeated rows give
     repeated results, an empty table an empty one; other columns are not read,
     whatever their names. Texts are scanned whole; a stream that inflates
-    beyond ``MAX_INFLATED`` bytes is itself reported, as kind ``packed``.
+    beyond ``MAX_INFLATED`` bytes, or asks for a window beyond it, is itself
+    reported, as kind ``packed``.
     """
     def run(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("secrets", "n_assign", "n_access", "n_hex", "base_sha256", "spans")}

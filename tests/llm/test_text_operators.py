@@ -328,6 +328,15 @@ def test_layers_end_and_bombs_are_reported(monkeypatch):
     assert secret_scan.find_secrets("%25" * 50 + "41 \\u005cu0041 " * 20) == []
 
 
+def test_zstandard_windows_past_the_limit_are_reported():
+    params = zstandard.ZstdCompressionParameters(window_log=27)
+    d = zstandard.ZstdCompressor(compression_params=params).compressobj()
+    run = b64(d.compress(PLAIN.encode()) + d.flush())
+    assert zstandard.get_frame_parameters(base64.b64decode(run)).window_size > secret_scan.MAX_INFLATED
+    assert ("packed", 2, 2 + len(run)) in [x[:3] for x in secret_scan.find_secrets(f"x {run} y")]
+    assert secret_scan.redact(f"x {run} y") == "x [REDACTED] y"
+
+
 # token counts
 
 def test_token_counts_equal_the_library(spark, tiny):
