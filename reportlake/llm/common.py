@@ -70,3 +70,19 @@ def by_size(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[range]:
         total += n
     if start < len(sizes):
         yield range(start, len(sizes))
+
+
+class _Letters(dict):
+    """For ``str.translate``: letters (category L) stay, all else becomes a blank."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = out = code if chr(code).isalpha() else 32
+        return out
+
+
+_LETTERS = _Letters()
+
+
+def letter_words(text: str) -> list[str]:
+    """The runs of letters of a text, lower-cased."""
+    return text.lower().translate(_LETTERS).split()

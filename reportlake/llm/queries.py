@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reportlake.llm.common import table, tuned
 from reportlake.llm.sql import oracles
@@ -88,3 +88,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reportlake.llm.substring_dedup import repeated_passages
     return repeated_passages(table(spark, sf_dir, "documents")).drop("removed")
+
+
+@query("op11_hard_negatives")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reportlake.llm.hard_negatives import hard_negatives
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), anchor=F.col("vec_id") % 100 == 0)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reportlake.llm.periodic_runs import periodic_runs, runs_text, with_repeats
+    docs = table(spark, sf_dir, "documents")
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periodic_runs(docs.select("doc_id", with_repeats(F.col("text"), seed).alias("text")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reportlake.llm.toxicity import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")

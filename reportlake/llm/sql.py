@@ -81,6 +81,24 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_remove
 FROM w LEFT JOIN kept USING (rid) LEFT JOIN cnt USING (rid)"""
 
 
+def hard_negatives_sql() -> str:
+    return """WITH v AS (SELECT row_number() OVER () AS rid, vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS y,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid AS a, a.vec_id AS anchor_id, b.vec_id AS id, a.y = b.y AS same,
+    CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.rid <> b.rid),
+p AS (SELECT a, id AS positive_id, score AS ps, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS k
+  FROM s WHERE same QUALIFY k <= 5),
+f AS (SELECT p.a, k, positive_id, ps, anchor_id, id, score,
+    row_number() OVER (PARTITION BY p.a, k ORDER BY score DESC, id) AS r
+  FROM p JOIN s ON s.a = p.a AND NOT same AND 30 * ps <= 100 * score AND 100 * score <= 90 * ps QUALIFY r <= 10)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, id AS negative_id, ps AS positive_score,
+  score AS negative_score FROM f"""
+
+
 def oracles() -> dict[str, str]:
     return {"op1_quality_rules": quality_rules_sql(), "op5_near_dedup": near_dedup_sql(),
-            "op10_substring_dedup": substring_dedup_sql()}
+            "op10_substring_dedup": substring_dedup_sql(), "op11_hard_negatives": hard_negatives_sql()}
