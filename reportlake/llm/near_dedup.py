@@ -6,17 +6,17 @@
    holds the samples that differ, and its population count estimates a high
    similarity closely.
 2. Equal sets collapse to their smallest document.
-3. In each band bucket every member is paired with the smallest one only; pairs
-   whose sketches tell of a clearly smaller similarity are dropped, the others
-   are confirmed on the full sets, and confirmed links become components.
-4. In buckets that still hold several components, let p be the smallest member
-   and o one that is not linked with p. Where another member m shares nothing
-   with o of what sets each apart from p, m is no nearer to o than p is, so m is
-   not linked with o either. A link needs a certain share of those differences,
-   so m's first differences (those foreign to p first) are matched with all of
-   o's, which gives every pair that can be linked and few others. These are
-   confirmed as before: every candidate pair is confirmed, refused, or already
-   connected.
+3. Each band bucket has a pivot, its member that meets the most others over all
+   its buckets: the most central text of a family, so the buckets of a family
+   mostly share one. Every member is paired with the pivot only; pairs whose
+   sketches tell of a clearly smaller similarity are dropped, the others are
+   confirmed on the full sets, and confirmed links become components.
+4. In buckets that still hold several components, each member is described by how
+   its set differs from the pivot's, the differences that fewest members share
+   first. Two members can be linked only if they share many differences, so the
+   first one that they share must stand early in both lists; a join on it gives
+   every pair that can be linked and few others. These are confirmed as before:
+   every candidate pair is confirmed, refused, or already connected.
 
 Buckets are joined, never gathered; no step emits the pairs within a group.
 Odds of missing a link at the threshold: (1 - 0.8^5)^44, about 3 in 10^8, for
@@ -36,6 +36,8 @@ from reportlake.llm.components import components, staged
 
 BANDS, ROWS = 44, 5
 SKETCH_SAMPLES, SKETCH_BITS = 200, 1024
+#: Members of one pivot that are compared with it in one task, about.
+PIECE = 1000
 #: Pairs whose estimated similarity is below this are dropped unconfirmed.
 SKETCH_LEAST = 0.55
 
@@ -199,56 +201,77 @@ def _confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent:
             .select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def _folded(words: int = 8) -> Column:
-    """The hashes in ``differ`` folded into a bitmap of ``words`` 64-bit words."""
-    return F.array(*[F.expr(
-        f"aggregate(filter(differ, e -> (shiftright(e, 6) & {words - 1}) = {k}), 0L, "
-        "(acc, e) -> acc | shiftleft(1L, CAST(e & 63 AS INT)))") for k in range(words)])
-
-
-def _missing(a: str, b: str, words: int = 8) -> Column:
-    """Bits of bitmap ``a`` that ``b`` lacks: no more than the elements of a's set that b's lacks."""
-    out = F.lit(0)
-    for k in range(words):
-        out = out + F.bit_count(F.get(a, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(b, F.lit(k)))))
-    return out
+def _pivots(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """(bucket, rep, ``a``): the members of buckets of two and more, with the pivot of each."""
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    multi = staged(spark, rows.join(shared, "bucket"), "buckets")
+    central = multi.groupBy("rep").agg(F.sum("n").alias("meets"))
+    order = F.struct(F.col("meets"), (-F.col("rep")).alias("low"))
+    pivots = multi.join(central, "rep").groupBy("bucket").agg(F.max_by("rep", order).alias("a"))
+    return staged(spark, multi.select("bucket", "rep").join(pivots, "bucket"), "pivots")
+
+
+def _differences(spark: SparkSession, placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(row, p, m, comp, z_p, z_m, differ) of every pivot p and other member m of its
+    buckets: the set sizes, and the elements that one of the sets has and the other
+    lacks, those that fewest members of p share first. The members of one pivot are
+    spread over pieces of about ``PIECE``."""
+    members = placed.where("rep <> a").select(F.col("a").alias("p"), F.col("rep").alias("m"), "comp").distinct()
+    pieces = members.groupBy("p").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    pivots = (pieces.join(sets, F.col("p") == F.col("doc_id"))
+              .select("p", "pieces", F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+                      .alias("piece")))
+    members = members.join(pieces, "p").withColumn("piece", F.pmod(F.xxhash64("m"), "pieces")).drop("pieces")
+    pairs = members.join(pivots.drop("pieces"), ["p", "piece"]).join(
+        sets.select(F.col("doc_id").alias("m"), F.col("shingles").alias("y")), "m")
+    both = F.concat(F.array_except("y", "x"), F.array_except("x", "y"))
+    # An id may stand for several sets: lists belong to a pivot's set, and are rows of their own.
+    rows = staged(spark, pairs.select(
+        F.monotonically_increasing_id().alias("row"), F.xxhash64("p", "x").alias("p"), "m", "comp",
+        F.size("x").alias("z_p"), F.size("y").alias("z_m"), both.alias("differ")), "differences")
+    each = rows.select("row", "p", F.explode("differ").alias("e"))
+    common = each.groupBy("p", "e").agg(F.count("*").alias("df"))
+    listed = each.join(common, ["p", "e"]).groupBy("row").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("df", "e"))), lambda x: x["e"]).alias("differ"))
+    return staged(spark, rows.drop("differ").join(listed, "row"), "ordered")
 
 
 def _remaining(spark: SparkSession, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that can be linked among the members of divided buckets, apart
-    from those with the smallest member. ``placed`` has (bucket, rep, a, comp).
-
-    With J(p, o) below the threshold, and d(m) the symmetric difference of m and
-    p: a link of m and o needs |m diff o| <= r (|m| + |o|), r = (1 - j) / (1 + j),
-    hence |d(m) & d(o)| > (|d(m)| + r (|p| - |m|)) / 2 and >= |d(m)| - r |m| (1 + 1 / j).
-    All but that many less one of d(m)'s elements, in any fixed order, must hold
-    one of d(o)'s; elements foreign to p come first, as few members share them.
-    Bitmaps of the differences bound how many m and o share from above.
+    from those with the pivot. ``placed`` has (bucket, rep, a, comp).
+
+    d(m) is the difference of m and the pivot p, Q = 100 + percent, R = 100 -
+    percent. m and o are linked if |m diff o| <= (|m| + |o|) R / Q, that is, if they
+    share t = (E(m) + E(o)) / 2 Q differences or more, E = Q |d| - R |set|. Among
+    the members, ``near`` ones are linked with p (E <= R |p|), the others are ``far``;
+    two near ones are in one component already. The first shared difference, at
+    places a and b of the two lists, leaves room for 1 + min(|d(m)| - a, |d(o)| - b)
+    shared ones. As E(o) > R |p| for a far o, and t >= |d(o)| - |m diff o| with |m| <=
+    100 |o| / percent, lists are cut where no such pair can begin.
     """
-    j = percent / 100
-    r = (1 - j) / (1 + j)
-    comp = placed.select("rep", "comp").distinct()
-    groups = (placed.where("rep <> a").groupBy(F.col("a").alias("p"), F.col("rep").alias("m"), "comp")
-              .agg(F.collect_set("bucket").alias("buckets"))  # at most one per band
-              .join(comp.select(F.col("rep").alias("p"), F.col("comp").alias("home")), "p"))
-    own = (groups.join(sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("x")), "p")
-           .join(sets.select(F.col("doc_id").alias("m"), F.col("shingles").alias("y")), "m"))
-    differ = F.concat(F.sort_array(F.array_except("y", "x")), F.sort_array(F.array_except("x", "y")))
-    own = own.select("p", "m", "comp", "home", "buckets", F.size("x").alias("n_p"), F.size("y").alias("n_m"),
-                     differ.alias("differ"))
-    own = staged(spark, own.withColumn("bits", _folded()), "differences")
-    n = F.size("differ")
-    shared = F.greatest(F.lit(1), F.floor((n + r * (F.col("n_p") - F.col("n_m"))) / 2 + 1e-6) + 1,
-                        F.ceil(n - r * F.col("n_m") * (1 + 1 / j) - 1e-6)).cast("int")
-    probe = own.select("p", "m", "comp", "n_m", "buckets", "bits", (n - shared).alias("spare"), F.explode(F.slice("differ", F.lit(1), F.greatest(
-        n - shared + 1, F.lit(0)))).alias("e"))
-    outside = own.where("comp <> home").select(
-        "p", F.col("m").alias("o"), F.col("comp").alias("oc"), F.col("n_m").alias("n_o"), F.col("buckets").alias("ob"),
-        F.col("bits").alias("obits"), F.explode("differ").alias("e"))
-    near = 100 * F.least("n_m", "n_o") >= percent * F.greatest("n_m", "n_o")
-    meet = F.arrays_overlap("buckets", "ob") & (_missing("bits", "obits") <= F.col("spare"))
-    return (probe.join(outside, ["p", "e"]).where((F.col("comp") != F.col("oc")) & near & meet)
-            .select(F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b")).distinct())
+    q, r = 100 + percent, 100 - percent
+    own = _differences(spark, placed, sets)
+    n, e = F.size("differ"), q * F.size("differ") - r * F.col("z_m")
+    own = own.select("p", "m", "comp", "z_m", "differ", n.alias("n"), e.alias("e"), (r * F.col("z_p")).alias("limit"))
+    alone = F.greatest(F.lit(1), n - F.floor(r * F.col("z_m") / percent))
+    with_far = F.greatest(alone, F.floor((F.col("e") + F.col("limit")) / (2 * q)) + 1)
+
+    def begun(rows: DataFrame, least: Column, side: str) -> DataFrame:
+        """A row for each difference at which a pair can begin, if it shares at least ``least``."""
+        early = F.slice("differ", F.lit(1), F.greatest(n - least + 1, F.lit(0)).cast("int"))
+        rows = rows.select("p", F.posexplode(early).alias("at", "d"), *[
+            F.col(c).alias(c + side) for c in ("m", "comp", "z_m", "n", "e")])
+        return rows.withColumn("room" + side, F.col("n" + side) - F.col("at")).drop("at", "n" + side)
+
+    far, near = F.col("e") > F.col("limit"), F.col("e") <= F.col("limit")
+    shared = F.greatest(F.lit(1), F.ceil((F.col("e1") + F.col("e2")) / (2 * q)))
+    fit = ((F.col("comp1") != F.col("comp2")) & (shared <= F.least("room1", "room2"))
+           & (100 * F.least("z_m1", "z_m2") >= percent * F.greatest("z_m1", "z_m2")))
+    late = begun(own.where(far), with_far, "2")
+    far_far = begun(own.where(far), with_far, "1").join(late, ["p", "d"]).where(fit & (F.col("m1") < F.col("m2")))
+    near_far = begun(own.where(near), with_far, "1").join(begun(own.where(far), alone, "2"), ["p", "d"]).where(fit)
+    return (far_far.select("m1", "m2").union(near_far.select("m1", "m2"))
+            .select(F.least("m1", "m2").alias("a"), F.greatest("m1", "m2").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -278,12 +301,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         "rep", "n_shingles", "sketch", "bands")
 
     rows = nodes.select(F.explode("bands").alias("bucket"), "rep")
-    least = rows.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").drop("z")
-    multi = staged(spark, rows.join(least, "bucket"), "buckets")
+    multi = _pivots(spark, rows)
 
     ids = multi.select(F.col("rep").alias("doc_id")).distinct()
-    sets = staged(spark, _sets(texts.join(ids, "doc_id", "left_semi"), words), "sets")
-    star = multi.where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    whole = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = staged(spark, _sets(whole, words), "sets")
+    star = multi.where("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
     links = _confirmed(spark, _likely(star, nodes, percent), sets, percent)
     # Rows of one id with several sets: their sets' first documents belong together.
     shared = members.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u < v")
@@ -308,63 +331,73 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _several(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Ids whose rows hold more than one text."""
-    mark = F.struct(F.col(text_col).isNull().alias("none"), F.length(text_col).alias("n"),
-                    F.xxhash64(text_col).alias("x"), F.crc32(F.col(text_col).cast("binary")).alias("c"))
-    marked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), mark.alias("_mark"))
-    return (marked.groupBy(id_col).agg(F.min("_mark").alias("lo"), F.max("_mark").alias("hi"))
-            .where(~F.col("lo").eqNullSafe(F.col("hi"))).select(id_col))
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names that are no column of ``docs``, one for each of ``names``."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(x for x in (f"{name}{'_' * i}" for i in itertools.count()) if x not in taken) for name in names]
 
 
-def _text_keys(docs: DataFrame, several: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The texts of ``several`` ids as (_id, _text, _key): each with a key of its
-    own that is no id of ``docs``, salted anew where one is."""
-    spark = docs.sparkSession
-    texts = docs.join(several, id_col, "left_semi").select(F.col(id_col).alias("_id"),
-                                                           F.col(text_col).alias("_text")).distinct()
-    texts = staged(spark, texts, "id-texts")
-    ids = docs.select(F.col(id_col).cast("bigint").alias("_key"))
+def _one_of(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of ``docs`` for each value of ``keys`` (nulls are values): the least by its
+    columns' JSON text, which orders columns of any type."""
+    row, order = _fresh(docs, "row", "order")
+    whole = docs.select(*[F.col(f"`{k}`") for k in keys], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
+    least = whole.withColumn(order, F.to_json(row)).groupBy(*[f"`{k}`" for k in keys]).agg(
+        F.min_by(row, order).alias(row))
+    return least.select(*[F.col(row)[c].alias(c) for c in docs.columns])
+
+
+def _text_keys(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text, key): distinct texts of repeated ids, each with a key of its own that
+    is not among ``ids``, salted anew where one is."""
+    spark = texts.sparkSession
+    texts = staged(spark, texts.distinct(), "id-texts")
     for salt in itertools.count():
-        keys = texts.withColumn("_key", F.xxhash64(F.lit(salt), F.lit("id-text"), "_id", F.col("_text").isNull(), "_text"))
-        twice = keys.groupBy("_key").count().where("count > 1")
-        if twice.isEmpty() and keys.join(ids, "_key", "left_semi").isEmpty():
+        keys = texts.withColumn("key", F.xxhash64(F.lit(salt), F.lit("id-text"), "id", F.col("text").isNull(), "text"))
+        twice = keys.groupBy("key").count().where("count > 1")
+        if twice.isEmpty() and keys.join(ids, F.col("key") == F.col("id_"), "left_semi").isEmpty():
             return keys
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the one with
-    the smallest id stays, unchanged. Rows that share an id and a text are one
-    document, of which the least row stays (by the other columns); rows that
-    share an id but not the text are documents of their own, of which those that
-    are linked leave one (the least by text). Rows with a null id all stay."""
+    the smallest id stays, unchanged.
+
+    Rows that share an id and a text are one document, of which one row stays
+    (the least by its columns' JSON text). Rows that share an id but not the text
+    are documents of their own, of which those that are linked leave one (the
+    least by text). Rows with a null id all stay, as do empty and null texts of
+    different ids, which are linked with nothing. An empty table gives an empty one.
+    Other columns may have any type and any name.
+    """
     spark = docs.sparkSession
-    several = staged(spark, _several(docs, id_col, text_col), "several")
-    others = [c for c in docs.columns if c not in (text_col, id_col)]
-    known = docs.where(F.col(id_col).isNotNull())
-    row = F.min(F.struct(*[F.col(c) for c in (text_col, *others)])).alias("_row")
-    nameless = docs.where(F.col(id_col).isNull())
-    if several.isEmpty():
-        gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(id_col).distinct()
-        one = known.groupBy(id_col).agg(row).select(id_col, "_row.*").join(gone, id_col, "left_anti")
-        return one.select(*docs.columns).union(nameless)
-
-    keys = _text_keys(docs, several, id_col, text_col)
-    single = known.join(several, id_col, "left_anti")
-    texts = single.select(F.col(id_col).cast("bigint").alias("_key"), F.col(text_col).alias("_text")).union(
-        keys.select("_key", "_text"))
-    found = near_duplicates(texts, words, percent, "_key", "_text").select("_key", "component_id").distinct()
-    # The smallest id of a component, which the smallest key need not be.
-    order = F.struct(F.coalesce("_id", "_single").alias("id"), F.col("_text").alias("text"), F.col("_key").alias("key"))
-    owner = found.join(keys.select("_key", F.col("_id").cast("bigint").alias("_id"), "_text"), "_key", "left")
-    owner = owner.withColumn("_single", F.when(F.col("_id").isNull(), F.col("_key")))
-    best = staged(spark, owner.groupBy("component_id").agg(F.min(order).alias("o")).select(
-        F.col("o.key").alias("_key")), "stay")
-    one = single.groupBy(id_col).agg(row).select(id_col, "_row.*").withColumn(
-        "_key", F.col(id_col).cast("bigint")).join(best, "_key", "left_semi").select(*docs.columns)
-    stay = keys.join(best, "_key", "left_semi").select(F.col("_id"), F.col("_text"))
-    parted = known.join(several, id_col, "left_semi").groupBy(id_col, text_col).agg(row).select(id_col, "_row.*")
-    parted = parted.join(stay, parted[id_col].eqNullSafe(stay["_id"]) & parted[text_col].eqNullSafe(stay["_text"]),
-                         "left_semi").select(*docs.columns)
-    return one.union(parted).union(nameless)
+    known, nameless = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
+    plain = known.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    repeated = staged(spark, plain.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    again, = _fresh(docs, "id")
+    repeated = repeated.withColumnRenamed("id", again)
+    of_repeated = known[id_col].cast("bigint") == repeated[again]
+    if repeated.isEmpty():
+        gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(
+            F.col(id_col).cast("bigint").alias(again))
+        return known.join(gone, known[id_col].cast("bigint") == gone[again], "left_anti").union(nameless)
+
+    # Every text of a repeated id is a document under a key of its own.
+    single = plain.join(repeated, plain["id"] == repeated[again], "left_anti")
+    keys = _text_keys(plain.join(repeated, plain["id"] == repeated[again], "left_semi"),
+                      plain.select(F.col("id").alias("id_")))
+    nodes = staged(spark, single.select("id", "text", F.col("id").alias("key")).union(keys.select("id", "text", "key")),
+                   "nodes")
+    found = near_duplicates(nodes.select("key", "text"), words, percent, "key", "text").select("key", "component_id")
+    first = F.min(F.struct("id", "text", "key"))  # the smallest id, which the smallest key need not be
+    stay = staged(spark, nodes.join(found, "key").groupBy("component_id").agg(first.alias("o")).select("o.*"), "stay")
+
+    id_, text_ = _fresh(docs, "id", "text")
+    stay = stay.select(F.col("id").alias(id_), F.col("text").alias(text_))
+    alone = known.join(repeated, of_repeated, "left_anti").join(
+        stay.select(id_), F.col(f"`{id_col}`").cast("bigint") == F.col(id_), "left_semi")
+    parted = _one_of(known.join(repeated, of_repeated, "left_semi"), [id_col, text_col])
+    parted = parted.join(stay, (F.col(f"`{id_col}`").cast("bigint") == F.col(id_))
+                         & F.col(f"`{text_col}`").eqNullSafe(F.col(text_)), "left_semi")
+    return alone.union(parted).union(nameless)

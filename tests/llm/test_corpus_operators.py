@@ -11,6 +11,7 @@ import pytest
 
 from conftest import SF_SMALL, SF_TINY
 from llm.fixture import ascii_lower, by_row, frame, prose, texts
+from reportlake.llm.common import tuned
 from reportlake.llm import decontaminate, language_id, near_dedup, quality_model
 from reportlake.llm.components import components
 from reportlake.llm.queries import LLM_ORACLES, LLM_QUERIES
@@ -79,6 +80,67 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert by_row(got, "doc_id", "n_shingles", "component_id", "kept") == brute_near(rows, k)
 
 
+def family(members, seed=40):
+    """Texts of one template, no two linked: 200 common words, a tail of 30 that the first lacks, 22 changed words each."""
+    base, tail = prose(200, seed).split(), prose(30, seed + 1).split()
+    out = []
+    for i in range(members):
+        words = list(base) + (tail if i else [])
+        for k in range(22):
+            words[(37 * i + 9 * k) % 200] = f"m{i}x{k}"
+        out.append((i, " ".join(words), None))
+    return out
+
+
+def test_candidates_of_a_family_grow_with_its_members(spark, monkeypatch):
+    """Pairs confirmed per member stay level as a family grows."""
+    per_member = []
+    for members in (100, 200, 400):
+        seen = []
+        kept = near_dedup.staged
+
+        def counted(session, df, name):
+            out = kept(session, df, name)
+            if name == "pairs":
+                seen.append(out.count())
+            return out
+        with monkeypatch.context() as m:
+            m.setattr(near_dedup, "staged", counted)
+            got = near_dedup.near_duplicates(frame(spark, family(members)), words=2)
+            assert {r.component_id for r in got.collect()} == set(range(members))
+        per_member.append(sum(seen) / members)
+    assert per_member[-1] < 6 and per_member[-1] < 1.3 * per_member[0] + 1, per_member
+
+
+def test_links_between_members_far_from_the_pivot_are_found(spark):
+    """Pairs of near copies inside a family whose other members are not linked."""
+    rows = family(120)
+    for i in range(0, 120, 10):
+        words = rows[i][1].split()
+        words[3] = f"copy{i}"
+        rows.append((1000 + i, " ".join(words), None))
+    got = near_dedup.near_duplicates(frame(spark, rows), words=2)
+    assert by_row(got, "doc_id", "n_shingles", "component_id", "kept") == brute_near(rows, 2)
+
+
+def test_keep_one_keeps_columns_of_any_name_and_type(spark):
+    names = ("_key", "key", "row", "order", "id", "id_", "text_", "rep", "comp", "p", "m", "_row", "_mark", "_id", "_text")
+    schema = "doc_id int, text string, tags map<string,int>, " + ", ".join(f"{n} string" for n in names)
+    base, other = prose(40, 50), prose(40, 51)
+    ids = [(1, base), (2, base), (3, other), (4, base), (4, other + " more"), (5, base), (5, base), (None, base), (6, None), (6, "")]
+    rows = [(i, t, {"k": k}, *[f"{n}-{k}" for n in names]) for k, (i, t) in enumerate(ids)]
+    docs = tuned(spark).createDataFrame(rows, schema)
+    got = near_dedup.keep_one(docs)
+    assert got.schema == docs.schema
+    out = [tuple(r) for r in got.collect()]
+    assert all(r in rows for r in out)
+    assert sorted((r[0], r[1]) for r in out if r[0] is not None and r[1]) == sorted([(1, base), (3, other)])
+    assert sorted(r[1] is None for r in out if r[0] == 6) == [False, True] and sum(r[0] is None for r in out) == 1
+    alone = docs.where("doc_id < 4")
+    assert by_row(near_dedup.keep_one(alone), "doc_id", "_key") == [(1, "_key-0"), (3, "_key-2")]
+
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     assert near_dedup.near_duplicates(frame(spark, [(1, None, None), (None, "", None)])).where("kept").count() == 2
