@@ -2,8 +2,8 @@
 
 Terms are the words of letters, lower-cased, and the first letters of longer words
 (so that the forms of one stem meet). The vocabulary holds the terms whose
-presence tells the two labels apart (log-likelihood ratio over the labelled
-texts); weights are TF-IDF, of length one per text.
+presence tells the two labels apart (by log-likelihood ratio and lift over the
+labelled texts); weights are TF-IDF, of length one per text.
 
 The examples lie in blocks, ordered so that similar ones are neighbours. For each
 term there is a list of the blocks that hold it, with the greatest weight in
@@ -31,8 +31,9 @@ from reportlake.llm.common import id_bucket, letter_words, map_rows
 
 #: Labelled texts that teach, at most about this many (a sample by a hash of the text).
 TRAIN_DOCS = 40_000
-#: Terms are kept from this log-likelihood ratio on, at most ``MAX_TERMS`` of the highest.
-LEAST_RATIO, LEAST_TEXTS, MAX_TERMS = 30.0, 3, 4096
+#: Terms are kept from this log-likelihood ratio on, if they are ``LEAST_LIFT`` times as
+#: frequent under one label as under the other; at most ``MAX_TERMS`` of the highest.
+LEAST_RATIO, LEAST_LIFT, LEAST_TEXTS, MAX_TERMS = 30.0, 4.0, 3, 4096
 #: Letters of the stems beside the whole words.
 STEM = 4
 BLOCK = 64
@@ -99,42 +100,35 @@ class Index:
     def nearest(self, v: np.ndarray, x: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of the highest positive cosine (ties: first in the index)
         and their cosines, the example ``without`` left out."""
-        n_blocks = -(-len(self.labels) // BLOCK)
-        bound = np.zeros(n_blocks)
-        for t, w in zip(v.tolist(), x.tolist()):
-            a, b = self.at[t], self.at[t + 1]
-            bound[self.block[a:b]] += w * self.most[a:b]
-        blocks = np.nonzero(bound > 0)[0]
+        at, weight = _spans(self.at[v], self.at[v + 1], x)  # the lists of the text's terms, one after the other
+        block = self.block[at]
+        bound = np.bincount(block, weight * self.most[at])
+        blocks = np.nonzero(bound)[0]
         blocks = blocks[np.argsort(-bound[blocks], kind="stable")]
+        rank = np.empty(len(bound), dtype=np.int64)
+        rank[blocks] = np.arange(len(blocks))
+        place = rank[block]
         found, cosines, step, done = np.zeros(0, dtype=np.int64), np.zeros(0), 4, 0
         while done < len(blocks):
             if len(found) == k and bound[blocks[done]] < cosines[-1] - 1e-9:
                 break
-            some = np.sort(blocks[done:done + step])
+            some = np.nonzero((place >= done) & (place < done + step))[0]
+            p, w = _spans(self.first[at[some]], self.first[at[some] + 1], weight[some])
+            e = self.example[p]
+            table = np.bincount((rank[e // BLOCK] - done) * BLOCK + e % BLOCK, w * self.weight[p])
+            e = np.nonzero(table)[0]
+            c = np.round(np.minimum(table[e], 1.0), 9)
+            e = blocks[done + e // BLOCK] * BLOCK + e % BLOCK
             done, step = done + step, step * 2
-            e, c = self._scores(v, x, some)
             keep = e != without
             e, c = np.concatenate([found, e[keep]]), np.concatenate([cosines, c[keep]])
+            if len(c) > 4 * k:
+                most = c >= np.partition(c, len(c) - k)[len(c) - k]
+                e, c = e[most], c[most]
             best = np.lexsort((e, -c))[:k]
             found, cosines = e[best], c[best]
         return found, cosines
 
-    def _scores(self, v: np.ndarray, x: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the blocks that share a term, with their exact cosines."""
-        table = np.zeros(len(blocks) * BLOCK)
-        for t, w in zip(v.tolist(), x.tolist()):
-            a, b = self.at[t], self.at[t + 1]
-            k = a + np.searchsorted(self.block[a:b], blocks)
-            k = k[(k < b) & (self.block[np.minimum(k, b - 1)] == blocks)] if b > a else k[:0]
-            n = self.first[k + 1] - self.first[k]
-            if not len(n):
-                continue
-            p = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            e = self.example[p]
-            table[np.searchsorted(blocks, e // BLOCK) * BLOCK + e % BLOCK] += w * self.weight[p]
-        at = np.nonzero(table > 0)[0]
-        return blocks[at // BLOCK] * BLOCK + at % BLOCK, np.round(np.minimum(table[at], 1.0), 9)
-
     def vote(self, v: np.ndarray, x: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """Distance-weighted share of toxic votes, and the voters with their cosines."""
         if not len(v):
@@ -156,6 +150,12 @@ class Index:
             (self.ids[i], float(s), int(self.labels[i])) for i, s in zip(e.tolist(), c.tolist())]
 
 
+def _spans(first: np.ndarray, last: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all ranges first..last - 1, and each range's ``x`` for every place."""
+    n = last - first
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(x, n)
+
+
 def weighted(counts: Counter, vocabulary: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     got = sorted((vocabulary[t], n) for t, n in counts.items() if t in vocabulary)
     v = np.array([t for t, _ in got], dtype=np.int64)
@@ -267,7 +267,9 @@ def vocabulary_of(rows: DataFrame, n_toxic: float, n_other: float) -> tuple[list
     counted = map_rows(rows.select("y", "text"), count, "t string, a bigint, b bigint")
     counted = counted.groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(a + b >= LEAST_TEXTS)
     ratio = log_likelihood(a, b, n_toxic, n_other)
-    best = (counted.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
+    in_toxic, in_other = (a + 0.5) / (n_toxic + 1), (b + 0.5) / (n_other + 1)
+    lift = F.greatest(in_toxic / in_other, in_other / in_toxic)
+    best = (counted.withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (lift >= LEAST_LIFT))
             .orderBy(F.desc("ratio"), "t").limit(MAX_TERMS).collect())
     best.sort(key=lambda r: r["t"])
     n = n_toxic + n_other
