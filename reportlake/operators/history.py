@@ -104,6 +104,17 @@ def packed_order(ts: Column, value: Column) -> Column:
     return (t * _dec(2 ** 64) + (value.cast("decimal(38,0)") + _dec(2 ** 63))).cast("decimal(38,0)")
 
 
+def trend_columns(ends: DataFrame, keys: Sequence[str], first: str, last: str) -> DataFrame:
+    """A1's columns of the first and last values of every (keys, ``severity``)."""
+    start, end = F.col(first).cast("bigint"), F.col(last).cast("bigint")
+    change = end - start
+    pct = (F.when(start > 0, (change.cast("double") / start.cast("double")) * F.lit(100.0))
+           .when(end > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
+    trend = F.when(change < 0, "improved").when(change > 0, "worsened").otherwise("unchanged")
+    return ends.select(*keys, "severity", start.alias("start_value"), end.alias("end_value"),
+                       change.alias("change"), pct.alias("pct_change"), trend.alias("trend"))
+
+
 def trend_insights(h: DataFrame, keys: Sequence[str] = (), ts: str = TS, value: str = VALUE,
                    sev: str = SEV, order_by: str | None = None) -> DataFrame:
     """First-versus-last value per severity (A1, flagship).
@@ -134,14 +145,7 @@ def trend_insights(h: DataFrame, keys: Sequence[str] = (), ts: str = TS, value:
            .agg(F.min_by(value, order).alias("_s"), F.max_by(value, order).alias("_e"),
                 F.count(F.lit(1)).alias("_n"))
            .where(F.col("_n") >= 2))
-    start = F.col("_s").cast("bigint")
-    end = F.col("_e").cast("bigint")
-    change = end - start
-    pct = (F.when(start > 0, (change.cast("double") / start.cast("double")) * F.lit(100.0))
-           .when(end > 0, F.lit(100.0)).otherwise(F.lit(0.0)))
-    trend = F.when(change < 0, "improved").when(change > 0, "worsened").otherwise("unchanged")
-    out = agg.select(*keys, "severity", start.alias("start_value"), end.alias("end_value"),
-                     change.alias("change"), pct.alias("pct_change"), trend.alias("trend"))
+    out = trend_columns(agg, keys, "_s", "_e")
     if not keys:  # a single frame: at most six rows, present them in rank order
         out = out.orderBy(severity_rank("severity"))
     return out

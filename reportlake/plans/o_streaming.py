@@ -13,3 +13,8 @@ FROM (
 
 oracle("ingest_history_stream", _MERGED)
 oracle("trend_stream", f"SELECT * FROM ({trend_sql('mg', ['zone_id'])})", mg=_MERGED)
+
+_RECENT = """
+SELECT * FROM (SELECT *, max(timestamp) OVER (PARTITION BY zone_id, vuln_severity) AS newest FROM mg)
+WHERE timestamp >= newest - to_days(400)"""
+oracle("trend_stream_window", f"SELECT * FROM ({trend_sql('recent', ['zone_id'])})", mg=_MERGED, recent=_RECENT)

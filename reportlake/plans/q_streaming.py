@@ -22,3 +22,12 @@ def q_trend_stream(spark, d):
     base = scratch_path(spark, "trend")
     HS.land_history_fetches(FX.fx_history(spark, d), f"{base}/in", revise=True)
     return HS.trend_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", keys=["zone_id"])
+
+
+@query("trend_stream_window")
+def q_trend_stream_window(spark, d):
+    """Only the points of the last 400 days of each zone and severity count."""
+    base = scratch_path(spark, "trend-window")
+    HS.land_history_fetches(FX.fx_history(spark, d), f"{base}/in", revise=True)
+    return HS.trend_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", keys=["zone_id"],
+                           max_files_per_trigger=4, window_days=400)
