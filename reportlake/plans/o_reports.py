@@ -29,7 +29,7 @@ SELECT * FROM (VALUES
   ('q2', NULL, 'TABLE_OR_VIEW_NOT_FOUND'),
   ('', NULL, 'Query is required')) q(query, n, err)"""
 
-oracle("block_results", """
+RESULTS = """
 SELECT template_id, block_idx, type,
   CASE WHEN type = 'divider' THEN 'ok' WHEN err IS NOT NULL THEN 'error' WHEN coalesce(n, 0) = 0 THEN 'empty'
        ELSE 'ok' END AS status,
@@ -47,10 +47,18 @@ FROM (
   LEFT JOIN (SELECT days, zone, count(*) AS n FROM win GROUP BY days, zone) wc
     ON bl.type IN ('history', 'trend_summary') AND wc.days = bl.days AND wc.zone = bl.zone
   LEFT JOIN qs ON bl.type IN ('traffic_lights', 'vertical_bar', 'horizontal_bar', 'pie_chart', 'table')
-    AND qs.query = bl.query)""",
-       dh=DH, bl=BL.replace("coalesce(query, '') AS query",
-                            "CASE query WHEN 'q0' THEN 'q0' WHEN 'q1' THEN 'q1' WHEN 'q2' THEN 'q2' ELSE '' END AS query"),
-       zr=ZROWS, win=WIN, qs=QS)
+    AND qs.query = bl.query)"""
+_RESULT_VIEWS = {
+    "dh": DH,
+    "bl": BL.replace("coalesce(query, '') AS query",
+                     "CASE query WHEN 'q0' THEN 'q0' WHEN 'q1' THEN 'q1' WHEN 'q2' THEN 'q2' ELSE '' END AS query"),
+    "zr": ZROWS, "win": WIN, "qs": QS}
+
+oracle("block_results", RESULTS, **_RESULT_VIEWS)
+oracle("report_bundle_rows", RESULTS, **_RESULT_VIEWS)
+oracle("report_bundle", f"""
+SELECT CAST(template_id AS BIGINT) AS template_id, 'run-1' AS run_id, 'success' AS status, count(*) AS n_rows, true AS has_bytes
+FROM ({RESULTS}) GROUP BY template_id""", **_RESULT_VIEWS)
 
 oracle("run_reports_trends", f"""
 SELECT bl.template_id, bl.block_idx, t.* FROM bl JOIN ({trend_sql('win', ['days', 'zone'])}) t

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from reportlake.operators import maintenance as M
 from reportlake.plans import reports as R
 from reportlake.plans.registry import query
+from reportlake.session import scratch_path
+from reportlake.sources import bundle as BU
 from reportlake.sources import fixtures as FX
 from reportlake.sources.tables import read_table
 
@@ -113,3 +115,20 @@ def q_query_block_bars(spark, d):
            "FROM rl_vulns GROUP BY severity, vuln_id % 3")
     return R.query_block(spark, {"type": "horizontal_bar", "query": sql}, views=_views(spark, d))
 
+
+
+@query("report_bundle")
+def q_report_bundle(spark, d):
+    """The run rows of a written bundle: a row for each template, from the manifest."""
+    results = _run(spark, d)["results"]
+    rows = BU.write_bundle(results, scratch_path(spark, "bundle"), "run-1")
+    return rows.select("template_id", "run_id", "status", "n_rows", (F.col("file_size") > 0).alias("has_bytes"))
+
+
+@query("report_bundle_rows")
+def q_report_bundle_rows(spark, d):
+    """The result rows read back from a bundle that was written twice: the second write alone."""
+    results, path = _run(spark, d)["results"], scratch_path(spark, "bundle")
+    BU.write_bundle(results.where("status = 'error'"), path, "run-2")
+    BU.write_bundle(results, path, "run-2")
+    return BU.read_bundle(spark, path, "run-2")

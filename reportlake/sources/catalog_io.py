@@ -1,4 +1,4 @@
-"""Catalogue tables in and report bundles out."""
+"""Catalogue tables."""
 
 from __future__ import annotations
 
@@ -30,28 +30,6 @@ def load_catalog(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     return parse_time_columns(t, TEMPLATE_TIME_COLUMNS), parse_time_columns(r, RUN_TIME_COLUMNS)
 
 
-def write_report_bundle(results: DataFrame, path: str, run_id: str,
-                        keys: Sequence[str] = ("template_id",), fmt: str = "parquet") -> DataFrame:
-    """Sink for a report run (S7), the re-aim of the PDF file: every block's
-    result rows land under ``path/run_id=<id>/<keys>=...`` in one write, then
-    one run row per template is derived from the written files (file name,
-    total bytes, status). Overwriting the run's folder keeps a retried run
-    idempotent."""
-    spark = results.sparkSession
-    out = f"{path.rstrip('/')}/run_id={run_id}"
-    # Cluster by the folder keys first: each template's rows come from one
-    # task, so a folder gets one file instead of one per writing task.
-    results.repartition(*keys).write.mode("overwrite").partitionBy(*keys).format(fmt).save(out)
-    files = spark.read.format(fmt).load(out).select(*keys, F.col("_metadata.file_path").alias("file_path"),
-                                                     F.col("_metadata.file_size").alias("file_size"))
-    files = files.dropDuplicates(["file_path"])
-    return (files.groupBy(*keys)
-            .agg(F.sum("file_size").cast("bigint").alias("file_size"), F.count(F.lit(1)).alias("n_files"),
-                 F.min("file_path").alias("file_path"))
-            .withColumn("status", F.lit("success"))
-            .withColumn("run_id", F.lit(run_id)))
-
-
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
     """Store a catalogue table bucketed and sorted by ``key`` (e.g. the run
     log by ``template_id``, templates by ``id`` with the same bucket count).

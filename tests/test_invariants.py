@@ -94,15 +94,6 @@ def test_upsert_empty_change_does_not_stamp(spark):
     assert out.count() == t.count()
 
 
-def test_report_bundle_sink(spark, tmp_path):
-    res = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "template_id long, block_idx int, v string")
-    runs = IO.write_report_bundle(res, str(tmp_path / "bundles"), "r1").orderBy("template_id").collect()
-    assert [r.template_id for r in runs] == [1, 2]
-    assert all(r.file_size > 0 and r.status == "success" for r in runs)
-    again = IO.write_report_bundle(res, str(tmp_path / "bundles"), "r1").count()  # idempotent rewrite
-    assert again == 2
-
-
 def test_load_catalog_parses_iso(spark, tmp_path):
     t = spark.createDataFrame([(1, "2024-01-05T09:07:00+00:00", "bad")], "id long, created_at string, updated_at string")
     r = spark.createDataFrame([(1, 1, "2024-01-05T09:07:00Z")], "id long, template_id long, generated_at string")
