@@ -28,6 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reportlake.llm.common import id_bucket, letter_words, map_rows
+from reportlake.llm.components import staged
 
 #: Labelled texts that teach, at most about this many (a sample by a hash of the text).
 TRAIN_DOCS = 40_000
@@ -227,29 +228,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if any of them is. Labels other than 0 and 1, null ids and texts are ignored."""
     y = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col(label_col).cast("int").alias("_y"))
     y = y.where(F.col("_y").isin(0, 1) & ~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"),
-                        F.xxhash64(text_col).alias("_h"))
-    known = texts.join(y, "_id").where(F.col("_text").isNotNull())
-    n = known.select("_h").distinct().count()
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"),
+                        F.xxhash64(text_col).alias("h")).where(F.col("text").isNotNull())
+    # Ids and hashes alone choose the examples; a broadcast of these (a bounded sample) finds their texts.
+    marks = texts.groupBy("id", "h").agg(F.count("*").alias("times")).join(y, F.col("id") == F.col("_id"))
+    one = marks.groupBy("h").agg(F.min(F.struct("id", "times")).alias("r"), F.max("_y").alias("y"))
+    labelled = staged(docs.sparkSession, one.select("h", "r.id", "r.times", "y"), "labelled")
+    n = labelled.count()
     if not n:
         return build([], [], np.zeros(0))
     share = min(1.0, train_docs / n)
-    part = known.where(F.pmod(F.xxhash64("_h"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    part = part.groupBy("_h").agg(F.min(F.struct("_id", "_text")).alias("r"), F.max("_y").alias("y"))
-    rows = part.select(F.col("r._id").alias("id"), "y", F.col("r._text").alias("text")).persist()
-    try:
-        n_y = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-        vocabulary, idf = vocabulary_of(rows, float(n_y.get(1, 0)), float(n_y.get(0, 0)))
-        known_terms = frozenset(vocabulary)
-
-        def bags(cols: dict[str, list]) -> dict[str, list]:
-            found = [terms(x, known_terms) for x in cols["text"]]
-            return {"id": cols["id"], "y": cols["y"], "t": [list(b) for b in found],
-                    "n": [list(b.values()) for b in found]}
-
-        got = map_rows(rows, bags, "id bigint, y int, t array<string>, n array<int>").collect()
-    finally:
-        rows.unpersist()
+    chosen = labelled.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    found = texts.join(F.broadcast(chosen), ["id", "h"])
+    rows = found.where("times = 1").union(found.where("times > 1").dropDuplicates(["h"])).select("id", "y", "text")
+    rows = staged(docs.sparkSession, rows, "examples")
+    n_y = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    vocabulary, idf = vocabulary_of(rows, float(n_y.get(1, 0)), float(n_y.get(0, 0)))
+    known_terms = frozenset(vocabulary)
+
+    def bags(cols: dict[str, list]) -> dict[str, list]:
+        counts = [terms(x, known_terms) for x in cols["text"]]
+        return {"id": cols["id"], "y": cols["y"], "t": [list(b) for b in counts],
+                "n": [list(b.values()) for b in counts]}
+
+    got = map_rows(rows, bags, "id bigint, y int, t array<string>, n array<int>").collect()
     return build([(r["id"], r["y"], Counter(dict(zip(r["t"], r["n"])))) for r in got], vocabulary, idf)
 
 
