@@ -37,8 +37,8 @@ INDEX = pa.schema([("template_id", pa.int64()), ("n_rows", pa.int64()), ("file_s
 class BundlePart(WriterCommitMessage):
     """What one task wrote: the data file, its index, and their size."""
 
-    path: str
-    index: str
+    path: str | None  # of a task without rows: none
+    index: str | None
     n_rows: int
     file_size: int
 
@@ -58,7 +58,7 @@ class BundleWriter(DataSourceArrowWriter):
         self.path, self.run_id, self.key = path.rstrip("/"), run_id, key
         self.folder = f"{self.path}/run_id={run_id}/{uuid.uuid4().hex}"
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> BundlePart | None:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> BundlePart:
         """One file for the rows of this task, which come clustered by the key."""
         name = f"{self.folder}/part-{uuid.uuid4().hex}"
         fs, at = _open(name)
@@ -83,7 +83,7 @@ class BundleWriter(DataSourceArrowWriter):
                     held.append(piece)
                     held_bytes += piece.nbytes
             if writer is None:
-                return None
+                return BundlePart(None, None, 0, 0)
             close_group()
             writer.close()
             sink.close()
@@ -110,7 +110,7 @@ class BundleWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[BundlePart | None]) -> None:
         """Make the run visible: delete what failed attempts left, then write the manifest."""
-        parts = [m for m in messages if m is not None]
+        parts = [m for m in messages if m is not None and m.path]
         fs, folder = _open(self.folder)
         kept = {posixpath.basename(x) for m in parts for x in (m.path, m.index)}
         for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
