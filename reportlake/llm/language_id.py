@@ -12,13 +12,12 @@ Spark adds up; texts are scored in one pass without a shuffle.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reportlake.llm.common import by_size, id_bucket, map_rows
+from reportlake.llm.common import by_size, id_bucket, letter_words, map_rows
 
 BUCKETS = 1 << 16
 #: Log score lost by a switch; greatest log score that one word can add.
@@ -33,7 +32,6 @@ HOLD_OUT = (4, 2)
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges and the script from there on (fixed values).
 _SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -156,7 +154,7 @@ def viterbi(scores: np.ndarray, lens: np.ndarray, switch: float = SWITCH) -> np.
 def label_texts(model: Model, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, share of its words, spans) of each text; spans are (first word,
     last word, language), in words of letters."""
-    lists = [_WORD.findall(t.lower()) for t in texts]
+    lists = [letter_words(t) for t in texts]
     lens = np.array([len(ws) for ws in lists], dtype=np.int64)
     if not model.langs or not lens.sum():
         return [(UNKNOWN, 0.0, [])] * len(texts)
@@ -197,7 +195,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         out: dict[str, list] = {"lang": [], "kind": [], "cell": [], "n": []}
         by_lang: dict[str, list[str]] = {}
         for text, lang in zip(cols["text"], cols["lang"]):
-            by_lang.setdefault(lang, []).extend(_WORD.findall(text.lower()))
+            by_lang.setdefault(lang, []).extend(letter_words(text))
         for lang, words in by_lang.items():
             if not words:
                 out["lang"].append(lang), out["kind"].append(1), out["cell"].append(0), out["n"].append(0)
