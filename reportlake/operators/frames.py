@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from reportlake import constants as K
 from reportlake.functions import scalars as S
-from reportlake.operators.ordinals import dense_positions, null_safe_join, running_sum_before, with_scalar
+from reportlake.operators.ordinals import (
+    dense_positions, null_safe_join, running_sum_before, sums_before, with_scalar)
 
 
 def _lit_key(keys: Sequence[str]) -> tuple[list[str], bool]:
@@ -85,9 +86,8 @@ def record_counts(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 # ---------------------------------------------------------------- W4
 def _positions(df: DataFrame, order_by: Sequence[str], keys: Sequence[str], name: str) -> DataFrame:
     """Every row with its 1-based position in its frame by ``order_by`` (nulls
-    last). An integer order is positioned over runs of its values, so a frame of
-    most of the rows is never sorted in one task; any other order has no such
-    runs and sorts each frame (with ``keys=()`` the one frame that a block shows)."""
+    last), so that a frame of most of the rows is never sorted in one task: an
+    integer order over runs of its values, any other over sampled ranges."""
     if len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, T.IntegralType):
         # An integer order may repeat values: positions of the distinct values, weighted by their rows.
         order = order_by[0]
@@ -96,8 +96,7 @@ def _positions(df: DataFrame, order_by: Sequence[str], keys: Sequence[str], name
         w = Window.partitionBy(*keys, order).orderBy(*[F.col(c).asc_nulls_last() for c in df.columns])
         return (null_safe_join(df, first, [*keys, order])
                 .withColumn(name, F.col("_first") + F.row_number().over(w)).drop("_first"))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
-    return df.withColumn(name, F.row_number().over(w))
+    return sums_before(df, keys, order_by, name).withColumn(name, (F.col(name) + 1).cast("bigint"))
 
 
 def traffic_light_tiles(df: DataFrame, cat: str | None, val: str, order_by: Sequence[str],
@@ -106,7 +105,8 @@ def traffic_light_tiles(df: DataFrame, cat: str | None, val: str, order_by: Sequ
     geometry for n tiles with padding 0.01. ``cat=None`` is a single-column
     frame: blank labels, value centred."""
     pad = F.lit(K.TILE_BOX_PADDING)
-    placed = _positions(df, order_by, keys, "_pos")
+    needed = dict.fromkeys([*keys, *([cat] if cat else []), val, *order_by])
+    placed = _positions(df.select(*needed), order_by, keys, "_pos")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     placed = _totals_join(placed, counts, keys)
     n, pos = F.col("_n"), (F.col("_pos") - 1).cast("int")
@@ -132,16 +132,16 @@ def bar_series(df: DataFrame, cat: str, val: str, order_by: Sequence[str], horiz
     category. Colour is the severity colour when the category names one.
 
     With a single integral ``order_by`` column (unique per frame and
-    category) the offset uses chunked prefix sums, so a frame holding most of
-    the data is never sorted in one task; otherwise a running window."""
+    category) the offset uses chunked prefix sums, with any other order sums
+    over sampled ranges, so a frame holding most of the data is never sorted in
+    one task."""
     vtype = df.schema[val].dataType
     integral = len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, T.IntegralType)
     if integral:
         base = running_sum_before(df, [*keys, cat], order_by[0], val, "_base")
     else:
-        w = (Window.partitionBy(*keys, cat).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
-             .rowsBetween(Window.unboundedPreceding, -1))
-        base = df.withColumn("_base", F.coalesce(F.sum(val).over(w), F.lit(0)))
+        needed = dict.fromkeys([*keys, cat, val, *order_by])
+        base = sums_before(df.select(*needed), [*keys, cat], order_by, "_base", val)
     named = {"category": cat, "value": val}
     rest = [c for c in order_by if c not in (cat, val, *keys, *named)]  # no column twice
     return base.select(

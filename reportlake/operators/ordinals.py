@@ -87,6 +87,56 @@ def running_sum_before(df: DataFrame, partition: Sequence[str], order: str, val:
     return j.withColumn(name, F.col("_off") + _before(val, [*part, "_run"], order)).drop("_run", "_off")
 
 
+#: Ranges of an order that has no integer runs, and the distinct rows sampled to place them.
+RANGES, RANGE_SAMPLE = 256, 4096
+
+
+def _total_order(cols: Sequence[str]) -> Column:
+    """A struct whose order is that of the columns, each with nulls last."""
+    return F.struct(*[x for i, c in enumerate(cols) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))])
+
+
+def sums_before(df: DataFrame, within: Sequence[str], order_by: Sequence[str], name: str,
+                weight: str | None = None) -> DataFrame:
+    """Every row with the sum of ``weight`` (1 if not given, nulls count 0) over the
+    earlier rows of its group of ``within``, by columns of any orderable type (nulls
+    last). Ties go by the other columns; rows that are equal in all come one after
+    the other.
+
+    Equal rows collapse to one with a count. A sample of the distinct rows places
+    the borders of at most ``RANGES`` ranges over (within, order); sums per group and
+    range give each range's offset, and the rest is a window inside one group and
+    range. Neither a large group nor a row repeated very often is sorted in one
+    task, and the plan is lazy: the borders are a scalar subquery."""
+    within = list(within)
+    w = F.coalesce(F.col(weight), F.lit(0)) if weight else F.lit(1).cast("bigint")
+    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    order = [*within, *[c for c in order_by if c not in within]]
+    order += [c for c in df.columns if c not in order]
+    rows = rows.withColumn("_k", _total_order(order))
+    sample = rows.select("_k").orderBy(F.xxhash64("_k"), "_k").limit(RANGE_SAMPLE)
+    ends = sample.agg(F.sort_array(F.collect_list("_k")).alias("_ends"))
+    step = F.greatest(F.lit(1), F.floor(F.size("_ends") / RANGES))
+    ends = ends.select(F.filter("_ends", lambda k, i: i % step == step - 1).alias("_ends"))
+    rows = with_scalar(rows, ends)
+    key = F.col("_k")
+    rows = rows.withColumn("_range", F.size(F.filter("_ends", lambda end: end < key))).drop("_ends")
+    sums = rows.groupBy(*within, "_range").agg(F.sum(F.col("_copies") * w).alias("_sum"))
+    per_group = sums.groupBy(*within).agg(F.collect_list(F.struct("_range", "_sum")).alias("_sums"))  # RANGES + 1 at most
+    rows = null_safe_join(rows, per_group, within) if within else with_scalar(rows, per_group)
+    zero = F.lit(0).cast(sums.schema["_sum"].dataType)
+    at = F.col("_range")
+    # The array's own order does not matter: sums of doubles are taken by range.
+    earlier = F.sort_array(F.filter("_sums", lambda x: x["_range"] < at))
+    offset = F.aggregate(earlier, zero, lambda total, x: (total + x["_sum"]).cast(sums.schema["_sum"].dataType))
+    here = (Window.partitionBy(*within, "_range").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.coalesce(F.sum(F.col("_copies") * w).over(here), zero)
+    rows = rows.withColumn("_before", offset + before)
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)).alias("_copy")
+    return rows.select(*df.columns, "_before", copies).select(
+        *df.columns, (F.col("_before") + F.col("_copy") * w).alias(name))
+
+
 def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row as scalar
     subqueries: evaluated once, inlined as values -- no join at all."""

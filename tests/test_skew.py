@@ -81,3 +81,41 @@ def test_tiles_positions_exact_under_skew(spark, runs):
                     F.col("amount").alias("value"))
     g = got.select("template_id", "pos", "n", "value")
     assert g.exceptAll(want).count() == 0 and want.exceptAll(g).count() == 0
+
+
+def _any_order_frame(spark, n=4000):
+    """Text order with ties, nulls and case; a third of the rows in one group, a third of those one repeated row."""
+    i = F.col("id")
+    return spark.range(n).select(
+        F.when(i % 3 == 0, F.lit("hot")).when(i % 50 == 1, None).otherwise(F.concat(F.lit("g"), i % 17)).alias("g"),
+        F.when(i % 9 == 0, F.lit("same")).when(i % 11 == 2, None).otherwise(F.sha2(i.cast("string"), 256)).alias("name"),
+        F.when(i % 9 == 0, 3).when(i % 13 == 4, None).otherwise(i % 101).cast("bigint").alias("v"))
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+@pytest.mark.parametrize("ranges,sample", [(256, 4096), (5, 40)])
+def test_sums_before_on_any_order_are_exact(spark, monkeypatch, keys, ranges, sample):
+    from reportlake.operators import ordinals as O
+    monkeypatch.setattr(O, "RANGES", ranges)
+    monkeypatch.setattr(O, "RANGE_SAMPLE", sample)
+    df = _any_order_frame(spark)
+    total = [F.col(c).asc_nulls_last() for c in dict.fromkeys(["name", *keys, "g", "v"])]
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*total).rowsBetween(Window.unboundedPreceding, -1)
+    for weight, plain in ((None, F.lit(1)), ("v", F.coalesce("v", F.lit(0)))):
+        want = df.withColumn("b", F.coalesce(F.sum(plain).over(w), F.lit(0)))
+        got = O.sums_before(df, keys, ["name"], "b", weight)
+        assert got.columns == want.columns
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    empty = O.sums_before(df.where("v > 1000"), keys, ["name"], "b")
+    assert empty.isEmpty()
+
+
+def test_tiles_and_bars_of_any_order_sort_no_frame_in_one_task(spark):
+    df = _any_order_frame(spark)
+    for out in (FR.traffic_light_tiles(df, "name", "v", order_by=["name", "g"]),
+                FR.bar_series(df, "g", "v", order_by=["name"], keys=[])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows and all("_range" in line for line in windows), windows
+    tiles = FR.traffic_light_tiles(df, "name", "v", order_by=["name", "g"])
+    assert sorted(r.pos for r in tiles.select("pos").collect()) == list(range(df.count()))
