@@ -88,23 +88,31 @@ def mark_expired(r: DataFrame, t: DataFrame) -> DataFrame:
     template expires.
 
     Runs are counted per template and day and the counts summed newest day
-    first: days before the K-th run's stay, days behind it expire whole, and
-    only the runs of its own day are ranked. One path for every K."""
-    k = F.greatest(retain_limit("schedule_retain_count"), F.lit(0))
+    first, which gives each template the day that holds its K-th run: earlier
+    days expire, later ones stay. Only the runs of those days are ranked, for the
+    K-th run itself; then every run is compared with its template's cut. The run
+    log is never shuffled or sorted whole."""
+    k = F.greatest(retain_limit("schedule_retain_count"), F.lit(0)).cast("bigint")
     lim = t.select(F.col("id").alias("_tid"), k.alias("_k"))
     day = F.coalesce(F.to_date("generated_at"), F.lit("0001-01-01").cast("date"))  # no time: the oldest day
-    d = r.withColumn("_day", day)
     newer = (Window.partitionBy("_tid").orderBy(F.col("_day").desc())
              .rowsBetween(Window.unboundedPreceding, -1))
-    days = d.groupBy(F.col("template_id").alias("_tid"), "_day").agg(F.count(F.lit(1)).alias("_n"))
-    days = (days.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).join(lim, "_tid")
-            .select("_tid", F.col("_day").alias("_d"), "_n", (F.col("_k") - F.col("_newer")).alias("_keep")))
-    # Only the day that holds the K-th run is ranked; rows of other days fall into rank groups of their own.
-    split = (F.col("_keep") > 0) & (F.col("_keep") < F.col("_n"))
-    j = d.join(days, (F.col("template_id") == F.col("_tid")) & (F.col("_day") == F.col("_d")), "left")
-    w = Window.partitionBy("template_id", "_day", F.when(split, F.lit(0)).otherwise(F.col("id"))).orderBy(*run_order())
-    rank = F.when(split, F.row_number().over(w)).otherwise(F.lit(1))
-    return j.withColumn("_expired", F.coalesce(rank > F.col("_keep"), F.lit(False))).select(*r.columns, "_expired")
+    days = r.groupBy(F.col("template_id").alias("_tid"), day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    days = days.join(lim, "_tid").withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+    rest = F.col("_k") - F.col("_newer")  # runs of the day that stay
+    holds = ((rest > 0) & (rest <= F.col("_n"))) | ((F.col("_k") == 0) & (F.col("_newer") == 0))
+    cut = days.where(holds).select("_tid", F.col("_day").alias("_cut"), rest.alias("_rest"), "_n")
+
+    split = cut.where((F.col("_rest") > 0) & (F.col("_rest") < F.col("_n")))
+    inside = r.select("template_id", "id", "generated_at").join(
+        split, (F.col("template_id") == F.col("_tid")) & (day == F.col("_cut")))
+    rank = F.row_number().over(Window.partitionBy("template_id").orderBy(*run_order()))
+    kth = inside.withColumn("_rank", rank).where(F.col("_rank") == F.col("_rest")).select(
+        F.col("template_id").alias("_tid"), _run_key().alias("_kth"))
+    cut = cut.join(kth, "_tid", "left").select(F.col("_tid"), "_cut", "_rest", "_kth")
+    j = r.join(cut, F.col("template_id") == F.col("_tid"), "left")
+    gone = (day < F.col("_cut")) | ((day == F.col("_cut")) & ((F.col("_rest") == 0) | (_run_key() < F.col("_kth"))))
+    return j.select(*r.columns, F.coalesce(gone, F.lit(False)).alias("_expired"))
 
 
 def retention_expired(r: DataFrame, t: DataFrame) -> DataFrame:

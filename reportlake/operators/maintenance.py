@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reportlake import constants as K
 from reportlake.functions import scalars as S
 from reportlake.operators.catalog import mark_expired
-from reportlake.operators.ordinals import dense_positions, with_scalar
+from reportlake.operators.ordinals import dense_positions, numbered, with_scalar
 
 UPDATABLE = {
     "name": "string", "config_yaml": "string", "schedule_enabled": "int", "schedule_frequency": "string",
@@ -51,14 +51,15 @@ def migrate_legacy(t: DataFrame, r: DataFrame, old_s: DataFrame, old_r: DataFram
     """Old schedules become templates with new ids (last id + position by old
     id; ``last_template_id`` and ``last_run_id`` as in :func:`append_runs`); their reports are re-pointed to the new ids and get new ids in
     (schedule, report) order; both are appended. Reports whose schedule is
-    missing are lost (inner join)."""
-    s = dense_positions(old_s, key="id")
+    missing are lost (inner join). The old tables are numbered and written once
+    each (:func:`numbered`); what is appended reads that."""
+    s = numbered(old_s, ["id"])
     s = _after_last(s, t, last_template_id).withColumn("_new_id", (F.col("_last") + F.col("pos")).cast("bigint"))
     mig_t = s.select(F.col("_new_id").alias("id"),
                      *[F.col(old).alias(new) for old, new in LEGACY_RENAME.items() if old in old_s.columns])
     id_map = s.select(F.col("id").alias("_old_sid"), F.col("_new_id").alias("template_id"))
     rr = old_r.join(id_map, old_r["schedule_id"] == id_map["_old_sid"]).drop("_old_sid", "schedule_id")
-    rr = dense_positions(rr, key="id", group="template_id")
+    rr = numbered(rr, ["template_id", "id"])
     rr = _after_last(rr, r, last_run_id)
     mig_r = rr.select((F.col("_last") + F.col("pos")).cast("bigint").alias("id"),
                       *[c for c in RUN_COLUMNS if c in rr.columns])
@@ -158,13 +159,13 @@ def append_runs(r: DataFrame, t: DataFrame, runs: DataFrame, last_run_id: int |
     successes and generation failures stamp ``schedule_last_run``; missing token
     / exception and manual runs do not.
 
-    Retention touches only the templates that got a row: the log is split by
-    them, the rest passes through. Returns ``runs`` (surviving log),
+    The new rows are numbered and written once. Retention touches only the
+    templates that got a row; the others' runs pass. Returns ``runs`` (surviving log),
     ``expired``, ``templates`` (stamped) and ``new``."""
     names = t.select(F.col("id").alias("_tid"), F.col("name").alias("_tname"))
     oc = F.col("outcome")
     written = runs.join(names, runs["template_id"] == names["_tid"]).where(F.col("scheduled") | (oc != "exception"))
-    n = _after_last(dense_positions(written, key="seq"), r, last_run_id)
+    n = _after_last(numbered(written, ["seq"]), r, last_run_id)
     no_file = oc.isin("no_token", "exception")
     err = (F.when(oc == "no_token", F.lit("No API token configured"))
            .when(oc.isin("failed", "exception"),
@@ -176,13 +177,10 @@ def append_runs(r: DataFrame, t: DataFrame, runs: DataFrame, last_run_id: int |
         F.when(oc == "success", F.col("file_size")).cast("bigint").alias("file_size"),
         F.when(oc == "success", "success").otherwise("failed").alias("status"),
         err.alias("error_message"), F.col("started_at").alias("generated_at"))
-    touched = written.select(F.col("template_id").alias("_w")).distinct()
-    mine = r.join(touched, F.col("template_id") == F.col("_w"), "left_semi")
-    rest = r.join(touched, F.col("template_id") == F.col("_w"), "left_anti")
-    log = mine.unionByName(new, allowMissingColumns=True)
-    marked = mark_expired(log, t)
-    survivors = rest.unionByName(marked.where("not _expired").drop("_expired"), allowMissingColumns=True)
-    expired = marked.where("_expired").drop("_expired")
+    touched = n.select(F.col("template_id").alias("_w")).distinct()
+    subject = t.join(touched, F.col("id") == F.col("_w"), "left_semi")
+    marked = mark_expired(r.unionByName(new, allowMissingColumns=True), subject)
+    survivors, expired = marked.where("not _expired").drop("_expired"), marked.where("_expired").drop("_expired")
     stamps = (runs.where(F.col("scheduled") & oc.isin("success", "failed"))
               .groupBy(F.col("template_id").alias("_sid")).agg(F.max("started_at").alias("_stamp")))
     tj = t.join(stamps, t["id"] == stamps["_sid"], "left")

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reportlake.session import staged
+
 BITS = 21
 
 
@@ -87,6 +89,24 @@ def running_sum_before(df: DataFrame, partition: Sequence[str], order: str, val:
     return j.withColumn(name, F.col("_off") + _before(val, [*part, "_run"], order)).drop("_run", "_off")
 
 
+def numbered(df: DataFrame, order_by: Sequence[str], name: str = "pos") -> DataFrame:
+    """Every row with its 1-based position by columns that are unique together (nulls
+    last). Rows are dealt into sampled ranges, sorted there and written once: the
+    number within a range comes with the write, the sizes of the ranges (an array
+    as long as there are ranges) give the rest. One exchange of the rows."""
+    order = [F.col(c).asc_nulls_last() for c in order_by]
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = staged(df.sparkSession, rows.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, here = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.collect_list(F.struct("p", "n")).alias("s"))
+    last = F.coalesce(F.array_max(F.transform("s", lambda x: x["p"])), F.lit(0).cast("bigint"))
+    before = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda p: F.aggregate(
+        F.filter("s", lambda x: x["p"] < p), F.lit(0).cast("bigint"), lambda total, x: total + x["n"]))
+    rows = with_scalar(rows, sizes.select(before.alias("_before")))
+    return rows.withColumn(name, F.element_at("_before", (part + 1).cast("int")) + here + 1).drop("_at", "_before")
+
+
 #: Ranges of an order that has no integer runs, and the distinct rows sampled to place them.
 RANGES, RANGE_SAMPLE = 256, 4096
 

@@ -66,3 +66,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for one staged table."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/reportlake/{name}-{uuid.uuid4().hex}"
+
+
+def staged(spark: SparkSession, df, name: str):
+    """``df`` written to a fresh folder of the shared checkpoint folder and read back:
+    computed once, its lineage ends here, and losing executors does not lose it."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
