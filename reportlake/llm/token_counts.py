@@ -3,66 +3,87 @@
 Each text becomes the frequencies of its pre-tokens, here the stretches
 between blanks and line ends: the tokenizers served (lower-cased words with
 word ends, white space dropped) never let a token cross white space, so a
-stretch has the same pieces wherever it stands. The pieces of each distinct
-pre-token are counted once per worker (a bounded table), joined to the
-documents' frequencies, and summed; no id list is made for a document.
-
-Frequencies and counts meet inside the batch that made them. Shuffling every
-(document, pre-token, frequency) row to a global table of counts would move
-more bytes than the texts hold; here nothing is shuffled, and a lost task is
-simply run again.
+stretch has the same pieces wherever it stands.
+
+1. The distinct pre-tokens of the corpus, with their frequencies, are an
+   aggregate (each task sums its own first); the pieces of each are counted once.
+2. The counts of the most frequent ones, a table of bounded size, are
+   broadcast; a document's frequencies meet them where they are made.
+3. The document's other frequencies are joined to the distinct table, and all
+   are summed per document. No id list is made for a document.
+
+A frequent pre-token is thus never a hot key of the join, and most frequencies
+(about six of seven here) are not shuffled.
 """
 
 from __future__ import annotations
 
 import os
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from reportlake.llm.common import by_size, map_rows
+from reportlake.llm.components import staged
 
-REMEMBERED = 400_000
-LONGEST_REMEMBERED = 64
+#: Pre-tokens whose counts are broadcast: at most so many, each of at most so many characters.
+FREQUENT, LONGEST_FREQUENT = 200_000, 64
+#: Distinct pre-tokens that a task holds before it hands their frequencies on.
+HELD = 500_000
 
 
-class PieceCounter:
-    """Counts of pieces by distinct pre-token, for one worker."""
+def split(text: str | None) -> list[str]:
+    return (text or "").replace("\n", " ").split(" ")
 
-    def __init__(self, source: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_buffer(source)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.known: dict[str, int] = {"": 0}
-
-    def counts(self, words: set[str]) -> dict[str, int]:
-        fresh = [x for x in words if x not in self.known]
-        if not fresh:
-            return self.known
-        made: dict[str, int] = {}
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k:k + 20_000]
-            made.update(zip(part, (len(e.ids) for e in self.tok.encode_batch(part, add_special_tokens=False))))
-        out = {x: self.known[x] for x in words if x in self.known} | made
-        for x in fresh:
-            if len(self.known) >= REMEMBERED:
-                break
-            if len(x) <= LONGEST_REMEMBERED:
-                self.known[x] = made[x]
-        return out
 
+def pre_token_frequencies(texts: DataFrame) -> DataFrame:
+    """(``token``, ``n``): how often each distinct pre-token stands in the (text) rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            held.pop("", None)
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
+                                             names=["token", "n"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.update(split(text))
+                if len(held) > HELD:
+                    yield flush()
+        yield flush()
+
+    return texts.mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
-_COUNTERS: dict[int, PieceCounter] = {}
 
+def piece_counts(tokens: DataFrame, source: bytes) -> DataFrame:
+    """(token, n, ``pieces``) of (token, n) rows: the tokenizer's pieces of each."""
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        tok = _tokenizer(source)
+        pieces = [len(e.ids) for e in tok.encode_batch(cols["token"], add_special_tokens=False)]
+        return {"token": cols["token"], "n": cols["n"], "pieces": pieces}
+
+    return map_rows(tokens, run, "token string, n bigint, pieces bigint")
+
+
+_TOKENIZERS: dict[int, object] = {}
 
-def _counter(source: bytes) -> PieceCounter:
+
+def _tokenizer(source: bytes):
     key = hash(source)
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = PieceCounter(source)
-    return _COUNTERS[key]
+    if key not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        tok = Tokenizer.from_buffer(source)
+        tok.no_truncation()
+        tok.no_padding()
+        _TOKENIZERS.clear()
+        _TOKENIZERS[key] = tok
+    return _TOKENIZERS[key]
 
 
 def check_served(source: bytes) -> None:
@@ -85,24 +106,45 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 2048, id_col
     (``n_tokens > limit``). A null text counts as empty: 0 bytes, 0 tokens. A
     null id is kept; repeated rows give repeated results, an empty table an
     empty one; other columns are not read, whatever their names. A stretch
-    without blanks of any length is counted whole (and not remembered).
+    without blanks of any length is counted whole. Tokenizers whose tokens can
+    cross white space are refused (``ValueError``).
     """
+    spark = docs.sparkSession
     with open(tokenizer_file, "rb") as f:
         source = f.read()
     check_served(source)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    counts = staged(spark, piece_counts(pre_token_frequencies(texts.select("_text")), source), "pre-tokens")
+    short = counts.where(F.length("token") <= LONGEST_FREQUENT)
+    top = short.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token", "pieces").collect()
+    frequent = spark.sparkContext.broadcast({r["token"]: r["pieces"] for r in top} | {"": 0})
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        c = _counter(source)
+        known = frequent.value
+        out: dict[str, list] = {"_row": cols["_row"], "_id": cols["_id"], "n_bytes": [], "here": [], "rest": [], "times": []}
         texts = [x or "" for x in cols["_text"]]
-        totals: list[int] = []
         for part in by_size([len(x) for x in texts]):
-            freqs = [Counter(texts[i].replace("\n", " ").split(" ")) for i in part]
-            pieces = c.counts(set().union(*freqs))
-            totals += [sum(n * pieces[w] for w, n in f.items()) for f in freqs]
-        return {"_id": cols["_id"], "n_bytes": [len(x.encode()) for x in texts], "n_tokens": totals}
+            for i in part:
+                total, rest, times = 0, [], []
+                for token, n in Counter(split(texts[i])).items():
+                    pieces = known.get(token)
+                    if pieces is None:
+                        rest.append(token), times.append(n)
+                    else:
+                        total += n * pieces
+                out["n_bytes"].append(len(texts[i].encode()))
+                out["here"].append(total), out["rest"].append(rest), out["times"].append(times)
+        return out
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    out = map_rows(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run,
-                   f"_id {id_type}, n_bytes bigint, n_tokens bigint")
-    return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens",
-                      (F.col("n_tokens") > F.lit(limit)).alias("over_limit"))
+    rows = staged(spark, map_rows(texts.withColumn("_row", F.monotonically_increasing_id()), run,
+                                  f"_row bigint, _id {id_type}, n_bytes bigint, here bigint, rest array<string>, "
+                                  "times array<int>"), "frequencies")
+    each = rows.where(F.size("rest") > 0).select("_row", F.explode(F.arrays_zip("rest", "times")).alias("x"))
+    each = each.select("_row", F.col("x.rest").alias("token"), F.col("x.times").alias("times"))
+    others = each.join(counts.select("token", "pieces"), "token").groupBy("_row").agg(
+        F.sum(F.col("times") * F.col("pieces")).alias("there"))
+    total = F.col("here") + F.coalesce("there", F.lit(0))
+    out = rows.select("_row", "_id", "n_bytes", "here").join(others, "_row", "left").select(
+        F.col("_id").alias(id_col), "n_bytes", total.alias("n_tokens"))
+    return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
