@@ -7,7 +7,12 @@ merge) and in each inner node the least of its children, so the root names the
 leftmost pair of lowest rank. A merge rewrites three leaves (the merged pair,
 its left and its right neighbour) and their paths to the root, logarithmic in
 the length, until the root is infinite. Trees of equally wide pre-tokens are
-kept as rows of one array and advance together, one merge each per step.
+kept as rows of one array and advance together, one merge each per step. In a very
+long pre-token all merges of the root's rank are done in one step: the leaves
+that hold it are found from the root, of a chain of touching ones every second
+from the left merges, and their paths are rewritten together. That is the same
+order, as a merge's symbol only takes part in merges of higher rank (checked
+when the tables are read; else it is one merge a step there too).
 
 Distinct pre-tokens are merged once and remembered (a bounded table per
 worker); documents are then joins of remembered id strings. Decoding looks up
@@ -24,7 +29,7 @@ import json
 import re as _re
 import unicodedata
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -40,6 +45,9 @@ GROUP_CELLS = 1 << 20
 #: Pre-tokens of one document worked on at once.
 RUN = 200_000
 
+#: Pre-tokens of more bytes than this have a tree of their own.
+LONG_WORD = 1 << 10
+
 _INF = np.int64(1) << 62
 
 #: From this character on the Unicode tables of two pattern libraries can differ
@@ -81,6 +89,14 @@ class BpeTables:
     added: dict[str, int]
     source: str = field(repr=False, default="")
 
+    @cached_property
+    def rising(self) -> bool:
+        """Whether every symbol is made by a merge of lower rank than those that use it."""
+        made = np.full(self.size, -1, dtype=np.int64)
+        np.maximum.at(made, self.merged, np.arange(len(self.merged)))
+        left, right = np.divmod(self.pair_keys, self.size)
+        return bool((np.maximum(made[left], made[right]) < self.pair_ranks).all())
+
     @property
     def added_pattern(self):
         return _re.compile("(" + "|".join(map(_re.escape, sorted(self.added, key=len, reverse=True))) + ")") \
@@ -195,6 +211,56 @@ def _merge_group(t: BpeTables, words: list[bytes], width: int) -> list[bytes]:
     return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
+def _merge_long(t: BpeTables, word: bytes) -> bytes:
+    """Merge one long word, all merges of the lowest rank in a step."""
+    n = len(word)
+    w = 1 << max(1, (n - 2).bit_length())
+    sym = t.byte_ids[np.frombuffer(word, dtype=np.uint8)]
+    nxt, prv = np.arange(1, n + 1), np.arange(-1, n)
+    alive = np.ones(n, dtype=bool)
+    tree = np.full(2 * w, _INF, dtype=np.int64)
+    rank = _ranks(t, sym[:-1], sym[1:])
+    tree[w:w + n - 1] = np.where(rank >= 0, rank, _INF)
+    level = w
+    while level > 1:
+        tree[level // 2:level] = np.minimum(tree[level:2 * level:2], tree[level + 1:2 * level:2])
+        level //= 2
+
+    while tree[1] < _INF:
+        lowest = tree[1]
+        node = np.array([1])
+        while node[0] < w:  # down to the leaves that hold the root's rank, from left to right
+            node = np.stack([2 * node, 2 * node + 1], axis=1).ravel()
+            node = node[tree[node] == lowest]
+        at = node - w
+        if len(at) > 1:  # of a chain of touching pairs, every second from the left
+            k = np.arange(len(at))
+            fresh = np.append(True, at[1:] != nxt[at[:-1]])
+            at = at[(k - np.maximum.accumulate(np.where(fresh, k, 0))) % 2 == 0]
+        right = nxt[at]
+        after = nxt[right]
+        sym[at] = t.merged[lowest]
+        alive[right] = False
+        nxt[at] = after
+        prv[after] = at  # the entry behind the last symbol is no symbol
+        before = prv[at]
+        left = np.unique(np.concatenate([before[before >= 0], at]))
+        follows = nxt[left]
+        pair = follows < n
+        value = np.full(len(left), _INF, dtype=np.int64)
+        rank = _ranks(t, sym[left[pair]], sym[follows[pair]])
+        value[pair] = np.where(rank >= 0, rank, _INF)
+        tree[w + left] = value
+        right = right[right < w]
+        tree[w + right] = _INF
+        node = np.unique(np.concatenate([left, right])) + w
+        while node[0] > 1:
+            node = node >> 1
+            node = node[np.append(True, node[1:] != node[:-1])]
+            tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+    return sym[alive].astype("<u4").tobytes()
+
+
 def merge_words(t: BpeTables, words: list[bytes]) -> list[bytes]:
     """Ids (little-endian unsigned 32-bit) of each pre-token's bytes."""
     out: list[bytes] = [b""] * len(words)
@@ -202,6 +268,8 @@ def merge_words(t: BpeTables, words: list[bytes]) -> list[bytes]:
     for i, word in enumerate(words):
         if len(word) == 1:
             out[i] = int(t.byte_ids[word[0]]).to_bytes(4, "little")
+        elif len(word) > LONG_WORD and t.rising:
+            out[i] = _merge_long(t, word)
         elif word:
             by_width.setdefault(1 << max(0, (len(word) - 2).bit_length()), []).append(i)
     for width, at in by_width.items():
