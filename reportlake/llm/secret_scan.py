@@ -3,22 +3,25 @@
 Every text starts a worklist as its layer 0. A layer is scanned for secrets;
 then its encoded stretches are unwrapped, each into a new layer:
 
-* URL escapes (``%41``) and Unicode escapes (``\\u0041``, ``\\x41``), decoded
-  in place, so every decoded character knows the stretch it came from;
+* URL escapes (``%41``, ``%u0041``) and Unicode escapes (``\\u0041``, ``\\x41``,
+  ``\\U00000041``), decoded in place, so every decoded character knows the stretch
+  it came from; bytes that are no UTF-8 become a mark. What is nested more than
+  ``LEVELS`` deep is decoded to the end in one pass: no escape's characters can be
+  part of a secret, so what an inner level shows the last one shows too;
 * base64 runs (standard and URL-safe alphabets, also wrapped over lines): each
   is decoded from all four places of its character grid, so a prefix glued to
-  it does no harm, and every printable stretch that is long enough for a secret
-  is a layer, whatever bytes stand beside it;
+  it does no harm, and every printable stretch (of single bytes or of UTF-16)
+  that is long enough for a secret is a layer, whatever bytes stand beside it;
 * compressed streams (gzip, zlib, Zstandard) that start anywhere in a run, with
-  all they inflate to before they end or break off.
+  all they inflate to before they end or break off, as windows that overlap.
 
 All that is looked for is ASCII, so bytes beyond it only part the stretches.
 
-New layers join the worklist until none is left. A layer whose text was
-already seen in the same document with the same origins is not entered again,
-so cycles end (equal texts of two places are both entered); each decoding
-shortens a text or inflates a stream whose size is bounded, so the rest ends
-too. Spans found in a layer are mapped back, layer by layer, to the
+New layers join the worklist, the last one first, until none is left, so few
+are held at a time. A layer whose text was already seen in the same document
+with the same origins is not entered again (its digest is remembered), so cycles
+end (equal texts of two places are both entered); each decoding shortens a text
+or inflates a stream, so the rest ends too. Spans found in a layer are mapped back, layer by layer, to the
 smallest stretch of the document that holds them.
 
 One pass over the documents, no shuffle. Only texts that hold an encoded
@@ -51,7 +54,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal: a match starts where a run does and takes all of it
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNI = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+_UNI = re.compile(r"[\\%]u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}")
+#: Any escape at the end of a text.
+_TAIL = re.compile(r"(?:%|\\x)([0-9A-Fa-f]{2})$|[\\%]u([0-9A-Fa-f]{4})$|\\U([0-9A-Fa-f]{8})$")
+_HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+#: Levels of nested escapes that are layers of their own.
+LEVELS = 8
+_MARK = "\ufffd"
 #: A run of base64 characters, whole or wrapped over lines (indented or not).
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*"
                   r"|[A-Za-z0-9+/_-]+(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+)={0,2}")
@@ -60,14 +69,18 @@ _STANDARD = str.maketrans("-_", "+/")
 #: Characters of a run and bytes of a stretch that are long enough to hold a secret (``token=`` and six more).
 MIN_RUN, MIN_BYTES = 16, 12
 _PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{%d,}" % MIN_BYTES)
+#: The same in UTF-16, of either byte order.
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\0){%d,}[\t\n\r\x20-\x7e]\0?" % (MIN_BYTES - 1))
 #: How gzip, zlib (without a dictionary) and Zstandard streams start in base64.
 _STREAM = re.compile(r"(?=H4sI|e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])|KLUv/[Q-Za-f])")
 #: Characters of a run inflated at once.
 _STEP = 256
 
-#: Bytes one stream may inflate to. A larger stream is not text of a training
-#: document but a decompression bomb: the stretch is reported as kind ``packed``.
-MAX_INFLATED = 32 << 20
+#: Bytes of an inflated stream scanned at once, and how far each window reaches back into the last.
+WINDOW, OVERLAP = 4 << 20, 1 << 16
+#: A Zstandard stream that needs a larger window than this to be read at all is
+#: reported as kind ``packed``.
+MAX_ZSTD_WINDOW = 128 << 20
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -94,9 +107,18 @@ class Layer:
     pieces: list[tuple[int, int, int, int, bool]]
     path: tuple[str, ...]
 
-    def key(self) -> tuple:
+    def key(self) -> bytes:
         """Equal for layers that hold the same text from the same places."""
-        return self.text, tuple(self.pieces)
+        digest = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        digest.update(repr(self.pieces).encode())
+        return digest.digest()
+
+    def depth(self) -> int:
+        """How many of the last decodings were escapes."""
+        n = 0
+        while n < len(self.path) and self.path[-1 - n] in ("url", "unicode"):
+            n += 1
+        return n
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         lo = hi = None
@@ -154,20 +176,41 @@ def _rewritten(layer: Layer, found: list[tuple[int, int, list[tuple[str, int, in
     return Layer("".join(texts), pieces, (*layer.path, name))
 
 
-def _utf8_chars(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[str, int, int]] | None:
-    """Characters of UTF-8 bytes, each with the stretch of its bytes."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _utf8_chars(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Characters of UTF-8 bytes, each with the stretch of its bytes; a mark for any other byte."""
     out, k = [], 0
-    for c in text:
-        n = len(c.encode())
-        out.append((c, spans[k][0], spans[k + n - 1][1]))
+    for c in raw.decode("utf-8", "surrogateescape"):
+        odd = 0xDC80 <= ord(c) <= 0xDCFF
+        n = 1 if odd else len(c.encode())
+        out.append((_MARK if odd else c, spans[k][0], spans[k + n - 1][1]))
         k += n
     return out
 
 
+def unwrap_nested(layer: Layer) -> Layer | None:
+    """All escapes decoded to the end, in one pass: each character joins those
+    already decoded, and whatever escape they end with is decoded at once."""
+    out: list[tuple[str, int, int]] = []
+    tail, decoded = "", False
+    for at, c in enumerate(layer.text):
+        out.append((c, at, at + 1))
+        tail = tail[-9:] + c
+        while c in _HEX_DIGITS and (m := _TAIL.search(tail)):
+            code = int(m[1] or m[2] or m[3], 16)
+            if 0xD800 <= code < 0xE000 or code > 0x10FFFF:
+                break
+            n = len(m[0])
+            start, decoded = out[-n][1], True
+            c = chr(code) if code < 128 or m[1] is None else _MARK
+            del out[-n:]
+            out.append((c, start, at + 1))
+            tail = "".join(x for x, _, _ in out[-10:])
+    if not decoded:
+        return None
+    found = [(a, b, [(c, a, b)]) for c, a, b in out if b - a > 1]
+    return _rewritten(layer, found, "unicode")
+
+
 def unwrap_url(layer: Layer) -> Layer | None:
     found = []
     if "%" in layer.text:
@@ -181,10 +224,10 @@ def unwrap_url(layer: Layer) -> Layer | None:
 
 def unwrap_unicode(layer: Layer) -> Layer | None:
     found = []
-    if "\\u" in layer.text or "\\x" in layer.text:
+    if any(x in layer.text for x in ("\\u", "\\x", "\\U", "%u")):
         for m in _UNI.finditer(layer.text):
             code = int(m[0][2:], 16)
-            if not 0xD800 <= code < 0xE000:
+            if not 0xD800 <= code < 0xE000 and code <= 0x10FFFF:
                 found.append((*m.span(), [(chr(code), *m.span())]))
     return _rewritten(layer, found, "unicode")
 
@@ -203,49 +246,75 @@ def _opened(head: bytes):
             window = zstandard.get_frame_parameters(head).window_size
         except zstandard.ZstdError:
             return None
-        if window > MAX_INFLATED:
+        if window > MAX_ZSTD_WINDOW:
             raise TooLarge
-        return zstandard.ZstdDecompressor(max_window_size=MAX_INFLATED).decompressobj()
+        return zstandard.ZstdDecompressor(max_window_size=MAX_ZSTD_WINDOW).decompressobj()
     if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
         return zlib.decompressobj()
     return None
 
 
-def _inflate(parts: Iterator[bytes]) -> tuple[bytes, int, bool]:
-    """What the compressed streams at the start hold, up to their end or to where
-    they are damaged, how many of the bytes belong to them, and whether they are
-    damaged. The parts are small, so what one of them inflates to is bounded."""
-    out, fed, rest, stream, d = bytearray(), 0, b"", bytearray(), None
-    for part in itertools.chain(parts, [b""]):
-        fed += len(part)
-        rest += part
-        # the longest head of a stream, but for the end of the run
-        while len(rest) >= (18 if part else 4) or (rest and d is not None):
-            if d is None:
-                d, stream, before = _opened(rest), bytearray(), len(out)
+class Inflated:
+    """What the compressed streams at the start of a run hold, up to their end or to
+    where they are damaged, piece by piece; ``used``, how many of the bytes belong
+    to them, is known when all pieces are read."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.used = parts, 0
+
+    def __iter__(self) -> Iterator[bytes]:
+        fed, rest, d = 0, b"", None
+        for part in itertools.chain(self.parts, [b""]):
+            fed += len(part)
+            rest += part
+            # the longest head of a stream, but for the end of the run
+            while len(rest) >= (18 if part else 4) or (rest and d is not None):
                 if d is None:
-                    return bytes(out), fed - len(rest), False
-            try:
-                out += d.decompress(rest)
-            except MemoryError:
-                raise
-            except Exception:  # noqa: BLE001 - a damaged stream: read again, byte by byte up to the damage
-                del out[before:]
-                d = _opened(bytes(stream + rest))
+                    d = _opened(rest)
+                    if d is None:
+                        self.used = fed - len(rest)
+                        return
+                kept = d.copy() if hasattr(d, "copy") else None
                 try:
-                    out += d.decompress(bytes(stream))
-                    for k in range(len(rest)):
-                        out += d.decompress(rest[k:k + 1])
-                except Exception:  # noqa: BLE001
-                    pass
-                return bytes(out), fed, True
-            if len(out) > MAX_INFLATED:
-                raise TooLarge
-            stream += rest
-            rest = d.unused_data if d.eof else b""
-            if d.eof:
-                d = None
-    return bytes(out), fed - len(rest), False
+                    out = d.decompress(rest)
+                except MemoryError:
+                    raise
+                except Exception:  # noqa: BLE001 - a damaged stream: byte by byte up to the damage
+                    try:
+                        for k in range(len(rest) if kept else 0):
+                            yield kept.decompress(rest[k:k + 1])
+                    except Exception:  # noqa: BLE001
+                        pass
+                    self.used = fed
+                    return
+                yield out
+                rest = d.unused_data if d.eof else b""
+                if d.eof:
+                    d = None
+        self.used = fed - len(rest)
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of all pieces in windows that overlap."""
+    held, fresh = bytearray(), 0
+    for piece in pieces:
+        for k in range(0, len(piece), WINDOW):
+            held += piece[k:k + WINDOW]
+            fresh += len(piece[k:k + WINDOW])
+            if len(held) >= WINDOW:
+                yield bytes(held)
+                held, fresh = held[-OVERLAP:], 0
+    if fresh:
+        yield bytes(held)
+
+
+def _printable(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """Printable stretches of bytes: text, first byte, bytes of a character."""
+    for m in _PRINTABLE.finditer(raw):
+        yield m[0].decode("ascii"), m.start(), 1
+    if b"\0" in raw:
+        for m in _WIDE.finditer(raw):
+            yield m[0].replace(b"\0", b"").decode("ascii"), m.start(), 2
 
 
 def _decoded(chars: str) -> bytes:
@@ -254,9 +323,8 @@ def _decoded(chars: str) -> bytes:
     return base64.b64decode(chars + "=" * (-len(chars) % 4))
 
 
-def unwrap_base64(layer: Layer) -> tuple[list[Layer], list[tuple[int, int]]]:
-    """Layers of the base64 runs, and the stretches whose streams are too large."""
-    layers, bombs = [], []
+def unwrap_base64(layer: Layer) -> Iterator[Layer | tuple[int, int]]:
+    """Layers of the base64 runs; the stretch alone of a stream that cannot be read."""
     for m in _B64.finditer(layer.text):
         if m.end() - m.start() < MIN_RUN:
             continue
@@ -275,29 +343,34 @@ def unwrap_base64(layer: Layer) -> tuple[list[Layer], list[tuple[int, int]]]:
             return layer.origin(place(i), place(j - 1) + 1 if j < n else m.end())
 
         for shift in range(4):
-            raw = _decoded(run[shift:])
-            for part in _PRINTABLE.finditer(raw):
+            for text, first, step in _printable(_decoded(run[shift:])):
                 # three bytes come from four characters; a character maps to the quantum of its byte
-                first, last = part.span()
-                pieces = [(max(3 * q, first) - first, min(3 * q + 3, last) - first,
-                           *origin(shift + 4 * q, shift + 4 * q + 4), False)
-                          for q in range(first // 3, (last + 2) // 3)]
-                layers.append(Layer(part[0].decode("ascii"), pieces, (*layer.path, "base64")))
+                quanta = [(first + step * k) // 3 for k in range(len(text))]
+                cuts = [0, *[k for k in range(1, len(quanta)) if quanta[k] != quanta[k - 1]], len(quanta)]
+                pieces = [(a, b, *origin(shift + 4 * quanta[a], min(shift + 4 * quanta[a] + 4, len(run))), False)
+                          for a, b in zip(cuts[:-1], cuts[1:])]
+                yield Layer(text, pieces, (*layer.path, "base64"))
         for start in (x.start() for x in _STREAM.finditer(run)):
+            def inflated(start=start, run=run) -> Inflated:
+                return Inflated(_decoded(run[i:i + _STEP]) for i in range(start, len(run), _STEP))
+
             try:
-                inflated, used, damaged = _inflate(_decoded(run[i:i + _STEP]) for i in range(start, len(run), _STEP))
+                whole = inflated()
+                size = sum(map(len, whole))
             except TooLarge:
-                bombs.append(origin(start, len(run)))
+                yield origin(start, len(run))
                 continue
-            # two bytes mark a zlib stream: they stand anywhere by chance, and what they lead to then is noise
-            if damaged and run[start] == "e" and start not in firsts and layer.text[place(start) - 1] not in "/-_":
+            if size < MIN_BYTES:
                 continue
-            if len(inflated) >= MIN_BYTES:
-                end = start + 4 * ((used + 2) // 3)
-                text = inflated.decode("latin-1")
-                layers.append(Layer(text, [(0, len(text), *origin(start, end), False)],
-                                    (*layer.path, "base64+inflate")))
-    return layers, bombs
+            end = start + 4 * ((whole.used + 2) // 3)
+            for window in _windows(inflated()):
+                at = origin(start, min(end, len(run)))
+                path = (*layer.path, "base64+inflate")
+                text = window.decode("latin-1")
+                yield Layer(text, [(0, len(text), *at, False)], path)
+                for wide, _, step in _printable(window) if "\0" in text else ():
+                    if step == 2:
+                        yield Layer(wide, [(0, len(wide), *at, False)], path)
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int, str]]:
@@ -306,26 +379,42 @@ def find_secrets(text: str) -> list[tuple[str, int, int, str]]:
     Spans of layer 0 have the path ``''``. A span found again in a deeper layer
     at the same place is reported once, with its shortest path.
     """
-    found: dict[tuple[str, int, int], str] = {}
-    work = [Layer(text, [(0, len(text), 0, len(text), True)], ())]
-    seen = {work[0].key()}
+    found: dict[tuple[str, int, int], tuple[str, ...]] = {}
+
+    def note(kind: str, span: tuple[int, int], path: tuple[str, ...]) -> None:
+        before = found.get((kind, *span))
+        if before is None or (len(path), path) < (len(before), before):
+            found[(kind, *span)] = path
+
+    def below(layer: Layer) -> Iterator[Layer]:
+        if layer.depth() >= LEVELS:
+            made = (unwrap_nested(layer),)
+        else:
+            made = (unwrap_url(layer), unwrap_unicode(layer))
+        yield from (x for x in made if x is not None)
+        for x in unwrap_base64(layer):
+            if isinstance(x, Layer):
+                yield x
+            else:
+                note("packed", x, (*layer.path, "base64"))
+
+    first = Layer(text, [(0, len(text), 0, len(text), True)], ())
+    seen = {first.key()}
+    for kind, a, b in scan(text):
+        note(kind, (a, b), ())
+    work = [below(first)]
     while work:
-        deeper = []
-        for layer in work:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        key = layer.key()
+        if key not in seen:
+            seen.add(key)
             for kind, a, b in scan(layer.text):
-                s, e = (a, b) if not layer.path else layer.origin(a, b)
-                found.setdefault((kind, s, e), "/".join(layer.path))
-            made = [x for x in (unwrap_url(layer), unwrap_unicode(layer)) if x is not None]
-            below, bombs = unwrap_base64(layer)
-            for s, e in bombs:
-                found.setdefault(("packed", s, e), "/".join((*layer.path, "base64")))
-            for x in (*made, *below):
-                key = x.key()
-                if key not in seen:
-                    seen.add(key)
-                    deeper.append(x)
-        work = deeper
-    return sorted(((k, s, e, p) for (k, s, e), p in found.items()),
+                note(kind, layer.origin(a, b), layer.path)
+            work.append(below(layer))
+    return sorted(((k, s, e, "/".join(p)) for (k, s, e), p in found.items()),
                   key=lambda x: (x[1], _ORDER.get(x[0], len(KINDS)), x[2], x[0]))
 
 
@@ -343,9 +432,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null or empty text has no secrets. A null id is kept; repeated rows give
     repeated results, an empty table an empty one; other columns are not read,
-    whatever their names. Texts are scanned whole; a stream that inflates
-    beyond ``MAX_INFLATED`` bytes, or asks for a window beyond it, is itself
-    reported, as kind ``packed``.
+    whatever their names. Texts are scanned whole, and so are streams, whatever
+    they inflate to (window by window); a Zstandard stream that needs more than
+    ``MAX_ZSTD_WINDOW`` to be read is itself reported, as kind ``packed``.
     """
     def run(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("secrets", "n_assign", "n_access", "n_hex", "base_sha256", "spans")}

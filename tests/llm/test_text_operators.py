@@ -321,20 +321,53 @@ def test_spans_of_wrapped_and_inflated_runs_are_tight():
         assert secret_scan.redact(f"x {run} y") == "x [REDACTED] y"
 
 
-def test_layers_end_and_bombs_are_reported(monkeypatch):
-    monkeypatch.setattr(secret_scan, "MAX_INFLATED", 1000)
-    bomb = b64(zlib.compress(b"a" * 100_000))
-    assert ("packed", 2, 2 + len(bomb)) in [x[:3] for x in secret_scan.find_secrets("x " + bomb)]
+def test_layers_end_and_large_streams_are_scanned(monkeypatch):
+    for window, overlap in ((1000, 100), (4 << 20, 1 << 16)):
+        monkeypatch.setattr(secret_scan, "WINDOW", window)
+        monkeypatch.setattr(secret_scan, "OVERLAP", overlap)
+        for inner in (PLAIN, b64(zlib.compress(PLAIN.encode()))):
+            large = b64(zlib.compress(b"a " * 50_000 + inner.encode() + b" b" * 3333))
+            spans = [x[:3] for x in secret_scan.find_secrets("x " + large)]
+            assert len(spans) == 1 and spans[0][1] == 2 and spans[0][2] >= len(large) - 1
     assert secret_scan.find_secrets("%25" * 50 + "41 \\u005cu0041 " * 20) == []
 
 
 def test_zstandard_windows_past_the_limit_are_reported():
-    params = zstandard.ZstdCompressionParameters(window_log=27)
+    params = zstandard.ZstdCompressionParameters(window_log=28)
     d = zstandard.ZstdCompressor(compression_params=params).compressobj()
     run = b64(d.compress(PLAIN.encode()) + d.flush())
-    assert zstandard.get_frame_parameters(base64.b64decode(run)).window_size > secret_scan.MAX_INFLATED
+    assert zstandard.get_frame_parameters(base64.b64decode(run)).window_size > secret_scan.MAX_ZSTD_WINDOW
     assert ("packed", 2, 2 + len(run)) in [x[:3] for x in secret_scan.find_secrets(f"x {run} y")]
     assert secret_scan.redact(f"x {run} y") == "x [REDACTED] y"
+    d = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=27)).compressobj()
+    run = b64(d.compress(PLAIN.encode()) + d.flush())
+    assert {x[0] for x in secret_scan.find_secrets(f"x {run} y")} == {x[0] for x in secret_scan.find_secrets(PLAIN)}
+
+
+@pytest.mark.parametrize("text,span", [
+    ("%FF%70assword=hunter22", ("assign", 3, 22)), ("%70assword%FE%3Dx password%C3%28=hunter22", None),
+    ("\\U00000070assword\\U0000003dhunter22", ("assign", 0, 35)), ("password%u003dhunter22", ("assign", 0, 22)),
+    ("\\U00110000 password=hunter22", ("assign", 11, 28))])
+def test_escapes_of_every_form(text, span):
+    assert [x[:3] for x in secret_scan.find_secrets(text)] == ([span] if span else [])
+
+
+@pytest.mark.parametrize("code", ["utf-16-le", "utf-16-be", "utf-16"])
+def test_wide_text_in_base64(code):
+    for pad in range(4):
+        run = b64(("x" * pad + " password=hunter22 and more").encode(code))
+        (kind, s, e, path), = secret_scan.find_secrets(f"see {run} end")
+        assert (kind, path) == ("assign", "base64") and 4 <= s < e <= 4 + len(run)
+        packed = b64(zlib.compress(("y " * 40 + " password=hunter22 and more").encode(code)))
+        assert [x[0] for x in secret_scan.find_secrets(packed)] == ["assign"]
+
+
+def test_deep_nesting_is_linear():
+    import time
+    for text in ("password=%" + "25" * 20_000 + "41bcdefg", "\\u005c" + "u005c" * 6000 + "u0070assword=hunter22"):
+        t0 = time.perf_counter()
+        got = secret_scan.find_secrets(text)
+        assert ("assign", 0, len(text)) in [x[:3] for x in got] and time.perf_counter() - t0 < 5
 
 
 # token counts
@@ -369,3 +402,28 @@ def test_queries_return_their_columns(spark):
             df = fn(spark, SF_TINY)
             assert want[key] | {"doc_id"} <= set(df.columns)
             assert df.count() == 200
+
+
+@pytest.mark.parametrize("n", [200, 5000, 200_000])
+def test_long_pre_tokens_equal_the_library(n):
+    import random
+    from tokenizers import Tokenizer
+    from reportlake.llm import bpe
+    path = tokenizer_path("byte_bpe_50k.json")
+    tables, library, rng = bpe.load_tables(path), Tokenizer.from_file(path), random.Random(n)
+    assert tables.rising
+    for letters in ("a", "ab", "theinrsaod", "abcdefghijklmnopqrstuvwxyzäß"):
+        word = "".join(rng.choices(letters, k=n))
+        want = np.array(library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert bpe._merge_long(tables, word.encode()) == want == bpe.merge_words(tables, [word.encode()])[0]
+
+
+def test_token_counts_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    from reportlake.llm import token_counts as tc
+    docs = spark.read.parquet(f"{SF_TINY}/documents.parquet")
+    path = tokenizer_path("word_bpe_49k.json")
+    want = by_row(tc.token_counts(docs, path), "doc_id", "n_bytes", "n_tokens", "over_limit")
+    for frequent, longest, held in ((0, 64, 10), (30, 3, 100)):
+        for name, value in (("FREQUENT", frequent), ("LONGEST_FREQUENT", longest), ("HELD", held)):
+            monkeypatch.setattr(tc, name, value)
+        assert by_row(tc.token_counts(docs, path), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
