@@ -1,24 +1,37 @@
 """Report runs as Spark jobs (B1, B2).
 
 A block's query is Spark SQL over registered views (B1). A run over many
-templates (B2) computes each distinct source once -- a distinct query text,
+templates (B2) computes each distinct source once -- a distinct query,
 or a distinct (days, zone) history window -- and joins the small results to
 the blocks that use them, instead of one fetch per block.
+
+Queries are told apart by their plans, not their texts. Each runs once, as jobs of
+its own under a tag, and its rows are written to the shared folder, from where
+every kind of block reads them. A query that fails, when it is planned or while it
+runs, is the outcome of the blocks that use it; the rest of the run goes on.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reportlake import constants as K
 from reportlake.functions import scalars as S
 from reportlake.operators import blocks as B
 from reportlake.operators import frames as FR
 from reportlake.operators import history as H
+from reportlake.session import scratch_path
+
+#: Queries of a run that are sent off at the same time.
+AT_ONCE = 4
 
 HISTORY_TYPES = ["history", "trend_summary"]
 
@@ -60,70 +73,122 @@ def _error_condition(e: Exception) -> str:
     return (cond() if cond else None) or type(e).__name__
 
 
-def query_sources(spark: SparkSession, texts: list[str]) -> DataFrame:
-    """One row per distinct query text: rows, columns, error, renderable.
-    Analysis errors surface when the text is planned (driver side, no job);
-    the row counts of all queries are one union -> one job."""
-    schema = "query string, n_rows bigint, n_cols int, error string, renderable boolean"
-    parts, errs = [], []
-    for q in texts:
+@dataclass
+class Source:
+    """One query of a run: its written rows, or the condition it failed with."""
+
+    frame: DataFrame | None = None
+    n_rows: int | None = None
+    error: str | None = None
+
+
+def _same_plan(a: DataFrame, b: DataFrame) -> bool:
+    return a.schema == b.schema and a.sameSemantics(b)
+
+
+def distinct_plans(spark: SparkSession, texts: Iterable[str]) -> tuple[list[DataFrame], dict[str, int], dict[str, str]]:
+    """The distinct plans of the texts, which plan each text has, and the condition of
+    each text that cannot be planned. Plans are compared in canonical form: white
+    space, case of key words and names of aliases inside do not matter."""
+    frames: list[DataFrame] = []
+    by_hash: dict[int, list[int]] = {}
+    plan_of, errors = {}, {}
+    for q in dict.fromkeys(texts):
         if not q:
-            errs.append((q, None, None, K.MSG_NO_QUERY, None))
+            errors[q] = K.MSG_NO_QUERY
             continue
         try:
-            f = spark.sql(q)
+            frame = spark.sql(q)
+            found = by_hash.setdefault(frame.semanticHash(), [])
+            same = [i for i in found if _same_plan(frames[i], frame)]
         except Exception as e:  # noqa: BLE001 - a broken query is a block outcome, not a failure
-            errs.append((q, None, None, _error_condition(e), None))
+            errors[q] = _error_condition(e)
             continue
-        cat, val = FR.detect_columns(f.schema)
-        parts.append(f.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(q).alias("query"), "n_rows", F.lit(len(f.columns)).alias("n_cols"),
-            F.lit(None).cast("string").alias("error"), F.lit(val is not None and cat is not None).alias("renderable")))
-    out = spark.createDataFrame(errs, schema)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+        if not same:
+            same = [len(frames)]
+            found += same
+            frames.append(frame)
+        plan_of[q] = same[0]
+    return frames, plan_of, errors
 
 
-def _planned(spark: SparkSession, texts: Iterable[str]) -> list[tuple[str, DataFrame]]:
-    """The query texts that can be planned, with their frames."""
-    out = []
-    for q in texts:
-        try:
-            out.append((q, spark.sql(q))) if q else None
-        except Exception:  # noqa: BLE001 - reported by query_sources as the block's outcome
-            continue
-    return out
+def _materialised(spark: SparkSession, frame: DataFrame, tag: str) -> Source:
+    """The rows of one query, written once; columns go by position, so names may repeat."""
+    path, counted = scratch_path(spark, "query"), Observation()
+    plain = frame.toDF(*[f"c{i}" for i in range(len(frame.columns))])
+    plain = plain.select(*[F.col(f.name).cast("string") if isinstance(f.dataType, T.NullType) else F.col(f.name)
+                           for f in plain.schema])
+    spark.addTag(tag)
+    try:
+        plain.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    except Exception as e:  # noqa: BLE001 - a query that fails while it runs is a block outcome
+        return Source(error=_error_condition(e))
+    finally:
+        spark.removeTag(tag)
+    return Source(spark.read.schema(plain.schema).parquet(path).toDF(*frame.columns), counted.get["n"])
+
+
+def run_queries(spark: SparkSession, texts: Iterable[str]) -> tuple[list[Source], dict[str, int], dict[str, str]]:
+    """Run every distinct plan of the texts once, ``AT_ONCE`` at a time; the jobs of
+    plan i carry the tag ``report-query-i``."""
+    frames, plan_of, errors = distinct_plans(spark, texts)
+
+    def one(i: int) -> Source:
+        return _materialised(spark, frames[i], f"report-query-{i}")
 
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        runs = [pool.submit(inheritable_thread_target(spark)(one), i) for i in range(len(frames))]
+        return [r.result() for r in runs], plan_of, errors
 
-def _of_query(frame: DataFrame, query: str, text: str) -> DataFrame:
-    """``frame`` with its query's text as a join key. A constant key would be folded
+
+def query_sources(spark: SparkSession, sources: list[Source], plan_of: Mapping[str, int],
+                  errors: Mapping[str, str]) -> DataFrame:
+    """One row per query text: plan, rows, columns, error, renderable."""
+    rows = [(q, None, None, None, e, None) for q, e in errors.items()]
+    for q, i in plan_of.items():
+        x = sources[i]
+        if x.error:
+            rows.append((q, None, None, None, x.error, None))
+        else:
+            cat, val = FR.detect_columns(x.frame.schema)
+            rows.append((q, i, x.n_rows, len(x.frame.columns), None, cat is not None and val is not None))
+    return spark.createDataFrame(
+        rows, "query string, plan int, n_rows bigint, n_cols int, error string, renderable boolean")
+
+
+def _of_plan(frame: DataFrame, plan: int, text: str) -> DataFrame:
+    """``frame`` with its plan's number as a join key. A constant key would be folded
     away and leave a product of blocks and rows; this one hangs on a text column
     (of which it takes nothing), so the join stays an equi-join."""
-    nothing = F.coalesce(F.substr(F.col(text), F.lit(1), F.lit(0)), F.lit(""))
-    return frame.select(F.concat(F.lit(query), nothing).alias("query"), "*")
+    nothing = F.coalesce(F.length(F.substr(F.col(text), F.lit(1), F.lit(0))), F.lit(0))
+    return frame.select((F.lit(plan) + nothing).alias("plan"), "*")
 
 
-def block_frames(spark: SparkSession, blocks: DataFrame, texts: Iterable[str]) -> dict[str, DataFrame]:
+def block_frames(blocks: DataFrame, sources: list[Source]) -> dict[str, DataFrame]:
     """What the query blocks draw: ``tiles``, ``bars``, ``pies`` and ``tables``, each
-    with the block's key. Every text's frame goes through the operator once,
-    whatever the number of blocks that use it; values of bars are doubles and
-    table rows JSON text, as queries differ in their columns."""
+    with the block's key; ``blocks`` have the ``plan`` of their query. Every plan's
+    rows go through the operator once, whatever the number of blocks that use
+    them; values of bars are doubles and table rows JSON text, as queries differ
+    in their columns."""
     kinds: dict[str, list[DataFrame]] = {"tiles": [], "bars": [], "pies": [], "tables": []}
-    for q, f in _planned(spark, texts):
+    for i, source in enumerate(sources):
+        f = source.frame
+        if f is None:
+            continue
+        if len({c.lower() for c in f.columns}) == len(f.columns):
+            table = f.select(F.to_json(F.struct(*[f[c] for c in f.columns]), {"ignoreNullFields": "false"}).alias("row"))
+            kinds["tables"].append(_of_plan(table, i, "row"))
         cat, val = FR.detect_columns(f.schema)
-        table = f.select(F.to_json(F.struct(*f.columns), {"ignoreNullFields": "false"}).alias("row"))
-        kinds["tables"].append(_of_query(table, q, "row"))
-        if cat is None or val is None:
+        if cat is None or val is None or len({c.lower() for c in f.columns}) < len(f.columns):
             continue
         order = [cat] + [c for c in f.columns if c != cat]
-        kinds["tiles"].append(_of_query(FR.traffic_light_tiles(f, cat, val, order_by=order), q, "value_text"))
+        kinds["tiles"].append(_of_plan(FR.traffic_light_tiles(f, cat, val, order_by=order), i, "value_text"))
         bars = FR.bar_series(f, cat, val, order_by=order).select(
             F.col("category").cast("string").alias("category"), F.col("value").cast("double").alias("value"),
             F.col("stack_base").cast("double").alias("stack_base"), "color")
-        kinds["bars"].append(_of_query(bars, q, "color"))
+        kinds["bars"].append(_of_plan(bars, i, "color"))
         pies = FR.pie_shares(f, cat, val).select(F.col(val).cast("bigint").alias("value"), "pct", "label")
-        kinds["pies"].append(_of_query(pies, q, "label"))
+        kinds["pies"].append(_of_plan(pies, i, "label"))
     types = {"tiles": ["traffic_lights"], "bars": ["vertical_bar", "horizontal_bar"], "pies": ["pie_chart"],
              "tables": ["table"]}
     out = {}
@@ -135,7 +200,7 @@ def block_frames(spark: SparkSession, blocks: DataFrame, texts: Iterable[str]) -
             mine = blocks.where(F.col("type").isin(types[kind]))
             if kind == "bars":
                 mine = mine.withColumn("orientation", F.when(F.col("type") == "horizontal_bar", "h").otherwise("v"))
-            out[kind] = mine.join(every, "query").drop("query", "type")
+            out[kind] = mine.join(every, "plan").drop("query", "type", "plan")
     return out
 
 
@@ -178,7 +243,8 @@ def run_reports(spark: SparkSession, blocks: DataFrame, history: DataFrame, now:
     per history window, A8 outcome per block. ``queries`` is the library of
     query texts (text is planning input, so the caller passes it); a block
     whose text is not in it reports that. Without a library the distinct texts
-    of the blocks are gathered, one per planned query.
+    of the blocks are read one after the other, as each is a query to plan.
+    The queries run when this is called (:func:`run_queries`).
 
     Returns ``results`` (block outcomes), ``trends`` (per trend block),
     ``series`` (per history block) and the frames of :func:`block_frames`;
@@ -202,9 +268,10 @@ def run_reports(spark: SparkSession, blocks: DataFrame, history: DataFrame, now:
         "template_id", "block_idx", "type", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
         F.lit(3).alias("n_cols"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("renderable"))
     qb = b.where(~F.col("type").isin(*HISTORY_TYPES, "divider")).select("template_id", "block_idx", "type", "query")
-    texts = list(dict.fromkeys(["", *queries])) if queries is not None else [
-        r.query for r in qb.select("query").distinct().collect()]
-    found = query_sources(spark, texts).withColumn("_known", F.lit(True))
+    texts = ["", *queries] if queries is not None else (
+        r.query for r in qb.select("query").distinct().toLocalIterator())
+    sources, plan_of, errors = run_queries(spark, texts)
+    found = query_sources(spark, sources, plan_of, errors).withColumn("_known", F.lit(True))
     q_rows = qb.join(found, "query", "left").withColumn(
         "error", F.when(F.col("_known").isNull(), F.lit("UNKNOWN_QUERY")).otherwise(F.col("error"))).select(
         *h_rows.columns)
@@ -213,4 +280,5 @@ def run_reports(spark: SparkSession, blocks: DataFrame, history: DataFrame, now:
         F.lit(None).cast("int").alias("n_cols"), F.lit(None).cast("string").alias("error"),
         F.lit(None).cast("boolean").alias("renderable"))
     results = B.block_outcomes(h_rows.unionByName(q_rows).unionByName(other))
-    return {"results": results, "trends": trends, "series": series} | block_frames(spark, qb, texts)
+    drawn = qb.join(found.where("plan is not null").select("query", "plan"), "query")
+    return {"results": results, "trends": trends, "series": series} | block_frames(drawn, sources)
