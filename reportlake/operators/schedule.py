@@ -95,9 +95,19 @@ def _hour_floor(ts: Column) -> Column:
     return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0))
 
 
-def due_by_tick(t: DataFrame, ticks: DataFrame, zones: list[str] | None = None) -> DataFrame:
+def _first_allowed(zones: list[str], after_last_run: bool) -> Column:
+    """The wall clock from which a template may run again; null: at once."""
+    last = S.parse_iso_utc(F.col("schedule_last_run"))
+    local = F.convert_timezone(F.lit("UTC"), effective_zone(F.col("schedule_timezone"), zones), last)
+    gap = F.make_dt_interval(secs=F.lit(K.MIN_RUN_GAP_SECONDS))
+    return local + gap if after_last_run else F.lit(None).cast("timestamp_ntz")
+
+
+def due_by_tick(t: DataFrame, ticks: DataFrame, zones: list[str] | None = None,
+                after_last_run: bool = False) -> DataFrame:
     """The hourly poll as data (T1): (template, local date, tick) firings over
-    a table of poll instants (UTC), starting with no last run.
+    a table of poll instants (UTC), starting with no last run, or with
+    ``after_last_run`` from each template's ``schedule_last_run``.
 
     A template fires at the first tick of each local date whose local hour is
     its schedule hour (the 3600 s rule suppresses the rest of that hour, also
@@ -111,6 +121,11 @@ def due_by_tick(t: DataFrame, ticks: DataFrame, zones: list[str] | None = None)
     weekday, its day of month) and the rule is part of the join key. No
     templates x ticks product; zone conversions scale with the calendar, not
     with the catalogue. Hours outside 0-23 never fire; no ticks, no rows. Lazy.
+
+    A stored last run holds back every tick less than 3600 s of wall clock after
+    it (or before it, if it lies ahead). Only the date on which that gap ends
+    inside the schedule hour can have a firing other than its first tick: those
+    (template, date) pairs, one a template at most, meet the ticks of their hour.
     """
     zones = zones if zones is not None else valid_zones()
     start = ticks.agg(F.date_sub(F.to_date(F.min("tick")), 1)).scalar()
@@ -118,7 +133,7 @@ def due_by_tick(t: DataFrame, ticks: DataFrame, zones: list[str] | None = None)
     freq, h = F.col("schedule_frequency"), F.col("schedule_hour")
     act = (t.where((F.col("schedule_enabled") == 1) & freq.isin(K.FREQUENCIES) & h.between(0, 23))
            .select(F.col("id").alias("template_id"), effective_zone(F.col("schedule_timezone"), zones).alias("_tz"),
-                   h.alias("_h"), _day_rule(freq, F.col("schedule_day_of_week"),
+                   _first_allowed(zones, after_last_run).alias("_from"), h.alias("_h"), _day_rule(freq, F.col("schedule_day_of_week"),
                                             F.col("schedule_day_of_month")).alias("_rule")))
     cal = (act.select("_tz", "_h").distinct()
            .select("_tz", "_h", F.explode(F.sequence(start, end)).alias("local_date")))
@@ -131,13 +146,20 @@ def due_by_tick(t: DataFrame, ticks: DataFrame, zones: list[str] | None = None)
                        lambda b: b < F.col("_u1"))
     cal = cal.select("_tz", "_h", "local_date", "_u0", "_u1", F.explode(buckets).alias("_bucket"))
     tk = ticks.select("tick", _hour_floor(F.col("tick")).alias("_bucket"))
-    fires = (cal.join(tk, "_bucket").where((F.col("tick") >= F.col("_u0")) & (F.col("tick") < F.col("_u1")))
-             .groupBy("_tz", "_h", "local_date").agg(F.min("tick").alias("tick")))
+    polled = cal.join(tk, "_bucket").where((F.col("tick") >= F.col("_u0")) & (F.col("tick") < F.col("_u1")))
+    fires = polled.groupBy("_tz", "_h", "local_date").agg(F.min("tick").alias("tick"))
     date = F.col("local_date")
     fires = fires.withColumn("_rule", F.explode(F.array(
         F.lit("d"), F.concat(F.lit("w"), F.weekday(date).cast("string")),
         F.concat(F.lit("m"), F.dayofmonth(date).cast("string")))))
-    return act.join(fires, ["_tz", "_h", "_rule"]).select("template_id", "local_date", "tick")
+    found = act.join(fires, ["_tz", "_h", "_rule"])
+    if not after_last_run:
+        return found.select("template_id", "local_date", "tick")
+    free = F.coalesce(F.convert_timezone(F.lit("UTC"), F.col("_tz"), F.col("tick")) >= F.col("_from"), F.lit(True))
+    held = ~free & (F.to_date("_from") == date) & (F.hour("_from") == F.col("_h"))
+    later = (found.where(held).drop("tick").join(polled.select("_tz", "_h", "local_date", "tick"), ["_tz", "_h", "local_date"])
+             .where(free).groupBy("template_id", "local_date").agg(F.min("tick").alias("tick")))
+    return found.where(free).select("template_id", "local_date", "tick").unionByName(later)
 
 
 def schedule_violations(t: DataFrame, zones: list[str] | None = None) -> DataFrame:

@@ -57,3 +57,16 @@ x AS (SELECT t.id, t.schedule_frequency AS f, t.schedule_hour AS h, t.schedule_d
 SELECT id AS template_id, CAST(lt AS DATE) AS local_date, min(tick) AS tick FROM x
 WHERE hour(lt) = h AND (f = 'daily' OR (f = 'weekly' AND isodow(lt) - 1 = dow) OR (f = 'monthly' AND day(lt) = dom))
 GROUP BY 1, 2""")
+
+# The same with the 3600 s of wall clock after the stored last run held back.
+oracle("due_by_tick_after_runs", f"""
+WITH t AS (SELECT *, {TZ_EFF} AS tz_eff FROM fx_templates
+           WHERE schedule_enabled = 1 AND schedule_frequency IN ('daily', 'weekly', 'monthly')),
+x AS (SELECT t.id, t.schedule_frequency AS f, t.schedule_hour AS h, t.schedule_day_of_week AS dow,
+             t.schedule_day_of_month AS dom, k.tick, timezone(t.tz_eff, timezone('UTC', k.tick)) AS lt,
+             timezone(t.tz_eff, {parse_sql('schedule_last_run')}) AS last_local
+      FROM t CROSS JOIN fx_ticks k)
+SELECT id AS template_id, CAST(lt AS DATE) AS local_date, min(tick) AS tick FROM x
+WHERE hour(lt) = h AND (f = 'daily' OR (f = 'weekly' AND isodow(lt) - 1 = dow) OR (f = 'monthly' AND day(lt) = dom))
+  AND NOT coalesce(date_diff('microsecond', last_local, lt) < 3600000000, false)
+GROUP BY 1, 2""")

@@ -29,3 +29,9 @@ def q_schedule_violations(spark, d):
 @query("due_by_tick")
 def q_due_by_tick(spark, d):
     return SC.due_by_tick(FX.fx_templates(spark, d), FX.fx_ticks(spark, d))
+
+
+@query("due_by_tick_after_runs")
+def q_due_by_tick_after_runs(spark, d):
+    """Continuing from every template's stored last run."""
+    return SC.due_by_tick(FX.fx_templates(spark, d), FX.fx_ticks(spark, d), after_last_run=True)
