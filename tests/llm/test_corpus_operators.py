@@ -251,10 +251,56 @@ def test_questions_alone_and_near_copies_are_found(spark):
 
 
 def test_contamination_in_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(decontaminate, "SHORT_BYTES", 100)
     rows = texts() + [(50, ITEMS[0][1], None), (51, ITEMS[1][1], None)]
-    got = decontaminate.contamination(frame(spark, rows), items_frame(spark))
-    assert by_row(got, "doc_id", "item_id") == [(50, 1), (51, 2), (51, 6)]
+    for index_bytes, pass_bytes in ((200, 1 << 20), (200, 1)):
+        monkeypatch.setattr(decontaminate, "INDEX_BYTES", index_bytes)
+        monkeypatch.setattr(decontaminate, "PASS_BYTES", pass_bytes)
+        got = decontaminate.contamination(frame(spark, rows), items_frame(spark))
+        assert by_row(got, "doc_id", "item_id") == [(50, 1), (51, 2), (51, 6)]
+        kept = decontaminate.drop_contaminated(frame(spark, rows), items_frame(spark))
+        assert by_row(kept, "doc_id") == by_row(frame(spark, texts()), "doc_id")
+
+
+def test_large_items_make_small_indexes():
+    """One very long item, and many items: what is sent grows with their words, not with a product."""
+    words = [f"w{i}" for i in range(40_000)]
+    items = [(0, " ".join(words))] + [(i, " ".join(words[40 * i:40 * i + 40])) for i in range(1, 500)]
+    df = Counter(w for _, t in items for w in set(decontaminate.words_of(t)))
+    index = decontaminate.build_index(items, df, len(items), 100.0, with_questions=True)
+    assert index.nbytes() < 40 * sum(len(t) for _, t in items)  # dense tables took 641 MB for such an item
+    got = decontaminate.leaks(index, [" ".join(words[400:440]), " ".join(words[:35_000]), "w1 w3 w5"])
+    assert set(got[0]) == {10} and set(got[1]) >= {0, 7} and not got[2]
+
+
+def test_floors_are_parameters(spark):
+    items = items_frame(spark, [(1, "alpha beta"), (2, "two plus two is four")])
+    docs = frame(spark, [(1, "an alpha beta text", None), (2, "so two plus two is four here", None)])
+    assert by_row(decontaminate.contamination(docs, items), "doc_id", "item_id") == [(2, 2)]
+    assert by_row(decontaminate.contamination(docs, items, shortest=0), "doc_id", "item_id") == [(1, 1), (2, 2)]
+    assert by_row(decontaminate.drop_contaminated(docs, items, least=0, shortest=0), "doc_id") == []
+
+
+def test_retrieval_keeps_what_the_rule_finds():
+    """Fragments that hold just over half of a question: found by the rule alone, and through the index."""
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnop"))
+    word = lambda: "".join(rng.choice(letters, 3 if rng.random() < 0.5 else 7))
+    common = [word() for _ in range(60)]
+    item = lambda: [common[rng.zipf(1.3) % 60] if rng.random() < 0.5 else word() for _ in range(38)]
+    items = [(i, " ".join(w[:28]) + ". " + " ".join(w[28:])) for i, w in ((i, item()) for i in range(200))]
+    df = Counter(w for _, t in items for w in set(decontaminate.words_of(t)))
+    index = decontaminate.build_index(items, df, len(items), 38.0, with_questions=True)
+    hit = due = 0
+    for i, t in items:
+        q, _ = decontaminate.question_answer(t)
+        k = int(rng.integers(0, len(q) - 17))
+        text = " ".join(item()) + " " + " ".join(w.decode() for w in q[k:k + 17]) + " " + " ".join(item())
+        have, asked = decontaminate.shingles(decontaminate.words_of(text)), decontaminate.shingles(q)
+        if len(asked & have) >= 0.5 * len(asked):
+            due += 1
+            hit += i in decontaminate.leaks(index, [text])[0]
+    assert due > 150 and hit >= 0.98 * due, (hit, due)
 
 
 def test_wand_retrieves_all_above_threshold():
@@ -264,11 +310,15 @@ def test_wand_retrieves_all_above_threshold():
     df = Counter(w for _, t in items for w in set(decontaminate.words_of(t)))
     index = decontaminate.build_index(items, df, len(items), 30.0, threshold=0.35)
     rows = [np.unique(rng.integers(0, len(index.term), 80)) for _ in range(200)]
-    rows += [index.item_terms[i][index.item_impacts[i] > 0] for i in range(60)]
+    dense = np.zeros((60, len(index.term)))
+    for i in range(60):
+        here = slice(index.row_start[i], index.row_start[i + 1])
+        dense[i, index.row_terms[here]] = index.row_impacts[here]
+    rows += [np.nonzero(dense[i])[0] for i in range(60)]
     got = decontaminate.retrieve(index, np.repeat(np.arange(len(rows)), [len(r) for r in rows]),
                                  np.concatenate(rows), len(rows))
     want = {(p, i): s for p, r in enumerate(rows) for i in range(60)
-            if (s := float(index.item_impacts[i][np.isin(index.item_terms[i], r)].sum())) >= 0.35}
+            if (s := float(dense[i][r].sum())) >= 0.35}
     assert {(p, i) for p, i, _ in got} == set(want) and len(want) > 60
     assert all(abs(s - want[p, i]) < 1e-9 for p, i, s in got)
 
