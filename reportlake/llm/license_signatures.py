@@ -1,7 +1,7 @@
 """Signature table of the licence scan.
 
 Hand-written names of licences, as patterns over lower-cased words joined by
-single blanks, times a few phrasings. Each signature carries a keyword that a
+single blanks, times a few phrasings, beside the rules of ``license_rules``. Each signature carries a keyword that a
 text must hold before the pattern is tried (every match of the pattern has a
 word that begins with it), and a level: lower levels win
 over higher ones where one interval holds the other.
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from reportlake.llm.license_rules import rule_rows
+
 _V = r"(?: version)?"
 
 #: label, keyword, pattern of the name (with its version).
@@ -148,8 +150,9 @@ class Signature:
 
 
 def signatures() -> tuple[Signature, ...]:
-    """All signatures in order: notices, names by phrasing, contract phrases."""
+    """All signatures in order: notices, rules, names by phrasing, contract phrases."""
     rows = [(level, label, key, key, pattern) for level, label, key, pattern in NOTICES]
+    rows += rule_rows()
     for level, cue, before, after in PHRASINGS:
         rows += [(level, label, key, cue, before + name + after) for label, key, name in NAMES]
     rows += [(BASE_LEVEL, label, key, key, phrase) for label, key, phrase in BASE]

@@ -15,7 +15,7 @@ from hypothesis import given, settings, strategies as st
 
 from conftest import SF_TINY
 from llm.fixture import ascii_lower, by_row, frame, prose, texts
-from reportlake.llm import bpe, secret_scan
+from reportlake.llm import bpe, license_rules, secret_scan
 from reportlake.llm.license_signatures import BASE, NAMES, NOTICES, PHRASINGS, SCORES, signatures
 from reportlake.llm.queries import LLM_QUERIES, tokenizer_path
 
@@ -136,13 +136,40 @@ def _matches(choices, code):
 
 def test_every_match_passes_its_gate():
     rows = [(key, name) for _, key, name in NAMES] + [(key, p) for _, _, key, p in NOTICES]
+    rows += [(key, words) for _, words, key in (*license_rules.SPDX, *license_rules.EXCEPTIONS)]
+    rows += [(key, p) for _, _, key, p, _, _ in license_rules.RULES if ".{" not in p]
     rows += [(key, p) for _, key, p in BASE] + [(cue, before + "q" + after) for _, cue, before, after in PHRASINGS]
     for word, pattern in rows:
         for text in examples(pattern):
             assert re.search(rf"(?<= )(?:{pattern})(?= )", f" {text} ")
             assert text == text.strip()
             assert f" {word}" in f" {text}", (word, text)
-    assert {s.keyword for s in signatures()} | {s.cue for s in signatures()} == {word for word, _ in rows}
+    words = {word for word, _ in rows} | {key for _, _, key, p, _, _ in license_rules.RULES if ".{" in p}
+    assert {s.keyword for s in signatures()} | {s.cue for s in signatures()} == words
+
+
+def test_every_rule_finds_its_example_and_leaves_the_other(spark):
+    from reportlake.llm.licenses import license_scan
+    rules = [(i, r) for i, r in enumerate(signatures()) if r.rule >= len(NOTICES)]
+    first = len(NOTICES) + len(license_rules.SPDX) + len(license_rules.EXCEPTIONS)
+    assert len(license_rules.RULES) + len(license_rules.SPDX) + len(license_rules.EXCEPTIONS) >= 200
+    rows = [(2 * k, "so " + r[4] + ", so", None) for k, r in enumerate(license_rules.RULES)]
+    rows += [(2 * k + 1, "so " + r[5] + ", so", None) for k, r in enumerate(license_rules.RULES)]
+    got = {r.doc_id: r for r in license_scan(frame(spark, rows)).select("doc_id", "labels", "detections").collect()}
+    for k, (level, label, _, pattern, yes, no) in enumerate(license_rules.RULES):
+        assert label in got[2 * k].labels.split(","), (yes, got[2 * k].labels)
+        assert first + k not in [d["rule"] for d in got[2 * k + 1].detections], no
+        assert len(rules) > first
+
+
+def test_spdx_expressions(spark):
+    from reportlake.llm.licenses import license_scan
+    want = {"SPDX-License-Identifier: MIT OR Apache-2.0": "apache-2.0,mit", "SPDX-License-Identifier: (ISC OR 0BSD)": "0bsd,isc",
+            "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": "classpath-exception,gpl-2.0-or-later",
+            "SPDX-License-Identifier: EPL-2.0 AND BSL-1.0 AND OFL-1.1": "bsl-1.0,epl-2.0,ofl-1.1",
+            "uses Apache-2.0 here": "apache-2.0", "GNU GPL version 2 or later": "gpl-2.0-or-later", "mit or isc": ""}
+    got = license_scan(frame(spark, [(i, t, None) for i, t in enumerate(want)]))
+    assert by_row(got, "doc_id", "labels") == list(enumerate(want.values()))
 
 
 def test_names_without_the_common_keyword(spark):
