@@ -409,7 +409,12 @@ def bpe_encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", tex
 
 
 def bpe_decode(coded: DataFrame, tokenizer_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Id and decoded ``text`` of each row of ids (null ids: empty text)."""
+    """Id and decoded ``text`` of each row of ids, as :func:`bpe_encode` gives them.
+
+    Null or empty ids give an empty text, bytes that are no UTF-8 the replacement
+    character. A null id is kept; repeated rows give repeated results, an empty
+    table an empty one; other columns are not read, whatever their names.
+    """
     tables = load_tables(tokenizer_file)
 
     def run(cols: dict[str, list]) -> dict[str, list]:

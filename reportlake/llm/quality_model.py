@@ -5,7 +5,7 @@ square roots keep the tails short). Class means and covariances come from sums
 that Spark adds up over all labelled rows; each covariance is shrunk towards a
 multiple of the identity and factored once (Cholesky). A score is the logistic
 of the difference of the classes' log densities, each a Mahalanobis distance
-solved with the cached factor, plus the log prior odds.
+taken with the factor's inverse, made once, plus the log prior odds.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def features(text: str) -> list[float]:
 
 @dataclass
 class Model:
-    """Scaling, and per class: mean, Cholesky factor, log determinant, log prior."""
+    """Scaling, and per class: mean, inverse of the Cholesky factor, log determinant, log prior."""
 
     centre: np.ndarray
     scale: np.ndarray
@@ -75,8 +75,8 @@ class Model:
             return np.full(len(x), float(next(iter(self.classes))) if self.classes else 0.5)
         z = (x - self.centre) / self.scale
         log = {}
-        for label, (mean, factor, log_det, prior) in self.classes.items():
-            d = np.linalg.solve(factor, (z - mean).T)
+        for label, (mean, unfold, log_det, prior) in self.classes.items():
+            d = unfold @ (z - mean).T
             log[label] = prior - 0.5 * log_det - 0.5 * (d * d).sum(axis=0)
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
@@ -96,7 +96,7 @@ def solve_model(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage
         cov = (outer / count - np.outer(mean, mean)) / np.outer(scale, scale)
         cov = (1 - shrinkage) * cov + shrinkage * (max(np.trace(cov), 0.0) / d + LEAST_VARIANCE) * np.eye(d)
         factor = np.linalg.cholesky(cov)
-        classes[label] = ((mean - centre) / scale, factor, 2 * float(np.log(np.diag(factor)).sum()),
+        classes[label] = ((mean - centre) / scale, np.linalg.inv(factor), 2 * float(np.log(np.diag(factor)).sum()),
                           float(np.log(count / n)))
     return Model(centre, scale, classes)
 
@@ -169,7 +169,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               accept: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``accept``, unchanged."""
+    """The rows of ``docs`` with a score of at least ``accept``, unchanged.
+
+    Null and empty texts are scored as empty, rows with a null id like any other;
+    repeated rows stay or go together, an empty table gives an empty one. Without
+    usable labels every score is 0.5. Other columns may have any name and type.
+    """
     from pyspark.sql.types import DoubleType
 
     model = fit(staged(docs.sparkSession, document_features(docs, id_col, text_col), "quality-features"), labels)

@@ -471,8 +471,12 @@ def redact(text: str, mark: str = "[REDACTED]") -> str:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with every secret of ``text_col`` replaced by ``mark``; all rows and columns
-    stay (null and clean texts unchanged)."""
+    """``docs`` with every secret of ``text_col`` replaced by ``mark``.
+
+    All rows and columns stay; null, empty and clean texts are unchanged, and null
+    ids and other columns, of any name and type, are not looked at. Repeated rows
+    give repeated results, an empty table an empty one. Overlapping secrets become
+    one mark. Texts are scanned whole."""
     from pyspark.sql.types import StringType
 
     @F.pandas_udf(StringType())
