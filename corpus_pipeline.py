@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reportlake.llm.common import table, tuned
 from reportlake.llm.queries import tokenizer_path
-from reportlake.session import scratch_path
+from reportlake.session import scratch_path, scratch_scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,10 +82,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the rows of the last one."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; the rows of the last one. What a stage staged, and
+    the result it read, are removed when its own result is written."""
+    docs, before = table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_scope(spark, *before):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs, before = spark.read.parquet(path), (path,)
     return docs

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -65,7 +67,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for one staged table."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/reportlake/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/reportlake/{name}-{uuid.uuid4().hex}"
+    for open_ in _SCOPES:
+        open_.append(path)
+    return path
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, *also: str) -> Iterator[None]:
+    """Removes the staged tables made inside, and the folders ``also``, when the block
+    ends well; nothing that outlives it may read them."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+    for path in (*made, *also):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def staged(spark: SparkSession, df, name: str):
