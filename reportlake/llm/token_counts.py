@@ -23,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reportlake.llm.common import by_size, map_rows
 from reportlake.llm.components import staged
@@ -70,6 +70,25 @@ def piece_counts(tokens: DataFrame, source: bytes) -> DataFrame:
     return map_rows(tokens, run, "token string, n bigint, pieces bigint")
 
 
+def _level() -> Column:
+    """Frequencies in eighths of their doublings."""
+    return F.floor(F.log2("n") * 8)
+
+
+def frequent_level(tokens: DataFrame) -> int:
+    """The least level from which on there are at most ``FREQUENT`` tokens; only counts
+    by level, a few hundred, reach the driver."""
+    sizes = sorted(((r["level"], r["count"]) for r in tokens.groupBy(_level().alias("level")).count().collect()),
+                   reverse=True)
+    total, least = 0, 1 << 20
+    for level, n in sizes:
+        total += n
+        if total > FREQUENT:
+            break
+        least = level
+    return least
+
+
 _TOKENIZERS: dict[int, object] = {}
 
 
@@ -116,7 +135,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 2048, id_col
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     counts = staged(spark, piece_counts(pre_token_frequencies(texts.select("_text")), source), "pre-tokens")
     short = counts.where(F.length("token") <= LONGEST_FREQUENT)
-    top = short.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token", "pieces").collect()
+    top = short.where(_level() >= frequent_level(short)).select("token", "pieces").collect()
     frequent = spark.sparkContext.broadcast({r["token"]: r["pieces"] for r in top} | {"": 0})
 
     def run(cols: dict[str, list]) -> dict[str, list]:
