@@ -1,11 +1,12 @@
 """Report bundles as a data source (S7): files by task, visible by one manifest.
 
 ``write_bundle`` sends a run's result rows to the ``report_bundle`` sink. A task
-writes one Parquet file, a row group for each template's stretch of rows, and
-beside it a small index with a row for each template: rows and bytes. Its
-commit message is the two paths. The driver's commit writes one manifest that
-lists them, and only what a manifest lists is read: a run is there whole or not
-at all. Every write has a folder of its own, which an abort deletes with all that
+writes one Parquet file, sorted by template, and beside it an index with a row for
+each template of each row group: rows and bytes. Row groups are cut by size, so a
+task holds one of them and a file has few of them, whatever the number of templates;
+a template's bytes are its share of its row groups. The task's commit message is the
+two paths. The driver's commit writes one manifest that lists them, and only what a
+manifest lists is read: a run is there whole or not at all. Every write has a folder of its own, which an abort deletes with all that
 failed or killed tasks left in it; a commit deletes what failed attempts left.
 
 Paths are any that ``pyarrow.fs`` opens (shared folders, object stores).
@@ -19,14 +20,16 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-#: A row group is closed at the latest when it holds this many bytes of Arrow data.
+#: A row group is closed when it holds this many bytes of Arrow data.
 ROW_GROUP_BYTES = 64 << 20
 
 INDEX = pa.schema([("template_id", pa.int64()), ("n_rows", pa.int64()), ("file_size", pa.int64()),
@@ -62,50 +65,40 @@ class BundleWriter(DataSourceArrowWriter):
         """One file for the rows of this task, which come clustered by the key."""
         name = f"{self.folder}/part-{uuid.uuid4().hex}"
         fs, at = _open(name)
-        writer, held, held_bytes, groups = None, [], 0, []
+        writer, held, held_bytes, n_rows = None, [], 0, 0
         try:
             def close_group() -> None:
-                nonlocal held, held_bytes
-                if held:
-                    writer.write_table(pa.Table.from_batches(held), row_group_size=1 << 30)
-                    groups.append(held[0].column(self.key)[0].as_py())
-                held, held_bytes = [], 0
+                nonlocal held, held_bytes, n_rows
+                start, group = sink.tell(), pa.Table.from_batches(held)
+                writer.write_table(group, row_group_size=1 << 30)
+                index.write_table(_index_rows(group, self.key, sink.tell() - start, f"{name}.parquet"))
+                held, held_bytes, n_rows = [], 0, n_rows + group.num_rows
 
             for batch in iterator:
+                if batch.num_rows == 0:
+                    continue
                 if writer is None:
                     fs.create_dir(posixpath.dirname(at), recursive=True)
                     sink = fs.open_output_stream(f"{at}.parquet")
                     writer = pq.ParquetWriter(sink, batch.schema)
-                for piece in _stretches(batch, self.key):
-                    if held and held[0].column(self.key)[0].as_py() != piece.column(self.key)[0].as_py() \
-                            or held_bytes > ROW_GROUP_BYTES:
-                        close_group()
-                    held.append(piece)
-                    held_bytes += piece.nbytes
+                    index_sink = fs.open_output_stream(f"{at}.index.parquet")
+                    index = pq.ParquetWriter(index_sink, INDEX)
+                held.append(batch)
+                held_bytes += batch.nbytes
+                if held_bytes > ROW_GROUP_BYTES:
+                    close_group()
             if writer is None:
                 return BundlePart(None, None, 0, 0)
-            close_group()
-            writer.close()
-            sink.close()
+            if held:
+                close_group()
+            for end in (writer, sink, index, index_sink):
+                end.close()
         except BaseException:
             for end in (".parquet", ".index.parquet"):
                 if fs.get_file_info(at + end).type != pafs.FileType.NotFound:
                     fs.delete_file(at + end)
             raise
-        with fs.open_input_file(f"{at}.parquet") as written:
-            meta = pq.read_metadata(written)
-        rows, size = {}, {}
-        for k, template in enumerate(groups):
-            group = meta.row_group(k)
-            rows[template] = rows.get(template, 0) + group.num_rows
-            size[template] = size.get(template, 0) + sum(
-                group.column(c).total_compressed_size for c in range(group.num_columns))
-        index = pa.table([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.int64()),
-                          pa.array([size[t] for t in rows], pa.int64()),
-                          pa.array([f"{name}.parquet"] * len(rows), pa.string())], schema=INDEX)
-        with fs.open_output_stream(f"{at}.index.parquet") as out:
-            pq.write_table(index, out)
-        return BundlePart(f"{name}.parquet", f"{name}.index.parquet", sum(rows.values()),
+        return BundlePart(f"{name}.parquet", f"{name}.index.parquet", n_rows,
                           fs.get_file_info(f"{at}.parquet").size)
 
     def commit(self, messages: list[BundlePart | None]) -> None:
@@ -131,14 +124,28 @@ class BundleWriter(DataSourceArrowWriter):
             fs.delete_dir(folder)
 
 
-def _stretches(batch: pa.RecordBatch, key: str) -> Iterator[pa.RecordBatch]:
-    """The batch cut wherever the key changes."""
-    keys = batch.column(key).to_pylist()
-    start = 0
-    for i in range(1, len(keys) + 1):
-        if i == len(keys) or keys[i] != keys[start]:
-            yield batch.slice(start, i - start)
-            start = i
+def _row_bytes(group: pa.Table) -> np.ndarray:
+    """Bytes of each row before encoding: texts by their length, other columns by their mean."""
+    size = np.ones(group.num_rows)
+    for c in group.columns:
+        if any(is_(c.type) for is_ in (pa.types.is_string, pa.types.is_large_string,
+                                       pa.types.is_binary, pa.types.is_large_binary)):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy()
+        else:
+            size += c.nbytes / group.num_rows
+    return size
+
+
+def _index_rows(group: pa.Table, key: str, n_bytes: int, path: str) -> pa.Table:
+    """A row for each stretch of the key in a row group of ``n_bytes``: its rows, and its share of
+    the bytes by the size of its rows, rounded up."""
+    runs = pc.run_end_encode(group.column(key).combine_chunks())
+    ends = runs.run_ends.to_numpy().astype("int64")
+    starts = np.concatenate([[0], ends[:-1]])
+    weight = np.add.reduceat(_row_bytes(group), starts)
+    return pa.table([runs.values, pa.array(ends - starts),
+                     pa.array(np.ceil(n_bytes * (weight / weight.sum())).astype("int64")),
+                     pa.array([path] * len(ends), pa.string())], schema=INDEX)
 
 
 class BundleSource(DataSource):

@@ -77,3 +77,26 @@ def test_a_rewrite_replaces_the_run(spark, tmp_path):
     again = BU.write_bundle(df.where("template_id < 3"), path, "r1")
     assert again.count() == 3 and BU.read_bundle(spark, path, "r1").where("template_id >= 3").isEmpty()
     assert BU.write_bundle(df.where("template_id is null"), path, "r3").count() == 0
+
+
+def test_row_groups_are_cut_by_size_not_by_template(tmp_path, monkeypatch):
+    """Few row groups for many templates; rows exact, bytes by shares of at least one."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    monkeypatch.setattr(BU, "ROW_GROUP_BYTES", 40_000)
+    keys = [None, None] + [t for t in range(5000) for _ in range(3 if t == 7 else 1)]
+    table = pa.table({"template_id": pa.array(keys, pa.int64()),
+                      "text": ["x" * 30_000 if t == 9 else "y" for t in keys]})
+    part = BU.BundleWriter(str(tmp_path), "r1", "template_id").write(iter(table.to_batches(max_chunksize=500)))
+    meta = pq.read_metadata(part.path)
+    assert meta.num_row_groups <= 4 and meta.num_rows == part.n_rows == len(keys)
+    rows, size = {}, {}
+    for r in pq.read_table(part.index).to_pylist():
+        rows[r["template_id"]] = rows.get(r["template_id"], 0) + r["n_rows"]
+        size[r["template_id"]] = size.get(r["template_id"], 0) + r["file_size"]
+        assert r["file_path"] == part.path and r["file_size"] > 0
+    assert rows == {t: keys.count(t) for t in (None, 7)} | {t: 1 for t in range(5000) if t != 7}
+    assert size[9] == max(size.values())
+    data = sum(meta.row_group(g).column(c).total_compressed_size for g in range(meta.num_row_groups) for c in range(2))
+    assert data <= sum(size.values()) <= data + len(rows) + meta.num_row_groups
+    assert pq.ParquetFile(part.path).read().equals(table)
