@@ -100,3 +100,16 @@ def test_row_groups_are_cut_by_size_not_by_template(tmp_path, monkeypatch):
     data = sum(meta.row_group(g).column(c).total_compressed_size for g in range(meta.num_row_groups) for c in range(2))
     assert data <= sum(size.values()) <= data + len(rows) + meta.num_row_groups
     assert pq.ParquetFile(part.path).read().equals(table)
+
+
+def test_what_a_task_keeps_does_not_grow_with_templates(tmp_path):
+    """The footer of a file, which its writer holds to the end, is as large for ten times the templates."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def footer(templates):
+        batch = pa.record_batch({"template_id": list(range(templates)), "text": ["v"] * templates})
+        part = BU.BundleWriter(str(tmp_path), f"r{templates}", "template_id").write(iter([batch]))
+        return [pq.read_metadata(p).serialized_size for p in (part.path, part.index)]
+
+    assert all(b < 1.1 * a for a, b in zip(footer(1000), footer(10_000), strict=True))
