@@ -9,6 +9,7 @@ is in the JVM.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,11 +50,19 @@ def yaml_to_json(s: pd.Series) -> pd.Series:
     return pd.Series([_yaml_to_json(x) for x in s], dtype=object)
 
 
+#: JSON text whose strings are printable ASCII: there the YAML library's two emitters write the same.
+_PLAIN = re.compile(r'(?:[ -\[\]-~]|\\["\\/])*')
+
+
 def _json_to_yaml(text):
+    """JSON text as block-style YAML, as the library's own emitter writes it. libyaml's emitter
+    takes a fraction of the time and writes the same text for printable ASCII; the other texts
+    go through the slower one."""
     import yaml
     if text is None:
         return None
-    return yaml.dump(json.loads(text), sort_keys=False)
+    dumper = getattr(yaml, "CSafeDumper", yaml.Dumper) if _PLAIN.fullmatch(text) else yaml.Dumper
+    return yaml.dump(json.loads(text), Dumper=dumper, sort_keys=False)
 
 
 @F.pandas_udf(T.StringType())
