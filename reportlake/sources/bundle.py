@@ -3,8 +3,9 @@
 ``write_bundle`` sends a run's result rows to the ``report_bundle`` sink. A task
 writes one Parquet file, sorted by template, and beside it an index with a row for
 each template of each row group: rows and bytes. Row groups are cut by size, so a
-task holds one of them and a file has few of them, whatever the number of templates;
-a template's bytes are its share of its row groups. The task's commit message is the
+task holds one of them and a file has few of them, whatever the number of templates,
+and what it took for one goes back before the next; a template's bytes are its share
+of its row groups. The task's commit message is the
 two paths. The driver's commit writes one manifest that lists them, and only what a
 manifest lists is read: a run is there whole or not at all. Every write has a folder of its own, which an abort deletes with all that
 failed or killed tasks left in it; a commit deletes what failed attempts left.
@@ -30,10 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 #: A row group is closed when it holds this many bytes of Arrow data.
-ROW_GROUP_BYTES = 64 << 20
+ROW_GROUP_BYTES = 16 << 20
 
+#: The path is the same in all rows of an index: held once, read as a string.
 INDEX = pa.schema([("template_id", pa.int64()), ("n_rows", pa.int64()), ("file_size", pa.int64()),
-                   ("file_path", pa.string())])
+                   ("file_path", pa.dictionary(pa.int32(), pa.string()))])
 
 
 @dataclass
@@ -73,6 +75,9 @@ class BundleWriter(DataSourceArrowWriter):
                 writer.write_table(group, row_group_size=1 << 30)
                 index.write_table(_index_rows(group, self.key, sink.tell() - start, f"{name}.parquet"))
                 held, held_bytes, n_rows = [], 0, n_rows + group.num_rows
+                del group
+                # Workers outlive their tasks: what Arrow keeps of freed memory would add up over them.
+                pa.default_memory_pool().release_unused()
 
             for batch in iterator:
                 if batch.num_rows == 0:
@@ -145,7 +150,7 @@ def _index_rows(group: pa.Table, key: str, n_bytes: int, path: str) -> pa.Table:
     weight = np.add.reduceat(_row_bytes(group), starts)
     return pa.table([runs.values, pa.array(ends - starts),
                      pa.array(np.ceil(n_bytes * (weight / weight.sum())).astype("int64")),
-                     pa.array([path] * len(ends), pa.string())], schema=INDEX)
+                     pa.DictionaryArray.from_arrays(np.zeros(len(ends), "int32"), [path])], schema=INDEX)
 
 
 class BundleSource(DataSource):

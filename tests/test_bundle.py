@@ -113,3 +113,39 @@ def test_what_a_task_keeps_does_not_grow_with_templates(tmp_path):
         return [pq.read_metadata(p).serialized_size for p in (part.path, part.index)]
 
     assert all(b < 1.1 * a for a, b in zip(footer(1000), footer(10_000), strict=True))
+
+
+def test_an_index_holds_its_path_once():
+    """A stretch costs the index its numbers, not the path of the file."""
+    import pyarrow as pa
+    group = pa.table({"template_id": list(range(1000)), "text": ["v"] * 1000})
+    index = BU._index_rows(group, "template_id", 5000, "/shared/" + "x" * 500)
+    assert index.nbytes < 1000 * 40
+    assert set(index.column("file_path").to_pylist()) == {"/shared/" + "x" * 500}
+    none = BU._index_rows(pa.table({"template_id": pa.array([None, None], pa.int64()), "text": ["v", None]}),
+                          "template_id", 10, "/f")
+    assert none.to_pylist() == [{"template_id": None, "n_rows": 2, "file_size": 10, "file_path": "/f"}]
+
+
+def test_the_memory_of_a_writing_task_does_not_grow_with_its_rows(tmp_path):
+    """A process of its own writes 400,000 rows of as many templates, then eight times as many."""
+    import subprocess
+    import sys
+    code = f"""
+import resource
+import pyarrow as pa
+from reportlake.sources.bundle import BundleWriter
+
+def write(n):
+    batches = (pa.record_batch({{"template_id": range(i, i + 10_000), "a": ["some status"] * 10_000,
+                                "b": ["another text"] * 10_000}}) for i in range(0, n, 10_000))
+    assert BundleWriter({str(tmp_path)!r}, f"r{{n}}", "template_id").write(batches).n_rows == n
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+
+start = write(10_000)
+print(write(400_000) - start, write(3_200_000) - start)
+"""
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    small, large = map(int, subprocess.run([sys.executable, "-c", code], env=env, check=True, capture_output=True,
+                                           text=True, timeout=300).stdout.split())
+    assert large < 1.5 * small
