@@ -20,7 +20,8 @@ from reportlake.llm.queries import LLM_ORACLES, LLM_QUERIES
 @pytest.mark.parametrize("name", sorted(LLM_ORACLES))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_TINY}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_TINY}/{table}.parquet'")
     cur = con.execute(LLM_ORACLES[name])
     cols = sorted(c[0] for c in cur.description)
     at = [[c[0] for c in cur.description].index(c) for c in cols]
